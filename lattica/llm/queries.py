@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import ngram_jaccard, substring_dedup
+from lattica.llm import ngram_jaccard, quality_rules, substring_dedup
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,12 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_substring_dedup, op9_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
