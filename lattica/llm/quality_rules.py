@@ -98,14 +98,22 @@ def _sum_arrays(column: str, width: int) -> Column:
     return F.array(*[F.sum(F.get(column, F.lit(i))).cast("double") for i in range(width)])
 
 
+def _total(histogram: str) -> Column:
+    return F.aggregate(histogram, F.lit(0.0), lambda total, x: total + x.cast("double"))
+
+
 def _distance(mine: str, reference: str) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of two histograms; 0 if either is empty or absent."""
-    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double"))
-    p, q = (F.transform(c, lambda x, t=total(F.col(c)): F.try_divide(x.cast("double"), t)) for c in (mine, reference))
-    part = lambda x, m: F.when(x > 0, x * F.log2(F.try_divide(x, m))).otherwise(0.0)
-    sums = F.aggregate(F.zip_with(p, q, lambda x, y: (part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    usable = (total(F.col(mine)) > 0) & (total(F.col(reference)) > 0)
-    return F.when(usable, F.sqrt(F.greatest(F.lit(0.0), F.when(usable, sums)))).otherwise(0.0)
+
+    def part(x, middle):
+        return F.when(x > 0, x * F.log2(F.try_divide(x, middle))).otherwise(0.0)
+
+    def term(x, y):
+        p, q = F.try_divide(x.cast("double"), _total(mine)), F.try_divide(y.cast("double"), _total(reference))
+        return (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
+
+    total = F.aggregate(F.zip_with(mine, reference, term), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    return F.when((_total(mine) > 0) & (_total(reference) > 0), F.sqrt(F.greatest(F.lit(0.0), total))).otherwise(0.0)
 
 
 def quality_rules(
@@ -113,10 +121,11 @@ def quality_rules(
     id_column: str = "doc_id",
     text_column: str = "text",
     lang_column: str = "lang",
-    max_class_distance: float = 0.30,
-    max_word_distance: float = 0.55,
+    max_class_distance: float = 0.18,
+    max_word_distance: float = 0.19,
+    slack: float = 1.0,
     min_chars: int = 200,
-    min_words: int = 100,
+    min_words: int = 50,
     common_words: dict[str, str] | None = None,
 ) -> DataFrame:
     """(id, statistics, class_distance, word_distance, base_failed, kept) of every row.
@@ -142,5 +151,6 @@ def quality_rules(
         F.when((F.col("n_words") >= min_words) & (F.size("shares") > 1), _distance("shares", "ref_shares")).otherwise(0.0).alias("word_distance"),
         "base_failed",
     )
-    passes = (F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance)
+    noise = slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
+    passes = (F.col("class_distance") <= max_class_distance + noise) & (F.col("word_distance") <= max_word_distance + noise)
     return scored.withColumn("kept", ~F.col("base_failed") & passes)
