@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import ngram_jaccard, quality_classifier, quality_rules, substring_dedup
+from lattica.llm import ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_files
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,17 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=True, end=1)
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), words=False, end=2)
+    return token_files.read_tokens(manifest, digest=True).withColumnRenamed("id", "doc_id")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = substring_dedup.remove_repeats(docs, width=35)
@@ -37,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_packing, op6_token_files, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
