@@ -20,7 +20,7 @@ def write(folder: str, suffix: str, pieces: list[bytes]) -> str:
     path = f"{folder}/{uuid.uuid4().hex}{suffix}"
     system, local = _open(path)
     system.create_dir(local.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(local) as out:
+    with system.open_output_stream(local, compression=None) as out:
         for piece in pieces:
             out.write(piece)
     return path
@@ -47,5 +47,5 @@ class Reader:
 
 def read(path: str) -> bytes:
     system, local = _open(path)
-    with system.open_input_stream(local) as file:
+    with system.open_input_stream(local, compression=None) as file:
         return file.read()

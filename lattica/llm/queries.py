@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_files
+from lattica.llm import chat, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_files, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,12 +28,24 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=True, end=1)
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    marks = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(turns.union(extra)))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), words=False, end=2)
     return token_files.read_tokens(manifest, digest=True).withColumnRenamed("id", "doc_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    directory = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
+    return warc.read_archives(directory, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     done = substring_dedup.remove_repeats(docs, width=35)
@@ -49,7 +61,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op4_packing, op6_token_files, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op4_packing, op5_chat_formatting, op6_token_files, op7_warc, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
