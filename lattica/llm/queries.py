@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, embedding_dedup, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_files, warc
+from lattica.llm import chat, embedding_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_files, warc
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
+    return mixed.select("doc.doc_id", "n_tokens", "source", "lang", "topic", F.round("probability", 6).alias("probability"), "sampled")
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.9)
 
@@ -65,8 +70,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_embedding_dedup, op4_packing, op5_chat_formatting, op6_token_files, op7_warc, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_source_mixing, op3_embedding_dedup, op4_packing, op5_chat_formatting, op6_token_files, op7_warc, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_source_mixing": mixing.oracle_sql()}
