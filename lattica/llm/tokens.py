@@ -23,6 +23,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 CACHED = 600_000
 _ADJACENT = re.compile(r"\s\s")
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
+_ASCII_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_BLANKS = _ASCII_BLANKS + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def _visible_bytes() -> dict[int, str]:
@@ -32,6 +34,24 @@ def _visible_bytes() -> dict[int, str]:
     return {b: chr(256 + others.index(b)) for b in others}
 
 
+def _plain_blanks(text: str) -> bool:
+    """Only single blanks and line ends part the text's words."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+        return False
+    return not any(c in text for c in (_ASCII_BLANKS if text.isascii() else _BLANKS))
+
+
+class _Learned(dict):
+    """Ids by fragment; a new one is learned when it is looked up."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, fragment: str) -> bytes:
+        found = self[fragment] = self.learn(fragment)
+        return found
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text."""
 
@@ -41,52 +61,61 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.names = _visible_bytes()
-        self.known: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known = _Learned(self._learn_word if words else self._learn)
+        self.after_blank = _Learned(self._learn_after_blank)
+
+    def _whole(self, fragment: str) -> bytes:
+        return array("I", self.tokenizer.encode(fragment, add_special_tokens=False).ids).tobytes()
+
+    def _letters(self, name: str) -> bytes:
+        raw = self.raw
+        return b"".join([raw[t.id] for t in self.model.tokenize(name)])
+
+    def _learn_word(self, fragment: str) -> bytes:
+        """Ids of a fragment for the word tokenizer; letters before a last full stop or comma are looked up by themselves."""
+        if fragment.isalpha():
+            lower = fragment.lower() if fragment.isascii() else self.tokenizer.normalizer.normalize_str(fragment)
+            if lower != fragment:
+                return self.known[lower] if lower else b""
+            return self._letters(fragment if fragment.isascii() else fragment.encode().decode("latin-1").translate(self.names))
+        if fragment and fragment[-1] in ".," and fragment[:-1].isalpha():
+            return self.known[fragment[:-1]] + self.known[fragment[-1]]
+        return self._whole(fragment) if fragment else b""
 
-    def fragments(self, text: str) -> list[str]:
+    def _learn(self, fragment: str) -> bytes:
+        """Ids of a fragment for the byte tokenizer."""
+        return self._whole(fragment) if fragment else b""
+
+    def _learn_after_blank(self, fragment: str) -> bytes:
+        """The same with a blank before it."""
+        if fragment.isalpha():
+            return self._letters(self.names[0x20] + (fragment if fragment.isascii() else fragment.encode().decode("latin-1").translate(self.names)))
+        if fragment and fragment[-1] in ".," and fragment[:-1].isalpha():
+            return self.after_blank[fragment[:-1]] + self.known[fragment[-1]]
+        return self._whole(" " + fragment)
+
+    def _one(self, text: str | None) -> bytes:
+        if not text:
+            return b""
         if self.words:
-            return [x for x in text.replace("\n", " ").split(" ") if x]
-        if _ADJACENT.search(text):
-            return _SAFE.split(text)
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append("\n")
+            return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
+        if not _plain_blanks(text):
+            return b"".join(map(self.known.__getitem__, [text] if text.isspace() else _SAFE.split(text)))
+        out, end = [], self.known["\n"]
+        for line in text.split("\n"):
             first, *others = line.split(" ")
-            if first:
-                out.append(first)
-            out += [" " + x for x in others]
-        return out
-
-    def _learn(self, fragment: str) -> bytes:
-        """The ids of a fragment; letters before a last full stop or comma are looked up by themselves."""
-        known = self.known
-        if fragment[-1] in ".," and fragment[-2:-1].isalpha():
-            head, tail = fragment[:-1], fragment[-1]
-            ids = (known.get(head) or self._learn(head)) + (known.get(tail) or self._learn(tail))
-        elif (fragment if self.words else fragment.removeprefix(" ")).isalpha():
-            if self.words:
-                fragment = fragment.lower() if fragment.isascii() else self.tokenizer.normalizer.normalize_str(fragment)
-            if fragment.isascii():
-                name = fragment.replace(" ", self.names[0x20])
-            elif self.words and not fragment.isalpha():
-                return array("I", self.tokenizer.encode(fragment, add_special_tokens=False).ids).tobytes()
-            else:
-                name = fragment.encode().decode("latin-1").translate(self.names)
-            return array("I", [t.id for t in self.model.tokenize(name)]).tobytes()
-        else:
-            ids = array("I", self.tokenizer.encode(fragment, add_special_tokens=False).ids).tobytes()
-        return ids
+            out += (self.known[first], b"".join(map(self.after_blank.__getitem__, others)), end)
+        return b"".join(out[:-1])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.fragments(t) if t else [] for t in texts]
-        known = self.known
-        if len(known) > CACHED:
-            known.clear()
-        for x in {x for fragments in cut for x in fragments if x not in known}:
-            known[x] = self._learn(x)
-        get = known.__getitem__
-        return [b"".join(map(get, fragments)) for fragments in cut]
+        out = []
+        for text in texts:
+            if len(self.known) + len(self.after_blank) > CACHED:
+                self.known.clear()
+                self.after_blank.clear()
+            out.append(self._one(text))
+        return out
 
 
 @lru_cache(maxsize=2)
