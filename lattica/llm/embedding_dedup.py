@@ -5,8 +5,8 @@ split into blocks, their squared distances add up over the blocks, so in at leas
 are within the block's share of ``R**2``.  Each block is range-joined under its share, and the union
 of the candidates is verified exactly, in double precision.
 
-* Vectors within DELTA of a centre met in the same batch are one class before anything is shuffled.
-  Its members all link; two classes link entirely or not at all unless the centres' distance is
+* Vectors within ``NEAR * R`` of a centre met in the same batch are one class before anything is
+  shuffled.  Its members all link, as 2 NEAR < 1; two classes link entirely or not at all unless the centres' distance is
   within the radii of ``R``, and only then are members compared.  So a large group of near copies costs a
   few centres per task, and its pairs are counted, never written.
 * The range join deals each block's vectors to cells around pivots.  A vector goes to the tile
@@ -28,7 +28,7 @@ from lattica.llm.common import Kept
 from lattica.llm.components import connected_components
 from lattica.llm.words import mix64
 
-DELTA = 0.01
+NEAR = 0.44
 BLOCK_DIMENSIONS = 16
 #: Centres a cell holds, about; cells a block has at most.
 CELL_ROWS, MOST_CELLS = 8192, 256
@@ -58,8 +58,8 @@ def _unit(values) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def group_near(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(centre's row, distance to it) of each row: the first of the rows not yet taken takes all within DELTA."""
+def group_near(units: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
+    """(centre's row, distance to it) of each row: the first of the rows not yet taken takes all within ``delta``."""
     n = len(units)
     centre, distance = np.arange(n), np.zeros(n)
     turned = units @ rotation(units.shape[1])[:, :4]
@@ -70,7 +70,7 @@ def group_near(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rest = order[a:b]
         while len(rest) > 1:
             gap = np.sqrt(((units[rest] - units[rest[0]]) ** 2).sum(1))
-            near = gap <= DELTA
+            near = gap <= delta
             near[0] = True
             centre[rest[near]], distance[rest[near]] = rest[0], gap[near]
             rest = rest[~near]
@@ -80,26 +80,29 @@ def group_near(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _VECTOR = "key long, id long, d int, centre long, distance double, unit binary"
 
 
-def _classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        units = [_unit(v) for v in batch.column(2).to_pylist()]
-        for d in sorted({len(u) for u in units if u is not None}):
-            rows = np.array([i for i, u in enumerate(units) if u is not None and len(u) == d])
-            stacked = np.stack([units[i] for i in rows])
-            centre, distance = group_near(stacked)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[rows]), pa.array(ids[rows]), pa.array([d] * len(rows), pa.int32()), pa.array(keys[rows[centre]]), pa.array(distance), pa.array([u.tobytes() for u in stacked], pa.binary())],
-                ["key", "id", "d", "centre", "distance", "unit"],
-            )
+def _classes(delta: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            units = [_unit(v) for v in batch.column(2).to_pylist()]
+            for d in sorted({len(u) for u in units if u is not None}):
+                rows = np.array([i for i, u in enumerate(units) if u is not None and len(u) == d])
+                stacked = np.stack([units[i] for i in rows])
+                centre, distance = group_near(stacked, delta)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys[rows]), pa.array(ids[rows]), pa.array([d] * len(rows), pa.int32()), pa.array(keys[rows[centre]]), pa.array(distance), pa.array([u.tobytes() for u in stacked], pa.binary())],
+                    ["key", "id", "d", "centre", "distance", "unit"],
+                )
+
+    return run
 
 
-def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(dimensions, keys, rotated units) of a batch of (key, d, unit)."""
-    keys, ds, raw = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
+def _by_dimension(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimensions, keys, radii, rotated units) of a batch of (key, d, unit, radius)."""
+    keys, ds, raw, radii = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3).to_numpy()
     for d in np.unique(ds):
         rows = np.flatnonzero(ds == d)
-        yield int(d), keys[rows], np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(-1, d) @ rotation(int(d))
+        yield int(d), keys[rows], radii[rows], np.frombuffer(b"".join(raw[i] for i in rows), np.float64).reshape(-1, d) @ rotation(int(d))
 
 
 def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -116,7 +119,7 @@ class Pivots(dict):
 def _homes(pivots: Pivots):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, keys, turned in _by_dimension(batch):
+            for d, _, _, turned in _by_dimension(batch):
                 for b, (lo, hi) in enumerate(block_bounds(d)):
                     home = np.argmin(_to_pivots(turned[:, lo:hi], pivots[d][:, lo:hi]), axis=1)
                     cells, counts = np.unique(home, return_counts=True)
@@ -125,26 +128,26 @@ def _homes(pivots: Pivots):
     return run
 
 
-_TILE = "d int, block int, low long, high long, side int, key long, x binary"
+_TILE = "d int, block int, low long, high long, side int, key long, radius double, x binary"
 
 
-def _deal(pivots: Pivots, parts: dict[tuple[int, int, int], int], reach: float):
-    """Each block of each vector to the tiles in which it may meet a partner.
+def _deal(pivots: Pivots, parts: dict[tuple[int, int, int], int], reach: float, widest: float):
+    """Each block of each centre to the tiles in which it may meet a partner of a radius up to ``widest``.
 
     A tile is a pair of units, a unit a cell's share: cell * 2**20 + share.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, keys, turned in _by_dimension(batch):
+            for d, keys, radii, turned in _by_dimension(batch):
                 for b, (lo, hi) in enumerate(block_bounds(d)):
                     x, own = turned[:, lo:hi], pivots[d][:, lo:hi]
-                    share = np.sqrt(reach**2 * (hi - lo) / d) + _SLACK
+                    share = (reach + radii + widest) * np.sqrt((hi - lo) / d) + _SLACK
                     squares = _to_pivots(x, own)
                     home = np.argmin(squares, axis=1)
                     apart = np.sqrt(_to_pivots(own, own))
                     # The distance to the plane between the home's pivot and another one.
-                    beyond = squares - squares[np.arange(len(x)), home][:, None] > 2 * apart[home] * share + _SLACK
+                    beyond = squares - squares[np.arange(len(x)), home][:, None] > 2 * apart[home] * share[:, None] + _SLACK
                     split = np.array([parts.get((d, b, c), 1) for c in range(len(own))])
                     unit = home * (1 << 20) + (mix64(keys.view(np.uint64)) % split[home].astype(np.uint64)).astype(np.int64)
                     rows, cells = np.nonzero(~beyond)
@@ -157,9 +160,9 @@ def _deal(pivots: Pivots, parts: dict[tuple[int, int, int], int], reach: float):
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([d] * len(rows), pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)),
-                            pa.array(side, pa.int32()), pa.array(keys[rows]), pa.array([raw[i] for i in rows], pa.binary()),
+                            pa.array(side, pa.int32()), pa.array(keys[rows]), pa.array(radii[rows]), pa.array([raw[i] for i in rows], pa.binary()),
                         ],
-                        ["d", "block", "low", "high", "side", "key", "x"],
+                        ["d", "block", "low", "high", "side", "key", "radius", "x"],
                     )
 
     return run
@@ -171,14 +174,18 @@ def _range_join(reach: float):
     def run(table: pa.Table) -> pa.Table:
         keys, side = table.column("key").to_numpy(), table.column("side").to_numpy()
         x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(len(keys), -1)
-        budget = reach**2 * x.shape[1] / table.column("d")[0].as_py() + _SLACK
+        share = x.shape[1] / table.column("d")[0].as_py()
+        radius = table.column("radius").to_numpy()
         half = (x**2).sum(1, keepdims=True) / 2
         one = np.ones_like(half)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        left = left[np.argsort(radius[left], kind="stable")]
         a, b = np.hstack([x, -half, one])[left], np.hstack([x, one, -half])[right].T.copy()
         found = []
         for at in range(0, len(a), 1024):  # |x - y|**2 / 2 is half + half - x y
-            i, j = np.nonzero(a[at : at + 1024] @ b >= -budget / 2)
+            mine = radius[left[at : at + 1024]]
+            most = reach + radius[right] + (mine[:, None] if mine.any() else 0)
+            i, j = np.nonzero(a[at : at + 1024] @ b >= (-(most**2) * share / 2 - _SLACK).astype(np.float32))
             i, j = left[i + at], right[j]
             fits = (i < j) | (side[i] != side[j])
             found.append((keys[i[fits]], keys[j[fits]]))
@@ -234,24 +241,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_column: str = "v
     vectors of different lengths don't link.  Rows that repeat id and vector count as one vector, and
     each is returned; a null id links with nothing and has a null component.  Other columns are ignored.
     """
-    spark = vectors.sparkSession
+    reach = float(np.sqrt(2 - 2 * cosine))
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).withColumn("key", F.xxhash64("id", "v"))
-    known = Kept(rows.where("id IS NOT NULL AND v IS NOT NULL").select("key", "id", "v").mapInArrow(_classes, _VECTOR), "vectors").df
+    known = Kept(rows.where("id IS NOT NULL AND v IS NOT NULL").select("key", "id", "v").mapInArrow(_classes(NEAR * reach), _VECTOR), "vectors").df
     # A repeated row may have found two centres; the lesser one counts.
     members = Kept(known.groupBy("key", "id", "d").agg(F.min(F.struct("centre", "distance")).alias("at")).select("key", "id", F.col("at.centre").alias("centre"), F.col("at.distance").alias("distance")), "members").df
     units = known.select("key", "d", "unit").dropDuplicates(["key"])
     sizes = members.groupBy("centre").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.min("id").alias("least"))
     classes = Kept(sizes.join(units.withColumnRenamed("key", "centre"), "centre").select("centre", "d", "unit", "n", "radius", "least"), "centres").df
 
-    reach = float(np.sqrt(2 - 2 * cosine)) + 2 * DELTA
+    widest = float(classes.agg(F.max("radius")).first()[0] or 0.0)
     pivots = Pivots()  # lengths of few vectors need none
     for d, n in classes.groupBy("d").count().where(F.col("count") > CELL_ROWS).orderBy(F.desc("count")).limit(100).collect():
         some = classes.where(F.col("d") == d).orderBy(F.xxhash64("centre")).limit(min(MOST_CELLS, -(-n // CELL_ROWS))).select("unit").collect()
         pivots[d] = np.stack([np.frombuffer(r["unit"], np.float64) for r in some]) @ rotation(d)
-    usual = classes.select("centre", "d", "unit")
+    usual = classes.select("centre", "d", "unit", "radius")
     counted = usual.mapInArrow(_homes(pivots), "d int, block int, cell long, n long").groupBy("d", "block", "cell").agg(F.sum("n").alias("n"))
     parts = {(r["d"], r["block"], r["cell"]): -(-r["n"] // (2 * CELL_ROWS)) for r in counted.where(F.col("n") > 2 * CELL_ROWS).collect()}
-    tiles = usual.mapInArrow(_deal(pivots, parts, reach), _TILE)
+    tiles = usual.mapInArrow(_deal(pivots, parts, reach, widest), _TILE)
     pairs = Kept(tiles.groupBy("d", "block", "low", "high").applyInArrow(_range_join(reach), "a long, b long").distinct(), "pairs").df
 
     left, right = (classes.select(F.col("centre").alias(k), F.col("unit").alias(f"unit_{k}"), F.col("radius").alias(f"radius_{k}")) for k in "ab")
