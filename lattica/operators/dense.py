@@ -1,0 +1,198 @@
+"""Many small dense systems at once: array columns in, numpy over the whole batch of a dimension.
+
+A system is a row with ``a array<array<double>>`` (row by row) and, for solvers, ``b array<double>``.
+The parallelism is over rows; each step of an algorithm is one numpy operation on all systems of a
+batch that have the same dimension.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+
+TINY = 1e-16
+
+
+def lu(a: np.ndarray, pivot: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(l, u, permutation, ok) of stacked square matrices; rows of ``a`` in the permutation are ``l @ u``."""
+    n, d = len(a), a.shape[1]
+    u, l = a.astype(float).copy(), np.tile(np.eye(d), (n, 1, 1))
+    order, ok, every = np.tile(np.arange(d), (n, 1)), np.ones(n, bool), np.arange(n)
+    for i in range(d):
+        if pivot:
+            best = i + np.argmax(np.abs(u[:, i:, i]), axis=1)
+            for x in (u, order):
+                x[every, i], x[every, best] = x[every, best].copy(), x[every, i].copy()
+            for k in range(i):
+                l[every, i, k], l[every, best, k] = l[every, best, k].copy(), l[every, i, k].copy()
+        ok &= np.abs(u[:, i, i]) >= TINY
+        safe = np.where(np.abs(u[:, i, i]) >= TINY, u[:, i, i], 1.0)
+        m = u[:, i + 1 :, i] / safe[:, None]
+        l[:, i + 1 :, i] = m
+        u[:, i + 1 :, i:] -= m[:, :, None] * u[:, None, i, i:]
+        u[:, i + 1 :, i] = 0
+    return l, u, order, ok
+
+
+def lu_solve(l: np.ndarray, u: np.ndarray, order: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = l.shape[1]
+    y = np.take_along_axis(b, order, axis=1).astype(float)
+    for i in range(1, d):
+        y[:, i] -= (l[:, i, :i] * y[:, :i]).sum(1)
+    for i in range(d - 1, -1, -1):
+        pivot = np.where(np.abs(u[:, i, i]) >= TINY, u[:, i, i], np.nan)
+        y[:, i] = (y[:, i] - (u[:, i, i + 1 :] * y[:, i + 1 :]).sum(1)) / pivot
+    return y
+
+
+def residual(a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """b - a x with products and sums in extended precision."""
+    wide = a.astype(np.longdouble) * x[:, None, :].astype(np.longdouble)
+    return (b.astype(np.longdouble) - wide.sum(2)).astype(float)
+
+
+def refine(a, b, eps: float, most: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, ok, corrections): LU with iterative refinement until the correction is small against x."""
+    l, u, order, ok = lu(a)
+    x, n = lu_solve(l, u, order, b), np.zeros(len(a), int)
+    active = ok & np.isfinite(x).all(1)
+    for _ in range(most):
+        if not active.any():
+            break
+        z = lu_solve(l[active], u[active], order[active], residual(a[active], x[active], b[active]))
+        x[active] += z
+        n[active] += 1
+        size = np.linalg.norm(x[active], axis=1)
+        active[np.flatnonzero(active)[(np.linalg.norm(z, axis=1) <= eps * size) | (size == 0)]] = False
+    return x, ok & np.isfinite(x).all(1), n
+
+
+def qr(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Householder QR of stacked square matrices; a zero column is left alone."""
+    n, d = len(a), a.shape[1]
+    r, q = a.astype(float).copy(), np.tile(np.eye(d), (n, 1, 1))
+    for i in range(d - 1):
+        v = r[:, i:, i].copy()
+        v[:, 0] += np.where(v[:, 0] < 0, -1.0, 1.0) * np.linalg.norm(v, axis=1)
+        size = np.linalg.norm(v, axis=1)
+        v = v / np.where(size > 0, size, 1)[:, None]
+        r[:, i:, :] -= 2 * v[:, :, None] * (v[:, None, :] @ r[:, i:, :])
+        q[:, :, i:] -= 2 * (q[:, :, i:] @ v[:, :, None]) * v[:, None, :]
+    return q, np.triu(r)
+
+
+def sor(a, b, x0, eps: float, most: int, omega: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, residual norm, iterations) of successive over-relaxation; 0 < omega < 2."""
+    if not 0 < omega < 2:
+        raise ValueError("omega has to lie between 0 and 2")
+    x, n, d = x0.astype(float).copy(), np.zeros(len(a), int), a.shape[1]
+    norm = np.linalg.norm(b - np.einsum("nij,nj->ni", a, x), axis=1)
+    for _ in range(most):
+        todo = norm > eps
+        if not todo.any():
+            break
+        for i in range(d):
+            pivot = np.where(a[:, i, i] != 0, a[:, i, i], np.nan)
+            step = omega * (b[:, i] - (a[:, i] * x).sum(1)) / pivot
+            x[:, i] = np.where(todo, x[:, i] + step, x[:, i])
+        n[todo] += 1
+        norm = np.linalg.norm(b - np.einsum("nij,nj->ni", a, x), axis=1)
+    return x, norm, n
+
+
+def steepest_descent(a, b, x0, eps: float, most: int):
+    """(x, residual norm, iterations) along the residual; symmetric positive definite systems."""
+    x, n = x0.astype(float).copy(), np.zeros(len(a), int)
+    for _ in range(most + 1):
+        r = b - np.einsum("nij,nj->ni", a, x)
+        norm = np.linalg.norm(r, axis=1)
+        todo = (norm > eps) & (n < most)
+        if not todo.any():
+            break
+        curvature = np.einsum("ni,nij,nj->n", r, a, r)
+        step = np.where(todo, norm**2 / np.where(curvature != 0, curvature, np.nan), 0)
+        x += step[:, None] * np.where(todo[:, None], r, 0)
+        n[todo] += 1
+    return x, norm, n
+
+
+def conjugate_gradient(a, b, x0, eps: float, most: int):
+    """(x, residual norm, iterations) with the recursive residual and Fletcher-Reeves directions."""
+    x, n = x0.astype(float).copy(), np.zeros(len(a), int)
+    r = b - np.einsum("nij,nj->ni", a, x)
+    direction, square = r.copy(), (r * r).sum(1)
+    for _ in range(most):
+        todo = np.sqrt(square) > eps
+        if not todo.any():
+            break
+        z = np.einsum("nij,nj->ni", a, direction)
+        curvature = (direction * z).sum(1)
+        step = np.where(todo, square / np.where(curvature != 0, curvature, np.nan), 0)
+        x += step[:, None] * np.where(todo[:, None], direction, 0)
+        r = r - step[:, None] * np.where(todo[:, None], z, 0)
+        new = (r * r).sum(1)
+        ratio = np.where(todo, new / np.where(square > 0, square, 1), 0)
+        direction = np.where(todo[:, None], r + ratio[:, None] * direction, direction)
+        square = np.where(todo, new, square)
+        n[todo] += 1
+    return x, np.sqrt(square), n
+
+
+def inverse_iteration(a, q0, shift: float, eps: float, most: int):
+    """(eigenvalue next to ``shift``, eigenvector, error, iterations), one factorisation for all steps."""
+    l, u, order, ok = lu(a - shift * np.eye(a.shape[1]))
+    z = np.where(np.linalg.norm(q0, axis=1, keepdims=True) > 0, q0, 0.1).astype(float)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    value, error, n = np.zeros(len(a)), np.full(len(a), np.inf), np.zeros(len(a), int)
+    for _ in range(most):
+        todo = (3 * error > abs(eps)) & ok
+        if not todo.any():
+            break
+        new = lu_solve(l, u, order, z)
+        new /= np.linalg.norm(new, axis=1, keepdims=True)
+        z = np.where(todo[:, None], new, z)
+        image = np.einsum("nij,nj->ni", a, z)
+        value = (z * image).sum(1)
+        error = np.linalg.norm(image - value[:, None] * z, axis=1) / np.where(value != 0, np.abs(value), np.nan)
+        n[todo] += 1
+    return value, z, np.where(ok, error, np.nan), n
+
+
+def qr_algorithm(a: np.ndarray, sweeps: int) -> np.ndarray:
+    """The diagonal after unshifted QR sweeps: the eigenvalues if they are real and of different size."""
+    t = a.astype(float)
+    for _ in range(sweeps):
+        q, r = qr(t)
+        t = r @ q
+    return np.einsum("nii->ni", t)
+
+
+def apply(systems: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str, list]], schema: str, keys: list[str]) -> DataFrame:
+    """``kernel(a, b)`` on stacks of systems of one dimension; its columns follow the ``keys`` of each row.
+
+    Rows whose matrix is null, not square or of another size than ``b`` are an error of the caller;
+    they raise.  An empty table gives an empty one.
+    """
+    kinds = ", ".join(f"{k} {systems.schema[k].dataType.simpleString()}" for k in keys)
+    columns = [x.split()[0] for x in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for d, part in frame.groupby(frame["a"].map(len)):
+                if any(len(row) != d for rows in part["a"] for row in rows) or any(len(x) != d for x in part["b"]):
+                    raise ValueError("matrices have to be square")
+                a = np.array([[list(row) for row in rows] for rows in part["a"]], float)
+                made = kernel(a, np.array([list(x) for x in part["b"]], float))
+                out = part[keys].reset_index(drop=True)
+                for c in columns:
+                    out[c] = list(made[c])
+                yield out
+
+    return systems.select(*keys, "a", "b").mapInPandas(run, f"{kinds}, {schema}")
+
+
+def status(residual_norm: np.ndarray, eps: float) -> list[str]:
+    return ["Failed" if np.isnan(r) else "Converged" if r <= eps else "MaxIterations" for r in residual_norm]

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lattica.plans import q_linear, q_numeric, q_tables
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for part in (q_tables, q_linear, q_numeric) for name, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in (q_tables, q_linear, q_numeric) for name, (_, sql) in part.QUERIES.items() if sql}
