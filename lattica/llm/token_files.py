@@ -48,23 +48,29 @@ def chunk_widths(ids: np.ndarray, most: int = 3) -> list[int]:
     return np.diff([0, *best, top]).tolist()
 
 
+def _container(width: int) -> str:
+    return "<u2" if width <= 16 else "<u4"
+
+
 def _pack_bits(values: np.ndarray, width: int) -> bytes:
     if width == 8:
         return values.astype(np.uint8).tobytes()
     out = []
-    for at in range(0, len(values), 1 << 20):  # a multiple of 8, so that pieces meet at whole bytes
-        part = values[at : at + (1 << 20), None]
-        out.append(np.packbits(((part >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes())
+    for at in range(0, len(values), 1 << 16):  # a multiple of 8, so that pieces meet at whole bytes
+        part = values[at : at + (1 << 16)].astype(_container(width))
+        bits = np.unpackbits(part.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        out.append(np.packbits(bits[:, :width].ravel(), bitorder="little").tobytes())
     return b"".join(out)
 
 
 def _unpack_bits(raw: bytes, width: int, first: int, n: int) -> np.ndarray:
     """``n`` numbers of ``width`` bits from the bit ``first``."""
+    if width == 8 and not first:
+        return np.frombuffer(raw, np.uint8, n).astype(np.uint32)
     bits = np.unpackbits(np.frombuffer(raw, np.uint8), bitorder="little", count=first + n * width)[first:]
-    out = np.zeros(n, np.uint32)
-    for k in range(width):
-        out |= bits[k::width].astype(np.uint32) << np.uint32(k)
-    return out
+    whole = np.zeros((n, 8 * np.dtype(_container(width)).itemsize), np.uint8)
+    whole[:, :width] = bits.reshape(n, width)
+    return np.packbits(whole, axis=1, bitorder="little").view(_container(width))[:, 0].astype(np.uint32)
 
 
 def encode(ids: np.ndarray, firsts: np.ndarray, names: list) -> list[bytes]:
@@ -188,8 +194,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             file = TokenFile(lambda offset, length, path=path: reader.read(path, offset, length))
             names, bounds = file.documents()
-            for a in range(0, len(names), 2048):
-                b = min(a + 2048, len(names))
+            for a in range(0, len(names), 256):
+                b = min(a + 256, len(names))
                 ids = file.get(int(bounds[a]), int(bounds[b] - bounds[a])).tobytes()
                 cuts = 4 * (bounds[a : b + 1] - bounds[a])
                 found = [ids[x:y] for x, y in zip(cuts, cuts[1:])]
