@@ -103,7 +103,7 @@ def depth_first(edges: DataFrame, starts: DataFrame, group: str, seq: str) -> Da
     parallelism lies in the groups.  A start is given only if it lies on a cycle.
     """
 
-    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         following = {s: list(x) for s, x in pdf.sort_values("_seq").groupby("src")["dst"]}
         start = int(pdf["_start"].iloc[0])
         seen, order, stack = set(), [], [(start, iter(following.get(start, [])))]
