@@ -19,9 +19,11 @@ from tokenizers import Tokenizer
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Fragments remembered by a worker; then it starts anew.
-CACHED = 600_000
+#: Fragments that a generation holds; the one before it is kept for those that come again.
+CACHED = 350_000
 _ADJACENT = re.compile(r"\s\s")
+#: Marks that end a word; after letters, a run of them is a pre-token.  The apostrophe may begin another kind.
+_MARKS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _ASCII_BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _BLANKS = _ASCII_BLANKS + "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
@@ -42,15 +44,23 @@ def _plain_blanks(text: str) -> bool:
 
 
 class _Learned(dict):
-    """Ids by fragment; a new one is learned when it is looked up."""
+    """Ids by fragment; a new one is taken over from the generation before, or learned, when it is looked up."""
 
     def __init__(self, learn):
-        self.learn = learn
+        self.learn, self.before = learn, {}
 
     def __missing__(self, fragment: str) -> bytes:
-        found = self[fragment] = self.learn(fragment)
+        found = self.before.get(fragment)
+        if found is None:
+            found = self.learn(fragment)
+        self[fragment] = found
         return found
 
+    def age(self) -> None:
+        if len(self) > CACHED:
+            self.before = dict(self)
+            self.clear()
+
 
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text."""
@@ -73,14 +83,15 @@ class Encoder:
         return b"".join([raw[t.id] for t in self.model.tokenize(name)])
 
     def _learn_word(self, fragment: str) -> bytes:
-        """Ids of a fragment for the word tokenizer; letters before a last full stop or comma are looked up by themselves."""
+        """Ids of a fragment for the word tokenizer; letters before marks are looked up by themselves."""
         if fragment.isalpha():
             lower = fragment.lower() if fragment.isascii() else self.tokenizer.normalizer.normalize_str(fragment)
             if lower != fragment:
                 return self.known[lower] if lower else b""
             return self._letters(fragment if fragment.isascii() else fragment.encode().decode("latin-1").translate(self.names))
-        if fragment and fragment[-1] in ".," and fragment[:-1].isalpha():
-            return self.known[fragment[:-1]] + self.known[fragment[-1]]
+        head = fragment.rstrip(_MARKS)
+        if head.isalpha():
+            return self.known[head] + self.known[fragment[len(head) :]]
         return self._whole(fragment) if fragment else b""
 
     def _learn(self, fragment: str) -> bytes:
@@ -91,8 +102,9 @@ class Encoder:
         """The same with a blank before it."""
         if fragment.isalpha():
             return self._letters(self.names[0x20] + (fragment if fragment.isascii() else fragment.encode().decode("latin-1").translate(self.names)))
-        if fragment and fragment[-1] in ".," and fragment[:-1].isalpha():
-            return self.after_blank[fragment[:-1]] + self.known[fragment[-1]]
+        head = fragment.rstrip(_MARKS)
+        if head.isalpha():
+            return self.after_blank[head] + self.known[fragment[len(head) :]]
         return self._whole(" " + fragment)
 
     def _one(self, text: str | None) -> bytes:
@@ -111,9 +123,8 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         out = []
         for text in texts:
-            if len(self.known) + len(self.after_blank) > CACHED:
-                self.known.clear()
-                self.after_blank.clear()
+            self.known.age()
+            self.after_blank.age()
             out.append(self._one(text))
         return out
 

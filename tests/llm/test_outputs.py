@@ -74,10 +74,11 @@ def test_token_files(spark, monkeypatch):
     assert token_files.read_tokens(token_files.write_tokens(docs.limit(0), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
 
 
-def test_direct_access():
+@pytest.mark.parametrize("unit", [1, 8])
+def test_direct_access(unit):
     r = np.random.default_rng(0)
     for ids in (np.zeros(5, np.uint32), np.array([], np.uint32), r.integers(0, 50_000, 5000).astype(np.uint32), (r.pareto(0.5, 20_000) * 9).clip(0, 2**24).astype(np.uint32)):
-        raw = b"".join(token_files.encode(ids, np.array([0]), [1]))
+        raw = b"".join(token_files.encode(ids, np.array([0]), [1], unit))
         reads = []
         file = token_files.TokenFile(lambda a, n: (reads.append(n), raw[a : a + n])[1])
         assert (file.get(0, len(ids)) == ids).all()
