@@ -48,10 +48,34 @@ def lu_solve(l: np.ndarray, u: np.ndarray, order: np.ndarray, b: np.ndarray) ->
     return y
 
 
+def _two_sum(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded sum and what rounding lost, exactly."""
+    s = a + b
+    t = s - a
+    return s, (a - (s - t)) + (b - t)
+
+
+def _two_product(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded product and what rounding lost, by halves of 26 bits."""
+    p = a * b
+    (ah, al), (bh, bl) = (_halves(v) for v in (a, b))
+    return p, ((ah * bh - p) + ah * bl + al * bh) + al * bl
+
+
+def _halves(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    c = 134217729.0 * v  # 2**27 + 1
+    high = c - (c - v)
+    return high, v - high
+
+
 def residual(a: np.ndarray, x: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """b - a x with products and sums in extended precision."""
-    wide = a.astype(np.longdouble) * x[:, None, :].astype(np.longdouble)
-    return (b.astype(np.longdouble) - wide.sum(2)).astype(float)
+    """b - a x of stacked systems as if computed in twice the precision and then rounded."""
+    total, lost = b.astype(float).copy(), np.zeros_like(b, float)
+    for j in range(a.shape[2]):
+        product, error = _two_product(-a[:, :, j], np.broadcast_to(x[:, j, None], a.shape[:2]))
+        total, gone = _two_sum(total, product)
+        lost += gone + error
+    return total + lost
 
 
 def refine(a, b, eps: float, most: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from lattica.plans.tables import keep
 
+#: Multiplications between two scalings of the power iteration.
+STRIDE = 6
+
 
 def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     """(sys, i, v): the product of (sys, i, j, a) and (sys, i, v)."""
@@ -55,12 +58,13 @@ def power_iteration(a: DataFrame, eps: float, most: int) -> DataFrame:
     """(sys, value, error, status) of the dominant eigenvalue from a start of ones."""
     a = keep(a)
     now = keep(a.select("sys", "i").distinct().withColumn("v", F.lit(1.0)))
-    for k in range(1, most + 1):
-        image = matvec(a, now)
+    for _ in range(0, most, STRIDE):
+        image = now
+        for _ in range(STRIDE):  # vectors are scaled and judged once a stride; the direction is the same
+            image = matvec(a, image)
+        image = keep(image)
         size = image.groupBy("sys").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
         now = keep(image.join(size, "sys").select("sys", "i", F.coalesce(F.try_divide("v", "size"), F.lit(0.0)).alias("v")))
-        if k % 4 and k < most:
-            continue
         image = keep(matvec(a, now))
         value = dot(now, image, "value")
         gap = now.join(image.withColumnRenamed("v", "w"), ["sys", "i"]).join(value, "sys")

@@ -5,8 +5,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +73,57 @@ def status(problems: DataFrame, keys: list[str], step: Step, y0: Column, dt: Col
     """(keys, status): Converged if every step did."""
     bad = F.exists(trajectory(step, y0, dt, t_end), F.isnan)
     return problems.select(*keys, F.when(bad, "MaxIterations").otherwise("Converged").alias("status"))
+
+
+# Systems: the state is an array column, and the field maps (t, stacked states) to stacked slopes.
+System = Callable[[float, np.ndarray], np.ndarray]
+
+
+def _system_step(method: str, f: System, df: System | None, dt: float):
+    def implicit(t, y):
+        x = y.copy()
+        for _ in range(100):
+            gap = x - y - dt * f(t + dt, x)
+            todo = np.linalg.norm(gap, axis=1) > 1e-8
+            if not todo.any():
+                break
+            jacobian = np.eye(y.shape[1]) - dt * df(t + dt, x)
+            x[todo] -= np.linalg.solve(jacobian[todo], gap[todo][:, :, None])[:, :, 0]
+        x[np.linalg.norm(x - y - dt * f(t + dt, x), axis=1) > 1e-8] = np.nan
+        return x
+
+    def heun(t, y):
+        first = f(t, y)
+        return y + dt * (first + f(t + dt, y + dt * first)) / 2
+
+    def runge_kutta(t, y):
+        k1 = f(t, y)
+        k2 = f(t + dt / 2, y + dt / 2 * k1)
+        k3 = f(t + dt / 2, y + dt / 2 * k2)
+        return y + dt * (k1 + 2 * k2 + 2 * k3 + f(t + dt, y + dt * k3)) / 6
+
+    return {"euler": lambda t, y: y + dt * f(t, y), "heun": heun, "runge_kutta": runge_kutta, "implicit_euler": implicit}[method]
+
+
+def solve_system(problems: DataFrame, keys: list[str], y0: str, f: System, dt: float, t_end: float, method: str = "runge_kutta", df: System | None = None) -> DataFrame:
+    """(keys, step, t, y): trajectories of systems, all problems of a batch in step with each other.
+
+    States from which a step failed, and those after them, are left out.
+    """
+    kinds = ", ".join(f"{k} {problems.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = _system_step(method, f, df, dt)
+        for frame in frames:
+            y = np.array([list(v) for v in frame[y0]], float)
+            for n in range(int(t_end / dt) + 1):
+                if n:
+                    y = step((n - 1) * dt, y)
+                fine = np.isfinite(y).all(1)
+                if not fine.any():
+                    break
+                out = frame[keys][fine].reset_index(drop=True)
+                out["step"], out["t"], out["y"] = n, n * dt, [list(v) for v in y[fine]]
+                yield out
+
+    return problems.select(*keys, y0).mapInPandas(run, f"{kinds}, step int, t double, y array<double>")

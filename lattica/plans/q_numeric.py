@@ -75,6 +75,36 @@ def ode_implicit_euler(spark, sf):
     return _solve_decay(spark, sf, ode.implicit_euler_step(_field, lambda t, y: -F.col("rate"), eps=1e-12))
 
 
+@query("""SELECT c_custkey, k AS step, round(pow(1 + z * z, k / 2.0::DOUBLE) * cos(k * atan(z)), 6) + 0.0 AS y0, round(-pow(1 + z * z, k / 2.0::DOUBLE) * sin(k * atan(z)), 6) + 0.0 AS y1
+FROM (SELECT c_custkey, 0.1::DOUBLE AS z, unnest(range(0, 11))::INTEGER AS k FROM customer)""")
+def ode_system(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", F.array(F.lit(1.0), F.lit(0.0)).alias("start"))
+
+    def oscillator(t, y):
+        return y[:, ::-1] * [1.0, -1.0]
+
+    found = ode.solve_system(rows, ["c_custkey"], "start", oscillator, 0.1, 1.05, "euler")
+    return found.select("c_custkey", "step", r6(F.col("y")[0]).alias("y0"), r6(F.col("y")[1]).alias("y1"))
+
+
+# x**2 + y**2 = c and x - y = 1.
+@query("SELECT o_orderkey, 'Converged' AS status, round((1 + sqrt(2 * o_totalprice - 1)) / 2, 6) AS x, round((sqrt(2 * o_totalprice - 1) - 1) / 2, 6) AS y FROM orders")
+def newton_system(spark, sf):
+    import numpy as np
+
+    rows = table(spark, sf, "orders").select("o_orderkey", F.array(F.lit(300.0), F.lit(200.0), "o_totalprice").alias("start"))
+
+    def f(x):  # the third unknown is the given c
+        return np.stack([x[:, 0] ** 2 + x[:, 1] ** 2 - x[:, 2], x[:, 0] - x[:, 1] - 1, np.zeros(len(x))], axis=1)
+
+    def df(x):
+        zero, one = np.zeros(len(x)), np.ones(len(x))
+        return np.stack([np.stack([2 * x[:, 0], 2 * x[:, 1], -one], 1), np.stack([one, -one, zero], 1), np.stack([zero, zero, one], 1)], axis=1)
+
+    found = roots.newton_system(rows, ["o_orderkey"], "start", f, df, 1e-8, 60)
+    return found.select("o_orderkey", "status", r6(F.col("x")[0]).alias("x"), r6(F.col("x")[1]).alias("y"))
+
+
 _B = "p_size / 50.0::DOUBLE"
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import graph, keyed, ordered
-from lattica.plans.tables import table
+from lattica.plans.tables import new_path, table
 from lattica.sources import text
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -201,13 +201,24 @@ def graph_dfs_postorder(spark, sf):
     return placed.join(firsts, "start").select("start", "node", (F.col("at") - F.col("first")).alias("ord"))
 
 
+# A general graph a region: customers point at the next one of their nation and at the nation's first one.
+@query("""WITH c AS (SELECT n_regionkey AS g, c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS m
+FROM customer JOIN nation ON c_nationkey = n_nationkey)
+SELECT g, c_custkey AS node, row_number() OVER (PARTITION BY g ORDER BY c_nationkey, n DESC) - 1 AS ord FROM c""")
+def graph_dfs_general(spark, sf):
+    customers = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    w = Window.partitionBy("c_nationkey").orderBy("c_custkey")
+    rows = customers.select(F.col("n_regionkey").alias("g"), "c_nationkey", "c_custkey", F.lead("c_custkey").over(w).alias("next"), F.first("c_custkey").over(w).alias("first"))
+    along = rows.where("next IS NOT NULL").select("g", F.col("c_custkey").alias("src"), F.col("next").alias("dst"), F.lit(0).cast("long").alias("seq"))
+    back = rows.select("g", F.col("c_custkey").alias("src"), F.col("first").alias("dst"), F.lit(1).cast("long").alias("seq"))
+    heads = rows.groupBy("g", "c_nationkey").agg(F.min("c_custkey").alias("dst")).select("g", F.lit(-1).cast("long").alias("src"), "dst", F.col("c_nationkey").cast("long").alias("seq"))
+    starts = rows.select("g").distinct().withColumn("node", F.lit(-1).cast("long"))
+    return graph.depth_first(along.union(back).union(heads), starts, "g", "seq")
+
+
 @query("""SELECT c_custkey::VARCHAR || ', ' || c_acctbal::VARCHAR AS line FROM customer WHERE c_acctbal = round(c_acctbal) OR c_acctbal <> round(c_acctbal)""")
 def text_roundtrip(spark, sf):
-    from lattica.plans.tables import keep
-
     rows = table(spark, sf, "customer").select("c_custkey", F.col("c_acctbal").alias("v"))
-    path = keep(rows.limit(0)).inputFiles()
-    folder = path[0].rpartition("/")[0] if path else None
-    folder = f"{folder}-lines" if folder else f"{spark.sparkContext.getCheckpointDir()}/lines"
+    folder = new_path(spark)
     text.write_pairs(rows.select("c_custkey", F.col("c_custkey").alias("v")), rows, folder, "c_custkey", "v")
     return text.read_values(spark, folder).withColumnRenamed("value", "line")

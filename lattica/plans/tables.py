@@ -13,16 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows as a table in ``spark.checkpoint.dir``, which cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession) -> str:
+    """A new name in ``spark.checkpoint.dir``, which all executors share; a folder of our own only where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
         folder = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/lattica/kept-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/lattica/{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder, which cuts the lineage and survives lost executors."""
+    path = new_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def r6(column: Column | str, digits: int = 6) -> Column:

@@ -135,6 +135,30 @@ def test_ode(spark):
     assert ode.solve(df, ["id"], ode.euler_step(decay), F.col("y0"), F.lit(1.0), F.lit(0.5)).count() == 1
 
 
+@pytest.mark.parametrize("method", ["euler", "heun", "runge_kutta", "implicit_euler"])
+def test_ode_systems(spark, method):
+    def van_der_pol(t, y):
+        return np.stack([y[:, 1], (1 - y[:, 0] ** 2) * y[:, 1] - y[:, 0]], axis=1)
+
+    def jacobian(t, y):
+        zero, one = np.zeros(len(y)), np.ones(len(y))
+        return np.stack([np.stack([zero, one], 1), np.stack([-2 * y[:, 0] * y[:, 1] - 1, 1 - y[:, 0] ** 2], 1)], axis=1)
+
+    df = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0])], "id int, y0 array<double>")
+    dt = 0.25 if method != "euler" else 0.05
+    got = ode.solve_system(df, ["id"], "y0", van_der_pol, dt, 25.0, method, jacobian).collect()
+    assert len(got) == 2 * (int(25 / dt) + 1) and all(abs(v) < 10 for r in got for v in r["y"]) and all(r["y"] == [0, 0] for r in got if r["id"] == 2)
+
+
+def test_residual_is_exact_to_the_last_bit():
+    from fractions import Fraction
+
+    a, x = 1e6 * R.random((3, 6, 6)), R.random((3, 6))
+    b = np.einsum("nij,nj->ni", a, x)
+    want = [[float(Fraction(b[n, i]) - sum(Fraction(a[n, i, j]) * Fraction(x[n, j]) for j in range(6))) for i in range(6)] for n in range(3)]
+    assert np.allclose(dense.residual(a, x, b), want, rtol=1e-9, atol=0)
+
+
 def test_quadrature(spark):
     exact, a, b = math.e - 1, F.lit(0.0), F.lit(1.0)
     for rule, tolerance in (
