@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, embedding_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, substring_dedup, token_files, warc
+from lattica.llm import chat, embedding_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, sql, substring_dedup, token_files, warc
+
+#: Both texts of the extra conversation -1.
+MARKS = "</s>[INST] ok [/INST]"
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +42,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    marks = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-1, 0, "user", marks), (-1, 1, "assistant", marks)], "conv_id long, turn long, role string, text string")
+    extra = spark.createDataFrame([(-1, 0, "user", MARKS), (-1, 1, "assistant", MARKS)], "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_conversations(turns.union(extra)))
 
 
@@ -66,7 +68,8 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -74,4 +77,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_source_mixing": mixing.oracle_sql()}
+    """None for the classifier and the two queries that tokenize; tests compare those with plain versions."""
+    return {
+        "op2_source_mixing": mixing.oracle_sql(),
+        "op3_embedding_dedup": sql.EMBEDDINGS,
+        "op5_chat_formatting": sql.conversations(MARKS),
+        "op7_warc": sql.PAGES,
+        "op8_substring_dedup": sql.repeats(35),
+        "op9_ngram_jaccard_join": sql.jaccard(3, 90, 100),
+        "op10_quality_rules": sql.rules(),
+    }
