@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import bounded_batches
+
 
 @dataclass(frozen=True)
 class Template:
@@ -89,6 +91,7 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     rows with a null conversation are one conversation.  Partitions come sorted; other columns are ignored.
     """
     spark = turns.sparkSession
+    bounded_batches(spark)
     rows = turns.select(F.col(conv_column).cast("long").alias("conv"), F.col(role_column).cast("string").alias("role"), F.col(text_column).cast("string").alias("text"), F.col(turn_column).cast("long").alias("turn"))
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartition(count, "conv").sortWithinPartitions("conv", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of 8-byte keys that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_KEYS = 1_000_000
+#: Rows of a record batch that goes to a Python worker.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,8 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let record batches hold at most BATCH_ROWS rows, since a row may hold a very long text."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, BATCH_ROWS)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lattica/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark)}/lattica/{what}-{uuid.uuid4().hex}"
+    return f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables and files that this application's operators have left in the shared folder.
+
+    Results that haven't been written elsewhere can't be read any more.
+    """
+    _delete(spark, _folder(spark))
 
 
 class Kept:
@@ -35,9 +61,7 @@ class Kept:
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.spark, self.path)
 
 
 def keep(df: DataFrame, what: str) -> DataFrame:

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.llm.common import bounded_batches
+
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 32
 STEP, SUB_BLOCK, GROUP = 4, 64, 256
 #: Bytes of padded text that go through the network at once.
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18
 _EPS = 1e-4
 
 
@@ -220,5 +222,6 @@ def score(docs: DataFrame, model: ByteConv, text_column: str = "text") -> DataFr
 
     Null and empty texts score 0.  Rows with equal texts score alike.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text_column].alias("text"))
     return rows.mapInArrow(_score(model), f"doc {rows.schema['doc'].dataType.simpleString()}, score double")

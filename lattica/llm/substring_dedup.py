@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lattica.llm.common import Kept, filter_by
+from lattica.llm.common import Kept, bounded_batches, filter_by
 from lattica.llm.words import Block, blocks, hash_windows, mix64
 
 #: Bytes of text whose probes meet in one group.
-PART_BYTES = 16 << 20
+PART_BYTES = 10 << 20
 _PROBES, _MAP, _FOUND = 0, 1, 2
 _ROW = "part long, kind int, batch long, payload binary"
 _NAMES = ["part", "kind", "batch", "payload"]
@@ -213,6 +213,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     is empty.  Shorter texts keep all words.  Repeated rows repeat each other.  Columns of ``docs`` keep
     their names inside ``doc``, so none can clash.
     """
+    bounded_batches(docs.sparkSession)
     block_words = (width + 1) // 2
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(docs[id_column], docs[text_column]).alias("key"))
     size = docs.agg(F.sum(F.octet_length(docs[text_column]))).first()[0] or 0

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import files
-from lattica.llm.common import Kept, new_path
+from lattica.llm.common import Kept, bounded_batches, new_path
 from lattica.llm.tokens import encoder, stretches
 
 _MAGIC = b"DACF"
@@ -179,6 +179,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, words: bool = False, end: int
     each other.  ``start`` counts the ids in all files before.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     folder = new_path(spark, "token-files")
     rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].cast("string").alias("text"))
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

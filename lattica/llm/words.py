@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once inside a task; a longer document forms a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C55)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
