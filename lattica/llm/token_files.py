@@ -182,8 +182,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, words: bool = False, end: int
     bounded_batches(spark)
     folder = new_path(spark, "token-files")
     rows = docs.select(docs[id_column].cast("long").alias("id"), docs[text_column].cast("string").alias("text"))
+    # Ranges from the ids alone: a range partitioning by Spark would read the texts once more to sample them.
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartitionByRange(count, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    cuts = rows.agg(F.percentile_approx("id", [k / count for k in range(1, count)] or [0.5], 10_000)).first()[0]
+    cuts = sorted(set(cuts or []))
+    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
+    ordered = rows.repartitionById(len(cuts) + 1, F.when(F.col("id").isNull(), 0).otherwise(part).cast("int")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
     made = Kept(ordered.mapInArrow(_write(tokenizer, words, end, folder), "part long, number long, path string, documents long, ids long"), "token-manifest").df
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return made.select("path", "documents", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
