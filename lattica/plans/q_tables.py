@@ -188,6 +188,16 @@ def graph_bfs_levels(spark, sf):
     return graph.breadth_first(both, 1, ["seq", "dst"], most_levels=8).select("node", "depth")
 
 
+# The query above is held by its SQL to a part of the edges and to eight levels; here the whole graph is searched until a level is empty.
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_EDGES})), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+w(node, depth) USING KEY (node) AS (SELECT DISTINCT dst, 1 FROM b WHERE src = 1 UNION SELECT DISTINCT b.dst, w.depth + 1 FROM w JOIN b ON b.src = w.node WHERE b.dst NOT IN (SELECT node FROM recurring.w))
+SELECT node, depth::INTEGER AS depth FROM w""")
+def graph_bfs_whole(spark, sf):
+    edges = graph.build_edges(_rows(spark, sf), _SEQ).select("src", "dst", F.lit(0).alias("seq"))
+    both = edges.union(edges.select("dst", "src", "seq"))
+    return graph.breadth_first(both, 1, ["seq", "dst"]).select("node", "depth")
+
+
 @query("""WITH paths AS (SELECT n_regionkey AS start, 5 + n_nationkey AS node, [n_nationkey, 4611686018427387904] AS path FROM nation
 UNION ALL SELECT n_regionkey, 30 + c_custkey, [n_nationkey, c_custkey, 4611686018427387904] FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT start::BIGINT AS start, node::BIGINT AS node, row_number() OVER (PARTITION BY start ORDER BY path) - 1 AS ord FROM paths""")

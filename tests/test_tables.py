@@ -99,3 +99,24 @@ def test_depth_first(spark):
     assert [r["node"] for r in found.orderBy("ord").collect()] == [0, 2, 1, 4, 6, 5]
     cyclic = edges.union(spark.createDataFrame([(0, 3, 1, 9)], EDGES)).withColumn("g", F.lit(1))
     assert 3 in [r["node"] for r in graph.depth_first(cyclic, starts, "g", "seq").collect()]
+
+
+def test_breadth_first_of_the_whole_graph(spark, tmp_path):
+    """A path of 12 suppliers and parts, which is deeper than eight levels, and edges of every remainder of src + dst."""
+    from lattica.plans import registry
+
+    n = 12
+    lines = [(s, p) for s in range(n) for p in (s - 1, s) if p >= 0]
+    spark.createDataFrame([(s,) for s in range(n)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(s, p, 1.0, k, 1, 1.0) for k, (s, p) in enumerate(lines)], "l_suppkey long, l_partkey long, l_quantity double, l_orderkey long, l_linenumber long, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    following = {}
+    for s, p in lines:
+        following.setdefault(s, []).append(p + n)
+        following.setdefault(p + n, []).append(s)
+    want, level, depth = {}, [1], 0
+    while level:
+        depth += 1
+        level = [x for x in {y for v in level for y in following[v]} if x not in want]
+        want |= dict.fromkeys(level, depth)
+    assert max(want.values()) > 8 and len(want) == 2 * n
+    assert {r["node"]: r["depth"] for r in registry.queries()["graph_bfs_whole"](spark, str(tmp_path)).collect()} == want
