@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import interpolation, ode, quadrature, roots, spectral
@@ -228,6 +228,67 @@ def interp_spline(spark, sf):
     return found.select("user_id", r6("y", 3).alias("y"))
 
 
+# The four queries above are held by their SQL to a user's first events; here are the whole series, with a query in each gap between neighbours.
+_SERIES = """SELECT user_id, n, (us - min(us) OVER (PARTITION BY user_id)) / 86400000000.0::DOUBLE AS x, value / 100 AS y
+FROM (SELECT user_id, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)"""
+#: Gaps of a piece; neighbouring pieces share a node.
+_GAPS = 3
+_PIECES = f"""WITH s AS MATERIALIZED ({_SERIES}), k AS (SELECT user_id, n AS gap, n - n % {_GAPS} AS low, x + 0.4 * (next - x) AS q FROM (SELECT *, lead(x) OVER (PARTITION BY user_id ORDER BY n) AS next FROM s) WHERE next IS NOT NULL)
+SELECT user_id, gap, round(sum(y * f), 4) + 0.0 AS y FROM (SELECT k.user_id, k.gap, a.n, any_value(a.y) AS y, product((k.q - b.x) / (a.x - b.x)) AS f FROM k JOIN s a ON a.user_id = k.user_id AND a.n BETWEEN low AND low + {_GAPS}
+JOIN s b ON b.user_id = k.user_id AND b.n BETWEEN low AND low + {_GAPS} AND a.n <> b.n GROUP BY k.user_id, k.gap, a.n) GROUP BY user_id, gap"""
+
+
+def _series(spark, sf):
+    events = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    x = (F.col("us") - F.first("us").over(w)) / F.lit(86400000000.0)
+    return events.select("user_id", (F.row_number().over(w).cast("long") - 1).alias("n"), x.alias("x"), (F.col("value") / 100).alias("y"))
+
+
+def _interpolated_pieces(spark, sf, method):
+    n, low = F.col("n"), F.col("n") - F.col("n") % _GAPS
+    lows = F.when((n == low) & (n > 0), F.array(low, low - _GAPS)).otherwise(F.array(low))
+    rows = _series(spark, sf).select("user_id", F.explode(lows).alias("low"), "x", "y")
+    pieces = interpolation.nodes(rows, ["user_id", "low"], "x", "y").where(F.size("nodes") > 1)
+    gaps = F.size("nodes") - 1
+    places = F.zip_with(F.slice("nodes", 1, gaps), F.slice("nodes", 2, gaps), lambda a, b: a["x"] + 0.4 * (b["x"] - a["x"]))
+    asked = pieces.select("user_id", "low", F.posexplode(places).alias("at", "q"))
+    found = interpolation.interpolate(pieces, asked, ["user_id", "low"], "q", method)
+    return found.select("user_id", (F.col("low") + F.col("at")).alias("gap"), r6("y", 4).alias("y"))
+
+
+@query(_PIECES)
+def interp_barycentric_whole(spark, sf):
+    return _interpolated_pieces(spark, sf, "barycentric")
+
+
+@query(_PIECES)
+def interp_neville_whole(spark, sf):
+    return _interpolated_pieces(spark, sf, "neville")
+
+
+@query(_PIECES)
+def interp_newton_whole(spark, sf):
+    return _interpolated_pieces(spark, sf, "newton")
+
+
+# Flat ends; the tridiagonal system of the moments m is swept down and up, a node a step.
+@query(f"""WITH RECURSIVE s AS MATERIALIZED ({_SERIES}), k AS MATERIALIZED (SELECT user_id, n, x, y, max(n) OVER (PARTITION BY user_id) AS top, coalesce(x - lag(x) OVER w, 0) AS g, coalesce(lead(x) OVER w - x, 0) AS h,
+coalesce((y - lag(y) OVER w) / (x - lag(x) OVER w), 0) AS d0, coalesce((lead(y) OVER w - y) / (lead(x) OVER w - x), 0) AS d1 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY n)),
+down(user_id, n, top, u, v) AS (SELECT user_id, n, top, h / (2 * (g + h)), 6 * (d1 - d0) / (2 * (g + h)) FROM k WHERE n = 0 AND top > 0
+UNION ALL SELECT k.user_id, k.n, k.top, h / (2 * (g + h) - g * u), (6 * (d1 - d0) - g * v) / (2 * (g + h) - g * u) FROM down JOIN k ON k.user_id = down.user_id AND k.n = down.n + 1),
+d AS MATERIALIZED (SELECT * FROM down), up(user_id, n, m) AS (SELECT user_id, n, v FROM d WHERE n = top UNION ALL SELECT d.user_id, d.n, d.v - d.u * m FROM up JOIN d ON d.user_id = up.user_id AND d.n = up.n - 1),
+m AS MATERIALIZED (SELECT * FROM up JOIN k USING (user_id, n))
+SELECT a.user_id, a.n AS gap, round(a.y * (1 - t) + b.y * t + a.h * a.h * (a.m * (-t / 3 + t * t / 2 - t * t * t / 6) + b.m * (-t / 6 + t * t * t / 6)), 3) + 0.0 AS y
+FROM m a JOIN m b ON a.user_id = b.user_id AND b.n = a.n + 1, (SELECT 0.3::DOUBLE AS t)""")
+def interp_spline_whole(spark, sf):
+    w = Window.partitionBy("user_id")
+    knots = _series(spark, sf).withColumn("many", F.count("*").over(w) > 1).where("many").select("user_id", "x", "y")
+    segments = interpolation.spline_segments(knots, ["user_id"], "x", "y")
+    place = F.col("lo") + 0.3 * (F.col("hi") - F.col("lo"))
+    return segments.select("user_id", (F.row_number().over(w.orderBy("lo")).cast("long") - 1).alias("gap"), r6(interpolation.spline_value(place), 3).alias("y"))
+
+
 _HOURS = "SELECT event_type, hour(ts) AS n, count(*)::DOUBLE AS x FROM events GROUP BY ALL"
 
 

@@ -228,3 +228,34 @@ def test_text(spark, tmp_path):
     assert [r[0] for r in text.read_values(spark, f"file://{tmp_path}/one").collect()] == ["a", "b", ""]
     text.write_pairs(df, df.where("pos < 2"), f"file://{tmp_path}/two", "pos", "v")
     assert sorted(tuple(r) for r in text.read_pairs(spark, f"file://{tmp_path}/two").collect()) == [("a", "a"), ("b", "b")]
+
+
+@pytest.mark.parametrize("name", ["barycentric", "neville", "newton", "spline"])
+def test_interpolation_of_whole_series(spark, tmp_path, name):
+    """A query in each gap of series of 1, 2, 5 and 40 events; also against a dense solution of the spline's system."""
+    import datetime
+
+    from lattica.plans import registry
+
+    day, start, events = 86400.0, datetime.datetime(2024, 1, 1), []
+    for user, n in enumerate((1, 2, 5, 40)):
+        at = np.cumsum(R.integers(3600, 86400, n))
+        events += [(len(events) + i, user, start + datetime.timedelta(seconds=int(at[i])), 100 * math.sin(at[i] / day)) for i in range(n)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r["user_id"], r["gap"]): r["y"] for r in registry.queries()[f"interp_{name}_whole"](spark, str(tmp_path)).collect()}
+    assert set(got) == {(1, 0)} | {(2, g) for g in range(4)} | {(3, g) for g in range(39)}
+    for user in (1, 2, 3):
+        x = np.array([(e[2] - start).total_seconds() / day for e in events if e[1] == user])
+        x, y, n = x - x[0], np.array([e[3] / 100 for e in events if e[1] == user]), len(x)
+        h = np.diff(x)
+        slopes = np.concatenate([[0], np.diff(y) / h, [0]])
+        gaps = np.concatenate([[0], h, [0]])
+        m = np.linalg.solve(np.diag(2 * (gaps[:-1] + gaps[1:])) + np.diag(h, 1) + np.diag(h, -1), 6 * np.diff(slopes))
+        for g in range(n - 1):
+            if name == "spline":
+                t, lo = 0.3 * h[g], y[g]
+                want = lo + t * ((y[g + 1] - lo) / h[g] - h[g] * (2 * m[g] + m[g + 1]) / 6) + t**2 * m[g] / 2 + t**3 * (m[g + 1] - m[g]) / (6 * h[g])
+            else:
+                piece = slice(g - g % 3, g - g % 3 + 4)
+                want = np.polyval(np.polyfit(x[piece] - x[g], y[piece], len(x[piece]) - 1), 0.4 * h[g])
+            assert abs(got[user, g] - want) < 1e-3
