@@ -44,8 +44,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled so that sources, languages and topics get their tempered shares of tokens."""
-    return mixing.mix(docs, keep_share=0.8, temper=0.7).where("sampled").select("doc.*")
+    """Documents sampled so that sources, languages and topics get their tempered shares of tokens, or all that there are."""
+    return mixing.mix(docs, keep_share=0.8, temper=0.7, bounded=True).where("sampled").select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,10 +4,13 @@ Documents are summed to cells (source, language, topic).  The cells' token weigh
 step scales them to the target marginal of one dimension, in turn.  A document is kept with the
 probability ``min(1, rate * weight / tokens)`` of its cell, where ``rate`` is calibrated so that
 the expected tokens are the wanted share of all; the draw is a hash of the id, so it can be repeated.
+That cut at 1 misses the targets; ``rake_bounded`` rakes under it.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from lattica.llm.common import Kept
 DIMENSIONS = ("source", "lang", "topic")
 #: Rounds of raking (every dimension once) and of calibrating; rounds between two written tables.
 RAKING, CALIBRATING, WRITTEN = 10, 12, 5
+#: Rounds of raking under the bound at most, and the part of the tokens that may be amiss at its end; cells that one task rakes.
+BOUNDED, REACHED, FEW_CELLS = 200, 1e-6, 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -38,12 +43,8 @@ def draw(id_column: Column) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(2.0**32)
 
 
-def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7) -> DataFrame:
-    """``cells`` (a row a cell, with ``tokens``) with ``weight``, whose marginals meet the targets; the total stays.
-
-    A target is a dimension's shares by value, which need not add up to one; values without one, and
-    dimensions without targets, take their tokens to the power ``temper``.  Cells without tokens keep the weight 0.
-    """
+def _with_targets(cells: DataFrame, dimensions: tuple[str, ...], targets: dict[str, dict[str, float]] | None, temper: float) -> DataFrame:
+    """``cells`` with ``target_`` of each dimension: the tokens that its value should have; they add up to all tokens."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
     for d in dimensions:
         sums = F.sum("tokens").over(Window.partitionBy(d)).cast("double")
@@ -56,6 +57,16 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
     for d in dimensions:
         once = cells.groupBy(d).agg(F.max(f"share_{d}").alias("x")).agg(F.sum("x")).first()[0] or 1.0
         cells = cells.withColumn(f"target_{d}", F.col(f"share_{d}") / F.lit(float(once)) * F.lit(float(total))).drop(f"share_{d}")
+    return cells
+
+
+def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7) -> DataFrame:
+    """``cells`` (a row a cell, with ``tokens``) with ``weight``, whose marginals meet the targets; the total stays.
+
+    A target is a dimension's shares by value, which need not add up to one; values without one, and
+    dimensions without targets, take their tokens to the power ``temper``.  Cells without tokens keep the weight 0.
+    """
+    cells = _with_targets(cells, dimensions, targets, temper)
     cells, before = cells.withColumn("weight", F.col("tokens").cast("double")), None
     for k in range(RAKING):
         for d in dimensions:
@@ -69,6 +80,61 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
     return cells.drop(*[f"target_{d}" for d in dimensions])
 
 
+def rake_bounded(cells: DataFrame, keep_share: float, dimensions: tuple[str, ...] = DIMENSIONS, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.7) -> tuple[DataFrame, bool]:
+    """(``cells`` with ``probability``, whether their marginals meet what can be reached), raked with no cell beyond its tokens.
+
+    Targets are as in ``rake``, times ``keep_share``.  One that exceeds its value's tokens is out of
+    reach: it becomes those tokens, and the other values of the dimension share the rest as their
+    targets are to each other.  A step scales a value's cells by the factor at which they meet its
+    target although some are used up, so these stay at their tokens and the others are raked again.
+    It ends when all marginals are met, or after ``BOUNDED`` rounds.
+    """
+    cells = _with_targets(cells, dimensions, targets, temper)
+    # Few cells go to one partition, so that no window has to be shuffled.
+    if cells.count() <= FEW_CELLS:
+        cells = cells.coalesce(1)
+    for d in dimensions:
+        values = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("tokens"), F.max(f"target_{d}").alias("weight"))
+        wanted = keep_share * (values.agg(F.sum("weight")).first()[0] or 0.0)
+        reached = _filled(values.withColumn("goal", F.lit(float(wanted))).withColumn("all", F.lit(1)), "all", d)
+        short = [r[0] for r in values.where(F.col("tokens") < keep_share * F.col("weight") * (1 - REACHED)).select(d).orderBy(d).limit(20).collect()]
+        if short:
+            warnings.warn(f"targets beyond all tokens of a {d}, which are taken whole (20 named at most): {', '.join(map(repr, short))}", stacklevel=3)
+        goals = reached.select(d, F.least("tokens", F.col("weight") * F.col("factor")).alias(f"goal_{d}"))
+        cells = cells.join(goals, d).drop(f"target_{d}")
+    now = Kept(cells.withColumn("weight", F.col("tokens").cast("double")), "cells")
+    met = False
+    for _ in range(0, BOUNDED, WRITTEN):
+        cells = now.df.coalesce(1) if now.df.count() <= FEW_CELLS else now.df
+        for _ in range(WRITTEN):
+            for d in dimensions:
+                cells = _filled(cells.withColumn("goal", F.col(f"goal_{d}")), d, *dimensions).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor", "goal")
+        before, now = now, Kept(cells, "cells")
+        before.drop()
+        expected = F.least("tokens", "weight")
+        misses = [now.df.groupBy(d).agg(F.abs(F.sum(expected) - F.max(f"goal_{d}")).alias("miss"), F.max(f"goal_{d}").alias("goal")).agg(F.sum("miss") / F.sum("goal")).first()[0] or 0.0 for d in dimensions]
+        if met := max(misses) <= REACHED:
+            break
+    chance = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.greatest("tokens", F.lit(1)))).otherwise(F.lit(min(1.0, float(keep_share))))
+    return now.df.withColumn("probability", chance).drop("weight", *[f"goal_{d}" for d in dimensions]), met
+
+
+def _filled(cells: DataFrame, group: str, *tie: str) -> DataFrame:
+    """``cells`` with ``factor``: the sum of least(tokens, factor * weight) of each group is its goal, or all of its tokens.
+
+    With the cells that are used up first in front, each k gives the factor at which the first k are used
+    up; it's never too large, and exact for the right k, so the largest one is taken.
+    """
+    # Sums of rounding errors mustn't leave a goal just beyond the tokens.
+    w = Window.partitionBy(group)
+    rank = w.orderBy(F.try_divide("tokens", "weight").asc_nulls_last(), *tie)
+    used = F.coalesce(F.sum(F.col("tokens").cast("double")).over(rank.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    open_ = F.sum("weight").over(rank.rowsBetween(0, Window.unboundedFollowing))
+    goal = F.least("goal", F.sum(F.when(F.col("weight") > 0, F.col("tokens").cast("double")).otherwise(0.0)).over(w))
+    at = cells.withColumn("at", F.when(F.col("weight") > 0, (goal - used) / open_))
+    return at.withColumn("factor", F.greatest(F.coalesce(F.max("at").over(w), F.lit(0.0)), F.lit(0.0))).drop("at")
+
+
 def calibrate(cells: DataFrame, keep_share: float) -> DataFrame:
     """``probability`` of each cell: expected tokens add up to ``keep_share`` of all, as far as no cell is used up."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
@@ -91,11 +157,13 @@ def mix(
     keep_share: float = 0.8,
     targets: dict[str, dict[str, float]] | None = None,
     temper: float = 0.7,
+    bounded: bool = False,
 ) -> DataFrame:
     """(doc, n_tokens, source, lang, topic, probability, sampled) of every row; ``doc`` holds all its columns.
 
     Null and empty texts have no tokens and go to the topic "short"; null sources and languages are
-    values of their own ("").  Rows that repeat an id are drawn alike.  Columns of ``docs`` keep their
+    values of their own ("").  Rows that repeat an id are drawn alike.  With ``bounded``, cells that are
+    used up are made up for by others (``rake_bounded``); else the chance is just cut at one.  Columns of ``docs`` keep their
     names inside ``doc``, so none can clash.
     """
     tokens = word_count(docs[text_column])
@@ -107,7 +175,13 @@ def mix(
         F.coalesce(topic(docs[text_column], tokens), F.lit("short")).alias("topic"),
     )
     cells = Kept(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells").df
-    found = Kept(calibrate(rake(cells, targets=targets, temper=temper), keep_share).select(*DIMENSIONS, "probability"), "probabilities").df
+    if bounded:
+        chosen, met = rake_bounded(cells, keep_share, targets=targets, temper=temper)
+        if not met:
+            warnings.warn(f"the marginals are out of reach together; they differ after {BOUNDED} rounds", stacklevel=2)
+    else:
+        chosen = calibrate(rake(cells, targets=targets, temper=temper), keep_share)
+    found = Kept(chosen.select(*DIMENSIONS, "probability"), "probabilities").df
     few = found.count() <= 100_000
     out = rows.join(F.broadcast(found) if few else found, list(DIMENSIONS), "left")
     return out.select("doc", "n_tokens", *DIMENSIONS, "probability", (draw(F.col(f"doc.{id_column}")) < F.col("probability")).alias("sampled"))

@@ -8,6 +8,7 @@ from pathlib import Path
 
 import duckdb
 import numpy as np
+import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers
@@ -124,3 +125,41 @@ def test_mixing_edge_cases(spark):
     got = mixing.mix(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, lang string, source string, topic int")).collect()
     assert len(got) == 5 and all(0 <= r["probability"] <= 1 for r in got) and {r["doc"]["topic"] for r in got} == {5}
     assert mixing.mix(spark.createDataFrame([], helpers.DOCS)).count() == 0
+
+
+def test_bounded_raking_meets_targets_that_the_cut_misses(spark):
+    r = np.random.default_rng(1)
+    cells = spark.createDataFrame([(f"s{a}", f"l{b}", f"t{c}", int(r.integers(1, 10**4) ** 1.5)) for a in range(6) for b in range(3) for c in range(3)], "source string, lang string, topic string, tokens long")
+    every = cells.toPandas()
+    targets = {"lang": {f"l{b}": float(x) for b, x in enumerate([0.45, 0.3, 0.25])}}
+    share = lambda df, d: (df.tokens * df.probability).groupby(df[d]).sum() / (df.tokens * df.probability).sum()
+    cut = mixing.calibrate(mixing.rake(cells, targets=targets), 0.7).toPandas()
+    assert (cut.probability >= 1).any() and np.abs(share(cut, "lang") - [0.45, 0.3, 0.25]).max() > 1e-3
+    found, met = mixing.rake_bounded(cells, 0.7, targets=targets)
+    found = found.toPandas()
+    assert met and len(found) == len(every) and found.probability.max() <= 1
+    assert np.isclose((found.tokens * found.probability).sum(), 0.7 * every.tokens.sum(), rtol=1e-5)
+    assert np.allclose(share(found, "lang"), [0.45, 0.3, 0.25], atol=1e-5)
+    for d in ("source", "topic"):
+        tempered = every.groupby(d).tokens.sum().astype(float) ** 0.7
+        assert np.allclose(share(found, d), tempered / tempered.sum(), atol=1e-5)
+
+
+def test_bounded_raking_takes_all_of_a_target_out_of_reach(spark):
+    cells = spark.createDataFrame([("s", lang, t, n) for lang, n in (("a", 10), ("b", 600), ("c", 300)) for t in "xy"], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="'a'"):
+        found, met = mixing.rake_bounded(cells, 0.5, targets={"lang": {"a": 0.5, "b": 0.25, "c": 0.25}})
+    kept = found.toPandas().assign(kept=lambda x: x.tokens * x.probability).groupby("lang").kept.sum()
+    # What "a" can't give is shared by the others as their targets are to each other.
+    assert met and np.allclose(kept, [20, 445, 445], atol=1e-2)
+
+
+def test_bounded_mix_uses_the_bounded_probabilities(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    with pytest.warns(UserWarning, match="taken whole"):
+        got = mixing.mix(docs, bounded=True).toPandas()
+    by = lambda d, x: x.groupby(got[d]).sum()
+    expected, total = got.n_tokens * got.probability, got.n_tokens.sum()
+    assert got.probability.between(0, 1).all() and np.isclose(expected.sum(), 0.8 * total, rtol=1e-4)
+    tempered = by("source", got.n_tokens).astype(float) ** 0.7
+    assert np.allclose(by("source", expected) / expected.sum(), tempered / tempered.sum(), atol=1e-4)
