@@ -56,3 +56,11 @@ def test_run(spark):
     assert (pieces.groupby("doc_id").length.sum() == pieces.groupby("doc_id").doc_tokens.first()).all()
     assert sum(labels.get(i) == 0 for i in left) <= 0.1 * sum(q == 0 for q in labels.values())
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "substring_dedup", "source_mixing", "packing"]
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(1, words(1)), (5, words(1)), (5, words(2)), (7, words(3)), (7, words(3)), (8, words(2)), (9, words(4)), (None, words(5)), (None, words(5))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], helpers.DOCS).repartition(3)
+    got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, TABLES).collect()))
+    assert got == sorted([(1, words(1)), (5, words(2)), (7, words(3)), (9, words(4)), (0, words(5)), (0, words(5))])
