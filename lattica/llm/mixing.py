@@ -52,7 +52,17 @@ def _with_targets(cells: DataFrame, dimensions: tuple[str, ...], targets: dict[s
         given = (targets or {}).get(d)
         if given:
             wanted = F.create_map(*[F.lit(x) for pair in given.items() for x in pair])
-            share = F.coalesce(F.element_at(wanted, F.col(d)), F.lit(0.0) if len(given) else share)
+            listed = F.col(d).isin(list(given))
+            values = cells.groupBy(d).agg(F.pow(F.sum("tokens").cast("double"), F.lit(float(temper))).alias("x"))
+            every, others = values.agg(F.sum("x"), F.sum(F.when(listed, 0.0).otherwise(F.col("x")))).first()
+            asked = float(sum(given.values()))
+            if others:
+                # Others get what shares below one leave, else their tempered part of the whole.
+                left = 1 - asked if asked < 1 else others / every
+                wanted_part, other_part = (1 - left) / (asked or 1.0), left / others
+                share = F.when(listed, F.element_at(wanted, F.col(d)) * F.lit(wanted_part)).otherwise(share * F.lit(other_part))
+            else:
+                share = F.element_at(wanted, F.col(d)).cast("double")
         cells = cells.withColumn(f"share_{d}", share)
     for d in dimensions:
         once = cells.groupBy(d).agg(F.max(f"share_{d}").alias("x")).agg(F.sum("x")).first()[0] or 1.0
@@ -64,7 +74,8 @@ def rake(cells: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, targets: di
     """``cells`` (a row a cell, with ``tokens``) with ``weight``, whose marginals meet the targets; the total stays.
 
     A target is a dimension's shares by value, which need not add up to one; values without one, and
-    dimensions without targets, take their tokens to the power ``temper``.  Cells without tokens keep the weight 0.
+    dimensions without targets, take their tokens to the power ``temper``: the former of what shares that
+    add up to less than one leave, else of the whole.  Cells without tokens keep the weight 0.
     """
     cells = _with_targets(cells, dimensions, targets, temper)
     cells, before = cells.withColumn("weight", F.col("tokens").cast("double")), None

@@ -163,3 +163,11 @@ def test_bounded_mix_uses_the_bounded_probabilities(spark):
     assert got.probability.between(0, 1).all() and np.isclose(expected.sum(), 0.8 * total, rtol=1e-4)
     tempered = by("source", got.n_tokens).astype(float) ** 0.7
     assert np.allclose(by("source", expected) / expected.sum(), tempered / tempered.sum(), atol=1e-4)
+
+
+def test_targets_may_list_only_some_values(spark):
+    cells = spark.createDataFrame([("s", lang, t, n) for lang, n in (("a", 100), ("b", 400), ("c", 900)) for t in "xy"], "source string, lang string, topic string, tokens long")
+    b, c = 800**0.7, 1800**0.7
+    for given, want in ((0.25, [0.25, 0.75 * b / (b + c), 0.75 * c / (b + c)]), (2, np.array([200**0.7, b, c]) / (200**0.7 + b + c))):
+        raked = mixing._with_targets(cells, mixing.DIMENSIONS, {"lang": {"a": given}}, 0.7).toPandas()
+        assert np.allclose(raked.groupby("lang").target_lang.first() / 2800, want)
