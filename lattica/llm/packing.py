@@ -32,6 +32,10 @@ class Limits:
     #: Pieces that wait in a task.
     waiting: int = 512
 
+    def __post_init__(self):
+        if min(self.tokens, self.segments, self.loss, self.waiting) < 1:
+            raise ValueError("every limit has to be 1 at least")
+
 
 class Packer:
     """Places pieces of ``ids``; of a document's ids, those before ``silent`` bear no loss."""
@@ -106,9 +110,9 @@ class Packer:
 _NAMES = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def _pack(path: str, words: bool, end: int, limits: Limits):
+def _pack(path: str, words: bool, end: int, limits: Limits, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = encoder(path, words).encode, end.to_bytes(4, "little")
+        encode, last = encoder(path, words, special).encode, end.to_bytes(4, "little")
         packer = Packer(limits, TaskContext.get().partitionId() << 33)
         kind = pa.int64()
 
@@ -132,10 +136,11 @@ def _pack(path: str, words: bool, end: int, limits: Limits):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, words: bool = True, end: int = 1, limits: Limits = Limits(), id_column: str = "doc_id", text_column: str = "text", silent_column: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, words: bool = True, end: int = 1, limits: Limits = Limits(), id_column: str = "doc_id", text_column: str = "text", silent_column: str | None = None, special: bool = False) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of every piece.
 
     A document's ids are those of its whole text and ``end``; a null or empty text has ``end`` only.
+    Strings of the tokenizer's special tokens are ordinary text, unless ``special``.
     The first ``silent_column`` ids of a document bear no loss (null or no column: all bear loss).
     Every id lies in exactly one piece.  Repeated rows and null ids are packed as they come.  Other
     columns are ignored.
@@ -144,5 +149,5 @@ def pack(docs: DataFrame, tokenizer: str, words: bool = True, end: int = 1, limi
     silent = docs[silent_column].cast("long") if silent_column else F.lit(None).cast("long")
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"), silent.alias("silent"))
-    done = rows.mapInArrow(_pack(tokenizer, words, end, limits), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    done = rows.mapInArrow(_pack(tokenizer, words, end, limits, special), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return done.withColumnRenamed("id", id_column)

@@ -143,9 +143,9 @@ class TokenFile:
         return out
 
 
-def _write(path: str, words: bool, end: int, folder: str):
+def _write(path: str, words: bool, end: int, folder: str, special: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_texts, last = encoder(path, words).encode, end.to_bytes(4, "little")
+        encode_texts, last = encoder(path, words, special).encode, end.to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         names, firsts, held, size, made = [], [], [], 0, 0
 
@@ -172,11 +172,12 @@ def _write(path: str, words: bool, end: int, folder: str):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, words: bool = False, end: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, words: bool = False, end: int = 2, id_column: str = "doc_id", text_column: str = "text", special: bool = False) -> DataFrame:
     """Writes all documents' ids in ascending id order; the manifest (path, documents, ids, start).
 
     A null or empty text has the ``end`` id only; null ids come first; rows that repeat an id follow
-    each other.  ``start`` counts the ids in all files before.
+    each other.  ``start`` counts the ids in all files before.  Strings of the tokenizer's special
+    tokens are ordinary text, unless ``special``.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -188,7 +189,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, words: bool = False, end: int
     cuts = sorted(set(cuts or []))
     part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
     ordered = rows.repartitionById(len(cuts) + 1, F.when(F.col("id").isNull(), 0).otherwise(part).cast("int")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    made = Kept(ordered.mapInArrow(_write(tokenizer, words, end, folder), "part long, number long, path string, documents long, ids long"), "token-manifest").df
+    made = Kept(ordered.mapInArrow(_write(tokenizer, words, end, folder, special), "part long, number long, path string, documents long, ids long"), "token-manifest").df
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return made.select("path", "documents", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
 

@@ -63,12 +63,17 @@ class _Learned(dict):
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes; special tokens' strings are ordinary text."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    def __init__(self, path: str, words: bool):
+    Special tokens' strings in a text are ordinary text, so that no document can end itself, or with
+    ``special`` they are those tokens, as in a plain call of the library.
+    """
+
+    def __init__(self, path: str, words: bool, special: bool = False):
         self.words = words
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.model = self.tokenizer.model
         self.names = _visible_bytes()
         self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
@@ -90,7 +95,8 @@ class Encoder:
                 return self.known[lower] if lower else b""
             return self._letters(fragment if fragment.isascii() else fragment.encode().decode("latin-1").translate(self.names))
         head = fragment.rstrip(_MARKS)
-        if head.isalpha():
+        # Some letters' normal forms end in a combining mark, which belongs to the marks after it.
+        if head.isalpha() and (head.isascii() or self.tokenizer.normalizer.normalize_str(head).isalpha()):
             return self.known[head] + self.known[fragment[len(head) :]]
         return self._whole(fragment) if fragment else b""
 
@@ -110,6 +116,8 @@ class Encoder:
     def _one(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.special and any(s in text for s in self.special):
+            return self._whole(text)
         if self.words:
             return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
         if not _plain_blanks(text):
@@ -130,9 +138,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, words: bool) -> Encoder:
+def encoder(path: str, words: bool, special: bool = False) -> Encoder:
     """The worker's encoder, with what earlier tasks have learned."""
-    return Encoder(path, words)
+    return Encoder(path, words, special)
 
 
 def stretches(texts: list, limit: int = 1 << 20):

@@ -2,7 +2,9 @@
 
 import hashlib
 import random
+import string
 import sys
+import unicodedata
 import zlib
 from pathlib import Path
 
@@ -19,16 +21,41 @@ from lattica.llm import chat, packing, token_files, tokens, warc
 ODD = ["a  b   c", " x", "x ", "\n\n a \n b", "don't  stop\t\tnow \r\n x", "<|endoftext|> a<|endoftext|>b", "  ", " \n", "\n", "a\x1cb \x1c c", "日本 語", "İstanbul ΑΣ", "'s 't a's", "", "6.7 a.b .. ,.", "é ́b", "..."]
 
 
-@pytest.mark.parametrize("name, by_word", [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)])
+FILES = [("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)]
+#: Letters whose lower case or normal form isn't letters only, or has another length.
+CHANGING = [c for c in map(chr, range(0x80, 0x30000)) if c.isalpha() and (not unicodedata.normalize("NFC", c).lower().isalpha() or len(unicodedata.normalize("NFC", c).lower()) > 1)]
+
+
+@pytest.mark.parametrize("name, by_word", FILES)
 def test_cached_encoding_is_the_tokenizers(name, by_word):
     r = random.Random(0)
-    letters = [" ", "\n", "\t", "a", "B", "é", "1", "!", "'s", ".", ",", " ", "\x1f", "́", "\r", " "]
-    texts = ODD + ["".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(3000)] + [t or "" for _, t in helpers.corpus()]
+    letters = [" ", "\n", "\t", "a", "B", "é", "1", "!", "'s", ".", ",", " ", "\x1f", "́", "\r", " ", "İ", "ﬁ", "ǆ", "Σ", "ß", "한", *string.punctuation, *CHANGING]
+    texts = ODD + ["".join(r.choice(letters) for _ in range(r.randint(1, 30))) for _ in range(20_000)] + [t or "" for _, t in helpers.corpus()]
+    texts += ["".join(r.choice(letters) for _ in range(r.randint(1, 4))) for _ in range(80_000)]
+    texts += [f"{a}{c}{m}" for a in ("", "x") for c in CHANGING for m in string.punctuation]
     mine = tokens.Encoder(public_tokenizers.path(name), by_word)
     want = mine.tokenizer.encode_batch(texts, add_special_tokens=False)
     assert mine.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in want]
 
 
+@pytest.mark.parametrize("name, by_word", FILES)
+def test_strings_of_special_tokens(name, by_word):
+    """Ordinary text by default; with ``special`` what a plain call of the library gives."""
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|startoftext|>y.", "no such string"]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    want = [x.ids for x in plain.encode_batch(texts, add_special_tokens=False)]
+    of = lambda special: [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(public_tokenizers.path(name), by_word, special).encode(texts)]
+    assert of(True) == want and max(want[0]) > 50_000 - 1_000 * by_word
+    last = max(want[1])
+    assert all(last not in ids for ids in of(False)) and of(False)[3] == want[3]
+
+
+def test_limits_are_at_least_one():
+    for name in ("tokens", "segments", "loss", "waiting"):
+        with pytest.raises(ValueError):
+            packing.Limits(**{name: 0})
+
+
 def ids_of(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
