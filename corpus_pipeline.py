@@ -11,12 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm import mixing, ngram_jaccard, packing, quality_classifier, substring_dedup
-from lattica.llm.common import BROADCAST_KEYS, Kept, filter_by
+from lattica.llm.common import BROADCAST_KEYS, Kept, filter_by, quoted
 
 #: Documents that score less are rejected.
 LEAST_SCORE = 0.7
-#: The column that tells rows apart although they share an id.
-ROW_KEY = "_row_key"
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,23 +27,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One document of each group linked by five-word shingles at a Jaccard similarity of 0.8: the one of the least id.
 
     A row that repeats another's id and text goes; rows that share an id but not the text are documents of their own.
+    Null ids aren't repeats of each other's texts, and link with nothing.
     """
+    row_key = "_row_key"  # tells rows apart although they share an id
+    while row_key in docs.columns:
+        row_key += "_"
     near = lambda rows, key: ngram_jaccard.jaccard_components(rows, id_column=key, width=5, num=80, den=100)
     repeated = Kept(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated").df
     if repeated.isEmpty():
         others = Kept(near(docs, "doc_id").where("component_id != doc_id").select("doc_id"), "others").df
         return filter_by(docs, others, "doc_id", anti=True)
-    once = filter_by(docs, repeated, "doc_id", anti=True).withColumn(ROW_KEY, F.col("doc_id").cast("long"))
-    again = filter_by(docs, repeated, "doc_id").dropDuplicates(["doc_id", "text"]).withColumn(ROW_KEY, F.xxhash64("doc_id", "text"))
+    once = filter_by(docs, repeated, "doc_id", anti=True).withColumn(row_key, F.col("doc_id").cast("long"))
+    again = filter_by(docs, repeated, "doc_id").dropDuplicates(["doc_id", "text"]).withColumn(row_key, F.xxhash64("doc_id", "text"))
     rows = Kept(once.unionByName(again), "rows").df
-    groups = Kept(near(rows, ROW_KEY).where(f"{ROW_KEY} IS NOT NULL").join(rows.select(ROW_KEY, "doc_id"), ROW_KEY), "groups").df
+    groups = Kept(near(rows, row_key).where(f"{row_key} IS NOT NULL").join(rows.select(row_key, "doc_id"), row_key), "groups").df
     # A group is named by its least key; where that isn't the row of the least id, this one is kept instead.
-    firsts = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", ROW_KEY))[ROW_KEY].alias("first"))
+    firsts = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", row_key))[row_key].alias("first"))
     named = Kept(firsts.where("first != component_id"), "named").df
     few = named.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     told = groups.join(F.broadcast(named) if few else named, "component_id", "left")
-    others = Kept(told.where(F.col(ROW_KEY) != F.coalesce("first", "component_id")).select(ROW_KEY), "others").df
-    return filter_by(rows, others, ROW_KEY, anti=True).select(*docs.columns)
+    others = Kept(told.where(F.col(row_key) != F.coalesce("first", "component_id")).select(row_key), "others").df
+    return filter_by(rows, others, row_key, anti=True).select(*map(quoted, docs.columns))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +57,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("doc.text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("doc.n_chars"))
-    return done.select(*[new.get(c, F.col(f"doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return done.select(*[new.get(c, F.col(f"doc.{quoted(c)}")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

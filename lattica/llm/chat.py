@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bounded_batches
+from lattica.llm.common import col, sliced
 
 
 @dataclass(frozen=True)
@@ -91,11 +91,10 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     rows with a null conversation are one conversation.  Partitions come sorted; other columns are ignored.
     """
     spark = turns.sparkSession
-    bounded_batches(spark)
-    rows = turns.select(F.col(conv_column).cast("long").alias("conv"), F.col(role_column).cast("string").alias("role"), F.col(text_column).cast("string").alias("text"), F.col(turn_column).cast("long").alias("turn"))
+    rows = turns.select(col(conv_column).cast("long").alias("conv"), col(role_column).cast("string").alias("role"), col(text_column).cast("string").alias("text"), col(turn_column).cast("long").alias("turn"))
     count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ordered = rows.repartition(count, "conv").sortWithinPartitions("conv", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
-    return ordered.select("conv", "role", "text").mapInArrow(_segments(template), "conv_id long, number long, part int, text string, loss boolean, valid boolean")
+    return ordered.select("conv", "role", "text").mapInArrow(sliced(_segments(template)), "conv_id long, number long, part int, text string, loss boolean, valid boolean")
 
 
 class Parser:
@@ -172,4 +171,4 @@ def _digests(template: Template):
 
 def digests(segments: DataFrame, template: Template = Template()) -> DataFrame:
     """A row per conversation of ``format_conversations``'s output, in its own order, read back from it."""
-    return segments.mapInArrow(_digests(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
+    return segments.mapInArrow(sliced(_digests(template)), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")

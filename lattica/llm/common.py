@@ -4,30 +4,50 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of 8-byte keys that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_KEYS = 1_000_000
-#: Rows of a record batch that goes to a Python worker.
-BATCH_ROWS = 2000
+#: Rows of a piece of a record batch that a Python worker handles at once.
+PIECE_ROWS = 2000
+
+
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it holds."""
+    return f"`{name.replace('`', '``')}`"
+
+
+def col(name: str) -> Column:
+    return F.col(quoted(name))
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of a row as one struct, in which none can clash."""
+    return F.struct(*[col(c).alias(c) for c in df.columns])
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or one of our own if unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, but only on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="lattica-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Let record batches hold at most BATCH_ROWS rows, since a row may hold a very long text."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > BATCH_ROWS or int(spark.conf.get(name)) <= 0:
-        spark.conf.set(name, BATCH_ROWS)
+def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` on pieces of at most PIECE_ROWS rows; Spark bounds the batches themselves by their bytes."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(b.slice(at, PIECE_ROWS) for b in batches for at in range(0, b.num_rows, PIECE_ROWS))
+
+    return over
 
 
 def _folder(spark: SparkSession) -> str:
@@ -68,8 +88,8 @@ def keep(df: DataFrame, what: str) -> DataFrame:
     return Kept(df, what).df
 
 
-def filter_by(df: DataFrame, keys: DataFrame, column: str, anti: bool = False) -> DataFrame:
-    """Rows of ``df`` whose ``column`` is (or with ``anti`` isn't) in the kept table ``keys``.
+def filter_by(df: DataFrame, keys: DataFrame, column: str | list[str], anti: bool = False) -> DataFrame:
+    """Rows of ``df`` whose ``column`` (or columns) is (or with ``anti`` isn't) in the kept table ``keys``.
 
     The keys are broadcast only if they number at most BROADCAST_KEYS, else the join is shuffled.
     """

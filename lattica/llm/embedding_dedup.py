@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Kept
+from lattica.llm.common import Kept, col, sliced
 from lattica.llm.components import connected_components
 from lattica.llm.words import mix64
 
@@ -242,7 +242,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_column: str = "v
     each is returned; a null id links with nothing and has a null component.  Other columns are ignored.
     """
     reach = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector_column).alias("v")).withColumn("key", F.xxhash64("id", "v"))
+    rows = vectors.select(col(id_column).cast("long").alias("id"), col(vector_column).alias("v")).withColumn("key", F.xxhash64("id", "v"))
     known = Kept(rows.where("id IS NOT NULL AND v IS NOT NULL").select("key", "id", "v").mapInArrow(_classes(NEAR * reach), _VECTOR), "vectors").df
     # A repeated row may have found two centres; the lesser one counts.
     members = Kept(known.groupBy("key", "id", "d").agg(F.min(F.struct("centre", "distance")).alias("at")).select("key", "id", F.col("at.centre").alias("centre"), F.col("at.distance").alias("distance")), "members").df
@@ -256,14 +256,14 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_column: str = "v
         some = classes.where(F.col("d") == d).orderBy(F.xxhash64("centre")).limit(min(MOST_CELLS, -(-n // CELL_ROWS))).select("unit").collect()
         pivots[d] = np.stack([np.frombuffer(r["unit"], np.float64) for r in some]) @ rotation(d)
     usual = classes.select("centre", "d", "unit", "radius")
-    counted = usual.mapInArrow(_homes(pivots), "d int, block int, cell long, n long").groupBy("d", "block", "cell").agg(F.sum("n").alias("n"))
+    counted = usual.mapInArrow(sliced(_homes(pivots)), "d int, block int, cell long, n long").groupBy("d", "block", "cell").agg(F.sum("n").alias("n"))
     parts = {(r["d"], r["block"], r["cell"]): -(-r["n"] // (2 * CELL_ROWS)) for r in counted.where(F.col("n") > 2 * CELL_ROWS).collect()}
-    tiles = usual.mapInArrow(_deal(pivots, parts, reach, widest), _TILE)
+    tiles = usual.mapInArrow(sliced(_deal(pivots, parts, reach, widest)), _TILE)
     pairs = Kept(tiles.groupBy("d", "block", "low", "high").applyInArrow(_range_join(reach), "a long, b long").distinct(), "pairs").df
 
     left, right = (classes.select(F.col("centre").alias(k), F.col("unit").alias(f"unit_{k}"), F.col("radius").alias(f"radius_{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "unit_a", "unit_b", (F.col("radius_a") + F.col("radius_b")).alias("r"))
-    judged = Kept(both.mapInArrow(_judge(cosine), "a long, b long, kind int").where("kind > 0"), "judged").df
+    judged = Kept(both.mapInArrow(sliced(_judge(cosine)), "a long, b long, kind int").where("kind > 0"), "judged").df
     doubtful = judged.where("kind = 2")
     full = members.join(units.drop("d"), "key").select("centre", "key", "unit")
     sides = [doubtful.join(full.withColumnRenamed("centre", k), k).select("a", "b", F.lit(side).alias("side"), "key", "unit") for side, k in enumerate("ab")]

@@ -14,7 +14,7 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Kept
+from lattica.llm.common import Kept, col, whole_row
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Rounds of raking (every dimension once) and of calibrating; rounds between two written tables.
@@ -177,13 +177,13 @@ def mix(
     used up are made up for by others (``rake_bounded``); else the chance is just cut at one.  Columns of ``docs`` keep their
     names inside ``doc``, so none can clash.
     """
-    tokens = word_count(docs[text_column])
+    tokens = word_count(col(text_column))
     rows = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
+        whole_row(docs).alias("doc"),
         tokens.alias("n_tokens"),
-        F.coalesce(docs[source_column].cast("string"), F.lit("")).alias("source"),
-        F.coalesce(docs[lang_column].cast("string"), F.lit("")).alias("lang"),
-        F.coalesce(topic(docs[text_column], tokens), F.lit("short")).alias("topic"),
+        F.coalesce(col(source_column).cast("string"), F.lit("")).alias("source"),
+        F.coalesce(col(lang_column).cast("string"), F.lit("")).alias("lang"),
+        F.coalesce(topic(col(text_column), tokens), F.lit("short")).alias("topic"),
     )
     cells = Kept(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells").df
     if bounded:
@@ -195,7 +195,7 @@ def mix(
     found = Kept(chosen.select(*DIMENSIONS, "probability"), "probabilities").df
     few = found.count() <= 100_000
     out = rows.join(F.broadcast(found) if few else found, list(DIMENSIONS), "left")
-    return out.select("doc", "n_tokens", *DIMENSIONS, "probability", (draw(F.col(f"doc.{id_column}")) < F.col("probability")).alias("sampled"))
+    return out.select("doc", "n_tokens", *DIMENSIONS, "probability", (draw(F.col("doc")[id_column]) < F.col("probability")).alias("sampled"))
 
 
 def oracle_sql(keep_share: float = 0.8, temper: float = 0.7) -> str:

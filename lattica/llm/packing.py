@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import bounded_batches
+from lattica.llm.common import col, sliced
 from lattica.llm.tokens import encoder, stretches
 
 
@@ -145,9 +145,8 @@ def pack(docs: DataFrame, tokenizer: str, words: bool = True, end: int = 1, limi
     Every id lies in exactly one piece.  Repeated rows and null ids are packed as they come.  Other
     columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
-    silent = docs[silent_column].cast("long") if silent_column else F.lit(None).cast("long")
+    silent = col(silent_column).cast("long") if silent_column else F.lit(None).cast("long")
     kind = docs.schema[id_column].dataType.simpleString()
-    rows = docs.select(docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"), silent.alias("silent"))
-    done = rows.mapInArrow(_pack(tokenizer, words, end, limits, special), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    rows = docs.select(col(id_column).alias("id"), col(text_column).cast("string").alias("text"), silent.alias("silent"))
+    done = rows.mapInArrow(sliced(_pack(tokenizer, words, end, limits, special)), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return done.withColumnRenamed("id", id_column)

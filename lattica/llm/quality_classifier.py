@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lattica.llm.common import bounded_batches
+from lattica.llm.common import col, sliced, whole_row
 
 EMBEDDING, FILTERS, HIDDEN = 8, 24, 32
 STEP, SUB_BLOCK, GROUP = 4, 64, 256
@@ -195,13 +196,13 @@ def held_out(id_column) -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> ByteConv:
     """A network fitted on rows that aren't held out, in order of a hash of their id."""
-    known = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    known = labels.select(col(id_column).alias("id"), col(label_column).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     known = known.where(~held_out("id")).dropDuplicates(["id"])
     texts = []
     for label in (0, 1):
         # A hash order is a sample; five times the number leaves enough texts within the length.
         some = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(5 * training.per_class)
-        rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("binary").alias("text")).join(F.broadcast(some), "id")
+        rows = docs.select(col(id_column).alias("id"), col(text_column).cast("binary").alias("text")).join(F.broadcast(some), "id")
         rows = rows.where(F.octet_length("text").between(1, training.max_bytes)).orderBy(F.xxhash64("id"), "id", "text").limit(training.per_class)
         texts += [(bytes(r["text"]), label) for r in rows.select("text").collect()]
     model = ByteConv(training.seed)
@@ -222,6 +223,5 @@ def score(docs: DataFrame, model: ByteConv, text_column: str = "text") -> DataFr
 
     Null and empty texts score 0.  Rows with equal texts score alike.
     """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), docs[text_column].alias("text"))
-    return rows.mapInArrow(_score(model), f"doc {rows.schema['doc'].dataType.simpleString()}, score double")
+    rows = docs.select(whole_row(docs).alias("doc"), col(text_column).alias("text"))
+    return rows.mapInArrow(sliced(_score(model)), StructType([rows.schema["doc"], StructField("score", DoubleType())]))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import Kept, bounded_batches
+from lattica.llm.common import Kept, col, sliced
 
 #: Common words by language (fixed values).
 COMMON_WORDS = {
@@ -135,10 +135,9 @@ def quality_rules(
     languages without a word list; null languages share one reference.  Repeated rows are judged
     alike, and each is returned.  Other columns are ignored.
     """
-    bounded_batches(docs.sparkSession)
     lists = {lang: [w.encode() for w in words.split()] for lang, words in (common_words or COMMON_WORDS).items()}
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).cast("string").alias("lang"))
-    kept = Kept(rows.mapInArrow(_statistics(lists), f"id {docs.schema[id_column].dataType.simpleString()}, lang string, {STATS}, classes array<long>, shares array<long>"), "statistics").df
+    rows = docs.select(col(id_column).alias("id"), col(text_column).alias("text"), col(lang_column).cast("string").alias("lang"))
+    kept = Kept(rows.mapInArrow(sliced(_statistics(lists)), f"id {docs.schema[id_column].dataType.simpleString()}, lang string, {STATS}, classes array<long>, shares array<long>"), "statistics").df
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = kept.withColumn("base_failed", failed)
     widest = max(map(len, lists.values())) + 1

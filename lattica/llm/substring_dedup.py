@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lattica.llm.common import Kept, bounded_batches, filter_by
+from lattica.llm.common import Kept, col, filter_by, sliced, whole_row
 from lattica.llm.words import Block, blocks, hash_windows, mix64
 
 #: Bytes of text whose probes meet in one group.
@@ -213,19 +213,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     is empty.  Shorter texts keep all words.  Repeated rows repeat each other.  Columns of ``docs`` keep
     their names inside ``doc``, so none can clash.
     """
-    bounded_batches(docs.sparkSession)
     block_words = (width + 1) // 2
-    keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(docs[id_column], docs[text_column]).alias("key"))
-    size = docs.agg(F.sum(F.octet_length(docs[text_column]))).first()[0] or 0
+    keyed = docs.select(whole_row(docs).alias("doc"), F.xxhash64(col(id_column), col(text_column)).alias("key"))
+    size = docs.agg(F.sum(F.octet_length(col(text_column)))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    probes = docs.select(F.xxhash64(id_column, text_column).alias("key"), F.col(text_column).alias("text"))
-    sent = probes.mapInArrow(_probe(width, block_words, parts), _ROW)
+    probes = docs.select(F.xxhash64(col(id_column), col(text_column)).alias("key"), col(text_column).alias("text"))
+    sent = probes.mapInArrow(sliced(_probe(width, block_words, parts)), _ROW)
     hits = _found(sent, np.uint32, True, "hits")
     keys = Kept(hits.select("key"), "hit-keys").df
-    around = filter_by(probes, keys, "key").join(hits, "key").mapInArrow(_extend(width, block_words, parts), _ROW)
+    around = filter_by(probes, keys, "key").join(hits, "key").mapInArrow(sliced(_extend(width, block_words, parts)), _ROW)
     repeats = _found(around, np.uint64, False, "repeats")
     keys = Kept(repeats.select("key"), "repeat-keys").df
     schema = StructType([keyed.schema["doc"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
     clean = filter_by(keyed, keys, "key", anti=True).select("doc", F.lit(None).cast("binary").alias("places"))
     dirty = filter_by(keyed, keys, "key").join(repeats, "key").select("doc", "places")
-    return clean.union(dirty).mapInArrow(_remove(width, text_column), schema)
+    return clean.union(dirty).mapInArrow(sliced(_remove(width, text_column)), schema)

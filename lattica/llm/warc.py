@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.llm import files
-from lattica.llm.common import BROADCAST_KEYS, Kept, bounded_batches, new_path
+from lattica.llm.common import BROADCAST_KEYS, Kept, col, new_path, sliced
 
 #: Bytes of an archive, and lines of an index block, about.
 ARCHIVE_BYTES, BLOCK_LINES = 64 << 20, 1000
@@ -166,9 +166,8 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, id_column: str = "page_
     ignored.
     """
     spark = pages.sparkSession
-    bounded_batches(spark)
     folder = new_path(spark, "archives")
-    rows = pages.select(F.col(id_column).cast("long").alias("page_id"), F.col(url_column).cast("string").alias("url"), F.col(payload_column).alias("html"))
+    rows = pages.select(col(id_column).cast("long").alias("page_id"), col(url_column).cast("string").alias("url"), col(payload_column).alias("html"))
     signed = rows.where("page_id IS NOT NULL").where(F.coalesce(F.octet_length("html"), F.lit(0)) >= min_bytes)
     digests = Kept(signed.select("page_id", "html").mapInArrow(_digests, "page_id long, sha1 string"), "digests").df
     firsts = digests.groupBy("sha1").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("sha1", "first")

@@ -47,6 +47,20 @@ def test_stages_take_extra_columns_and_nothing(spark, docs):
         assert stage(spark, wide.limit(0), TABLES).count() == 0
 
 
+def test_stages_take_odd_column_names_and_repeated_rows(spark, docs):
+    """Names that Spark has to quote, names that the operators use themselves, repeated rows and null ids."""
+    from pyspark.sql import functions as F
+
+    names = ["a.b", "my col", "x:y", "a-b", "doc", "id", "text_", "_row_key", "tokens", "places", "component_id", "probability", "tick`"]
+    odd = docs.union(docs.where("doc_id < 3")).union(spark.createDataFrame([(None, "a b c", None, None, None), (None, None, None, None, 0)], helpers.DOCS))
+    for k, name in enumerate(names):
+        odd = odd.withColumn(name, F.lit(k))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, TABLES)
+        assert got.columns == odd.columns and {tuple(r)[len(docs.columns) :] for r in got.collect()} <= {tuple(range(len(names)))}
+    assert corpus_pipeline.packed(spark, odd, TABLES).agg(F.sum("length")).first()[0] > 0
+
+
 def test_run(spark):
     pieces = corpus_pipeline.run(spark, TABLES).toPandas()
     known = {r["doc_id"] for r in spark.read.parquet(f"{TABLES}/documents.parquet").select("doc_id").collect()}
