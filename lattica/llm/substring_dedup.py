@@ -6,7 +6,7 @@ multiples of that length.  So
 
 1. every block is indexed, and every rolling window of a block's length probes the index;
 2. each hit is extended: the windows of ``width`` words around it are the only ones that can
-   repeat; those that do start at two places (they are counted by 64-bit hash) overlap into the
+   repeat; those that do start at two places (they are counted by 128-bit hash) overlap into the
    maximal exact repeats;
 3. the words under repeated windows are removed.
 
@@ -14,7 +14,8 @@ Probes are exchanged packed: a task hashes a stretch of documents, drops what re
 stretch (which it then knows already), and sends each hash range of the rest as one row of about
 five bytes a probe.  However often a passage occurs, one stretch sends it once, so a frequent
 passage loads a task with one probe a stretch.  A stretch is named by its contents, so tasks run
-again after a lost executor give the same addresses.
+again after a lost executor give the same addresses.  Probes of blocks have 32 bits, since a false
+hit only costs work; what decides, the windows' hashes and the rows' names, has 128.
 """
 
 from __future__ import annotations
@@ -30,11 +31,14 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from lattica.llm.common import Kept, col, filter_by, sliced, whole_row
 from lattica.llm.words import Block, blocks, hash_windows, mix64
 
-#: Bytes of text whose probes meet in one group.
-PART_BYTES = 10 << 20
+#: Bytes of text whose probes meet in one group; partitions that the groups are dealt to at most.
+PART_BYTES, MOST_PARTITIONS = 10 << 20, 20_000
 _PROBES, _MAP, _FOUND = 0, 1, 2
 _ROW = "part long, kind int, batch long, payload binary"
 _NAMES = ["part", "kind", "batch", "payload"]
+_ANSWER = "batch long, kind int, payload binary"
+#: The two halves of a row's name.
+_KEY = ["key", "key2"]
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -42,42 +46,54 @@ def _planes(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x[:, None].view(np.uint8).T).tobytes()
 
 
-def _pack(hashes: np.ndarray, where: np.ndarray, flags: np.ndarray) -> bytes:
-    return np.uint32(len(hashes)).tobytes() + hashes.tobytes() + _planes(np.diff(where, prepend=np.uint32(0)).astype(np.uint32)) + np.packbits(flags).tobytes()
+def _pack(hashes: list[np.ndarray], where: np.ndarray, flags: np.ndarray) -> bytes:
+    return np.uint32(len(where)).tobytes() + b"".join(h.tobytes() for h in hashes) + _planes(np.diff(where, prepend=np.uint32(0)).astype(np.uint32)) + np.packbits(flags).tobytes()
 
 
-def _unpack(payload: bytes, kind: type) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(payload: bytes, kind: type, halves: int) -> tuple[np.ndarray, ...]:
+    """(each half of the hashes, places, flags)."""
     n, wide = int(np.frombuffer(payload, np.uint32, 1)[0]), np.dtype(kind).itemsize
     raw = np.frombuffer(payload, np.uint8, offset=4)
-    hashes = np.frombuffer(payload, kind, n, offset=4)
-    deltas = np.ascontiguousarray(raw[n * wide : n * (wide + 4)].reshape(4, n).T).view(np.uint32)[:, 0]
-    flags = np.unpackbits(raw[n * (wide + 4) :], count=n).astype(bool)
-    return hashes, np.cumsum(deltas, dtype=np.uint32), flags
+    hashes = [np.frombuffer(payload, kind, n, offset=4 + k * n * wide) for k in range(halves)]
+    at = n * wide * halves
+    deltas = np.ascontiguousarray(raw[at : at + 4 * n].reshape(4, n).T).view(np.uint32)[:, 0]
+    flags = np.unpackbits(raw[at + 4 * n :], count=n).astype(bool)
+    return *hashes, np.cumsum(deltas, dtype=np.uint32), flags
 
 
-def _rows(keys: np.ndarray, firsts: np.ndarray, hashes: np.ndarray, where: np.ndarray, marked: np.ndarray, parts: int, kind: type) -> pa.RecordBatch:
+def _groups(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, begins): equal hashes stand together in this order, and ``begins`` tells where they start."""
+    order = np.lexsort(hashes[::-1]) if len(hashes) > 1 else np.argsort(hashes[0], kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for h in hashes:
+        ranked = h[order]
+        new[1:] |= ranked[1:] != ranked[:-1]
+    return order, np.flatnonzero(new)
+
+
+def _rows(keys: np.ndarray, firsts: np.ndarray, hashes: list[np.ndarray], where: np.ndarray, marked: np.ndarray, parts: int, kind: type) -> pa.RecordBatch:
     """What a stretch sends: its probes by hash range, its map of documents, its own repeats.
 
     A probe's flag tells that it is a block at one of its places.
     """
-    batch = int(mix64(keys.view(np.uint64) + np.arange(len(keys), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).view(np.int64))
+    seeds = np.arange(len(keys), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    batch = int(mix64(mix64(keys[:, 0].view(np.uint64) + seeds) ^ keys[:, 1].view(np.uint64)).sum(dtype=np.uint64).view(np.int64))
     out = [(batch % parts, _MAP, keys.tobytes() + firsts.astype(np.uint32).tobytes())]
-    if len(hashes):
-        order = np.argsort(hashes, kind="stable")
-        ranked = hashes[order]
-        begins = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
-        counts = np.diff(np.r_[begins, len(ranked)])
+    if len(where):
+        order, begins = _groups(hashes)
+        counts = np.diff(np.r_[begins, len(order)])
         again = np.repeat(counts > 1, counts)
         if again.any():
             out.append((batch % parts, _FOUND, np.sort(where[order[again]]).astype(np.uint32).tobytes()))
-        first, one = where[order[begins]].astype(np.uint32), ranked[begins]
+        first, one = where[order[begins]].astype(np.uint32), [h[order[begins]] for h in hashes]
         flags = np.logical_or.reduceat(marked[order], begins)
-        part = (one >> np.uint64(33)) % np.uint64(parts)
+        part = (one[0] >> np.uint64(33)) % np.uint64(parts)
         order = np.lexsort((first, part))
-        one, first, flags, part = one[order], first[order], flags[order], part[order]
+        one, first, flags, part = [h[order] for h in one], first[order], flags[order], part[order]
         cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
         for a, b in zip(cuts[:-1], cuts[1:]):
-            out.append((int(part[a]), _PROBES, _pack(one[a:b].astype(kind), first[a:b], flags[a:b])))
+            out.append((int(part[a]), _PROBES, _pack([h[a:b].astype(kind) for h in one], first[a:b], flags[a:b])))
     return pa.RecordBatch.from_arrays(
         [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([batch] * len(out), pa.int64()), pa.array([x[2] for x in out], pa.binary())], _NAMES
     )
@@ -91,43 +107,62 @@ def _places(firsts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.
     return place, length - place, length
 
 
+def _keys(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1)
+
+
 def _probe(width: int, block_words: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            for block in blocks(batch.column(1)):
+            keys = _keys(batch)
+            for block in blocks(batch.column(2)):
                 words, firsts = block.words()
                 place, left, length = _places(firsts, len(words))
                 where = np.flatnonzero((left >= block_words) & (length >= width))
-                grams = hash_windows(words, block_words)
-                hashes = grams[where] if len(where) else np.zeros(0, np.uint64)
-                yield _rows(keys[block.first : block.first + block.n], firsts[:-1], hashes, where, place[where] % block_words == 0, parts, np.uint32)
+                hashes = hash_windows(words, block_words)[where] if len(where) else np.zeros(0, np.uint64)
+                yield _rows(keys[block.first : block.first + block.n], firsts[:-1], [hashes], where, place[where] % block_words == 0, parts, np.uint32)
 
     return run
 
 
-def _answer(kind: type, blocks_only: bool):
-    """Of the probes of one hash range: those that meet a block, or a second probe, elsewhere."""
-
-    def run(table: pa.Table) -> pa.Table:
-        kinds, batch, payload = table.column("kind").to_numpy(), table.column("batch").to_numpy(), table.column("payload").to_pylist()
-        rows = np.flatnonzero(kinds == _PROBES)
-        out = [(int(batch[i]), int(kinds[i]), payload[i]) for i in np.flatnonzero(kinds != _PROBES)]
-        if len(rows):
-            got = [_unpack(payload[i], kind) for i in rows]
-            hashes, where, flags = (np.concatenate(x) for x in zip(*got))
-            if blocks_only:
-                index = np.sort(hashes[flags])
-                hit = np.searchsorted(index, hashes, "right") - np.searchsorted(index, hashes, "left") > flags
-            else:
-                index = np.sort(hashes)
-                hit = np.searchsorted(index, hashes, "right") - np.searchsorted(index, hashes, "left") > 1
-            ends = np.cumsum([len(x[0]) for x in got])
-            for i, a, b in zip(rows, ends - [len(x[0]) for x in got], ends):
-                found = where[a:b][hit[a:b]]
-                if len(found):
-                    out.append((int(batch[i]), _FOUND, found.tobytes()))
-        return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()), "kind": pa.array([x[1] for x in out], pa.int32()), "payload": pa.array([x[2] for x in out], pa.binary())})
+def _answer(kind: type, halves: int, blocks_only: bool):
+    """Of the probes of each hash range: those that meet a block, or a second probe, elsewhere."""
+
+    def answers(rows: list[tuple[int, bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        got = [_unpack(payload, kind, halves) for _, payload in rows]
+        *hashes, where, flags = (np.concatenate(x) for x in zip(*got))
+        order, begins = _groups(hashes)
+        counts = np.diff(np.r_[begins, len(order)])
+        met = np.add.reduceat(flags[order].astype(np.int64), begins) if blocks_only else counts
+        hit = np.empty(len(order), bool)
+        hit[order] = np.repeat(met, counts) > (flags[order] if blocks_only else 1)
+        at = 0
+        for (batch, _), (*_, mine, _) in zip(rows, got):
+            found = mine[hit[at : at + len(mine)]]
+            at += len(mine)
+            if len(found):
+                yield batch, _FOUND, found.tobytes()
+
+    def table(out: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.binary())], ["batch", "kind", "payload"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for each in batches:
+            rest = []
+            for part, kind_, batch, payload in zip(*(each.column(i).to_pylist() for i in range(4))):
+                if kind_ != _PROBES:
+                    rest.append((batch, kind_, payload))
+                    continue
+                if part != now and rows:
+                    rest += answers(rows)
+                    rows = []
+                now = part
+                rows.append((batch, payload))
+            if rest:
+                yield table(rest)
+        if rows:
+            yield table(list(answers(rows)))
 
     return run
 
@@ -140,22 +175,28 @@ def _by_document(table: pa.Table) -> pa.Table:
     if found:
         at = np.unique(np.concatenate(found)).astype(np.int64)
         raw = payload[int(np.flatnonzero(kinds == _MAP)[0])]
-        n = len(raw) // 12
-        names, firsts = np.frombuffer(raw, np.int64, n), np.frombuffer(raw, np.uint32, n, offset=8 * n).astype(np.int64)
+        n = len(raw) // 20
+        names, firsts = np.frombuffer(raw, np.int64, 2 * n).reshape(n, 2), np.frombuffer(raw, np.uint32, n, offset=16 * n).astype(np.int64)
         owner = np.searchsorted(firsts, at, "right") - 1
         cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
         for a, b in zip(cuts[:-1], cuts[1:]):
-            keys.append(int(names[owner[a]]))
+            keys.append(names[owner[a]].tolist())
             places.append((at[a:b] - firsts[owner[a]]).astype(np.uint32).tobytes())
-    return pa.table({"key": pa.array(keys, pa.int64()), "places": pa.array(places, pa.binary())})
+    return pa.table({"key": pa.array([k[0] for k in keys], pa.int64()), "key2": pa.array([k[1] for k in keys], pa.int64()), "places": pa.array(places, pa.binary())})
 
 
-def _found(sent: DataFrame, kind: type, blocks_only: bool, what: str) -> DataFrame:
-    """(key, places): the answers to all probes, per document; kept as a table."""
-    answers = sent.groupBy("part").applyInArrow(_answer(kind, blocks_only), "batch long, kind int, payload binary")
-    each = answers.groupBy("batch").applyInArrow(_by_document, "key long, places binary")
+def _found(sent: DataFrame, parts: int, kind: type, halves: int, blocks_only: bool, what: str) -> DataFrame:
+    """(key, key2, places): the answers to all probes, per document; kept as a table.
+
+    Every hash range is a group of bounded size.  The exchange has as many partitions as there are
+    ranges, or MOST_PARTITIONS that take their ranges one after the other.
+    """
+    count = min(parts, MOST_PARTITIONS)
+    dealt = sent.repartitionById(count, F.pmod("part", F.lit(count)).cast("int")).sortWithinPartitions("part")
+    answers = dealt.mapInArrow(_answer(kind, halves, blocks_only), _ANSWER)
+    each = answers.groupBy("batch").applyInArrow(_by_document, "key long, key2 long, places binary")
     # Rows of one key have one text, hence equal places if they lie in one stretch, and else equal up to what a stretch knows of itself.
-    return Kept(each.groupBy("key").agg(F.array_join(F.collect_set(F.hex("places")), "").alias("hex")).select("key", F.unhex("hex").alias("places")), what).df
+    return Kept(each.groupBy(*_KEY).agg(F.array_join(F.collect_set(F.hex("places")), "").alias("hex")).select(*_KEY, F.unhex("hex").alias("places")), what).df
 
 
 def _extend(width: int, block_words: int, parts: int):
@@ -163,8 +204,8 @@ def _extend(width: int, block_words: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, hits = batch.column(0).to_numpy(), batch.column(2).to_pylist()
-            for block in blocks(batch.column(1)):
+            keys, hits = _keys(batch), batch.column(3).to_pylist()
+            for block in blocks(batch.column(2)):
                 words, firsts = block.words()
                 _, left, _ = _places(firsts, len(words))
                 edge = np.zeros(len(words) + 1, np.int32)
@@ -173,7 +214,7 @@ def _extend(width: int, block_words: int, parts: int):
                     np.add.at(edge, firsts[i] + np.maximum(at - (width - block_words), 0), 1)
                     np.add.at(edge, firsts[i] + at + 1, -1)
                 where = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & (left >= width))
-                hashes = hash_windows(words, width)[where] if len(where) else np.zeros(0, np.uint64)
+                hashes = [hash_windows(w, width)[where] if len(where) else np.zeros(0, np.uint64) for w in (words, mix64(words ^ np.uint64(0x2545F4914F6CDD1D)))]
                 yield _rows(keys[block.first : block.first + block.n], firsts[:-1], hashes, where, np.zeros(len(where), bool), parts, np.uint64)
 
     return run
@@ -214,17 +255,18 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     their names inside ``doc``, so none can clash.
     """
     block_words = (width + 1) // 2
-    keyed = docs.select(whole_row(docs).alias("doc"), F.xxhash64(col(id_column), col(text_column)).alias("key"))
+    name = [F.xxhash64(col(id_column), col(text_column)).alias("key"), F.xxhash64(col(text_column), F.lit(1), col(id_column)).alias("key2")]
+    keyed = docs.select(whole_row(docs).alias("doc"), *name)
     size = docs.agg(F.sum(F.octet_length(col(text_column)))).first()[0] or 0
     parts = max(1, -(-size // PART_BYTES))
-    probes = docs.select(F.xxhash64(col(id_column), col(text_column)).alias("key"), col(text_column).alias("text"))
+    probes = docs.select(*name, col(text_column).alias("text"))
     sent = probes.mapInArrow(sliced(_probe(width, block_words, parts)), _ROW)
-    hits = _found(sent, np.uint32, True, "hits")
-    keys = Kept(hits.select("key"), "hit-keys").df
-    around = filter_by(probes, keys, "key").join(hits, "key").mapInArrow(sliced(_extend(width, block_words, parts)), _ROW)
-    repeats = _found(around, np.uint64, False, "repeats")
-    keys = Kept(repeats.select("key"), "repeat-keys").df
+    hits = _found(sent, parts, np.uint32, 1, True, "hits")
+    keys = Kept(hits.select(*_KEY), "hit-keys").df
+    around = filter_by(probes, keys, _KEY).join(hits, _KEY).mapInArrow(sliced(_extend(width, block_words, parts)), _ROW)
+    repeats = _found(around, parts, np.uint64, 2, False, "repeats")
+    keys = Kept(repeats.select(*_KEY), "repeat-keys").df
     schema = StructType([keyed.schema["doc"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_text", StringType())])
-    clean = filter_by(keyed, keys, "key", anti=True).select("doc", F.lit(None).cast("binary").alias("places"))
-    dirty = filter_by(keyed, keys, "key").join(repeats, "key").select("doc", "places")
+    clean = filter_by(keyed, keys, _KEY, anti=True).select("doc", F.lit(None).cast("binary").alias("places"))
+    dirty = filter_by(keyed, keys, _KEY).join(repeats, _KEY).select("doc", "places")
     return clean.union(dirty).mapInArrow(sliced(_remove(width, text_column)), schema)
