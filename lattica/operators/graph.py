@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.tables import keep
+from lattica.plans.tables import Bucketed, keep
 
 
 def insert_nodes(nodes: DataFrame, count: int) -> DataFrame:
@@ -20,6 +20,25 @@ def build_edges(rows: DataFrame, seq: list[str]) -> DataFrame:
     return rows.groupBy("src", "dst").agg(F.min_by("weight", F.struct(*seq)).alias("weight"))
 
 
+def insert_edges(edges: DataFrame, rows: DataFrame, seq: list[str], nodes: DataFrame) -> DataFrame:
+    """``rows`` (src, dst, weight, seq) with ``added``: whether each is the first edge between its nodes, those of ``edges`` included.
+
+    An end that isn't a node is an error.
+    """
+    first = rows.groupBy("src", "dst").agg(F.min(F.struct(*seq)).alias("_first"))
+    known = edges.select("src", "dst").distinct().withColumn("_known", F.lit(True))
+    told = rows.join(first, ["src", "dst"]).join(known, ["src", "dst"], "left")
+    for end in ("src", "dst"):
+        told = told.join(nodes.select(F.col("id").alias(end)).distinct().withColumn(f"_{end}", F.lit(True)), end, "left")
+    bad = F.raise_error(F.lit("an edge ends at an unknown node")).cast("boolean")
+    added = F.col("_known").isNull() & (F.struct(*seq) == F.col("_first"))
+    return told.select(*[F.col(c) for c in rows.columns], F.when(F.col("_src").isNull() | F.col("_dst").isNull(), bad).otherwise(added).alias("added"))
+
+
+def num_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.agg(F.count("*").alias("n"))
+
+
 def unknown_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ends of edges that aren't nodes; has to be empty before edges are inserted."""
     ends = edges.select(F.col("src").alias("id")).union(edges.select("dst"))
@@ -54,26 +73,31 @@ def remove_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges.join(gone.select("src", "dst"), ["src", "dst"], "left_anti")
 
 
+def removed_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges that ``remove_edges`` takes away, with their weights."""
+    return edges.join(gone.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+
+
 def breadth_first(edges: DataFrame, start: int, seq: list[str], most_levels: int = 1_000_000) -> DataFrame:
-    """(node, depth, parent_order): nodes by the least number of edges from ``start``, without the start unless it lies on a cycle.
+    """(node, depth, ord): nodes by the least number of edges from ``start``, without the start unless it lies on a cycle.
 
-    One level is one join of the frontier with the edges and one anti-join with what was visited,
-    written to the shared folder.  Within a depth, ``parent_order`` (the parent's own order, then
-    the edge's ``seq``) gives the visiting order.
+    One level is one join of the frontier with the edges, which are bucketed by their source once,
+    and one anti-join with the levels before.  Within a depth, ``ord`` (the parent's own, then the
+    edge's ``seq``) gives the visiting order.
     """
     spark = edges.sparkSession
-    edges = keep(edges.select("src", "dst", F.struct(*seq).alias("seq")))
+    by_source = Bucketed(edges.select("src", "dst", F.struct(*seq).alias("seq")), ["src"])
     frontier = spark.createDataFrame([(start, 0)], "node long, ord long")
     visited = spark.createDataFrame([], "node long, depth int, ord long")
     for depth in range(1, most_levels + 1):
-        found = edges.join(frontier.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "seq")).alias("first"))
-        new = found.join(visited, "node", "left_anti")
-        # The order within a level: its own rank by (parent, edge), packed after the levels before.
+        found = by_source.df.join(frontier.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("ord", "seq")).alias("first"))
+        new = found.join(visited.select("node"), "node", "left_anti")
         level = keep(new.orderBy("first").select("node", F.monotonically_increasing_id().alias("ord")))
         if level.isEmpty():
             break
-        visited = keep(visited.union(level.select("node", F.lit(depth).alias("depth"), "ord")))
+        visited = visited.union(level.select("node", F.lit(depth).alias("depth"), "ord"))
         frontier = level
+    by_source.drop()
     return visited
 
 

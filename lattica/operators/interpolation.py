@@ -38,6 +38,11 @@ def append(known: Column, x: Column, y: Column) -> Column:
     return F.array_sort(F.concat(known, F.array(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")))))
 
 
+def from_function(f: Callable[[Column], Column], places: Column) -> Column:
+    """The nodes of a function at these places."""
+    return F.transform(places, lambda x: F.struct(x.cast("double").alias("x"), f(x).cast("double").alias("y")))
+
+
 def _product(values: Column, of: Callable[[Column], Column]) -> Column:
     return F.aggregate(values, F.lit(1.0), lambda s, v: s * of(v))
 
@@ -142,17 +147,51 @@ def spline_value(x: Column) -> Column:
     return F.col("y_lo") * (1 - t) + F.col("y_hi") * t + h * h * bend
 
 
+#: Rows of a range of a series in an as-of join, about.
+RANGE_ROWS = 1_000_000
+
+
+def as_of(points: DataFrame, queries: DataFrame, group: list[str], at: str, x: str, name: str, strict: bool = False, forward: bool = False) -> DataFrame:
+    """Each query with ``name``, a struct of the last point of its group with ``at`` up to ``x``; null if there is none.
+
+    ``strict`` leaves out points right at ``x``; ``forward`` takes the first point from ``x`` on
+    instead.  Points and queries are one sorted stream, so each query costs a row, not a row a point.
+    A long series is cut into ranges of equal width, and each range is given the last point before it.
+    """
+    sign = -1.0 if forward else 1.0
+    nothing = F.lit(None)
+    whole = F.struct(*[F.col(c) for c in points.columns])
+    left = points.select(*group, (sign * F.col(at).cast("double")).alias("_x"), F.lit(1).alias("_kind"), whole.alias("_p"), nothing.cast(queries.select(F.struct(*queries.columns).alias("q")).schema["q"].dataType).alias("_q"))
+    right = queries.select(*group, (sign * F.col(x).cast("double")).alias("_x"), F.lit(0 if strict else 2).alias("_kind"), nothing.cast(left.schema["_p"].dataType).alias("_p"), F.struct(*queries.columns).alias("_q"))
+    both = left.union(right)
+    sizes = both.groupBy(*group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.ceil(F.count("*") / RANGE_ROWS).alias("_ranges"))
+    share = F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
+    both = both.join(sizes, group).select(*both.columns, F.least(F.col("_ranges") - 1, F.floor(share * F.col("_ranges"))).alias("_range"))
+    lasts = both.groupBy(*group, "_range").agg(F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("_x"))).alias("_p"))
+    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    carried = lasts.select(*group, F.lit(float("-inf")).alias("_x"), F.lit(1).alias("_kind"), F.last("_p", ignorenulls=True).over(before).alias("_p"), nothing.cast(both.schema["_q"].dataType).alias("_q"), "_range").where("_p IS NOT NULL")
+    so_far = Window.partitionBy(*group, "_range").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.union(carried).withColumn("_found", F.last("_p", ignorenulls=True).over(so_far))
+    return found.where("_q IS NOT NULL").select("_q.*", F.col("_found").alias(name))
+
+
 def spline(segments: DataFrame, queries: DataFrame, group: list[str], x: str) -> DataFrame:
     """Each query with ``y``: left of the first knot the first piece goes on; right of the last is an error."""
-    q = F.col(f"q.{x}")
-    same = [F.col(f"q.{g}") == F.col(f"s.{g}") for g in group]
-    inside = ((q > F.col("s.lo")) & (q <= F.col("s.hi"))) | (F.col("s.first") & (q <= F.col("s.lo"))) | (F.col("s.last") & (q > F.col("s.hi")))
-    on = inside
-    for c in same:
-        on = on & c
-    found = queries.alias("q").join(segments.alias("s"), on)
+    firsts = segments.where("first").select(*group, F.struct(*segments.columns).alias("_first"))
+    placed = as_of(segments, queries, group, "lo", x, "_piece", strict=True).join(firsts, group)
+    found = placed.select(F.struct(*queries.columns).alias("_q"), F.coalesce("_piece", "_first").alias("_s")).select("_q", *[F.col(f"_s.{c}").alias(c) for c in segments.columns if c not in group])
+    q = F.col("_q")[x]
     beyond = F.raise_error(F.lit("a query lies right of the last knot"))
-    return found.select("q.*", F.when(F.col("s.last") & (q > F.col("s.hi")), beyond.cast("double")).otherwise(spline_value(q)).alias("y"))
+    return found.select("_q.*", F.when(F.col("last") & (q > F.col("hi")), beyond.cast("double")).otherwise(spline_value(q)).alias("y"))
+
+
+def nearest(points: DataFrame, queries: DataFrame, group: list[str], at: str, x: str, name: str = "nearest") -> DataFrame:
+    """Each query with a struct of its group's point next to ``x``; of two at the same distance the lesser one."""
+    before = as_of(points, queries, group, at, x, "_before")
+    both = as_of(points, before, group, at, x, "_after", forward=True)
+    gap = lambda side: F.abs(F.col(x) - F.col(side)[at])
+    chosen = F.when(F.col("_after").isNull() | (gap("_before") <= gap("_after")), F.col("_before")).otherwise(F.col("_after"))
+    return both.select(*queries.columns, chosen.alias(name))
 
 
 def segments_of_samples(series: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
@@ -160,3 +199,13 @@ def segments_of_samples(series: DataFrame, group: list[str], x: str, y: str) ->
     w = Window.partitionBy(*group).orderBy(x)
     pairs = series.select(*group, F.col(x).alias("lo"), F.lead(x).over(w).alias("hi"), F.col(y).alias("y_lo"), F.lead(y).over(w).alias("y_hi"))
     return pairs.where("hi IS NOT NULL")
+
+
+def second_differences(series: DataFrame, group: list[str], x: str, y: str) -> DataFrame:
+    """(group, x, difference): the second divided difference of each inner sample and its neighbours."""
+    w = Window.partitionBy(*group).orderBy(x)
+    before, after = F.lag(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(w), F.lead(F.struct(F.col(x).alias("x"), F.col(y).alias("y"))).over(w)
+    rows = series.select(*group, x, F.col(y).alias("_y"), before.alias("_b"), after.alias("_a")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    right = (F.col("_a.y") - F.col("_y")) / (F.col("_a.x") - F.col(x))
+    left = (F.col("_y") - F.col("_b.y")) / (F.col(x) - F.col("_b.x"))
+    return rows.select(*group, x, ((right - left) / (F.col("_a.x") - F.col("_b.x"))).alias("difference"))

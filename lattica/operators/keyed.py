@@ -24,6 +24,10 @@ def size(state: DataFrame) -> DataFrame:
     return state.agg(F.count("*").alias("n"))
 
 
+def is_empty(state: DataFrame) -> DataFrame:
+    return state.agg((F.count("*") == 0).alias("empty"))
+
+
 def contains(keys: DataFrame, state: DataFrame, key: str, flag: str = "found") -> DataFrame:
     """Each of the asked keys with whether the map has it."""
     has = build_set(state, key).withColumn("_has", F.lit(True))

@@ -1,18 +1,32 @@
 """Linear algebra on tables: coordinate matrices (sys, i, j, a), iterations by join and aggregation, least squares.
 
-``sys`` names the system, so many systems iterate together; each iteration is one equi-join on the
-column index and one partial aggregation by row, and its vector is written to the shared folder.
+``sys`` names the system, so many systems iterate together, each of any size and sparsity.  A step
+is one equi-join on the column index and one aggregation by row, combined before the shuffle.  A
+matrix is bucketed by (sys, j) once, so only vectors move (or are broadcast, if Spark finds them
+small); a few steps make one plan, whose vector is written to the shared folder.  Systems that are
+done leave the iteration.  Small dense systems are solved in their row by ``small``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.tables import keep
+from lattica.plans.tables import Bucketed, Kept, keep
 
-#: Multiplications between two scalings of the power iteration.
+#: Steps in one plan; statuses are looked at, and iterations counted, in these strides.
 STRIDE = 6
+#: The index of a coordinate that is always one, which carries the right-hand side.
+_ONE = -1
+
+
+def coordinates(systems: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sys, a, b) with arrays to coordinate tables of the matrix and the right-hand side."""
+    rows = systems.select("sys", F.posexplode("a").alias("i", "row"))
+    a = rows.select("sys", F.col("i").cast("long").alias("i"), F.posexplode("row").alias("j", "a")).withColumn("j", F.col("j").cast("long"))
+    return a, systems.select("sys", F.posexplode("b").alias("i", "v")).withColumn("i", F.col("i").cast("long"))
 
 
 def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
@@ -21,59 +35,135 @@ def matvec(a: DataFrame, x: DataFrame) -> DataFrame:
     return a.join(right, ["sys", "j"]).groupBy("sys", "i").agg(F.sum(F.col("a") * F.col("v")).alias("v"))
 
 
-def dot(x: DataFrame, y: DataFrame, name: str) -> DataFrame:
-    both = x.join(y.withColumnRenamed("v", "_w"), ["sys", "i"])
-    return both.groupBy("sys").agg(F.sum(F.col("v") * F.col("_w")).alias(name))
+def _out(parts: list[DataFrame], columns: list[str]) -> DataFrame:
+    return reduce(DataFrame.union, [p.select(*columns) for p in parts])
 
 
-def coordinates(systems: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sys, a, b) with arrays to coordinate tables of the matrix and the right-hand side."""
-    rows = systems.select("sys", F.posexplode("a").alias("i", "row"))
-    a = rows.select("sys", "i", F.posexplode("row").alias("j", "a"))
-    return a, systems.select("sys", F.posexplode("b").alias("i", "v"))
+def _told(norm: Column, eps: float, last: bool) -> Column:
+    """Status of a residual's norm; null while the system goes on."""
+    return F.when(norm.isNull() | F.isnan(norm), "Failed").when(norm <= eps, "Converged").when(F.lit(last), "MaxIterations")
+
+
+def _finished(rows: DataFrame, told: DataFrame, n: int) -> DataFrame:
+    """(sys, i, v, status, iterations) of the systems that are done."""
+    done = rows.join(told.where("status IS NOT NULL"), "sys")
+    status = F.col("status")
+    return done.select("sys", "i", F.when(status != "Failed", F.col("v")).alias("v"), "status", F.when(status == "Converged", F.lit(n)).alias("iterations"))
+
+
+def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0, colours: int = 0, stride: int = STRIDE) -> DataFrame:
+    """(sys, i, v, status, iterations) of Jacobi's method (without ``colours``) or successive over-relaxation, from the zero vector.
+
+    A sweep of over-relaxation takes the unknowns by colour, i modulo ``colours``; no equation may
+    hold two unknowns of a colour, so each colour is one parallel step that sees the new values of
+    those before.  ``omega`` 1 is Gauss and Seidel's method.  It ends when the residual's norm is at most ``eps``; a
+    zero on the diagonal fails.  Iterations are counted in strides.
+    """
+    if not 0 < omega < 2:
+        raise ValueError("omega has to lie between 0 and 2")
+    a = a.where("a != 0")
+    if colours and not a.where(f"i != j AND i % {colours} = j % {colours}").isEmpty():
+        raise ValueError("an equation holds two unknowns of one colour")
+    b = Kept(b.join(a.where("i = j").select("sys", "i", F.col("a").alias("d")), ["sys", "i"], "left"))
+    failed = Kept(b.df.groupBy("sys").agg(F.bool_or(F.col("d").isNull()).alias("zero")).where("zero"))
+    out = [b.df.join(failed.df, "sys", "left_semi").select("sys", "i", F.lit(None).cast("double").alias("v"), F.lit("Failed").alias("status"), F.lit(None).cast("int").alias("iterations"))]
+    fine = Kept(b.df.join(failed.df, "sys", "left_anti"))
+    ones = fine.df.select("sys", F.lit(_ONE).cast("long").alias("i"), F.lit(_ONE).cast("long").alias("j"), F.lit(1.0).alias("a")).distinct()
+    size = fine.df.select("sys", "i", "d")
+    steps = []
+    for colour in range(max(1, colours)):
+        mine = F.lit(True) if not colours else F.col("i") % colours == colour
+        turned = a.join(size.where(mine), ["sys", "i"]).select("sys", "i", "j", F.when(F.col("i") == F.col("j"), 1.0 - omega).otherwise(-omega * F.col("a") / F.col("d")).alias("a"))
+        side = fine.df.where(mine).select("sys", "i", F.lit(_ONE).cast("long").alias("j"), (omega * F.col("v") / F.col("d")).alias("a"))
+        rest = size.where(~mine).select("sys", "i", F.col("i").alias("j"), F.lit(1.0).alias("a"))
+        steps.append(Bucketed(turned.union(side).union(rest).union(ones), ["sys", "j"]))
+    gaps = Bucketed(a.join(size.select("sys", "i"), ["sys", "i"]).select("sys", "i", "j", "a").union(fine.df.select("sys", "i", F.lit(_ONE).cast("long").alias("j"), -F.col("v"))), ["sys", "j"])
+    x = Kept(fine.df.select("sys", "i", F.lit(0.0).alias("v")).union(ones.select("sys", "i", F.lit(1.0))))
+    n = 0
+    while True:
+        norms = matvec(gaps.df, x.df).groupBy("sys").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        told = keep(norms.select("sys", _told(F.col("norm"), eps, n >= most).alias("status")))
+        out.append(_finished(x.df.where(f"i != {_ONE}"), told, n))
+        going = told.where("status IS NULL")
+        if going.isEmpty():
+            break
+        vector = x.df.join(going, "sys", "left_semi")
+        for _ in range(min(stride, most - n)):
+            for step in steps:
+                vector = matvec(step.df, vector)
+        x, n = Kept(vector), n + min(stride, most - n)
+    for table in (*steps, gaps):
+        table.drop()
+    return _out(out, ["sys", "i", "v", "status", "iterations"])
 
 
 def jacobi(a: DataFrame, b: DataFrame, eps: float, most: int) -> DataFrame:
-    """(sys, i, v, status, iterations) from the zero vector, until the residual's norm is at most ``eps``.
+    return relax(a, b, eps, most)
+
 
-    A zero on the diagonal fails.  A system that has converged keeps its vector while others go on.
+def descend(a: DataFrame, b: DataFrame, eps: float, most: int, conjugate: bool) -> DataFrame:
+    """(sys, i, v, status, iterations) of conjugate gradients, or of steepest descent, from the zero vector.
+
+    For symmetric positive definite matrices; a direction without curvature fails.  It ends when the
+    norm of the recursive residual is at most ``eps``.
     """
-    diagonal = a.where("i = j").select("sys", "i", F.col("a").alias("d"))
-    a, b = keep(a), keep(b.withColumnRenamed("v", "b").join(diagonal, ["sys", "i"], "left"))
-    now = keep(b.select("sys", "i", F.lit(0.0).alias("v"), F.lit(0).alias("n"), F.lit(False).alias("done"), F.lit(None).cast("double").alias("norm")))
-    for k in range(most + 1):
-        image = matvec(a, now.select("sys", "i", "v")).withColumnRenamed("v", "image")
-        gap = now.join(b, ["sys", "i"]).join(image, ["sys", "i"], "left").withColumn("r", F.col("b") - F.coalesce("image", F.lit(0.0)))
-        norms = gap.groupBy("sys").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("found"), F.bool_or(F.col("d").isNull() | (F.col("d") == 0)).alias("zero"))
-        stop = (F.col("found") <= eps) | F.col("zero") | F.isnan("found") | F.lit(k == most)
-        step = F.when(F.col("done") | stop, F.col("v")).otherwise(F.col("v") + F.try_divide(F.col("r"), F.col("d")))
-        now = keep(gap.join(norms, "sys").select("sys", "i", step.alias("v"), F.when(F.col("done") | stop, F.col("n")).otherwise(F.col("n") + 1).alias("n"), (F.col("done") | stop).alias("done"), F.when(F.col("zero"), F.lit(float("nan"))).otherwise(F.col("found")).alias("norm")))
-        if now.where("NOT done").isEmpty():
+    matrix = Bucketed(a.where("a != 0"), ["sys", "j"])
+    rows = Kept(b.select("sys", "i", F.lit(0.0).alias("v"), F.col("v").alias("r"), F.lit(0.0).alias("p"), F.lit(0.0).alias("old")))
+    now, out, n = rows.df, [], 0
+    while True:
+        sizes = keep(now.groupBy("sys").agg(F.sum(F.col("r") * F.col("r")).alias("rr")))
+        told = keep(sizes.select("sys", "rr", _told(F.sqrt("rr"), eps, n >= most).alias("status")))
+        out.append(_finished(now, told.drop("rr"), n))
+        going = told.where("status IS NULL").select("sys", "rr")
+        if going.isEmpty():
             break
-    status = F.when(F.isnan("norm"), "Failed").when(F.col("norm") <= eps, "Converged").otherwise("MaxIterations")
-    return now.select("sys", "i", F.when(status != "Failed", F.col("v")).alias("v"), status.alias("status"), F.when(status == "Converged", F.col("n")).alias("iterations"))
-
-
-def power_iteration(a: DataFrame, eps: float, most: int) -> DataFrame:
-    """(sys, value, error, status) of the dominant eigenvalue from a start of ones."""
-    a = keep(a)
-    now = keep(a.select("sys", "i").distinct().withColumn("v", F.lit(1.0)))
-    for _ in range(0, most, STRIDE):
-        image = now
-        for _ in range(STRIDE):  # vectors are scaled and judged once a stride; the direction is the same
-            image = matvec(a, image)
-        image = keep(image)
-        size = image.groupBy("sys").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-        now = keep(image.join(size, "sys").select("sys", "i", F.coalesce(F.try_divide("v", "size"), F.lit(0.0)).alias("v")))
-        image = keep(matvec(a, now))
-        value = dot(now, image, "value")
-        gap = now.join(image.withColumnRenamed("v", "w"), ["sys", "i"]).join(value, "sys")
-        found = keep(gap.groupBy("sys").agg(F.first("value").alias("value"), F.sqrt(F.sum(F.pow(F.col("w") - F.col("value") * F.col("v"), 2))).alias("gap")))
+        turned = F.col("r") + F.coalesce(F.try_divide("rr", "old"), F.lit(0.0)) * F.col("p") if conjugate else F.col("r")
+        ahead = now.join(going, "sys").select("sys", "i", "v", "r", turned.alias("p"), "rr")
+        image = matvec(matrix.df, ahead.select("sys", "i", F.col("p").alias("v"))).withColumnRenamed("v", "z")
+        along = Kept(ahead.join(image, ["sys", "i"], "left").withColumn("z", F.coalesce("z", F.lit(0.0))))
+        curves = along.df.groupBy("sys").agg(F.sum(F.col("p") * F.col("z")).alias("pz"))
+        step = F.coalesce(F.try_divide("rr", F.when(F.col("pz") > 0, F.col("pz"))), F.lit(float("nan")))
+        moved = along.df.join(curves, "sys").withColumn("step", step)
+        now = keep(moved.select("sys", "i", (F.col("v") + F.col("step") * F.col("p")).alias("v"), (F.col("r") - F.col("step") * F.col("z")).alias("r"), "p", F.col("rr").alias("old")))
+        along.drop()
+        n += 1
+    matrix.drop()
+    return _out(out, ["sys", "i", "v", "status", "iterations"])
+
+
+def power_iteration(a: DataFrame, eps: float, most: int, start: DataFrame | None = None, stride: int = STRIDE) -> DataFrame:
+    """(sys, i, v, value, error, status, iterations) of the dominant eigenpair, from ``start`` (sys, i, v) or ones.
+
+    A zero start is replaced by 0.1 everywhere.  It ends when three times the relative error is at
+    most ``eps``; an image that vanishes fails.  Vectors are scaled and judged once a stride.
+    """
+    matrix = Bucketed(a, ["sys", "j"])
+    x = start if start is not None else matrix.df.select("sys", "i").distinct().withColumn("v", F.lit(1.0))
+    zero = x.groupBy("sys").agg(F.bool_and(F.col("v") == 0).alias("zero"))
+    x = Kept(x.join(zero, "sys").select("sys", "i", F.when(F.col("zero"), 0.1).otherwise(F.col("v")).alias("v"))).df
+    out, n = [], 0
+    while True:
+        steps = max(1, min(stride, most - n))
+        n += steps
+        for _ in range(steps):
+            x = matvec(matrix.df, x)
+        x = keep(x)
+        size = x.groupBy("sys").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
+        x = keep(x.join(size, "sys").select("sys", "i", F.try_divide("v", "size").alias("v")))
+        both = Kept(x.join(matvec(matrix.df, x).withColumnRenamed("v", "w"), ["sys", "i"]))
+        values = both.df.groupBy("sys").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+        gaps = both.df.join(values, "sys").groupBy("sys").agg(F.first("value").alias("value"), F.sqrt(F.sum(F.pow(F.col("w") - F.col("value") * F.col("v"), 2))).alias("gap"))
         error = F.try_divide("gap", F.abs("value"))
-        out = found.select("sys", "value", error.alias("error"), F.when(error.isNull(), "Failed").when(3 * error <= eps, "Converged").otherwise("MaxIterations").alias("status"))
-        if out.where("status = 'MaxIterations'").isEmpty():
+        told = keep(gaps.select("sys", "value", error.alias("error"), _told(3 * error, abs(eps), n >= most).alias("status")))
+        found = _finished(x, told.select("sys", "status"), n)
+        out.append(found.join(told.select("sys", "value", "error"), "sys"))
+        both.drop()
+        going = told.where("status IS NULL")
+        if going.isEmpty():
             break
-    return out
+        x = x.join(going.select("sys"), "sys", "left_semi")
+    matrix.drop()
+    return _out(out, ["sys", "i", "v", "value", "error", "status", "iterations"])
 
 
 def gram(rows: DataFrame, group: list[str], features: list[Column], label: Column) -> DataFrame:

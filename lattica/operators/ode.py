@@ -5,13 +5,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators import roots, small
+
 Field = Callable[[Column, Column], Column]
 Step = Callable[[Column, Column, Column], Column]
 
@@ -75,55 +75,61 @@ def status(problems: DataFrame, keys: list[str], step: Step, y0: Column, dt: Col
     return problems.select(*keys, F.when(bad, "MaxIterations").otherwise("Converged").alias("status"))
 
 
-# Systems: the state is an array column, and the field maps (t, stacked states) to stacked slopes.
-System = Callable[[float, np.ndarray], np.ndarray]
+# Systems: the state is an array column; the field maps (t, its entries) to as many columns, the Jacobian to rows of them.
+System = Callable[[Column, list[Column]], list[Column]]
+SystemJacobian = Callable[[Column, list[Column]], list[list[Column]]]
 
 
-def _system_step(method: str, f: System, df: System | None, dt: float):
-    def implicit(t, y):
-        x = y.copy()
-        for _ in range(100):
-            gap = x - y - dt * f(t + dt, x)
-            todo = np.linalg.norm(gap, axis=1) > 1e-8
-            if not todo.any():
-                break
-            jacobian = np.eye(y.shape[1]) - dt * df(t + dt, x)
-            x[todo] -= np.linalg.solve(jacobian[todo], gap[todo][:, :, None])[:, :, 0]
-        x[np.linalg.norm(x - y - dt * f(t + dt, x), axis=1) > 1e-8] = np.nan
-        return x
+def _slopes(f: System, d: int) -> Field:
+    return lambda t, y: F.array(*[v.cast("double") for v in f(t, [y[i] for i in range(d)])])
 
-    def heun(t, y):
-        first = f(t, y)
-        return y + dt * (first + f(t + dt, y + dt * first)) / 2
 
-    def runge_kutta(t, y):
-        k1 = f(t, y)
-        k2 = f(t + dt / 2, y + dt / 2 * k1)
-        k3 = f(t + dt / 2, y + dt / 2 * k2)
-        return y + dt * (k1 + 2 * k2 + 2 * k3 + f(t + dt, y + dt * k3)) / 6
+def euler_system(f: System, d: int) -> Step:
+    slopes = _slopes(f, d)
+    return lambda t, y, dt: small.axpy(dt, slopes(t, y), y)
 
-    return {"euler": lambda t, y: y + dt * f(t, y), "heun": heun, "runge_kutta": runge_kutta, "implicit_euler": implicit}[method]
 
+def heun_system(f: System, d: int) -> Step:
+    slopes = _slopes(f, d)
 
-def solve_system(problems: DataFrame, keys: list[str], y0: str, f: System, dt: float, t_end: float, method: str = "runge_kutta", df: System | None = None) -> DataFrame:
-    """(keys, step, t, y): trajectories of systems, all problems of a batch in step with each other.
+    def step(t, y, dt):
+        return small.let(slopes(t, y), lambda k: small.let(small.axpy(dt, k, y), lambda z: small.axpy(dt / 2, small.axpy(1.0, k, slopes(t + dt, z)), y)))
+
+    return step
 
-    States from which a step failed, and those after them, are left out.
-    """
-    kinds = ", ".join(f"{k} {problems.schema[k].dataType.simpleString()}" for k in keys)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step = _system_step(method, f, df, dt)
-        for frame in frames:
-            y = np.array([list(v) for v in frame[y0]], float)
-            for n in range(int(t_end / dt) + 1):
-                if n:
-                    y = step((n - 1) * dt, y)
-                fine = np.isfinite(y).all(1)
-                if not fine.any():
-                    break
-                out = frame[keys][fine].reset_index(drop=True)
-                out["step"], out["t"], out["y"] = n, n * dt, [list(v) for v in y[fine]]
-                yield out
+def runge_kutta_system(f: System, d: int) -> Step:
+    slopes = _slopes(f, d)
+    at = lambda t, y, c, k, then: small.let(small.axpy(c, k, y), lambda z: small.let(slopes(t + c, z), then))
+
+    def step(t, y, dt):
+        total = lambda k1, k2, k3, k4: small.axpy(dt / 6, small.axpy(1.0, k1, small.axpy(2.0, k2, small.axpy(2.0, k3, k4))), y)
+        return small.let(slopes(t, y), lambda k1: at(t, y, dt / 2, k1, lambda k2: at(t, y, dt / 2, k2, lambda k3: at(t, y, dt, k3, lambda k4: total(k1, k2, k3, k4)))))
+
+    return step
+
+
+def implicit_euler_system(f: System, df: SystemJacobian, d: int, eps: float = 1e-8, most: int = 100) -> Step:
+    """Newton's method from y in every step; a state that it doesn't find is null."""
+
+    def step(t, y, dt):
+        gap = lambda x: [x[i] - y[i] - dt * v for i, v in enumerate(f(t + dt, x))]
+        slope = lambda x: [[(1.0 if i == j else 0.0) - dt * v for j, v in enumerate(row)] for i, row in enumerate(df(t + dt, x))]
+        found = roots.newton_system(gap, slope, y, d, eps, most)
+        return small.let(found, lambda o: F.when(o["status"] == "Converged", o["result"]))
+
+    return step
+
+
+def solve_system(problems: DataFrame, keys: list[str], step: Step, y0: Column, dt: Column, t_end: Column) -> DataFrame:
+    """(keys, step, t, y): a row a state of a system; a state that is null, and those after it, are left out."""
+    steps = F.floor(t_end / dt).cast("int")
+    start = F.struct(y0.cast("array<double>").alias("y"), F.array(y0.cast("array<double>")).alias("all"))
+
+    def fold(s: Column, k: Column) -> Column:
+        new = F.when(s["y"].isNotNull(), step(k.cast("double") * dt, s["y"], dt))
+        return small.let(new, lambda y: F.struct(y.alias("y"), F.concat(s["all"], F.array(y)).alias("all")))
 
-    return problems.select(*keys, y0).mapInPandas(run, f"{kinds}, step int, t double, y array<double>")
+    states = F.aggregate(small.places(steps), start, fold)["all"]
+    found = problems.select(*keys, dt.cast("double").alias("_dt"), F.posexplode(states).alias("step", "y"))
+    return found.where("y IS NOT NULL").select(*keys, "step", (F.col("step") * F.col("_dt")).alias("t"), "y")

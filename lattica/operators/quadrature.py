@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import small
 from lattica.plans.tables import keep
 
 Function = Callable[[Column], Column]
@@ -78,14 +79,35 @@ def adaptive_trapezoid(intervals: DataFrame, f: Function, keys: list[str], a: st
     return done.groupBy(*keys).agg(F.sum("_sum").alias("integral"), F.sum("_n").alias("panels"), F.when(F.bool_and("_ok"), "Converged").otherwise("MaxIterations").alias("status"))
 
 
-def romberg(f: Function, a: Column, b: Column, levels: int = 7) -> Column:
-    """Trapezoids with 1, 2, 4, ... panels, extrapolated in h**2 to 0."""
-    row = [composite_trapezoid(f, a, b, 2**k) for k in range(levels)]
-    table = F.array(*row)
-    for k in range(1, levels):
-        table = _extrapolate(table, levels - k, 4.0**k)
-    return F.get(table, F.lit(0))
+def romberg_outcome(f: Function, a: Column, b: Column, err: float = 1e-10, levels: int = 14, window: int = 8) -> Column:
+    """struct(status, result, iterations): trapezoids of 1, 2, 4, ... panels, extrapolated in h**2 to 0.
+
+    A level adds only its new nodes, and extrapolates over at most ``window`` levels.  It ends when two
+    levels differ by at most ``err``, or after ``levels`` halvings; ``iterations`` counts these.
+    """
+
+    def refine(s: Column, k: Column) -> Column:
+        panels = F.pow(F.lit(2.0), k - 1).cast("int")
+        h = (b - a) / panels
+        new = F.aggregate(F.sequence(F.lit(0), panels - 1), F.lit(0.0), lambda t, j: t + f(a + h * (j + 0.5)))
+
+        def extrapolate(trapezoid: Column) -> Column:
+            def join(t: Column, before: Column) -> Column:
+                power = 4 * t["power"]
+                return F.struct((t["v"] + (t["v"] - before) / (power - 1)).alias("v"), power.alias("power"), F.concat(t["row"], F.array(t["v"] + (t["v"] - before) / (power - 1))).alias("row"))
+
+            start = F.struct(trapezoid.alias("v"), F.lit(1.0).alias("power"), F.array(trapezoid).alias("row"))
+            found = F.aggregate(F.slice(s["row"], 1, window - 1), start, join)
+            return small.let(found, lambda t: F.struct(t["row"].alias("row"), trapezoid.alias("sum"), t["v"].alias("x"), F.abs(t["v"] - s["x"]).alias("gap"), k.alias("k")))
+
+        return small.let(s["sum"] / 2 + h / 2 * new, extrapolate)
+
+    def step(s: Column) -> Column:
+        return small.let(s["k"] + 1, lambda k: refine(s, k))
+
+    first = small.let(trapezoid(f, a, b), lambda t: F.struct(F.array(t).alias("row"), t.alias("sum"), t.alias("x"), F.lit(float("inf")).alias("gap"), F.lit(0).alias("k")))
+    return small.iterate(first, abs(err), levels, step)
 
 
-def _extrapolate(table: Column, n: int, q: float) -> Column:
-    return F.zip_with(F.slice(table, 2, n), F.slice(table, 1, n), lambda fine, coarse: fine + (fine - coarse) / (q - 1))
+def romberg(f: Function, a: Column, b: Column, err: float = 1e-10, levels: int = 14) -> Column:
+    return romberg_outcome(f, a, b, err, levels)["result"]

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,16 +26,24 @@ def dft(signal: DataFrame, group: list[str], n: str, x: str, size: int) -> DataF
 
 
 def fft(signal: DataFrame, group: list[str], n: str, x: str) -> DataFrame:
-    """(group, k, re, im) of each series by the fast transform, one task a series."""
-    kinds = ", ".join(f"{g} {signal.schema[g].dataType.simpleString()}" for g in group)
-
-    def transform(pdf: pd.DataFrame) -> pd.DataFrame:
-        samples = np.zeros(next_power(int(pdf["_n"].max()) + 1))
-        samples[pdf["_n"].to_numpy()] = pdf["_x"].to_numpy(float)
-        found = np.fft.fft(samples)
-        out = pd.DataFrame({g: [pdf[g].iloc[0]] * len(found) for g in group})
-        out["k"], out["re"], out["im"] = range(len(found)), found.real, found.imag
-        return out
+    """(group, k, re, im) of each series, padded with zeros to a power of two N of its own: a transform of two factors.
 
+    With N = N1 N2, a sample's place is n1 N2 + n2 and a frequency k1 + N1 k2.  Sums over n1, a turn by
+    n2 k1 / N and sums over n2 follow each other, so a sample is multiplied N1 + N2 times, about
+    2 sqrt(N), and every sum is combined before its shuffle.  Samples that are left out count as zero.
+    """
     rows = signal.select(*group, F.col(n).cast("long").alias("_n"), F.col(x).cast("double").alias("_x"))
-    return rows.groupBy(*group).applyInPandas(transform, f"{kinds}, k long, re double, im double")
+    bits = F.when(F.max("_n") > 0, F.length(F.bin(F.max("_n")))).otherwise(0)
+    sizes = rows.groupBy(*group).agg(bits.alias("_bits"))
+    one = lambda c: F.pow(F.lit(2.0), c).cast("long")
+    sizes = sizes.select(*group, one(F.expr("_bits div 2").cast("int")).alias("_a"), one((F.col("_bits") - F.expr("_bits div 2")).cast("int")).alias("_b"))
+    turn = lambda product, size: -2 * math.pi * F.pmod(product, size) / size
+    fill = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1))
+    place = rows.join(sizes, group).select(*group, "_a", "_b", "_x", F.expr("_n div _b").alias("_n1"), (F.col("_n") % F.col("_b")).alias("_n2"), fill("_a").alias("_k1"))
+    angle = turn(F.col("_n1") * F.col("_k1"), F.col("_a"))
+    first = place.groupBy(*group, "_a", "_b", "_n2", "_k1").agg(F.sum(F.col("_x") * F.cos(angle)).alias("_re"), F.sum(F.col("_x") * F.sin(angle)).alias("_im"))
+    spread = first.select("*", fill("_b").alias("_k2"))
+    # Both turns at once: n2 k1 / N + n2 k2 / N2 = n2 (k1 + N1 k2) / N.
+    angle = turn(F.col("_n2") * (F.col("_k1") + F.col("_a") * F.col("_k2")), F.col("_a") * F.col("_b"))
+    re, im = F.col("_re") * F.cos(angle) - F.col("_im") * F.sin(angle), F.col("_re") * F.sin(angle) + F.col("_im") * F.cos(angle)
+    return spread.groupBy(*group, (F.col("_k1") + F.col("_a") * F.col("_k2")).alias("k")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))

@@ -198,6 +198,46 @@ def graph_bfs_whole(spark, sf):
     return graph.breadth_first(both, 1, ["seq", "dst"]).select("node", "depth")
 
 
+# The visiting order: by level, within it by the parent's place and then by node.
+@query(f"""WITH RECURSIVE e AS MATERIALIZED (SELECT src, dst FROM ({_EDGES})), b AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+w(node, depth, ord) USING KEY (node) AS (SELECT dst, 1, row_number() OVER (ORDER BY dst) FROM (SELECT DISTINCT dst FROM b WHERE src = 1)
+UNION SELECT dst, depth, row_number() OVER (ORDER BY ord, dst) FROM (SELECT b.dst, any_value(w.depth) + 1 AS depth, min(w.ord) AS ord FROM w JOIN b ON b.src = w.node WHERE b.dst NOT IN (SELECT node FROM recurring.w) GROUP BY b.dst))
+SELECT row_number() OVER (ORDER BY depth, ord) - 1 AS place, node FROM w""")
+def graph_bfs_order(spark, sf):
+    edges = graph.build_edges(_rows(spark, sf), _SEQ).select("src", "dst", F.lit(0).alias("seq"))
+    both = edges.union(edges.select("dst", "src", "seq"))
+    return ordered.sort_rows(graph.breadth_first(both, 1, ["seq", "dst"]), "depth", "ord", ordinal="place").select("place", "node")
+
+
+# Lines of odd orders are the graph at first; those of even orders are inserted one after the other.
+@query(f"""WITH l AS (SELECT l_suppkey AS src, l_partkey + 1 + (SELECT max(s_suppkey) FROM supplier) AS dst, l_orderkey, l_linenumber, l_extendedprice, l_quantity FROM lineitem),
+k AS (SELECT DISTINCT src, dst FROM l WHERE l_orderkey % 2 = 1)
+SELECT src, dst, l_orderkey, l_linenumber, n = 1 AND k.src IS NULL AS added FROM (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY l_orderkey, l_linenumber, l_extendedprice, l_quantity) AS n FROM l WHERE l_orderkey % 2 = 0) LEFT JOIN k USING (src, dst)""")
+def graph_insert_edges(spark, sf):
+    rows, odd = _rows(spark, sf), F.col("l_orderkey") % 2 == 1
+    suppliers, parts = table(spark, sf, "supplier"), table(spark, sf, "part")
+    offset = suppliers.agg((F.max("s_suppkey") + 1).alias("offset"))
+    nodes = suppliers.select(F.col("s_suppkey").cast("long").alias("id")).union(parts.join(F.broadcast(offset)).select((F.col("p_partkey") + F.col("offset")).cast("long")))
+    told = graph.insert_edges(rows.where(odd), rows.where(~odd), _SEQ, nodes)
+    return told.select("src", "dst", "l_orderkey", "l_linenumber", "added")
+
+
+@query(f"SELECT src, dst, weight FROM ({_EDGES}) WHERE (src + dst) % 5 = 0")
+def graph_removed_weights(spark, sf):
+    edges = graph.build_edges(_rows(spark, sf), _SEQ)
+    return graph.removed_edges(edges, edges.where((F.col("src") + F.col("dst")) % 5 == 0))
+
+
+@query("""SELECT 'queue' AS what, count(*) AS n, count(*) = 0 AS empty FROM events UNION ALL SELECT 'map', count(DISTINCT o_custkey), count(*) = 0 FROM orders
+UNION ALL SELECT 'nodes', count(*), count(*) = 0 FROM supplier UNION ALL SELECT 'none', count(*), count(*) = 0 FROM orders WHERE o_totalprice < 0""")
+def sizes(spark, sf):
+    orders = table(spark, sf, "orders")
+    counted = {"queue": table(spark, sf, "events"), "map": keyed.build_set(orders, "o_custkey"), "none": orders.where("o_totalprice < 0")}
+    both = [keyed.size(df).join(keyed.is_empty(df)).select(F.lit(what).alias("what"), "n", "empty") for what, df in counted.items()]
+    nodes = graph.num_nodes(table(spark, sf, "supplier")).select(F.lit("nodes").alias("what"), "n", (F.col("n") == 0).alias("empty"))
+    return both[0].union(both[1]).union(both[2]).union(nodes)
+
+
 @query("""WITH paths AS (SELECT n_regionkey AS start, 5 + n_nationkey AS node, [n_nationkey, 4611686018427387904] AS path FROM nation
 UNION ALL SELECT n_regionkey, 30 + c_custkey, [n_nationkey, c_custkey, 4611686018427387904] FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT start::BIGINT AS start, node::BIGINT AS node, row_number() OVER (PARTITION BY start ORDER BY path) - 1 AS ord FROM paths""")
@@ -232,3 +272,13 @@ def text_roundtrip(spark, sf):
     folder = new_path(spark)
     text.write_pairs(rows.select("c_custkey", F.col("c_custkey").alias("v")), rows, folder, "c_custkey", "v")
     return text.read_values(spark, folder).withColumnRenamed("value", "line")
+
+
+@query("""SELECT a.v || ', ' || b.v AS line FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS n, c_nationkey::VARCHAR AS v FROM customer) a
+JOIN (SELECT row_number() OVER (ORDER BY s_suppkey) AS n, s_name AS v FROM supplier) b USING (n)""")
+def text_zip(spark, sf):
+    folder = new_path(spark)
+    left = table(spark, sf, "customer").select(F.col("c_custkey").alias("at"), F.col("c_nationkey").cast("string").alias("v"))
+    right = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("at"), F.col("s_name").alias("v"))
+    text.write_pairs(left, right, folder, "at", "v")
+    return text.read_values(spark, folder).withColumnRenamed("value", "line")

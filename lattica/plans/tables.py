@@ -1,4 +1,4 @@
-"""Loading of the tables, and tables kept between jobs."""
+"""Loading of the tables, and tables kept between jobs in the folder that all executors share."""
 
 from __future__ import annotations
 
@@ -13,20 +13,68 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_path(spark: SparkSession) -> str:
-    """A new name in ``spark.checkpoint.dir``, which all executors share; a folder of our own only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/lattica/{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex}"
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, but only on a single machine."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="lattica-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """The rows as a table in the shared folder, which cuts the lineage and survives lost executors."""
-    path = new_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/lattica/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, what: str = "kept") -> str:
+    return f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables and files that this application's operators have left in the shared folder.
+
+    Results that haven't been written elsewhere can't be read any more.
+    """
+    _delete(spark, _folder(spark))
+
+
+class Kept:
+    """A table written to the shared folder, which cuts lineage and survives lost executors."""
+
+    def __init__(self, df: DataFrame, what: str = "kept"):
+        self.spark = df.sparkSession
+        self.path = new_path(self.spark, what)
+        df.write.option("compression", "zstd").parquet(self.path)
+        self.df = self.spark.read.schema(df.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
+
+
+class Bucketed:
+    """A table that is partitioned by ``keys`` once, so that joins on them move the other side only; ``drop`` it in the end."""
+
+    def __init__(self, df: DataFrame, keys: list[str]):
+        self.spark, self.name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
+        self.path = new_path(self.spark, "bucketed")
+        count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        df.repartition(count, *keys).write.bucketBy(count, *keys).sortBy(*keys).option("path", self.path).saveAsTable(self.name)
+        self.df = self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE {self.name}")
+        _delete(self.spark, self.path)
+
+
+def keep(df: DataFrame, what: str = "kept") -> DataFrame:
+    return Kept(df, what).df
 
 
 def r6(column: Column | str, digits: int = 6) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.operators.ordered import sort_rows
+
 
 def write_values(df: DataFrame, path: str, order: str, value: str) -> None:
     """One value a line, in order; the files of a large table follow each other by name."""
@@ -12,9 +14,10 @@ def write_values(df: DataFrame, path: str, order: str, value: str) -> None:
 
 
 def write_pairs(left: DataFrame, right: DataFrame, path: str, order: str, value: str) -> None:
-    """Two columns zipped by their place, as far as the shorter one goes."""
-    both = left.select(order, F.col(value).alias("_a")).join(right.select(order, F.col(value).alias("_b")), order)
-    both.orderBy(order).select(F.concat_ws(", ", F.col("_a").cast("string"), F.col("_b").cast("string")).alias("value")).write.mode("overwrite").text(path)
+    """Two columns zipped by their place in the order of each, as far as the shorter one goes."""
+    numbered = [sort_rows(df.select(order, F.col(value).alias("_v")), order, "_v", ordinal="_at") for df in (left, right)]
+    both = numbered[0].select("_at", F.col("_v").alias("_a")).join(numbered[1].select("_at", F.col("_v").alias("_b")), "_at")
+    both.orderBy("_at").select(F.concat_ws(", ", F.col("_a").cast("string"), F.col("_b").cast("string")).alias("value")).write.mode("overwrite").text(path)
 
 
 def read_values(spark: SparkSession, path: str) -> DataFrame:

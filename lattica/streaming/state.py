@@ -23,13 +23,13 @@ def first_edges_stream(edges: DataFrame, seq: str) -> DataFrame:
 
 
 def heap_stream(rows: DataFrame, group: str, priority: str, tiebreak: str, k: int) -> DataFrame:
-    """(group, ord, priority, tiebreak): the ``k`` least rows of each group that got new ones, for the update mode."""
+    """(group, ord, priority, tiebreak): the ``k`` least rows of each group that got new ones, for the update mode; equal rows each count."""
     kind = rows.schema[group].dataType.simpleString()
 
     def push(key: tuple, frames, state: GroupState):
         held = list(zip(*state.get)) if state.exists else []
         for frame in frames:
-            held = sorted({*held, *zip(frame["_p"].tolist(), frame["_t"].tolist())})[:k]
+            held = sorted([*held, *zip(frame["_p"].tolist(), frame["_t"].tolist())])[:k]
         if held:
             state.update(tuple(map(list, zip(*held))))
         yield pd.DataFrame({group: [key[0]] * len(held), "ord": range(len(held)), "priority": [p for p, _ in held], "tiebreak": [t for _, t in held]})
@@ -39,7 +39,12 @@ def heap_stream(rows: DataFrame, group: str, priority: str, tiebreak: str, k: in
 
 
 def windowed_integral(samples: DataFrame, time: str, group: str, value: str, window: str, late: str) -> DataFrame:
-    """(window, group, integral): the mean of each window's samples times its length in seconds, once the watermark has passed it."""
-    found = samples.withWatermark(time, late).groupBy(F.window(time, window), group).agg(F.avg(value).alias("_mean"))
-    length = F.unix_seconds("window.end") - F.unix_seconds("window.start")
-    return found.select("window", group, (F.col("_mean") * length).alias("integral"))
+    """(window, group, integral): the trapezoids between each window's samples, over seconds, once the watermark has passed it.
+
+    The state holds a window's samples; a window of one sample gives 0.
+    """
+    sample = F.struct(F.unix_micros(F.col(time)).alias("at"), F.col(value).cast("double").alias("y"))
+    found = samples.withWatermark(time, late).groupBy(F.window(time, window), group).agg(F.array_sort(F.collect_list(sample)).alias("_s"))
+    n = F.size("_s") - 1
+    areas = F.zip_with(F.slice("_s", 1, n), F.slice("_s", 2, n), lambda a, b: (b["at"] - a["at"]) / F.lit(2e6) * (a["y"] + b["y"]))
+    return found.select("window", group, F.aggregate(areas, F.lit(0.0), lambda s, v: s + v).alias("integral"))

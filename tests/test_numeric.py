@@ -7,81 +7,107 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lattica.operators import dense, interpolation, linear, ode, quadrature, roots, spectral, status
+from lattica.operators import interpolation, linear, ode, quadrature, roots, small, spectral, status
 from lattica.sources import text
 
 R = np.random.default_rng(5)
 
 
-def test_lu_and_qr():
-    a = 100 * R.random((20, 5, 5))
-    l, u, order, ok = dense.lu(a)
-    assert ok.all() and np.allclose(np.take_along_axis(a, order[:, :, None], axis=1), l @ u, atol=1e-8)
-    q, r = dense.qr(a)
-    assert np.allclose(q @ r, a, atol=1e-8) and np.allclose(q @ q.transpose(0, 2, 1), np.eye(5), atol=1e-10)
-    b = R.random((20, 5))
-    x, ok, n = dense.refine(a, b, 1e-12)
-    assert ok.all() and (n >= 1).all() and np.allclose(np.einsum("nij,nj->ni", a, x), b, atol=1e-9)
+def zero():
+    return F.transform("b", lambda _: F.lit(0.0))
 
 
-def test_lu_edge_cases():
-    swap = np.array([[[0.0, 1], [1, 0]]])
-    assert not dense.lu(swap, pivot=False)[3][0] and dense.lu(swap)[3][0]
-    assert np.allclose(dense.refine(swap, np.array([[2.0, 3]]), 1e-9)[0], [[3, 2]])
-    assert not dense.refine(np.ones((1, 2, 2)), np.ones((1, 2)), 1e-9)[1][0]
-    q, r = dense.qr(np.array([[[1.0, 0], [0, 0]]]))  # a zero column
-    assert np.allclose(q @ r, [[[1, 0], [0, 0]]]) and np.isfinite(q).all()
+def systems(spark, a, b):
+    return spark.createDataFrame([(k, x.tolist(), y.tolist()) for k, (x, y) in enumerate(zip(a, b))], "sys int, a array<array<double>>, b array<double>").coalesce(1)
 
 
-def spd(n=8, d=3):
+def solved(spark, a, b, **columns):
+    return systems(spark, a, b).select("sys", *[c.alias(k) for k, c in columns.items()]).orderBy("sys").collect()
+
+
+def test_lu_and_qr(spark):
+    a, b = 100 * R.random((6, 5, 5)), R.random((6, 5))
+    for r in solved(spark, a, b, lu=small.lu(F.col("a")), x=small.solve(F.col("a"), F.col("b")), qr=small.qr(F.col("a")), y=small.let(small.qr(F.col("a")), lambda f: small.qr_solve(f, F.col("b")))):
+        k, m, q, t = r["sys"], np.array(r["lu"]["m"]), np.array(r["qr"]["q"]), np.array(r["qr"]["r"])
+        assert r["lu"]["ok"] and np.allclose(a[k][r["lu"]["order"]], (np.tril(m, -1) + np.eye(5)) @ np.triu(m), atol=1e-8)
+        assert np.allclose(q @ t, a[k], atol=1e-8) and np.allclose(q @ q.T, np.eye(5), atol=1e-10) and np.allclose(t, np.triu(t))
+        assert np.allclose(a[k] @ r["x"], b[k], atol=1e-9) and np.allclose(a[k] @ r["y"], b[k], atol=1e-9)
+
+
+def test_lu_edge_cases(spark):
+    a, b = np.array([[[0.0, 1], [1, 0]], [[1.0, 1], [1, 1]], [[1.0, 0], [0, 0]]]), np.array([[2.0, 3], [1, 1], [1, 1]])
+    swap, ones, half = solved(spark, a, b, plain=small.lu(F.col("a"), pivot=False)["ok"], ok=small.lu(F.col("a"))["ok"], x=small.solve(F.col("a"), F.col("b"), 1e-9), qr=small.qr(F.col("a")))
+    assert not swap["plain"] and swap["ok"] and swap["x"] == [3, 2]
+    assert not ones["ok"] and ones["x"] is None
+    assert np.allclose(np.array(half["qr"]["q"]) @ np.array(half["qr"]["r"]), a[2])  # a zero column
+    assert solved(spark, np.array([[[4.0]]]), np.array([[2.0]]), x=small.solve(F.col("a"), F.col("b")))[0]["x"] == [0.5]
+
+
+def spd(n=4, d=3):
     m = R.random((n, d, d))
     return (m + m.transpose(0, 2, 1)) / 2 + 3 * np.eye(d), R.random((n, d))
 
 
-@pytest.mark.parametrize("method", [lambda *s: dense.sor(*s, omega=1.0), lambda *s: dense.sor(*s, omega=1.7), dense.steepest_descent, dense.conjugate_gradient])
-def test_iterative_solvers(method):
+METHODS = [lambda *s: small.sor(*s, omega=1.0), lambda *s: small.sor(*s, omega=1.7), lambda *s: small.descend(*s, conjugate=False), lambda *s: small.descend(*s, conjugate=True)]
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_iterative_solvers(spark, method):
     a, b = spd()
-    x, norm, _ = method(a, b, np.zeros_like(b), 1e-6, 200)
-    assert dense.status(norm, 1e-6) == ["Converged"] * len(a) and np.allclose(np.einsum("nij,nj->ni", a, x), b, atol=1e-5)
-    _, norm, n = method(a, b, np.linalg.solve(a, b[:, :, None])[:, :, 0], 1e-6, 50)
-    assert (n == 0).all() and dense.status(norm, 1e-6) == ["Converged"] * len(a)
-    assert "MaxIterations" in dense.status(method(a, b, np.zeros_like(b), 1e-14, 1)[1], 1e-14)
+    exact = np.linalg.solve(a, b[:, :, None])[:, :, 0]
+    for r in solved(spark, a, b, many=method(F.col("a"), F.col("b"), zero(), 1e-6, 200), one=method(F.col("a"), F.col("b"), zero(), 1e-14, 1)):
+        assert r["many"]["status"] == "Converged" and np.allclose(r["many"]["result"], exact[r["sys"]], atol=1e-5) and r["one"]["status"] == "MaxIterations"
+    near = spark.createDataFrame([(a[0].tolist(), b[0].tolist(), exact[0].tolist())], "a array<array<double>>, b array<double>, x array<double>")
+    assert near.select(method(F.col("a"), F.col("b"), F.col("x"), 1e-6, 50).alias("o")).first()["o"]["iterations"] == 0
+    assert solved(spark, np.zeros((1, 2, 2)), np.ones((1, 2)), o=method(F.col("a"), F.col("b"), zero(), 1e-6, 5))[0]["o"]["status"] == "Failed"
 
 
 def test_sor_rejects_omega():
-    with pytest.raises(ValueError):
-        dense.sor(*spd(), np.zeros((8, 3)), 1e-6, 10, 2.0)
+    for method in (lambda: small.sor(None, None, None, 1e-6, 10, 2.0), lambda: linear.relax(None, None, 1e-6, 10, 2.0)):
+        with pytest.raises(ValueError):
+            method()
 
 
-def test_eigenvalues():
+def test_eigenvalues(spark):
     a = np.arange(1.0, 10).reshape(1, 3, 3)
-    assert np.allclose(np.sort(dense.qr_algorithm(a, 60)[0]), [-1.11684, 0, 16.1168], atol=1e-4)
-    value, vector, error, _ = dense.inverse_iteration(a, np.array([[1.0, 2, 3]]), 15, 1e-9, 100)
-    assert np.allclose(value, 16.1168, atol=1e-4) and np.allclose(np.abs(vector[0]), [0.231971, 0.525322, 0.818673], atol=1e-5)
-    assert np.isnan(dense.inverse_iteration(np.eye(2)[None], np.ones((1, 2)), 1.0, 1e-9, 9)[2]).all()
+    found = solved(spark, a, np.array([[1.0, 2, 3]]), e=F.array_sort(small.qr_eigenvalues(F.col("a"), 60)), near=small.inverse_iteration(F.col("a"), F.col("b"), 15, 1e-9, 100), zero=small.inverse_iteration(F.col("a"), zero(), 15, 1e-9, 100))[0]
+    assert np.allclose(found["e"], [-1.11684, 0, 16.1168], atol=1e-4)
+    for o in (found["near"], found["zero"]):  # a zero start is replaced
+        assert np.isclose(o["result"]["value"], 16.1168, atol=1e-4) and np.allclose(np.abs(o["result"]["vector"]), [0.231971, 0.525322, 0.818673], atol=1e-5)
+    assert solved(spark, np.eye(2)[None], np.ones((1, 2)), o=small.inverse_iteration(F.col("a"), F.col("b"), 1.0, 1e-9, 9))[0]["o"]["status"] == "Failed"
 
 
 def test_distributed_iterations(spark):
-    a, b = spd(3)
-    systems = spark.createDataFrame([(k, a[k].tolist(), b[k].tolist()) for k in range(3)], "sys int, a array<array<double>>, b array<double>")
-    ca, cb = linear.coordinates(systems)
-    found = linear.jacobi(ca, cb, 1e-8, 80).orderBy("sys", "i").collect()
-    assert {r["status"] for r in found} == {"Converged"}
-    assert np.allclose([r["v"] for r in found], np.linalg.solve(a, b[:, :, None]).ravel(), atol=1e-7)
-    assert {r["status"] for r in linear.jacobi(ca, cb, 1e-12, 1).collect()} == {"MaxIterations"}
-    zero = spark.createDataFrame([(0, 0, 0, 0.0), (0, 0, 1, 1.0), (0, 1, 0, 1.0), (0, 1, 1, 1.0)], "sys int, i int, j int, a double")
-    assert {r["status"] for r in linear.jacobi(zero, spark.createDataFrame([(0, 0, 1.0), (0, 1, 1.0)], "sys int, i int, v double"), 1e-6, 5).collect()} == {"Failed"}
-    top = linear.power_iteration(ca, 1e-6, 60).orderBy("sys").collect()
-    assert np.allclose([r["value"] for r in top], np.linalg.eigvalsh(a)[:, -1], atol=1e-4)
+    """Three systems of 60 unknowns, one of them with an empty matrix; the two colours of a ring of even length."""
+    d = 60
+    ring = 4 * np.eye(d) - np.roll(np.eye(d), 1, 0) - np.roll(np.eye(d), -1, 0)
+    a, b = np.stack([ring, ring + np.diag(R.random(d)), np.zeros((d, d))]), R.random((3, d))
+    ca, cb = linear.coordinates(systems(spark, a, b))
+    exact = np.linalg.solve(a[:2], b[:2, :, None]).ravel()
+    relaxed = [lambda *s: linear.jacobi(*s), lambda *s: linear.relax(*s, omega=1.1, colours=2), lambda *s: linear.descend(*s, conjugate=False), lambda *s: linear.descend(*s, conjugate=True)]
+    for method in relaxed:
+        found = method(ca, cb, 1e-9, 90).orderBy("sys", "i").collect()
+        assert [r["status"] for r in found] == ["Converged"] * 2 * d + ["Failed"] * d and found[0]["iterations"] > 1
+        assert np.allclose([r["v"] for r in found[: 2 * d]], exact, atol=1e-8) and found[-1]["v"] is None
+        assert {r["status"] for r in method(ca, cb, 1e-12, 1).where("sys < 2").collect()} == {"MaxIterations"}
+        assert method(ca.limit(0), cb.limit(0), 1e-9, 9).count() == 0
+    with pytest.raises(ValueError):
+        linear.relax(ca, cb, 1e-9, 9, colours=1)
+    m, _ = spd(3)
+    cm, _ = linear.coordinates(systems(spark, m, np.ones((3, 3))))
+    none = spark.createDataFrame([(s, i, 0.0) for s in range(3) for i in range(3)], "sys int, i long, v double")
+    for start in (None, none):
+        top = linear.power_iteration(cm, 1e-7, 200, start).orderBy("sys", "i").toPandas()
+        values, vectors = np.linalg.eigh(m)
+        assert np.allclose(top.value[::3], values[:, -1], atol=1e-5) and set(top.status) == {"Converged"}
+        assert np.allclose(np.abs(top.v.to_numpy().reshape(3, 3)), np.abs(vectors[:, :, -1]), atol=1e-4)
+    assert {r["status"] for r in linear.power_iteration(ca.where("sys = 2"), 1e-6, 12).collect()} == {"Failed"}
 
 
 def test_least_squares(spark):
     df = spark.createDataFrame([(1.0, 0.0, 1.0), (0.0, 1.0, 1.0), (1.0, 1.0, 0.0)], "u double, v double, y double").withColumn("g", F.lit(1))
-    normal = linear.gram(df, ["g"], [F.col("u"), F.col("v")], F.col("y")).first()
-    x, ok, _ = dense.refine(np.array([normal["a"]]), np.array([normal["b"]]), 1e-12)
-    assert ok[0] and np.allclose(x, 1 / 3, atol=1e-8)
-    with pytest.raises(PySparkException):
-        dense.apply(spark.createDataFrame([(1, [[1.0, 2.0]], [1.0])], "g int, a array<array<double>>, b array<double>"), lambda a, b: {"x": b[:, 0]}, "x double", ["g"]).collect()
+    normal = linear.gram(df, ["g"], [F.col("u"), F.col("v")], F.col("y"))
+    assert np.allclose(normal.select(small.solve(F.col("a"), F.col("b")).alias("x")).first()["x"], 1 / 3, atol=1e-8)
 
 
 def one(spark, column):
@@ -97,16 +123,18 @@ def test_newton(spark):
     assert one(spark, roots.newton(f, df, F.lit(0.0), 1e-8, 9))["status"] == "Failed"
     assert one(spark, roots.damped_newton(f, df, F.lit(0.0), 1e-8, 9, 1e-2))["status"] == "Failed"
     assert one(spark, roots.newton(lambda x: x - 2, lambda x: F.lit(1.0), F.lit(2.0), 1e-8, 9))["iterations"] == 0
-    problems = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.0, 0.0])], "id int, x0 array<double>")
-
-    def g(x):
-        return np.stack([x[:, 0] ** 2 + x[:, 1] ** 2 - 5, x[:, 0] - x[:, 1] + 1], axis=1)
-
-    def dg(x):
-        return np.stack([2 * x, np.tile([1.0, -1.0], (len(x), 1))], axis=1)
-
-    got = {r["id"]: r for r in roots.newton_system(problems, ["id"], "x0", g, dg, 1e-9, 50).collect()}
-    assert np.allclose(got[0]["x"], [1, 2]) and got[0]["iterations"] == 0 and got[1]["status"] == "Failed"
+    start = F.array(F.lit(1.0), F.lit(2.0))
+    g, dg = lambda x: [x[0] * x[0] + x[1] * x[1] - 5, x[0] - x[1] + 1], lambda x: [[2 * x[0], 2 * x[1]], [F.lit(1.0), F.lit(-1.0)]]
+    for solve in (lambda f, df, x0, d, most: roots.newton_system(f, df, x0, d, 1e-9, most), lambda f, df, x0, d, most: roots.damped_newton_system(f, df, x0, d, 1e-9, most, 1e-2)):
+        found = one(spark, solve(g, dg, start, 2, 100))
+        assert np.allclose(found["result"], [1, 2]) and found["iterations"] == 0
+        assert np.allclose(one(spark, solve(g, dg, F.array(F.lit(3.0), F.lit(3.0)), 2, 100))["result"], [1, 2])
+        assert one(spark, solve(g, dg, F.array(F.lit(3.0), F.lit(3.0)), 2, 1))["status"] == "MaxIterations"
+        assert one(spark, solve(g, dg, F.array(F.lit(0.0), F.lit(0.0)), 2, 50))["status"] == "Failed"
+        three = one(spark, solve(lambda x: [x[0] - x[1], x[1] - 2 * x[2], x[2] * x[2] - 4], lambda x: [[F.lit(1.0), F.lit(-1.0), F.lit(0.0)], [F.lit(0.0), F.lit(1.0), F.lit(-2.0)], [F.lit(0.0), F.lit(0.0), 2 * x[2]]], F.array(*map(F.lit, [1.0, 1.0, 1.0])), 3, 100))
+        assert three["status"] == "Converged" and np.allclose(three["result"], [4, 4, 2])
+    with pytest.raises(ValueError):
+        roots.damped_newton_system(g, dg, start, 2, 1e-9, 9, 2.0)
 
 
 def test_status(spark):
@@ -137,26 +165,28 @@ def test_ode(spark):
 
 @pytest.mark.parametrize("method", ["euler", "heun", "runge_kutta", "implicit_euler"])
 def test_ode_systems(spark, method):
-    def van_der_pol(t, y):
-        return np.stack([y[:, 1], (1 - y[:, 0] ** 2) * y[:, 1] - y[:, 0]], axis=1)
-
-    def jacobian(t, y):
-        zero, one = np.zeros(len(y)), np.ones(len(y))
-        return np.stack([np.stack([zero, one], 1), np.stack([-2 * y[:, 0] * y[:, 1] - 1, 1 - y[:, 0] ** 2], 1)], axis=1)
-
+    field = lambda t, y: [y[1], (1 - y[0] * y[0]) * y[1] - y[0]]
+    slopes = lambda t, y: [[F.lit(0.0), F.lit(1.0)], [-2 * y[0] * y[1] - 1, 1 - y[0] * y[0]]]
+    step = {"euler": ode.euler_system, "heun": ode.heun_system, "runge_kutta": ode.runge_kutta_system}.get(method)
+    step = step(field, 2) if step else ode.implicit_euler_system(field, slopes, 2)
     df = spark.createDataFrame([(1, [1.0, 1.0]), (2, [0.0, 0.0])], "id int, y0 array<double>")
     dt = 0.25 if method != "euler" else 0.05
-    got = ode.solve_system(df, ["id"], "y0", van_der_pol, dt, 25.0, method, jacobian).collect()
+    got = ode.solve_system(df, ["id"], step, F.col("y0"), F.lit(dt), F.lit(25.0)).collect()
     assert len(got) == 2 * (int(25 / dt) + 1) and all(abs(v) < 10 for r in got for v in r["y"]) and all(r["y"] == [0, 0] for r in got if r["id"] == 2)
+    if method == "implicit_euler":  # a step that isn't found ends the trajectory
+        never = ode.implicit_euler_system(lambda t, y: [y[0] * y[0] + 1e6, F.lit(0.0)], lambda t, y: [[2 * y[0], F.lit(0.0)], [F.lit(0.0), F.lit(0.0)]], 2, most=5)
+        assert [r["step"] for r in ode.solve_system(df.limit(1), ["id"], never, F.col("y0"), F.lit(1.0), F.lit(3.0)).collect()] == [0]
 
 
-def test_residual_is_exact_to_the_last_bit():
+def test_residual_is_exact_to_the_last_bit(spark):
     from fractions import Fraction
 
     a, x = 1e6 * R.random((3, 6, 6)), R.random((3, 6))
     b = np.einsum("nij,nj->ni", a, x)
     want = [[float(Fraction(b[n, i]) - sum(Fraction(a[n, i, j]) * Fraction(x[n, j]) for j in range(6))) for i in range(6)] for n in range(3)]
-    assert np.allclose(dense.residual(a, x, b), want, rtol=1e-9, atol=0)
+    df = spark.createDataFrame([(k, a[k].tolist(), x[k].tolist(), b[k].tolist()) for k in range(3)], "k int, a array<array<double>>, x array<double>, b array<double>")
+    got = [r["r"] for r in df.orderBy("k").select(small.residual(F.col("a"), F.col("x"), F.col("b")).alias("r")).collect()]
+    assert np.allclose(got, want, rtol=1e-9, atol=0)
 
 
 def test_quadrature(spark):
@@ -168,6 +198,10 @@ def test_quadrature(spark):
         assert abs(one(spark, rule) - exact) < tolerance
     with pytest.raises(ValueError):
         quadrature.simpson(F.exp, a, b, 3)
+    told = one(spark, quadrature.romberg_outcome(F.exp, a, b, 1e-12))
+    assert told["status"] == "Converged" and 3 <= told["iterations"] <= 6
+    assert one(spark, quadrature.romberg_outcome(F.sqrt, a, b, 1e-12, levels=4))["status"] == "MaxIterations"
+    assert abs(one(spark, quadrature.romberg(F.sqrt, a, b, 1e-7, levels=16)) - 2 / 3) < 1e-5  # slow, so the window of eight levels is passed
     df = spark.createDataFrame([(1, 0.0, 1.0), (2, 1.0, 0.0)], "id int, a double, b double")
     found = {r["id"]: r for r in quadrature.adaptive_trapezoid(df, F.exp, ["id"], "a", "b", 1e-6).collect()}
     assert abs(found[1]["integral"] - exact) < 1e-5 and abs(found[2]["integral"] + exact) < 1e-5 and found[1]["status"] == "Converged"
@@ -208,6 +242,26 @@ def test_spline(spark):
     assert interpolation.segments_of_samples(knots, ["g"], "x", "y").count() == 50
 
 
+@pytest.mark.parametrize("rows", [1_000_000, 7])
+def test_as_of_and_nearest(spark, monkeypatch, rows):
+    """Also over series cut into ranges; groups without points, equal places and repeated queries."""
+    monkeypatch.setattr(interpolation, "RANGE_ROWS", rows)
+    points = [(g, float(x), f"{g}:{x}") for g in (1, 2) for x in sorted(R.choice(100, 30, replace=False))]
+    asked = [(g, float(x)) for g in (1, 2, 3) for x in (*R.integers(-5, 105, 40), 7.5, 7.5)]
+    p, q = spark.createDataFrame(points, "g int, at double, name string"), spark.createDataFrame(asked, "g int, x double")
+    of = lambda g: [(x, n) for h, x, n in points if h == g]
+    plain = {
+        (False, False): lambda g, x: max(((a, n) for a, n in of(g) if a <= x), default=(None, None))[1],
+        (True, False): lambda g, x: max(((a, n) for a, n in of(g) if a < x), default=(None, None))[1],
+        (False, True): lambda g, x: min(((a, n) for a, n in of(g) if a >= x), default=(None, None))[1],
+    }
+    for (strict, forward), want in plain.items():
+        got = interpolation.as_of(p, q, ["g"], "at", "x", "s", strict, forward).collect()
+        assert len(got) == len(asked) and all((r["s"] and r["s"]["name"]) == want(r["g"], r["x"]) for r in got)
+    got = interpolation.nearest(p, q, ["g"], "at", "x").collect()
+    assert len(got) == len(asked) and all((r["nearest"] and r["nearest"]["name"]) == min(((abs(a - r["x"]), a, n) for a, n in of(r["g"])), default=(0, 0, None))[2] for r in got)
+
+
 def test_transforms(spark):
     def signal(values):
         return spark.createDataFrame([(1, n, float(v)) for n, v in enumerate(values)], "g int, n int, x double")
@@ -228,6 +282,8 @@ def test_text(spark, tmp_path):
     assert [r[0] for r in text.read_values(spark, f"file://{tmp_path}/one").collect()] == ["a", "b", ""]
     text.write_pairs(df, df.where("pos < 2"), f"file://{tmp_path}/two", "pos", "v")
     assert sorted(tuple(r) for r in text.read_pairs(spark, f"file://{tmp_path}/two").collect()) == [("a", "a"), ("b", "b")]
+    text.write_pairs(df, spark.createDataFrame([(70, "y"), (50, "x")], "pos int, v string"), f"file://{tmp_path}/three", "pos", "v")
+    assert sorted(tuple(r) for r in text.read_pairs(spark, f"file://{tmp_path}/three").collect()) == [("a", "x"), ("b", "y")]
 
 
 @pytest.mark.parametrize("name", ["barycentric", "neville", "newton", "spline"])

@@ -15,6 +15,7 @@ def pairs(spark, values):
     return spark.createDataFrame(list(enumerate(values)), "pos long, v int")
 
 
+# The arrays, the tree and the five edges of this file are those that the operators are compared on.
 @pytest.mark.parametrize("values", [[12, 10, 24, 16, 36, 23, 15, 35], [], [1], [2, 1], [3, 3, 1, 3], list(range(9, -1, -1))])
 def test_sort_is_a_permutation_in_order(spark, values):
     found = ordered.sort_rows(pairs(spark, values).repartition(3), "v", "pos")
@@ -76,6 +77,14 @@ def test_graph_edits(spark):
     assert graph.unknown_ends(built, nodes).count() == 0 and graph.unknown_ends(built, spark.range(3)).count() == 2
     assert [r["dst"] for r in graph.neighbors(edges.where("seq < 5"), ["seq"]).where("src = 0").orderBy("place").collect()] == [1, 2]
     assert rows(graph.weights(built, spark.createDataFrame([(3, 4), (4, 3)], "src long, dst long")), "src") == [(3, 4, 3), (4, 3, None)]
+    gone = spark.createDataFrame([(3, 4), (4, 3)], "src long, dst long")
+    assert rows(graph.removed_edges(built, gone)) == [(3, 4, 3)]
+    more = spark.createDataFrame([(0, 1, 9, 9), (2, 2, 9, 9), (2, 2, 8, 8), (4, 0, 7, 7)], EDGES)
+    told = {(r["src"], r["dst"], r["seq"]): r["added"] for r in graph.insert_edges(built, more, ["seq"], nodes).collect()}
+    assert told == {(0, 1, 9): False, (2, 2, 9): False, (2, 2, 8): True, (4, 0, 7): True}
+    with pytest.raises(PySparkException):
+        graph.insert_edges(built, more, ["seq"], spark.range(3)).collect()
+    assert graph.num_nodes(nodes).first()["n"] == 5 and keyed.is_empty(nodes.limit(0)).first()["empty"]
     assert graph.remove_edges(built, spark.createDataFrame([(3, 4)], "src long, dst long")).count() == 4
 
 
