@@ -98,22 +98,24 @@ def _sum_arrays(column: str, width: int) -> Column:
     return F.array(*[F.sum(F.get(column, F.lit(i))).cast("double") for i in range(width)])
 
 
-def _total(histogram: str) -> Column:
-    return F.aggregate(histogram, F.lit(0.0), lambda total, x: total + x.cast("double"))
+def _shares(histogram: Column, total: Column) -> Column:
+    """A histogram as parts of one; null if it is empty."""
+    return F.when(total > 0, F.transform(histogram, lambda x: x / total))
 
 
-def _distance(mine: str, reference: str) -> Column:
-    """Jensen-Shannon distance (base 2, 0 to 1) of two histograms; 0 if either is empty or absent."""
+def _distance(mine: str, total: str, reference: str) -> Column:
+    """Jensen-Shannon distance (base 2, 0 to 1) of a histogram, whose sum is ``total``, and shares; 0 if either is empty or absent."""
 
     def part(x, middle):
-        return F.when(x > 0, x * F.log2(F.try_divide(x, middle))).otherwise(0.0)
+        return F.when(x > 0, x * F.log2(x / middle)).otherwise(0.0)
 
-    def term(x, y):
-        p, q = F.try_divide(x.cast("double"), _total(mine)), F.try_divide(y.cast("double"), _total(reference))
-        return (part(p, (p + q) / 2) + part(q, (p + q) / 2)) / 2
+    def term(x, q):
+        p = x / F.col(total)
+        middle = (p + q) / 2
+        return (part(p, middle) + part(q, middle)) / 2
 
-    total = F.aggregate(F.zip_with(mine, reference, term), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    return F.when((_total(mine) > 0) & (_total(reference) > 0), F.sqrt(F.greatest(F.lit(0.0), total))).otherwise(0.0)
+    known = (F.col(total) > 0) & F.col(reference).isNotNull()
+    return F.when(known, F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(mine, reference, term), F.lit(0.0), lambda s, x: s + x)))).otherwise(0.0)
 
 
 def quality_rules(
@@ -142,13 +144,15 @@ def quality_rules(
     judged = kept.withColumn("base_failed", failed)
     widest = max(map(len, lists.values())) + 1
     sums = judged.where("NOT base_failed").groupBy("lang").agg(_sum_arrays("classes", CLASSES).alias("ref_classes"), F.filter(_sum_arrays("shares", widest), lambda x: x.isNotNull()).alias("ref_shares"))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    sums = sums.select("lang", *[_shares(F.col(c), total(c)).alias(c) for c in ("ref_classes", "ref_shares")])
     references = Kept(sums, "references").df
     few = references.count() <= 10_000
     found = judged.alias("d").join(F.broadcast(references.alias("r")) if few else references.alias("r"), F.col("d.lang").eqNullSafe(F.col("r.lang")), "left")
     scored = found.select(
         F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.when(F.col("word_chars") >= min_chars, _distance("classes", "ref_classes")).otherwise(0.0).alias("class_distance"),
-        F.when((F.col("n_words") >= min_words) & (F.size("shares") > 1), _distance("shares", "ref_shares")).otherwise(0.0).alias("word_distance"),
+        F.when(F.col("word_chars") >= min_chars, _distance("classes", "word_chars", "ref_classes")).otherwise(0.0).alias("class_distance"),
+        F.when((F.col("n_words") >= min_words) & (F.size("shares") > 1), _distance("shares", "n_words", "ref_shares")).otherwise(0.0).alias("word_distance"),
         "base_failed",
     )
     noise = slack / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))

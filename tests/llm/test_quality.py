@@ -9,6 +9,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers
@@ -86,11 +87,14 @@ def test_distances(spark):
         part = lambda x: np.sum(np.where(x > 0, x * np.log2(np.where(x > 0, x, 1) / np.where(m > 0, m, 1)), 0))
         return np.sqrt((part(p) + part(q)) / 2)
 
+    def found(rows):
+        df = spark.createDataFrame([(p, sum(p), q) for p, q in rows], "p array<long>, n long, q array<double>")
+        shares = quality_rules._shares(F.col("q"), F.aggregate("q", F.lit(0.0), lambda s, x: s + x))
+        return [r["d"] for r in df.withColumn("q", shares).select(quality_rules._distance("p", "n", "q").alias("d")).collect()]
+
     rows = [([1, 2, 3], [3.0, 2.0, 1.0]), ([1, 0, 0], [0.0, 1.0, 0.0]), ([5, 5, 0], [1.0, 1.0, 0.0])]
-    got = spark.createDataFrame(rows, "p array<long>, q array<double>").select(quality_rules._distance("p", "q").alias("d")).collect()
-    assert np.allclose([r["d"] for r in got], [js(p, q) for p, q in rows])
-    none = spark.createDataFrame([([0, 0], [1.0, 1.0]), ([1, 0], None)], "p array<long>, q array<double>")
-    assert [r["d"] for r in none.select(quality_rules._distance("p", "q").alias("d")).collect()] == [0.0, 0.0]
+    assert np.allclose(found(rows), [js(p, q) for p, q in rows])
+    assert found([([0, 0], [1.0, 1.0]), ([1, 0], None), ([1, 0], [0.0, 0.0])]) == [0.0, 0.0, 0.0]
 
 
 def test_rules_tell_labels_apart(spark):
