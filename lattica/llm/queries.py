@@ -27,8 +27,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"))
-    return mixed.select("doc.doc_id", "n_tokens", "source", "lang", "topic", F.round("probability", 6).alias("probability"), "sampled")
+    mixed = mixing.mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source", "lang"), carry=["doc_id"])
+    return mixed.select("doc.doc_id", "n_tokens", "source", "lang", "topic", F.round("probability", 4).alias("probability"), "sampled")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
