@@ -53,8 +53,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    directory = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
-    return warc.read_archives(directory, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    manifest = warc.write_archives(pages, min_bytes=0)
+    # Every page is looked up by its URL.
+    return warc.read_records(warc.lookup(manifest, pages), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,28 +124,47 @@ PAGES = [(3, "http://www.b.com/x?q=1", "same"), (1, "https://b.com:8080/", "same
 
 def test_archives(spark):
     pages = spark.createDataFrame([(i, u, h, "k") for i, u, h in PAGES], "page_id long, url string, html string, sha1 string").repartition(2)
-    directory = warc.write_archives(pages)
-    got = {r["page_id"]: r for r in warc.read_archives(directory).collect()}
-    assert len(got) == len(PAGES)
-    for i, _, html in PAGES:
+    manifest = warc.write_archives(pages)
+    rows = warc.read_records(warc.lookup(manifest, pages.union(pages))).collect()
+    got = {r["page_id"]: r for r in rows}
+    assert len(got) == len(rows) == len(PAGES)
+    for i, url, html in PAGES:
         raw = (html or "").encode()
-        assert got[i]["payload_digest"] == warc.digest(raw) and got[i]["payload_bytes"] == len(raw)
+        assert got[i]["payload_digest"] == warc.digest(raw) and got[i]["payload_bytes"] == len(raw) and (got[i]["url"] is None) == (url is None)
         first = {3: 1, 4: 1, 5: 2}.get(i)
         assert (got[i]["record_type"], got[i]["refers_to"]) == (("revisit", first) if first else ("response", None))
         assert first or bytes(got[i]["payload"]) == raw
-    index = warc.Index([tuple(r) for r in directory.collect()])
+    index = warc.Index([tuple(r) for r in manifest.collect()])
     assert sorted(c[1] for c in index.captures("https://www.b.com/x?q=1")) == [3, 9] and index.captures("http://nobody.org/") == []
-    assert {r["record_type"] for r in warc.read_archives(warc.write_archives(pages, min_bytes=100)).collect()} == {"response"}
-    assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
+    assert sorted(r["page_id"] for r in warc.lookup(manifest, spark.createDataFrame([("https://www.b.com/x?q=1",), ("http://nobody.org/",), (None,)], "url string")).collect()) == [2, 3, 9]
+    short = warc.write_archives(pages, min_bytes=100)
+    assert {r["record_type"] for r in warc.read_records(warc.lookup(short, pages)).collect()} == {"response"}
+    none = pages.limit(0)
+    assert warc.read_records(warc.lookup(warc.write_archives(none), pages)).count() == 0 == warc.lookup(manifest, none).count()
 
 
-def test_index_over_many_blocks(spark, monkeypatch):
+def test_record_ids_are_unique(spark):
+    """Repeated rows, ids with two payloads and null ids; a revisit names its response."""
+    rows = [(1, "http://a.org/", "x"), (1, "http://a.org/", "x"), (1, "http://a.org/", "y"), (2, "http://a.org/", "x"), (None, "http://a.org/", "x"), (None, "http://a.org/", "x")]
+    index = warc.Index([tuple(r) for r in warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)).collect()])
+    heads = [index.read(c)[0] for c in index.captures("http://a.org/")]
+    ids = [h["warc-record-id"] for h in heads]
+    assert len(ids) == len(set(ids)) == len(rows) and [h["warc-type"] for h in heads].count("revisit") == 1
+    refers = next(h["warc-refers-to"] for h in heads if h["warc-type"] == "revisit")
+    assert any(i.startswith(refers[:-1]) for i in ids)
+
+
+def test_index_over_many_blocks_and_files(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 3)
+    monkeypatch.setattr(warc, "INDEX_LINES", 8)
     pages = spark.createDataFrame([(k, f"http://h{k % 4}.org/p", f"{k}") for k in range(40)], "page_id long, url string, html string")
-    index = warc.Index([tuple(r) for r in warc.write_archives(pages).collect()])
+    manifest = warc.write_archives(pages)
+    assert manifest.count() > 2
+    index = warc.Index([tuple(r) for r in manifest.collect()])
     for k in range(4):
         found = index.captures(f"http://h{k}.org/p")
         assert sorted(c[1] for c in found) == list(range(k, 40, 4)) and all(index.read(c)[1] == str(c[1]).encode() for c in found)
+    assert sorted(r["page_id"] for r in warc.lookup(manifest, pages).collect()) == list(range(40))
 
 
 def test_url_keys():
