@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.tables import Kept, clear, new_path
+
+__all__ = ["BROADCAST_KEYS", "PIECE_ROWS", "Kept", "clear", "col", "filter_by", "new_path", "quoted", "sliced", "whole_row"]
+
 #: Rows of 8-byte keys that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_KEYS = 1_000_000
 #: Rows of a piece of a record batch that a Python worker handles at once.
@@ -30,17 +32,6 @@ def whole_row(df: DataFrame) -> Column:
     return F.struct(*[col(c).alias(c) for c in df.columns])
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; where it is unset, one of our own, but only on a single machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="lattica-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` on pieces of at most PIECE_ROWS rows; Spark bounds the batches themselves by their bytes."""
 
@@ -50,44 +41,6 @@ def sliced(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return over
 
 
-def _folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/lattica/{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    return f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def _delete(spark: SparkSession, name: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete all tables and files that this application's operators have left in the shared folder.
-
-    Results that haven't been written elsewhere can't be read any more.
-    """
-    _delete(spark, _folder(spark))
-
-
-class Kept:
-    """A table written to the shared folder, which cuts lineage and survives lost executors."""
-
-    def __init__(self, df: DataFrame, what: str):
-        self.spark = df.sparkSession
-        self.path = new_path(self.spark, what)
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        _delete(self.spark, self.path)
-
-
-def keep(df: DataFrame, what: str) -> DataFrame:
-    return Kept(df, what).df
-
-
 def filter_by(df: DataFrame, keys: DataFrame, column: str | list[str], anti: bool = False) -> DataFrame:
     """Rows of ``df`` whose ``column`` (or columns) is (or with ``anti`` isn't) in the kept table ``keys``.
 

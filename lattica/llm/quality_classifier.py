@@ -195,7 +195,11 @@ def held_out(id_column) -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> ByteConv:
-    """A network fitted on rows that aren't held out, in order of a hash of their id."""
+    """A network fitted on rows that aren't held out, in order of a hash of their id.
+
+    Null ids teach nothing.  Of labels that repeat an id one counts, and each text that has the id is a
+    row of its own; without any, the network is as it began.
+    """
     known = labels.select(col(id_column).alias("id"), col(label_column).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     known = known.where(~held_out("id")).dropDuplicates(["id"])
     texts = []
@@ -221,7 +225,7 @@ def _score(model: ByteConv):
 def score(docs: DataFrame, model: ByteConv, text_column: str = "text") -> DataFrame:
     """(doc, score): all columns of each row as a struct, and the probability that it is good.
 
-    Null and empty texts score 0.  Rows with equal texts score alike.
+    Null and empty texts score 0.  Rows with equal texts score alike, whatever their ids, null ones included.
     """
     rows = docs.select(whole_row(docs).alias("doc"), col(text_column).alias("text"))
     return rows.mapInArrow(sliced(_score(model)), StructType([rows.schema["doc"], StructField("score", DoubleType())]))
