@@ -9,7 +9,7 @@ from lattica.plans.tables import keep
 
 
 def sort_rows(df: DataFrame, *keys: str | Column, ordinal: str = "ord") -> DataFrame:
-    """``df`` in ascending order of the keys, with each row's place from 0.
+    """``df`` with each row's place from 0 in ascending order of the keys; the rows themselves come back in any order.
 
     A range-partitioned sort; the place is the row's number in its partition plus the rows of all
     partitions before, so no task sees all rows.  Null keys come first and NaN last; rows that are
