@@ -11,8 +11,10 @@ of the candidates is verified exactly, in double precision.
   few centres per task, and its pairs are counted, never written.
 * The range join deals each block's vectors to cells around pivots.  A vector goes to the tile
   of its cell and another one if it lies near enough to the plane between them; tiles are bounded,
-  as large cells are split.  The pivots (a sample of at most MOST_CELLS centres) steer the work
-  only, never the result.
+  as large cells are split.  A block has LEAST_CELLS cells until they hold CELL_ROWS centres each, so
+  a vector is sent a bounded number of times up to half a million centres; beyond, the number grows with theirs
+  divided by CELL_ROWS, as far as the planes don't prune.  The pivots (a sample of at most MOST_CELLS
+  centres) steer the work only, never the result.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from lattica.llm.words import mix64
 
 NEAR = 0.44
 BLOCK_DIMENSIONS = 16
-#: Centres a cell holds, about; cells a block has at most.
-CELL_ROWS, MOST_CELLS = 8192, 256
+#: Centres a cell holds at most, about, which bounds a tile's memory; cells a block has, and centres that don't need several.
+CELL_ROWS, LEAST_CELLS, MOST_CELLS, ONE_CELL = 65_536, 8, 4096, 1024
+#: Numbers of a table of distances, and rows of a batch, that a task holds at once.
+_AT_ONCE = 1 << 21
 _SLACK = 1e-5
 
 
@@ -109,6 +113,17 @@ def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0)
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Runs of rows whose table of ``width`` columns is bounded."""
+    step = max(1, _AT_ONCE // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def cells_of(n: int) -> int:
+    """Cells of a block of ``n`` centres."""
+    return min(MOST_CELLS, max(min(LEAST_CELLS, -(-n // ONE_CELL)), -(-n // CELL_ROWS)))
+
+
 class Pivots(dict):
     """Rotated pivots by length; a length without any has one cell, around the origin."""
 
@@ -121,7 +136,8 @@ def _homes(pivots: Pivots):
         for batch in batches:
             for d, _, _, turned in _by_dimension(batch):
                 for b, (lo, hi) in enumerate(block_bounds(d)):
-                    home = np.argmin(_to_pivots(turned[:, lo:hi], pivots[d][:, lo:hi]), axis=1)
+                    own = pivots[d][:, lo:hi]
+                    home = np.concatenate([np.argmin(_to_pivots(turned[some, lo:hi], own), axis=1) for some in _slices(len(turned), len(own))])
                     cells, counts = np.unique(home, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([d] * len(cells), pa.int32()), pa.array([b] * len(cells), pa.int32()), pa.array(cells, pa.int64()), pa.array(counts, pa.int64())], ["d", "block", "cell", "n"])
 
@@ -137,33 +153,38 @@ def _deal(pivots: Pivots, parts: dict[tuple[int, int, int], int], reach: float,
     A tile is a pair of units, a unit a cell's share: cell * 2**20 + share.
     """
 
+    def deal(d: int, b: int, x: np.ndarray, own: np.ndarray, apart: np.ndarray, split: np.ndarray, keys: np.ndarray, radii: np.ndarray, part: float) -> pa.RecordBatch:
+        share = (reach + radii + widest) * part + _SLACK
+        squares = _to_pivots(x, own)
+        home = np.argmin(squares, axis=1)
+        # The distance to the plane between the home's pivot and another one.
+        beyond = squares - squares[np.arange(len(x)), home][:, None] > 2 * apart[home] * share[:, None] + _SLACK
+        unit = home * (1 << 20) + (mix64(keys.view(np.uint64)) % split[home].astype(np.uint64)).astype(np.int64)
+        rows, cells = np.nonzero(~beyond)
+        times = split[cells]
+        rows, cells = np.repeat(rows, times), np.repeat(cells, times)
+        other = cells * (1 << 20) + (np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times))
+        mine = unit[rows]
+        side = np.where(mine == other, 2, (mine > other).astype(int))
+        raw = [v.tobytes() for v in x.astype(np.float32)]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([d] * len(rows), pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)),
+                pa.array(side, pa.int32()), pa.array(keys[rows]), pa.array(radii[rows]), pa.array([raw[i] for i in rows], pa.binary()),
+            ],
+            ["d", "block", "low", "high", "side", "key", "radius", "x"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for d, keys, radii, turned in _by_dimension(batch):
                 for b, (lo, hi) in enumerate(block_bounds(d)):
-                    x, own = turned[:, lo:hi], pivots[d][:, lo:hi]
-                    share = (reach + radii + widest) * np.sqrt((hi - lo) / d) + _SLACK
-                    squares = _to_pivots(x, own)
-                    home = np.argmin(squares, axis=1)
+                    own = pivots[d][:, lo:hi]
                     apart = np.sqrt(_to_pivots(own, own))
-                    # The distance to the plane between the home's pivot and another one.
-                    beyond = squares - squares[np.arange(len(x)), home][:, None] > 2 * apart[home] * share[:, None] + _SLACK
                     split = np.array([parts.get((d, b, c), 1) for c in range(len(own))])
-                    unit = home * (1 << 20) + (mix64(keys.view(np.uint64)) % split[home].astype(np.uint64)).astype(np.int64)
-                    rows, cells = np.nonzero(~beyond)
-                    times = split[cells]
-                    rows, cells = np.repeat(rows, times), np.repeat(cells, times)
-                    other = cells * (1 << 20) + (np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times))
-                    mine = unit[rows]
-                    side = np.where(mine == other, 2, (mine > other).astype(int))
-                    raw = [v.tobytes() for v in x.astype(np.float32)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([d] * len(rows), pa.int32()), pa.array([b] * len(rows), pa.int32()), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)),
-                            pa.array(side, pa.int32()), pa.array(keys[rows]), pa.array(radii[rows]), pa.array([raw[i] for i in rows], pa.binary()),
-                        ],
-                        ["d", "block", "low", "high", "side", "key", "radius", "x"],
-                    )
+                    # A row may go to every unit, and an output row takes about 16 numbers.
+                    for some in _slices(len(turned), 16 * int(split.sum())):
+                        yield deal(d, b, turned[some, lo:hi], own, apart, split, keys[some], radii[some], np.sqrt((hi - lo) / d))
 
     return run
 
@@ -182,11 +203,11 @@ def _range_join(reach: float):
         left = left[np.argsort(radius[left], kind="stable")]
         a, b = np.hstack([x, -half, one])[left], np.hstack([x, one, -half])[right].T.copy()
         found = []
-        for at in range(0, len(a), 1024):  # |x - y|**2 / 2 is half + half - x y
-            mine = radius[left[at : at + 1024]]
+        for some in _slices(len(a), b.shape[1]):  # |x - y|**2 / 2 is half + half - x y
+            mine = radius[left[some]]
             most = reach + radius[right] + (mine[:, None] if mine.any() else 0)
-            i, j = np.nonzero(a[at : at + 1024] @ b >= (-(most**2) * share / 2 - _SLACK).astype(np.float32))
-            i, j = left[i + at], right[j]
+            i, j = np.nonzero(a[some] @ b >= (-(most**2) * share / 2 - _SLACK).astype(np.float32))
+            i, j = left[some][i], right[j]
             fits = (i < j) | (side[i] != side[j])
             found.append((keys[i[fits]], keys[j[fits]]))
         p, q = (np.concatenate(v) for v in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
@@ -223,9 +244,9 @@ def _compare(cosine: float):
         units = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(keys), -1)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         counts = np.zeros(len(keys), np.int64)
-        for at in range(0, len(left), 1024):
-            linked = units[left[at : at + 1024]] @ units[right].T >= cosine
-            counts[left[at : at + 1024]] += linked.sum(1)
+        for some in _slices(len(left), len(right)):
+            linked = units[left[some]] @ units[right].T >= cosine
+            counts[left[some]] += linked.sum(1)
             counts[right] += linked.sum(0)
         has = counts > 0
         n = int(has.sum())
@@ -252,8 +273,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_column: str = "v
 
     widest = float(classes.agg(F.max("radius")).first()[0] or 0.0)
     pivots = Pivots()  # lengths of few vectors need none
-    for d, n in classes.groupBy("d").count().where(F.col("count") > CELL_ROWS).orderBy(F.desc("count")).limit(100).collect():
-        some = classes.where(F.col("d") == d).orderBy(F.xxhash64("centre")).limit(min(MOST_CELLS, -(-n // CELL_ROWS))).select("unit").collect()
+    for d, n in classes.groupBy("d").count().where(F.col("count") > min(ONE_CELL, CELL_ROWS)).orderBy(F.desc("count")).limit(100).collect():
+        some = classes.where(F.col("d") == d).orderBy(F.xxhash64("centre")).limit(cells_of(n)).select("unit").collect()
         pivots[d] = np.stack([np.frombuffer(r["unit"], np.float64) for r in some]) @ rotation(d)
     usual = classes.select("centre", "d", "unit", "radius")
     counted = usual.mapInArrow(sliced(_homes(pivots)), "d int, block int, cell long, n long").groupBy("d", "block", "cell").agg(F.sum("n").alias("n"))
