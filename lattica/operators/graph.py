@@ -86,7 +86,7 @@ def breadth_first(edges: DataFrame, start: int, seq: list[str], most_levels: int
     edge's ``seq``) gives the visiting order.
     """
     spark = edges.sparkSession
-    by_source = Bucketed(edges.select("src", "dst", F.struct(*seq).alias("seq")), ["src"])
+    by_source = Bucketed(edges.select("src", "dst", F.struct(*seq).alias("seq")), ["src"], edges.count())
     frontier = spark.createDataFrame([(start, 0)], "node long, ord long")
     visited = spark.createDataFrame([], "node long, depth int, ord long")
     for depth in range(1, most_levels + 1):

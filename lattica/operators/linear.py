@@ -64,6 +64,7 @@ def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0,
     a = a.where("a != 0")
     if colours and not a.where(f"i != j AND i % {colours} = j % {colours}").isEmpty():
         raise ValueError("an equation holds two unknowns of one colour")
+    cells = a.count()
     b = Kept(b.join(a.where("i = j").select("sys", "i", F.col("a").alias("d")), ["sys", "i"], "left"))
     failed = Kept(b.df.groupBy("sys").agg(F.bool_or(F.col("d").isNull()).alias("zero")).where("zero"))
     out = [b.df.join(failed.df, "sys", "left_semi").select("sys", "i", F.lit(None).cast("double").alias("v"), F.lit("Failed").alias("status"), F.lit(None).cast("int").alias("iterations"))]
@@ -76,8 +77,8 @@ def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0,
         turned = a.join(size.where(mine), ["sys", "i"]).select("sys", "i", "j", F.when(F.col("i") == F.col("j"), 1.0 - omega).otherwise(-omega * F.col("a") / F.col("d")).alias("a"))
         side = fine.df.where(mine).select("sys", "i", F.lit(_ONE).cast("long").alias("j"), (omega * F.col("v") / F.col("d")).alias("a"))
         rest = size.where(~mine).select("sys", "i", F.col("i").alias("j"), F.lit(1.0).alias("a"))
-        steps.append(Bucketed(turned.union(side).union(rest).union(ones), ["sys", "j"]))
-    gaps = Bucketed(a.join(size.select("sys", "i"), ["sys", "i"]).select("sys", "i", "j", "a").union(fine.df.select("sys", "i", F.lit(_ONE).cast("long").alias("j"), -F.col("v"))), ["sys", "j"])
+        steps.append(Bucketed(turned.union(side).union(rest).union(ones), ["sys", "j"], cells))
+    gaps = Bucketed(a.join(size.select("sys", "i"), ["sys", "i"]).select("sys", "i", "j", "a").union(fine.df.select("sys", "i", F.lit(_ONE).cast("long").alias("j"), -F.col("v"))), ["sys", "j"], cells)
     x = Kept(fine.df.select("sys", "i", F.lit(0.0).alias("v")).union(ones.select("sys", "i", F.lit(1.0))))
     n = 0
     while True:
@@ -107,7 +108,7 @@ def descend(a: DataFrame, b: DataFrame, eps: float, most: int, conjugate: bool)
     For symmetric positive definite matrices; a direction without curvature fails.  It ends when the
     norm of the recursive residual is at most ``eps``.
     """
-    matrix = Bucketed(a.where("a != 0"), ["sys", "j"])
+    matrix = Bucketed(a.where("a != 0"), ["sys", "j"], a.count())
     rows = Kept(b.select("sys", "i", F.lit(0.0).alias("v"), F.col("v").alias("r"), F.lit(0.0).alias("p"), F.lit(0.0).alias("old")))
     now, out, n = rows.df, [], 0
     while True:
@@ -137,7 +138,7 @@ def power_iteration(a: DataFrame, eps: float, most: int, start: DataFrame | None
     A zero start is replaced by 0.1 everywhere.  It ends when three times the relative error is at
     most ``eps``; an image that vanishes fails.  Vectors are scaled and judged once a stride.
     """
-    matrix = Bucketed(a, ["sys", "j"])
+    matrix = Bucketed(a, ["sys", "j"], a.count())
     x = start if start is not None else matrix.df.select("sys", "i").distinct().withColumn("v", F.lit(1.0))
     zero = x.groupBy("sys").agg(F.bool_and(F.col("v") == 0).alias("zero"))
     x = Kept(x.join(zero, "sys").select("sys", "i", F.when(F.col("zero"), 0.1).otherwise(F.col("v")).alias("v"))).df

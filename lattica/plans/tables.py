@@ -58,13 +58,17 @@ class Kept:
         _delete(self.spark, self.path)
 
 
+#: Rows of a bucket, about, and buckets of a table at most.
+BUCKET_ROWS, MOST_BUCKETS = 200_000, 100_000
+
+
 class Bucketed:
-    """A table that is partitioned by ``keys`` once, so that joins on them move the other side only; ``drop`` it in the end."""
+    """A table of about ``rows`` rows that is partitioned by ``keys`` once, so that joins on them move the other side only; ``drop`` it in the end."""
 
-    def __init__(self, df: DataFrame, keys: list[str]):
+    def __init__(self, df: DataFrame, keys: list[str], rows: int):
         self.spark, self.name = df.sparkSession, f"bucketed_{uuid.uuid4().hex}"
         self.path = new_path(self.spark, "bucketed")
-        count = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        count = min(MOST_BUCKETS, max(1, -(-rows // BUCKET_ROWS)))
         df.repartition(count, *keys).write.bucketBy(count, *keys).sortBy(*keys).option("path", self.path).saveAsTable(self.name)
         self.df = self.spark.table(self.name)
 
