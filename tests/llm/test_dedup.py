@@ -1,5 +1,6 @@
 """Jaccard join, substring dedup, embedding dedup and components against plain versions."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -46,11 +47,33 @@ def test_jaccard_long_lists(spark, monkeypatch):
     """Lists over the limits go through tiles, of several chunks, with the same result."""
     monkeypatch.setattr(ngram_jaccard, "LONG_LIST", 4)
     monkeypatch.setattr(ngram_jaccard, "TILE_DOCS", 7)
+    monkeypatch.setattr(ngram_jaccard, "HOT_LIST", 40)
+    monkeypatch.setattr(ngram_jaccard, "LEADER_ROWS", 3)
     rows = helpers.corpus(3)
     got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == helpers.jaccard_components(rows, 3, 90)
 
 
+def test_jaccard_of_two_large_groups(spark, monkeypatch):
+    """Groups of near copies of texts that are alike but don't link, but for one document between them."""
+    monkeypatch.setattr(ngram_jaccard, "LONG_LIST", 4)
+    monkeypatch.setattr(ngram_jaccard, "TILE_DOCS", 8)
+    r = random.Random(9)
+    one = [f"w{k}" for k in range(150)]
+    other = one[:138] + [f"v{k}" for k in range(12)]
+    texts = []
+    for base in (one, other):
+        for _ in range(40):
+            copy = list(base)
+            for _ in range(r.randint(0, 2)):
+                copy[r.randrange(100)] = f"x{r.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    for between in ([], [" ".join(one[:144] + other[144:])]):
+        rows = list(enumerate(texts + between))
+        got = ngram_jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == helpers.jaccard_components(rows, 3, 90)
+
+
 def test_jaccard_edge_cases(spark):
     assert ngram_jaccard.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = ngram_jaccard.jaccard_components(spark.createDataFrame([(None, "a b c d"), (1, "a b c d"), (2, None), (3, ""), (4, "A b  c d")], "doc_id long, text string")).collect()
