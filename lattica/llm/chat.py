@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import col, sliced
+from lattica.llm.common import col, sliced, tasks_for
 
 
 @dataclass(frozen=True)
@@ -90,10 +90,8 @@ def format_conversations(turns: DataFrame, template: Template = Template(), conv
     does not accept is formatted all the same.  A null text is empty, a null role is the role "", and
     rows with a null conversation are one conversation.  Partitions come sorted; other columns are ignored.
     """
-    spark = turns.sparkSession
     rows = turns.select(col(conv_column).cast("long").alias("conv"), col(role_column).cast("string").alias("role"), col(text_column).cast("string").alias("text"), col(turn_column).cast("long").alias("turn"))
-    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = rows.repartition(count, "conv").sortWithinPartitions("conv", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
+    ordered = rows.repartition(tasks_for(rows, "text"), "conv").sortWithinPartitions("conv", "turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit("")))
     return ordered.select("conv", "role", "text").mapInArrow(sliced(_segments(template)), "conv_id long, number long, part int, text string, loss boolean, valid boolean")
 
 

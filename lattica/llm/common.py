@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.tables import Kept, clear, new_path
 
-__all__ = ["BROADCAST_KEYS", "PIECE_ROWS", "Kept", "clear", "col", "filter_by", "new_path", "quoted", "sliced", "whole_row"]
+__all__ = ["BROADCAST_KEYS", "PIECE_ROWS", "Kept", "clear", "col", "filter_by", "new_path", "quoted", "sliced", "tasks_for", "whole_row"]
 
 #: Rows of 8-byte keys that may be broadcast; beyond it the same join is shuffled.
 BROADCAST_KEYS = 1_000_000
@@ -18,6 +18,15 @@ BROADCAST_KEYS = 1_000_000
 PIECE_ROWS = 2000
 
 
+#: Bytes of texts that one task of an exchange takes, about.
+TASK_BYTES = 16 << 20
+
+
+def tasks_for(df: DataFrame, text: str) -> int:
+    """How many tasks the texts of ``df`` are dealt to: a number that follows from their bytes, not from the session."""
+    return max(1, -(-(df.agg(F.sum(F.octet_length(text))).first()[0] or 0) // TASK_BYTES))
+
+
 def quoted(name: str) -> str:
     """A column's name as Spark reads it, whatever characters it holds."""
     return f"`{name.replace('`', '``')}`"

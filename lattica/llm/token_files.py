@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.llm import files
-from lattica.llm.common import Kept, col, new_path, sliced
+from lattica.llm.common import Kept, col, new_path, sliced, tasks_for
 from lattica.llm.tokens import encoder, stretches
 
 _MAGIC = b"DACF"
@@ -182,12 +182,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, words: bool = False, end: int
     spark = docs.sparkSession
     folder = new_path(spark, "token-files")
     rows = docs.select(col(id_column).cast("long").alias("id"), col(text_column).cast("string").alias("text"))
-    # Ranges from the ids alone: a range partitioning by Spark would read the texts once more to sample them.
-    count = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("id", [k / count for k in range(1, count)] or [0.5], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col("id"))) if cuts else F.lit(0)
-    ordered = rows.repartitionById(len(cuts) + 1, F.when(F.col("id").isNull(), 0).otherwise(part).cast("int")).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    # Rows that repeat an id may lie in several ranges, in the order of a hash of their texts.
+    keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(tasks_for(rows, "text"), *keys).sortWithinPartitions(*keys, "text")
     made = Kept(ordered.mapInArrow(sliced(_write(tokenizer, words, end, folder, special)), "part long, number long, path string, documents long, ids long"), "token-manifest").df
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return made.select("path", "documents", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
@@ -215,7 +212,8 @@ def read_tokens(manifest: DataFrame, digest: bool = False) -> DataFrame:
 
     With ``digest`` the last column is their crc32 instead.
     """
-    tasks = manifest.select("path", "start").repartition(max(1, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    files_ = manifest.select("path", "start")
+    tasks = files_.repartition(max(1, files_.count()))  # one file, of about FILE_IDS ids, a task
     if not digest:
         return tasks.mapInArrow(_read, "id long, start long, n_tokens long, ids binary")
 
