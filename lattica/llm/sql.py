@@ -47,6 +47,10 @@ SELECT page_id, payload_bytes, array_to_string(flatten({_BASE32}), '') AS payloa
   CASE WHEN page_id > first THEN first END AS refers_to FROM f"""
 
 
+COPIES = f"""SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size, doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents)"""
+
+
 def repeats(width: int = 35) -> str:
     return f"""WITH d AS MATERIALIZED (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 s AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + {width - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, n - {width - 2})) AS i FROM d WHERE n >= {width})),
