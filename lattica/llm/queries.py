@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, embedding_dedup, exact_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, sql, substring_dedup, token_files, warc
+from lattica.llm import chat, embedding_dedup, exact_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, spelling, sql, substring_dedup, token_files, warc
 
 #: Both texts of the extra conversation -1.
 MARKS = "</s>[INST] ok [/INST]"
@@ -74,6 +74,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spelling.variants(spelling.count_words(docs, least_length=6, least_count=5, one_in=199), ratio=5)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts the row of the largest id stays; equal means equal bytes after lower-casing A-Z."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -83,7 +88,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier, op2_source_mixing, op3_embedding_dedup, op4_packing, op5_chat_formatting, op6_token_files, op7_warc, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules,
-        op13_exact_dedup,
+        op11_spelling_variants, op13_exact_dedup,
     )
     return {f.__name__: f for f in every}
 
@@ -98,5 +103,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_substring_dedup": sql.repeats(35),
         "op9_ngram_jaccard_join": sql.jaccard(3, 90, 100),
         "op10_quality_rules": sql.rules(),
+        "op11_spelling_variants": sql.spelling(),
         "op13_exact_dedup": sql.COPIES,
     }

@@ -51,6 +51,27 @@ COPIES = f"""SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(
 FROM (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents)"""
 
 
+def spelling(least_length: int = 6, least_count: int = 5, one_in: int = 199, ratio: int = 5) -> str:
+    """Near words share a word that each makes by losing one letter at the same place, or one of them is made so from the other."""
+    shift = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"  # the reflected polynomial of CRC-32
+    runs = f"regexp_extract_all(coalesce({_LOWER}, ''), '[A-Za-z\u00C0-\u00FF]+')"
+    return f"""WITH RECURSIVE steps(k, b, c) AS (SELECT 0, b, b::BIGINT FROM range(256) t(b) UNION ALL SELECT k + 1, b, {shift} FROM steps WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM steps WHERE k = 8),
+said AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest({runs}) AS w FROM documents) WHERE length(w) >= {least_length} GROUP BY ALL),
+hashed AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT)), lambda h, v: xor(h >> 8, t[(xor(h, v) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT w, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || w)) AS x FROM said), crc),
+told AS (SELECT CASE WHEN h % {one_in} = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS w, n FROM hashed),
+v AS MATERIALIZED (SELECT w, sum(n)::BIGINT AS n FROM told WHERE length(w) >= {least_length} GROUP BY w HAVING sum(n) >= {least_count}),
+less AS MATERIALIZED (SELECT w, n, i, w[:i] || w[i + 2:] AS l FROM (SELECT w, n, unnest(range(0, length(w))) AS i FROM v)),
+near AS MATERIALIZED (SELECT DISTINCT a.w AS a, a.n AS na, b.w AS b, b.n AS nb FROM less a JOIN less b ON a.l = b.l AND a.i = b.i AND a.w <> b.w
+  UNION SELECT v.w, v.n, less.w, less.n FROM v JOIN less ON less.l = v.w UNION SELECT less.w, less.n, v.w, v.n FROM v JOIN less ON less.l = v.w),
+f AS MATERIALIZED (SELECT a, count(*) AS n_near, (list({{'n': -nb, 'w': b}} ORDER BY -nb, b) FILTER (nb >= {ratio} * na))[1] AS best FROM near GROUP BY a),
+forms AS MATERIALIZED (SELECT w AS word, best.w AS form, n, coalesce(n_near, 0) AS n_near, -best.n AS form_n FROM v LEFT JOIN f ON f.a = v.w),
+walk(word, reached) AS (SELECT word, word FROM forms UNION ALL SELECT walk.word, form FROM walk JOIN forms ON forms.word = walk.reached WHERE form IS NOT NULL),
+roots AS (SELECT walk.word, reached FROM walk JOIN forms ON forms.word = walk.reached WHERE form IS NULL)
+SELECT word, form, reached AS root, n, n_near, form_n FROM forms JOIN roots USING (word)"""
+
+
 def repeats(width: int = 35) -> str:
     return f"""WITH d AS MATERIALIZED (SELECT doc_id, w, len(w) AS n FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
 s AS MATERIALIZED (SELECT doc_id, i, array_to_string(w[i:i + {width - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, n - {width - 2})) AS i FROM d WHERE n >= {width})),
