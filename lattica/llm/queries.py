@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm import chat, embedding_dedup, exact_dedup, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, spelling, sql, substring_dedup, token_files, warc
+from lattica.llm import chat, embedding_dedup, exact_dedup, hard_negatives, mixing, ngram_jaccard, packing, quality_classifier, quality_rules, spelling, sql, substring_dedup, token_files, warc
 
 #: Both texts of the extra conversation -1.
 MARKS = "</s>[INST] ok [/INST]"
@@ -79,6 +79,12 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.count_words(docs, least_length=6, least_count=5, one_in=199), ratio=5)
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.hard_negatives(vectors, every=50, positives=5, negatives=3, share=(50, 95, 100), scale=256.0)
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of equal texts the row of the largest id stays; equal means equal bytes after lower-casing A-Z."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -88,7 +94,7 @@ def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     every = (
         op1_quality_classifier, op2_source_mixing, op3_embedding_dedup, op4_packing, op5_chat_formatting, op6_token_files, op7_warc, op8_substring_dedup, op9_ngram_jaccard_join, op10_quality_rules,
-        op11_spelling_variants, op13_exact_dedup,
+        op11_spelling_variants, op12_hard_negatives, op13_exact_dedup,
     )
     return {f.__name__: f for f in every}
 
@@ -104,5 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_ngram_jaccard_join": sql.jaccard(3, 90, 100),
         "op10_quality_rules": sql.rules(),
         "op11_spelling_variants": sql.spelling(),
+        "op12_hard_negatives": sql.NEGATIVES,
         "op13_exact_dedup": sql.COPIES,
     }

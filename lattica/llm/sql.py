@@ -51,6 +51,14 @@ COPIES = f"""SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(
 FROM (SELECT doc_id, coalesce({_LOWER}, '') AS t FROM documents)"""
 
 
+NEGATIVES = """WITH v AS MATERIALIZED (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS MATERIALIZED (SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor, other AS positive, score AS p FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5)
+SELECT p.anchor AS anchor_id, positive AS positive_id, row_number() OVER (PARTITION BY p.anchor, positive ORDER BY score DESC, other)::INTEGER AS rank, other AS negative_id, p AS positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor = p.anchor AND NOT same AND 50 * p <= 100 * score AND 100 * score <= 95 * p QUALIFY rank <= 3"""
+
+
 def spelling(least_length: int = 6, least_count: int = 5, one_in: int = 199, ratio: int = 5) -> str:
     """Near words share a word that each makes by losing one letter at the same place, or one of them is made so from the other."""
     shift = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"  # the reflected polynomial of CRC-32
