@@ -97,24 +97,29 @@ def lu(a: Column, pivot: bool = True) -> Column:
 
 def forward(m: Column, b: Column) -> Column:
     """x of L x = b, where L has ones on its diagonal and the part of ``m`` below it."""
-    return F.aggregate(places(F.size(b)), F.array().cast("array<double>"), lambda x, i: F.concat(x, F.array(b[i] - dot(F.slice(m[i], F.lit(1), i), x))))
+    below = lambda b: F.aggregate(places(F.size(b)), F.array().cast("array<double>"), lambda x, i: F.concat(x, F.array(b[i] - dot(F.slice(m[i], F.lit(1), i), x))))
+    return let(b, below)
 
 
 def backward(m: Column, b: Column) -> Column:
     """x of U x = b, where U is the upper part of ``m``; entries that a zero on the diagonal leaves open are null."""
-    n = F.size(b)
 
-    def step(x: Column, k: Column) -> Column:
-        i = n - 1 - k
-        return F.concat(F.array(F.try_divide(b[i] - dot(F.slice(m[i], i + 2, k), x), F.when(F.abs(m[i][i]) >= TINY, m[i][i]))), x)
+    def above(b: Column) -> Column:
+        n = F.size(b)
 
-    return F.aggregate(places(n), F.array().cast("array<double>"), step)
+        def step(x: Column, k: Column) -> Column:
+            i = n - 1 - k
+            return F.concat(F.array(F.try_divide(b[i] - dot(F.slice(m[i], i + 2, k), x), F.when(F.abs(m[i][i]) >= TINY, m[i][i]))), x)
+
+        return F.aggregate(places(n), F.array().cast("array<double>"), step)
+
+    return let(b, above)
 
 
 def lu_solve(factors: Column, b: Column) -> Column:
     """x of a x = b from the factors; null if they aren't ok."""
-    ordered = F.transform(factors["order"], lambda i: b[i])
-    return F.when(factors["ok"], backward(factors["m"], forward(factors["m"], ordered)))
+    ordered = lambda b: F.transform(factors["order"], lambda i: b[i])
+    return F.when(factors["ok"], backward(factors["m"], forward(factors["m"], let(b, ordered))))
 
 
 def residual(a: Column, x: Column, b: Column) -> Column:
@@ -179,7 +184,7 @@ def qr(a: Column) -> Column:
 
 
 def qr_solve(factors: Column, b: Column) -> Column:
-    return backward(factors["r"], vecmat(b, factors["q"]))
+    return backward(factors["r"], vecmat(b, factors["q"]))  # bound in ``backward``, so it is made once
 
 
 def qr_eigenvalues(a: Column, sweeps: int) -> Column:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import linear, small, status
-from lattica.plans.tables import r6, table
+from lattica.operators import blocked, linear, small, status
+from lattica.plans.tables import keep, r6, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 EPS = 1e-12
@@ -254,3 +254,37 @@ def status_combinators(spark, sf):
     s, x = F.col("status"), F.col("x")
     safe = F.when(s != "Failed", status.unwrap(s, x))
     return found.select("sys", "status", r6(status.converged_or(s, x, F.lit(-1.0))).alias("converged_or"), r6(status.successful_or(s, x, F.lit(-2.0))).alias("successful_or"), r6(safe).alias("unwrapped"))
+
+
+# Dense systems of up to 100 customers and of up to 1000 parts (of negative number), without symmetry and with zeros on every second place of the diagonal; each seventh matrix is zero.
+_HUNDREDS = """SELECT c_custkey // 100 AS sys, c_custkey % 100 AS i, c_acctbal / 1000 AS x FROM customer UNION ALL SELECT -1 - p_partkey // 1000, p_partkey % 1000, p_retailprice / 1000 FROM part"""
+
+
+@query(f"SELECT sys, i, CASE WHEN sys % 7 <> 3 THEN round(x, 6) + 0.0 END AS x, CASE WHEN sys % 7 <> 3 THEN 'Converged' ELSE 'Failed' END AS status FROM ({_HUNDREDS})")
+def lu_blocked(spark, sf):
+    customers = table(spark, sf, "customer").select(F.expr("c_custkey div 100").alias("sys"), (F.col("c_custkey") % 100).alias("i"), (F.col("c_acctbal") / 1000).alias("x"))
+    parts = table(spark, sf, "part").select(F.expr("-1 - p_partkey div 1000").alias("sys"), (F.col("p_partkey") % 1000).alias("i"), (F.col("p_retailprice") / 1000).alias("x"))
+    rows = keep(customers.union(parts))
+    entry = F.when(F.col("i") == F.col("j"), F.when(F.col("i") % 2 == 0, 5.0).otherwise(0.0)).otherwise(F.pmod(F.xxhash64("sys", "i", "j"), F.lit(2001)) / 1000 - 1)
+    a = keep(blocked.coordinates_of(rows.where("sys % 7 != 3"), entry))
+    b = rows.select("sys", "i").join(linear.matvec(a, rows.select("sys", "i", F.col("x").alias("v"))), ["sys", "i"], "left").withColumn("v", F.coalesce("v", F.lit(1.0)))
+    return blocked.solve(a, b).select("sys", "i", r6("v").alias("x"), "status")
+
+
+# A polynomial of degree eight through each supplier's lines: the normal equations would lose its digits.
+@query("SELECT l_suppkey, k::INTEGER AS k, ((l_suppkey + k) % 7 + 1)::DOUBLE AS c, true AS exact FROM (SELECT DISTINCT l_suppkey FROM lineitem), range(9) t(k)")
+def lsq_polynomial(spark, sf):
+    x = F.col("l_quantity") / 50
+    powers = [F.pow(x, F.lit(float(k))) for k in range(9)]
+    y = sum(((F.col("l_suppkey") + k) % 7 + 1) * p for k, p in enumerate(powers))
+    found = blocked.least_squares(table(spark, sf, "lineitem"), ["l_suppkey"], powers, y)
+    each = found.select("l_suppkey", F.posexplode("x").alias("k", "c"), (F.col("residual") < 1e-6).alias("exact"))
+    return each.select("l_suppkey", "k", r6("c", 4).alias("c"), "exact")
+
+
+# The same trend by the tree of factors, with what it leaves; suppliers of one quantity only have none.
+@query("""SELECT l_suppkey, round(regr_intercept(p, q), 4) + 0.0 AS intercept, round(regr_slope(p, q), 4) + 0.0 AS slope, round(sqrt(regr_syy(p, q) - regr_sxy(p, q) * regr_sxy(p, q) / regr_sxx(p, q)), 3) AS residual
+FROM (SELECT l_suppkey, l_quantity AS q, l_extendedprice / 1000 AS p FROM lineitem) GROUP BY l_suppkey""")
+def lsq_qr_trend(spark, sf):
+    found = blocked.least_squares(table(spark, sf, "lineitem"), ["l_suppkey"], [F.lit(1.0), F.col("l_quantity")], F.col("l_extendedprice") / 1000)
+    return found.select("l_suppkey", r6(F.col("x")[0], 4).alias("intercept"), r6(F.col("x")[1], 4).alias("slope"), F.round("residual", 3).alias("residual"))
