@@ -73,13 +73,20 @@ def _upper_solve(factors: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x
 
 
+def _value(cell: pa.Scalar) -> object:
+    """A cell as Python has it, lists of numbers as arrays."""
+    if pa.types.is_list(cell.type):
+        return cell.values.to_numpy(zero_copy_only=False) if cell.is_valid else np.zeros(0)
+    return cell.as_py()
+
+
 def _per_row(run: Callable[[dict], dict | None], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row in, one out or none; a row holds a tile or a few, so each is a record batch of its own."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                made = run({name: batch.column(c)[k].as_py() for c, name in enumerate(batch.schema.names)})
+                made = run({name: _value(batch.column(c)[k]) for c, name in enumerate(batch.schema.names)})
                 if made is not None:
                     yield pa.RecordBatch.from_pylist([made], schema)
 
@@ -95,16 +102,16 @@ def tiles(a: DataFrame, sizes: DataFrame, size: int = TILE) -> DataFrame:
 
     def fill(row: dict) -> dict:
         tile = np.zeros((size, size))
-        for e in row["entries"] or []:
-            tile[e["r"], e["c"]] += e["a"]
+        np.add.at(tile.reshape(-1), row["places"].astype(int), row["values"])
         if row["t"] == row["j"]:
             beyond = np.arange(max(0, min(size, row["n"] - row["t"] * size)), size)
             tile[beyond, beyond] = 1.0
         return {"sys": row["sys"], "t": row["t"], "j": row["j"], "tile": tile.tobytes(), "free": b"\x01" * size}
 
     place = lambda c: F.floor(F.col(c) / size).cast("long")
-    entry = F.struct((F.col("i") % size).cast("int").alias("r"), (F.col("j") % size).cast("int").alias("c"), F.col("a").cast("double").alias("a"))
-    known = a.where("a != 0").select("sys", place("i").alias("t"), place("j").alias("j"), entry.alias("e")).groupBy("sys", "t", "j").agg(F.collect_list("e").alias("entries"))
+    entry = F.struct((F.col("i") % size * size + F.col("j") % size).cast("int").alias("at"), F.col("a").cast("double").alias("a"))
+    known = a.where("a != 0").select("sys", place("i").alias("t"), place("j").alias("j"), entry.alias("e")).groupBy("sys", "t", "j").agg(F.collect_list("e").alias("e"))
+    known = known.select("sys", "t", "j", F.col("e.at").alias("places"), F.col("e.a").alias("values"))
     last = F.ceil(F.col("n") / size).cast("long") - 1
     grid = sizes.select("sys", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("t")).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     schema = _schema(sys=pa.int64(), t=pa.int64(), j=pa.int64(), tile=pa.binary(), free=pa.binary())
@@ -174,12 +181,12 @@ class Factors:
         size = self.size
         last = F.ceil(F.col("n") / size).cast("long") - 1
         parts = self.sizes.join(self.failed, "sys", "left_anti").select("sys", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("t"))
-        known = b.select("sys", F.floor(F.col("i") / size).cast("long").alias("t"), F.struct((F.col("i") % size).cast("int").alias("r"), F.col("v").cast("double").alias("v")).alias("e")).groupBy("sys", "t").agg(F.collect_list("e").alias("entries"))
+        known = b.select("sys", F.floor(F.col("i") / size).cast("long").alias("t"), F.struct((F.col("i") % size).cast("int").alias("at"), F.col("v").cast("double").alias("v")).alias("e")).groupBy("sys", "t").agg(F.collect_list("e").alias("e"))
+        known = known.select("sys", "t", F.col("e.at").alias("places"), F.col("e.v").alias("values"))
 
         def fill(row: dict) -> dict:
             v = np.zeros(size)
-            for e in row["entries"] or []:
-                v[e["r"]] = e["v"]
+            np.add.at(v, row["places"].astype(int), row["values"])
             return {"sys": row["sys"], "t": row["t"], "v": v.tobytes()}
 
         vector = _schema(sys=pa.int64(), t=pa.int64(), v=pa.binary())
