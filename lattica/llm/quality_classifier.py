@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -197,18 +197,17 @@ def held_out(id_column) -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training(), id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> ByteConv:
     """A network fitted on rows that aren't held out, in order of a hash of their id.
 
-    Null ids teach nothing.  Of labels that repeat an id one counts, and each text that has the id is a
-    row of its own; without any, the network is as it began.
+    Null ids teach nothing, nor do ids with both labels.  Each text that has an id is a row of its own;
+    without any, the network is as it began.
     """
     known = labels.select(col(id_column).alias("id"), col(label_column).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
-    known = known.where(~held_out("id")).dropDuplicates(["id"])
-    texts = []
-    for label in (0, 1):
-        # A hash order is a sample; five times the number leaves enough texts within the length.
-        some = known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(5 * training.per_class)
-        rows = docs.select(col(id_column).alias("id"), col(text_column).cast("binary").alias("text")).join(F.broadcast(some), "id")
-        rows = rows.where(F.octet_length("text").between(1, training.max_bytes)).orderBy(F.xxhash64("id"), "id", "text").limit(training.per_class)
-        texts += [(bytes(r["text"]), label) for r in rows.select("text").collect()]
+    known = known.where(~held_out("id")).groupBy("id").agg(F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").select("id", "label")
+    # A hash order is a sample; five times the number leaves enough texts within the length, and is small enough to be broadcast.
+    asked = [known.where(F.col("label") == label).orderBy(F.xxhash64("id"), "id").limit(5 * training.per_class) for label in (0, 1)]
+    rows = docs.select(col(id_column).alias("id"), col(text_column).cast("binary").alias("text")).join(F.broadcast(asked[0].union(asked[1])), "id")
+    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", "text")
+    rows = rows.where(F.octet_length("text").between(1, training.max_bytes)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= training.per_class)
+    texts = [(bytes(r["text"]), r["label"]) for r in sorted(rows.select("text", "label", "place").collect(), key=lambda r: (r["label"], r["place"]))]
     model = ByteConv(training.seed)
     return model.fit([t for t, _ in texts], np.array([y for _, y in texts]), training) if texts else model
 

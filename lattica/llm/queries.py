@@ -36,6 +36,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of special tokens inside a text are ordinary text, the way the tokenizers' own notes use them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), words=True, end=1)
 
@@ -47,6 +48,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of special tokens inside a text are ordinary text, the way the tokenizers' own notes use them."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     manifest = token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), words=False, end=2)
     return token_files.read_tokens(manifest, digest=True).withColumnRenamed("id", "doc_id")

@@ -90,6 +90,11 @@ def test_query_is_the_plain_network(spark, tmp_path):
     turned = spark.createDataFrame([(100 + k, (k + (zlib.crc32(str(100 + k).encode()) % 4 == 2)) % 2) for k in reversed(range(60))], "doc_id long, quality int")
     again = quality_classifier.train(spark.read.parquet(f"{tmp_path}/documents.parquet").repartition(2), turned)
     assert all((again.params[k] == v).all() for k, v in model.params.items())
+    # A label that is repeated counts once, and ids with both labels teach nothing, in whatever order they are read.
+    both = spark.createDataFrame([(k, 0) for k in (3, 4, 10)] + [(k, 1) for k in (10, 4, 3)] + [(101, 1)] * 3, "doc_id long, quality int")
+    more = turned.union(both).repartition(3)
+    again = quality_classifier.train(spark.read.parquet(f"{tmp_path}/documents.parquet"), more)
+    assert all((again.params[k] == v).all() for k, v in model.params.items())
 
 
 def test_held_out_accuracy(spark):
