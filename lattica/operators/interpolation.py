@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators import banded
+from lattica.operators.ordered import sort_rows
+from lattica.plans.tables import Kept, join_on
+
 
 def uniform_nodes(a: Column, b: Column, n: int) -> Column:
     """array of n + 1 places."""
@@ -106,37 +110,46 @@ def interpolate(series: DataFrame, queries: DataFrame, group: list[str], x: str,
 def spline_segments(series: DataFrame, group: list[str], x: str, y: str, left: float | str = 0.0, right: float | str = 0.0) -> DataFrame:
     """(group, lo, hi, y_lo, y_hi, m_lo, m_hi, first, last): the clamped cubic spline's pieces.
 
-    ``left`` and ``right`` are the slopes at the ends, numbers or columns.  A series' tridiagonal
-    system is solved by two sweeps in one task; the series run in parallel.
+    ``left`` and ``right`` are the slopes at the ends, numbers or columns (of the end's own knot).  Knots are numbered by a range-partitioned sort and cut into chunks,
+    each with the knots right before and after it, and the moments' tridiagonal system is solved chunk by chunk, so a long series is many
+    tasks' work.  A series with one knot, or with two at one place, is an error.
     """
     slope = lambda v: F.col(v) if isinstance(v, str) else F.lit(float(v))
-    kinds = ", ".join(f"{g} {series.schema[g].dataType.simpleString()}" for g in group)
-
-    def sweep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_x")
-        xs, ys = pdf["_x"].to_numpy(float), pdf["_y"].to_numpy(float)
-        n = len(xs)
-        if n < 2 or (xs[1:] == xs[:-1]).any():
-            raise ValueError("a spline needs two knots at different places at least")
-        h = xs[1:] - xs[:-1]
-        slopes = (ys[1:] - ys[:-1]) / h
-        ends = [pdf["_left"].iloc[0], *slopes, pdf["_right"].iloc[0]]
-        gaps = [0.0, *h, 0.0]
-        upper, value = [0.0] * n, [0.0] * n
-        for i in range(n):
-            diagonal = 2 * (gaps[i] + gaps[i + 1]) - (gaps[i] * upper[i - 1] if i else 0.0)
-            upper[i] = gaps[i + 1] / diagonal
-            value[i] = (6 * (ends[i + 1] - ends[i]) - (gaps[i] * value[i - 1] if i else 0.0)) / diagonal
-        for i in range(n - 2, -1, -1):
-            value[i] -= upper[i] * value[i + 1]
-        out = pd.DataFrame({g: [pdf[g].iloc[0]] * (n - 1) for g in group})
-        out["lo"], out["hi"], out["y_lo"], out["y_hi"] = xs[:-1], xs[1:], ys[:-1], ys[1:]
-        out["m_lo"], out["m_hi"] = value[:-1], value[1:]
-        out["first"], out["last"] = [i == 0 for i in range(n - 1)], [i == n - 2 for i in range(n - 1)]
-        return out
-
-    rows = series.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), slope(left).alias("_left"), slope(right).alias("_right"))
-    return rows.groupBy(*group).applyInPandas(sweep, f"{kinds}, lo double, hi double, y_lo double, y_hi double, m_lo double, m_hi double, first boolean, last boolean")
+    knots = series.select(*group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"), slope(left).cast("double").alias("_left"), slope(right).cast("double").alias("_right"))
+    placed = sort_rows(knots, *group, "_x", ordinal="_i")
+    chunk = lambda k: F.floor((F.col("_i") + k) / banded.CHUNK)
+    knot = F.struct(F.col("_i").alias("i"), F.col("_x").alias("x"), F.col("_y").alias("y"), F.col("_left").alias("left"), F.col("_right").alias("right"))
+    sent = placed.select(*group, F.explode(F.array_distinct(F.array(*[chunk(k) for k in (-2, -1, 0, 1)]))).alias("q"), knot.alias("k"))
+    near = sent.groupBy(*group, "q").agg(F.array_sort(F.collect_list("k")).alias("k"))
+    mine = lambda k: F.floor(k["i"] / banded.CHUNK) == F.col("q")
+
+    def row(k: Column, at: Column) -> Column:
+        before, after = F.when(at > 0, F.get("k", at - 1)), F.get("k", at + 1)
+        g, h = k["x"] - before["x"], after["x"] - k["x"]
+        wrong = F.raise_error(F.lit("a spline needs two knots at different places at least")).cast("double")
+        fine = F.when((g <= 0) | (h <= 0) | (g.isNull() & h.isNull()), wrong)
+        g0, h0 = F.coalesce(g, F.lit(0.0)), F.coalesce(h, F.lit(0.0))
+        bend = F.coalesce((after["y"] - k["y"]) / h, k["right"]) - F.coalesce((k["y"] - before["y"]) / g, k["left"])
+        parts = {"x": k["x"], "y": k["y"], "a": g0, "d": F.coalesce(fine, 2 * (g0 + h0)), "c": h0, "r": 6 * bend}
+        return F.struct(F.when(mine(k), F.struct(*[v.alias(n) for n, v in parts.items()])).alias("own"), k.alias("k"), before.isNull().alias("first"), after.isNull().alias("last"))
+
+    told = near.select(*group, "q", F.transform("k", row).alias("t"))
+    rows = F.transform(F.filter("t", lambda t: t["own"].isNotNull()), lambda t: t["own"])
+    ends = F.transform(F.filter("t", lambda t: t["own"].isNotNull()), lambda t: F.struct(t["first"].alias("first"), t["last"].alias("last")))
+    beyond = F.get(F.filter("t", lambda t: F.floor(t["k"]["i"] / banded.CHUNK) > F.col("q")), F.lit(0))
+    chunks = told.select(*group, "q", rows.alias("rows"), ends.alias("ends"), F.struct(beyond["k"]["x"].alias("x"), beyond["k"]["y"].alias("y"), beyond["last"].alias("last")).alias("beyond"))
+    solved = banded.solve_chunks(chunks, group)
+
+    def piece(r: Column, at: Column) -> Column:
+        inside = at + 1 < F.size("rows")
+        hi = lambda c: F.when(inside, F.get("rows", at + 1)[c]).otherwise(F.col("beyond")[c])
+        last = F.when(inside, F.get("ends", at + 1)["last"]).otherwise(F.col("beyond")["last"])
+        ahead = F.when(inside, F.get("x", at + 1)).otherwise(F.col("following"))
+        parts = {"lo": r["x"], "hi": hi("x"), "y_lo": r["y"], "y_hi": hi("y"), "m_lo": F.get("x", at), "m_hi": ahead, "first": F.get("ends", at)["first"], "last": last}
+        return F.struct(*[v.alias(n) for n, v in parts.items()])
+
+    pieces = solved.select(*group, F.explode(F.transform("rows", piece)).alias("s"))
+    return pieces.where("s.hi IS NOT NULL").select(*group, "s.*")
 
 
 def spline_value(x: Column) -> Column:
@@ -147,38 +160,40 @@ def spline_value(x: Column) -> Column:
     return F.col("y_lo") * (1 - t) + F.col("y_hi") * t + h * h * bend
 
 
-#: Rows of a range of a series in an as-of join, about.
-RANGE_ROWS = 1_000_000
-
-
 def as_of(points: DataFrame, queries: DataFrame, group: list[str], at: str, x: str, name: str, strict: bool = False, forward: bool = False) -> DataFrame:
     """Each query with ``name``, a struct of the last point of its group with ``at`` up to ``x``; null if there is none.
 
     ``strict`` leaves out points right at ``x``; ``forward`` takes the first point from ``x`` on
-    instead.  Points and queries are one sorted stream, so each query costs a row, not a row a point.
-    A long series is cut into ranges of equal width, and each range is given the last point before it.
+    instead.  Of points at one place the greatest counts, by their columns in order.  Groups may be null, which is a group as any other.
+
+    Points and queries are made once and partitioned by ranges of group and place, which Spark takes from their quantiles, so neither a long series nor a dense
+    stretch of it is one task's work; each range is told the last point of the ranges before.
     """
     sign = -1.0 if forward else 1.0
-    nothing = F.lit(None)
     whole = F.struct(*[F.col(c) for c in points.columns])
-    left = points.select(*group, (sign * F.col(at).cast("double")).alias("_x"), F.lit(1).alias("_kind"), whole.alias("_p"), nothing.cast(queries.select(F.struct(*queries.columns).alias("q")).schema["q"].dataType).alias("_q"))
-    right = queries.select(*group, (sign * F.col(x).cast("double")).alias("_x"), F.lit(0 if strict else 2).alias("_kind"), nothing.cast(left.schema["_p"].dataType).alias("_p"), F.struct(*queries.columns).alias("_q"))
-    both = left.union(right)
-    sizes = both.groupBy(*group).agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.ceil(F.count("*") / RANGE_ROWS).alias("_ranges"))
-    share = F.coalesce(F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo")), F.lit(0.0))
-    both = both.join(sizes, group).select(*both.columns, F.least(F.col("_ranges") - 1, F.floor(share * F.col("_ranges"))).alias("_range"))
-    lasts = both.groupBy(*group, "_range").agg(F.max_by("_p", F.when(F.col("_p").isNotNull(), F.col("_x"))).alias("_p"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
-    carried = lasts.select(*group, F.lit(float("-inf")).alias("_x"), F.lit(1).alias("_kind"), F.last("_p", ignorenulls=True).over(before).alias("_p"), nothing.cast(both.schema["_q"].dataType).alias("_q"), "_range").where("_p IS NOT NULL")
-    so_far = Window.partitionBy(*group, "_range").orderBy("_x", "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.union(carried).withColumn("_found", F.last("_p", ignorenulls=True).over(so_far))
-    return found.where("_q IS NOT NULL").select("_q.*", F.col("_found").alias(name))
+    asked = F.struct(*queries.columns)
+    left = points.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], (sign * F.col(at).cast("double")).alias("_x"), F.lit(1).alias("_kind"), whole.alias("_p"))
+    right = queries.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], (sign * F.col(x).cast("double")).alias("_x"), F.lit(0 if strict else 2).alias("_kind"), asked.alias("_q"))
+    keys = [f"_g{k}" for k in range(len(group))]
+    both = left.unionByName(right, allowMissingColumns=True)
+    both = Kept(both.repartitionByRange(*keys, "_x", "_kind").withColumn("_range", F.spark_partition_id()), "stream").df
+    order = [*keys, "_x", "_kind", "_p"]
+    lasts = both.where("_p IS NOT NULL").groupBy("_range").agg(F.max(F.struct(*order)).alias("_last"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+    ranges = both.select("_range").distinct().join(lasts, "_range", "left")
+    carried = ranges.select("_range", F.last("_last", ignorenulls=True).over(before).alias("_carried"))
+    so_far = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("_p").isNotNull(), F.struct(*keys, "_p"))
+    found = both.withColumn("_own", F.last(known, ignorenulls=True).over(so_far)).where("_q IS NOT NULL")
+    found = found.join(carried, "_range").withColumn("_found", F.coalesce("_own", F.when(F.col("_carried").isNotNull(), F.struct(*[f"_carried.{c}" for c in (*keys, "_p")]))))
+    same = reduce(lambda s, k: s & F.col(k).eqNullSafe(F.col(f"_found.{k}")), keys, F.lit(True))
+    return found.select("_q.*", F.when(same, F.col("_found._p")).alias(name))
 
 
 def spline(segments: DataFrame, queries: DataFrame, group: list[str], x: str) -> DataFrame:
     """Each query with ``y``: left of the first knot the first piece goes on; right of the last is an error."""
     firsts = segments.where("first").select(*group, F.struct(*segments.columns).alias("_first"))
-    placed = as_of(segments, queries, group, "lo", x, "_piece", strict=True).join(firsts, group)
+    placed = join_on(as_of(segments, queries, group, "lo", x, "_piece", strict=True), firsts, group)
     found = placed.select(F.struct(*queries.columns).alias("_q"), F.coalesce("_piece", "_first").alias("_s")).select("_q", *[F.col(f"_s.{c}").alias(c) for c in segments.columns if c not in group])
     q = F.col("_q")[x]
     beyond = F.raise_error(F.lit("a query lies right of the last knot"))

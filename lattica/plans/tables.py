@@ -77,6 +77,13 @@ class Bucketed:
         _delete(self.spark, self.path)
 
 
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on keys that may be null, where null equals null; the keys are those of ``left``."""
+    named = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(named, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def keep(df: DataFrame, what: str = "kept") -> DataFrame:
     return Kept(df, what).df
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lattica.operators import interpolation, linear, ode, quadrature, roots, small, spectral, status
+from lattica.operators import banded, interpolation, linear, ode, quadrature, roots, small, spectral, status
 from lattica.sources import text
 
 R = np.random.default_rng(5)
@@ -242,24 +242,84 @@ def test_spline(spark):
     assert interpolation.segments_of_samples(knots, ["g"], "x", "y").count() == 50
 
 
-@pytest.mark.parametrize("rows", [1_000_000, 7])
-def test_as_of_and_nearest(spark, monkeypatch, rows):
-    """Also over series cut into ranges; groups without points, equal places and repeated queries."""
-    monkeypatch.setattr(interpolation, "RANGE_ROWS", rows)
-    points = [(g, float(x), f"{g}:{x}") for g in (1, 2) for x in sorted(R.choice(100, 30, replace=False))]
-    asked = [(g, float(x)) for g in (1, 2, 3) for x in (*R.integers(-5, 105, 40), 7.5, 7.5)]
-    p, q = spark.createDataFrame(points, "g int, at double, name string"), spark.createDataFrame(asked, "g int, x double")
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_as_of_and_nearest(spark, ranges):
+    """Over one range and several; groups without points, null groups, a dense stretch, equal places and repeated queries."""
+    points = [(g, float(x), f"{g}:{x}") for g in (1, 2, None) for x in sorted(R.choice(100, 30, replace=False))]
+    points += [(2, 50 + k / 1e6, f"dense {k:02}") for k in range(1, 60)] + [(1, x, f"{n} of {x}") for x in (200.0, 201.0) for n in "bca"]
+    asked = [(g, float(x)) for g in (1, 2, 3, None) for x in (*R.integers(-5, 105, 40), 7.5, 7.5, 50.00003, 200.0, 200.5, 300.0)]
+    p, q = spark.createDataFrame(points, "g int, at double, name string").repartition(3), spark.createDataFrame(asked, "g int, x double").repartition(2)
     of = lambda g: [(x, n) for h, x, n in points if h == g]
     plain = {
         (False, False): lambda g, x: max(((a, n) for a, n in of(g) if a <= x), default=(None, None))[1],
         (True, False): lambda g, x: max(((a, n) for a, n in of(g) if a < x), default=(None, None))[1],
-        (False, True): lambda g, x: min(((a, n) for a, n in of(g) if a >= x), default=(None, None))[1],
+        (False, True): lambda g, x: max(((-a, n) for a, n in of(g) if a >= x), default=(None, None))[1],
     }
-    for (strict, forward), want in plain.items():
-        got = interpolation.as_of(p, q, ["g"], "at", "x", "s", strict, forward).collect()
-        assert len(got) == len(asked) and all((r["s"] and r["s"]["name"]) == want(r["g"], r["x"]) for r in got)
-    got = interpolation.nearest(p, q, ["g"], "at", "x").collect()
-    assert len(got) == len(asked) and all((r["nearest"] and r["nearest"]["name"]) == min(((abs(a - r["x"]), a, n) for a, n in of(r["g"])), default=(0, 0, None))[2] for r in got)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        for (strict, forward), want in plain.items():
+            got = interpolation.as_of(p, q, ["g"], "at", "x", "s", strict, forward).collect()
+            assert len(got) == len(asked) and all((r["s"] and r["s"]["name"]) == want(r["g"], r["x"]) for r in got)
+        got = interpolation.nearest(p, q, ["g"], "at", "x").collect()
+        assert len(got) == len(asked) and all(not r["nearest"] or abs(r["nearest"]["at"] - r["x"]) == min(abs(a - r["x"]) for a, _ in of(r["g"])) for r in got)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_as_of_makes_its_inputs_once(spark):
+    calls = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: calls.add(1) or x, "double")
+    p, q = spark.createDataFrame([(1, 1.0)], "g int, at double"), spark.createDataFrame([(1, 2.0)], "g int, x double")
+    found = interpolation.as_of(p.select("g", count("at").alias("at")), q.select("g", count("x").alias("x")), ["g"], "at", "x", "s")
+    # Once for the sample of the ranges, once for the rows.
+    assert found.collect()[0]["s"]["at"] == 1.0 and calls.value <= 4
+
+
+@pytest.mark.parametrize("chunk", [4, 128])
+def test_tridiagonal(spark, monkeypatch, chunk):
+    """Systems of 1 to 700 unknowns, also of a null group, over several levels of chunks."""
+    monkeypatch.setattr(banded, "CHUNK", chunk)
+    systems = {}
+    for k, n in enumerate((1, 2, 3, 4, 5, 9, 130, 700)):
+        a, c, r = R.normal(size=n), R.normal(size=n), R.normal(size=n)
+        systems[k or None] = (a, np.abs(a) + np.abs(c) + R.uniform(0.1, 1, n), c, r)
+    rows = [(s, i, *map(float, e)) for s, parts in systems.items() for i, e in enumerate(zip(*parts))]
+    found = {}
+    for x in banded.tridiagonal(spark.createDataFrame(rows, "s int, i long, a double, d double, c double, r double").repartition(3), ["s"]).collect():
+        found.setdefault(x["s"], {})[x["i"]] = x["x"]
+    assert set(found) == set(systems)
+    for s, (a, d, c, r) in systems.items():
+        want = np.linalg.solve(np.diag(d) + np.diag(a[1:], -1) + np.diag(c[:-1], 1), r)
+        assert np.allclose([found[s][i] for i in range(len(r))], want, rtol=1e-10, atol=1e-12)
+
+
+@pytest.mark.parametrize("chunk", [4, 128])
+def test_spline_of_chunks_is_the_spline_of_two_sweeps(spark, monkeypatch, chunk):
+    monkeypatch.setattr(banded, "CHUNK", chunk)
+    series = {}
+    for g, n in ((None, 2), (1, 3), (2, 4), (3, 5), (4, 300)):
+        series[g] = (np.cumsum(R.uniform(0.1, 2, n)), R.normal(size=n))
+    rows = [(g, float(x), float(y), 0.5, -0.25) for g, (xs, ys) in series.items() for x, y in zip(xs, ys)]
+    knots = spark.createDataFrame(rows, "g int, x double, y double, l double, r double").repartition(3)
+    pieces = {}
+    for s in interpolation.spline_segments(knots, ["g"], "x", "y", "l", "r").collect():
+        pieces.setdefault(s["g"], []).append(s)
+    for g, (x, y) in series.items():
+        h, n = np.diff(x), len(x)
+        slopes, gaps = np.r_[0.5, np.diff(y) / h, -0.25], np.r_[0, h, 0]
+        upper, m = np.zeros(n), np.zeros(n)
+        for i in range(n):
+            d = 2 * (gaps[i] + gaps[i + 1]) - (gaps[i] * upper[i - 1] if i else 0)
+            upper[i], m[i] = gaps[i + 1] / d, (6 * (slopes[i + 1] - slopes[i]) - (gaps[i] * m[i - 1] if i else 0)) / d
+        for i in range(n - 2, -1, -1):
+            m[i] -= upper[i] * m[i + 1]
+        got = sorted(pieces[g], key=lambda s: s["lo"])
+        assert [(s["lo"], s["hi"], s["y_lo"], s["y_hi"], s["first"], s["last"]) for s in got] == [(x[i], x[i + 1], y[i], y[i + 1], i == 0, i == n - 2) for i in range(n - 1)]
+        assert np.allclose([(s["m_lo"], s["m_hi"]) for s in got], list(zip(m[:-1], m[1:])))
+    for bad in ([(1, 1.0, 0.0)], [(1, 1.0, 0.0), (1, 1.0, 2.0), (1, 3.0, 0.0)]):
+        with pytest.raises(PySparkException, match="two knots"):
+            interpolation.spline_segments(spark.createDataFrame(bad, "g int, x double, y double"), ["g"], "x", "y").collect()
 
 
 def test_transforms(spark):
