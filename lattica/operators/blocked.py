@@ -177,10 +177,10 @@ class Factors:
             table.drop()
 
     def solve(self, b: DataFrame) -> DataFrame:
-        """(sys, i, v) of ``b`` (sys, i, v); missing entries are zero, and systems whose factors aren't ok are left out."""
+        """(sys, i, v) of ``b`` (sys, i, v); missing entries are zero.  Systems whose factors aren't ok, or that ``b`` has nothing of, are left out."""
         size = self.size
         last = F.ceil(F.col("n") / size).cast("long") - 1
-        parts = self.sizes.join(self.failed, "sys", "left_anti").select("sys", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("t"))
+        parts = self.sizes.join(b.select("sys").distinct(), "sys", "left_semi").join(self.failed, "sys", "left_anti").select("sys", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("t"))
         known = b.select("sys", F.floor(F.col("i") / size).cast("long").alias("t"), F.struct((F.col("i") % size).cast("int").alias("at"), F.col("v").cast("double").alias("v")).alias("e")).groupBy("sys", "t").agg(F.collect_list("e").alias("e"))
         known = known.select("sys", "t", F.col("e.at").alias("places"), F.col("e.v").alias("values"))
 
@@ -426,6 +426,42 @@ def solve(a: DataFrame, b: DataFrame, eps: float = 1e-12, most: int = 3, size: i
     return _all([*done, none]) if done else x.df.withColumn("status", F.lit("MaxIterations")).union(none)
 
 
+def inverse_iteration(a: DataFrame, sizes: DataFrame, shifts: DataFrame, start: DataFrame, eps: float, most: int, size: int = TILE) -> DataFrame:
+    """(sys, i, v, value, error, status, iterations) of the eigenvalue next to each system's shift, by one factorisation and a solution a step.
+
+    ``sizes`` is (sys, n), ``shifts`` (sys, shift) and ``start`` (sys, i, v); a start of zero is replaced by 0.1 everywhere.  It ends when three times the relative
+    error is at most ``eps``; systems that are done leave the iteration, and a singular a - shift fails.
+    """
+    a, sizes = Kept(a.select("sys", "i", "j", "a")).df, Kept(sizes.select("sys", F.col("n").cast("long").alias("n"))).df
+    every = sizes.select("sys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    diagonal = every.join(shifts, "sys").select("sys", "i", F.col("i").alias("j"), (-F.col("shift")).alias("a"))
+    factors = lu(a.union(diagonal), sizes, size)
+    x = every.join(start.select("sys", "i", "v"), ["sys", "i"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+    zero = x.groupBy("sys").agg(F.bool_and(F.col("v") == 0).alias("zero"))
+    x = Kept(x.join(zero, "sys").select("sys", "i", F.when(F.col("zero"), 0.1).otherwise(F.col("v")).alias("v"))).df
+    failed = x.join(factors.failed, "sys", "left_semi").select("sys", "i", *[F.lit(None).cast("double").alias(c) for c in ("v", "value", "error")], F.lit("Failed").alias("status"), F.lit(None).cast("int").alias("iterations"))
+    done, now = [failed], Kept(x.join(factors.failed, "sys", "left_anti")).df
+    for n in range(1, most + 1):
+        if now.isEmpty():
+            break
+        z = Kept(factors.solve(now)).df
+        norm = z.groupBy("sys").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
+        z = Kept(z.join(norm, "sys").select("sys", "i", (F.col("v") / F.col("norm")).alias("v"))).df
+        image = a.join(z.select("sys", F.col("i").alias("j"), "v"), ["sys", "j"]).groupBy("sys", "i").agg(F.sum(F.col("a") * F.col("v")).alias("w"))
+        both = Kept(z.join(image, ["sys", "i"], "left").withColumn("w", F.coalesce("w", F.lit(0.0))))
+        values = both.df.groupBy("sys").agg(F.sum(F.col("v") * F.col("w")).alias("value"))
+        gaps = both.df.join(values, "sys").groupBy("sys").agg(F.first("value").alias("value"), F.sqrt(F.sum(F.pow(F.col("w") - F.col("value") * F.col("v"), 2))).alias("gap"))
+        error = F.try_divide("gap", F.abs("value"))
+        status = F.when(error.isNull() | F.isnan(error), "Failed").when(3 * error <= eps, "Converged").when(F.lit(n == most), "MaxIterations")
+        told = Kept(gaps.select("sys", "value", error.alias("error"), status.alias("status"))).df
+        ended = z.join(told.where("status IS NOT NULL"), "sys")
+        done.append(ended.select("sys", "i", "v", "value", "error", "status", F.when(F.col("status") == "Converged", F.lit(n)).alias("iterations")))
+        both.drop()
+        now = Kept(z.join(told.where("status IS NULL"), "sys", "left_semi")).df
+    factors.drop()
+    return _all(done)
+
+
 def least_squares(rows: DataFrame, group: list[str], features: list[Column], label: Column) -> DataFrame:
     """(group, x, residual, rank_ok): each group's least squares by a tree of R factors, without the normal equations.
 

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.tables import Bucketed, keep
+from lattica.plans.tables import Bucketed, Kept, keep
 
 
 def insert_nodes(nodes: DataFrame, count: int) -> DataFrame:
@@ -102,28 +102,42 @@ def breadth_first(edges: DataFrame, start: int, seq: list[str], most_levels: int
 
 
 def depth_first_forest(edges: DataFrame, roots: DataFrame, seq: str) -> DataFrame:
-    """(start, node, path) below each root of a forest; post-order is the order of ``path``.
+    """(start, node, ord) of the nodes below each root of a forest: their post-order, children in the order of ``seq``.
 
-    ``path`` is the list of edge numbers from the root with a sentinel that puts a node after its
-    subtree.  One level is one join; the loop ends when a level is empty.
+    An Euler tour is a list: a node is entered, then its first child or its exit follows; a node's exit is followed by its next sibling's entry or
+    its parent's exit.  Pointer jumping ranks the list, which takes a number of joins that is the logarithm of its length, however deep the forest is.
+    Nodes that no root reaches don't appear; a node with two parents is an error.
     """
-    spark = edges.sparkSession
-    level = roots.select(F.col("node").alias("start"), "node", F.array().cast("array<long>").alias("path"))
-    out = None
+    children = edges.select("src", "dst", F.col(seq).alias("_seq"))
+    w = Window.partitionBy("src").orderBy("_seq", "dst")
+    kids = Kept(children.select("src", "dst", F.lead("dst").over(w).alias("_next"), F.row_number().over(w).alias("_n"), F.count("*").over(Window.partitionBy("dst")).alias("_parents")))
+    entry, leave = lambda c: 2 * F.col(c).cast("long"), lambda c: 2 * F.col(c).cast("long") + 1
+    wrong = F.raise_error(F.lit("a node has two parents")).cast("long")
+    firsts = kids.df.where("_n = 1").select(entry("src").alias("id"), entry("dst").alias("next"))
+    leaves = kids.df.select("dst").union(roots.select("node")).distinct().join(kids.df.select(F.col("src").alias("dst")).distinct(), "dst", "left_anti").select(entry("dst").alias("id"), leave("dst").alias("next"))
+    exits = kids.df.select(leave("dst").alias("id"), F.when(F.col("_parents") > 1, wrong).otherwise(F.coalesce(entry("_next"), leave("src"))).alias("next"))
+    # A root's exit follows itself; ``w`` counts the exits from an element up to ``next``, which isn't counted.
+    ends = roots.select(leave("node").alias("id"), leave("node").alias("next"))
+    lists = firsts.union(leaves).union(exits).union(ends)
+    now = Kept(lists.select("id", "next", F.when(F.col("id") == F.col("next"), 0).otherwise(F.col("id").bitwiseAND(F.lit(1))).cast("long").alias("w")))
     while True:
-        level = keep(level.join(edges.select(F.col("src").alias("node"), "dst", F.col(seq).cast("long").alias("_seq")), "node").select("start", F.col("dst").alias("node"), F.concat("path", F.array("_seq")).alias("path")))
-        if level.isEmpty():
+        ahead = now.df.select(F.col("id").alias("next"), F.col("next").alias("_far"), F.col("w").alias("_more"))
+        then = Kept(now.df.join(ahead, "next", "left").select("id", F.coalesce("_far", "next").alias("next"), (F.col("w") + F.coalesce("_more", F.lit(0))).alias("w"), (F.col("_far") != F.col("next")).alias("_moved")))
+        now.drop()
+        now = then
+        if now.df.where("_moved").isEmpty():
             break
-        out = level if out is None else out.union(level)
-    if out is None:
-        return spark.createDataFrame([], "start long, node long, path array<long>")
-    return out.withColumn("path", F.concat("path", F.array(F.lit(2**62))))
+    kids.drop()
+    tails = now.df.join(roots.select(leave("node").alias("next"), F.col("node").alias("start")).distinct(), "next")
+    total = tails.where(F.col("id") == entry("start")).select("start", F.col("w").alias("_all"))
+    found = tails.where((F.col("id").bitwiseAND(F.lit(1)) == 1) & (F.col("id") != F.col("next"))).join(total, "start")
+    return found.select("start", F.shiftright("id", 1).alias("node"), (F.col("_all") - F.col("w")).alias("ord"))
 
 
 def depth_first(edges: DataFrame, starts: DataFrame, group: str, seq: str) -> DataFrame:
     """(group, node, ord): post-order from each group's start in a general graph.
 
-    Lexicographic depth-first search is sequential, so each group's graph is one task's work; the
+    For many small graphs: lexicographic depth-first search is sequential, so each group's graph is one task's work and has to fit its memory; the
     parallelism lies in the groups.  A start is given only if it lies on a cycle.
     """
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.tables import Bucketed, Kept, keep
 
-#: Steps in one plan; statuses are looked at, and iterations counted, in these strides.
+#: Steps in one plan; statuses are looked at, and iterations counted, in these strides.  A sweep of more than two colours is several steps.
 STRIDE = 6
 #: The index of a coordinate that is always one, which carries the right-hand side.
 _ONE = -1
@@ -51,18 +51,53 @@ def _finished(rows: DataFrame, told: DataFrame, n: int) -> DataFrame:
     return done.select("sys", "i", F.when(status != "Failed", F.col("v")).alias("v"), "status", F.when(status == "Converged", F.lit(n)).alias("iterations"))
 
 
-def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0, colours: int = 0, stride: int = STRIDE) -> DataFrame:
+def colouring(a: DataFrame) -> DataFrame:
+    """(sys, i, colour) of the unknowns of (sys, i, j, a), so that no equation holds two of one colour.
+
+    Rounds of Jones and Plassmann: an unknown whose number's hash is above those of all its uncoloured neighbours takes the least colour that
+    none of its coloured neighbours has.  The hash decides, so the colours don't depend on the partitioning; the rounds grow with the
+    logarithm of the unknowns, and an unknown's neighbours are aggregated, never gathered (but for their distinct colours).
+    """
+    entries = a.where("a != 0").select("sys", "i", "j")
+    edges = entries.where("i != j").union(entries.where("i != j").select("sys", F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    edges = Kept(edges, "graph")
+    nodes = entries.select("sys", "i").union(entries.select("sys", "j")).distinct()
+    now = Kept(nodes.select("sys", "i", F.lit(None).cast("int").alias("colour")))
+    rank = lambda i: F.struct(F.xxhash64("sys", i).alias("h"), F.col(i).alias("i"))
+    while not now.df.where("colour IS NULL").isEmpty():
+        around = edges.df.join(now.df.withColumnsRenamed({"i": "j", "colour": "_other"}), ["sys", "j"])
+        told = around.groupBy("sys", "i").agg(F.max(F.when(F.col("_other").isNull(), rank("j"))).alias("_rival"), F.collect_set("_other").alias("_taken"))
+        both = now.df.join(told, ["sys", "i"], "left")
+        taken = F.coalesce("_taken", F.array().cast("array<int>"))
+        least = F.array_min(F.array_except(F.sequence(F.lit(0), F.size(taken)), taken))
+        wins = F.col("_rival").isNull() | (rank("i") > F.col("_rival"))
+        then = Kept(both.select("sys", "i", F.coalesce("colour", F.when(wins, least)).alias("colour")))
+        now.drop()
+        now = then
+    edges.drop()
+    return now.df
+
+
+def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0, colours: int | DataFrame = 0, stride: int = STRIDE) -> DataFrame:
     """(sys, i, v, status, iterations) of Jacobi's method (without ``colours``) or successive over-relaxation, from the zero vector.
 
-    A sweep of over-relaxation takes the unknowns by colour, i modulo ``colours``; no equation may
+    A sweep of over-relaxation takes the unknowns by colour: i modulo ``colours``, or what a table (sys, i, colour) such as ``colouring``'s says.  No equation may
     hold two unknowns of a colour, so each colour is one parallel step that sees the new values of
     those before.  ``omega`` 1 is Gauss and Seidel's method.  It ends when the residual's norm is at most ``eps``; a
     zero on the diagonal fails.  Iterations are counted in strides.
     """
     if not 0 < omega < 2:
         raise ValueError("omega has to lie between 0 and 2")
-    a = a.where("a != 0")
-    if colours and not a.where(f"i != j AND i % {colours} = j % {colours}").isEmpty():
+    a, number = a.where("a != 0"), colours
+    if isinstance(colours, DataFrame):
+        two = [colours.select("sys", F.col("i").alias(k), F.col("colour").alias(f"_{k}")) for k in "ij"]
+        clash = a.where("i != j").join(two[0], ["sys", "i"]).join(two[1], ["sys", "j"]).where("_i = _j")
+        number = (colours.agg(F.max("colour")).first()[0] or 0) + 1
+        b = b.join(colours.select("sys", "i", "colour"), ["sys", "i"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
+    else:
+        clash = a.where(f"i != j AND i % {colours} = j % {colours}") if colours else a.limit(0)
+        b = b.withColumn("colour", F.col("i") % colours if colours else F.lit(0))
+    if not clash.isEmpty():
         raise ValueError("an equation holds two unknowns of one colour")
     cells = a.count()
     b = Kept(b.join(a.where("i = j").select("sys", "i", F.col("a").alias("d")), ["sys", "i"], "left"))
@@ -70,10 +105,10 @@ def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0,
     out = [b.df.join(failed.df, "sys", "left_semi").select("sys", "i", F.lit(None).cast("double").alias("v"), F.lit("Failed").alias("status"), F.lit(None).cast("int").alias("iterations"))]
     fine = Kept(b.df.join(failed.df, "sys", "left_anti"))
     ones = fine.df.select("sys", F.lit(_ONE).cast("long").alias("i"), F.lit(_ONE).cast("long").alias("j"), F.lit(1.0).alias("a")).distinct()
-    size = fine.df.select("sys", "i", "d")
+    size = fine.df.select("sys", "i", "d", "colour")
     steps = []
-    for colour in range(max(1, colours)):
-        mine = F.lit(True) if not colours else F.col("i") % colours == colour
+    for colour in range(max(1, number)):
+        mine = F.col("colour") == colour
         turned = a.join(size.where(mine), ["sys", "i"]).select("sys", "i", "j", F.when(F.col("i") == F.col("j"), 1.0 - omega).otherwise(-omega * F.col("a") / F.col("d")).alias("a"))
         side = fine.df.where(mine).select("sys", "i", F.lit(_ONE).cast("long").alias("j"), (omega * F.col("v") / F.col("d")).alias("a"))
         rest = size.where(~mine).select("sys", "i", F.col("i").alias("j"), F.lit(1.0).alias("a"))
@@ -89,10 +124,11 @@ def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0,
         if going.isEmpty():
             break
         vector = x.df.join(going, "sys", "left_semi")
-        for _ in range(min(stride, most - n)):
+        sweeps = min(max(1, 2 * stride // max(2, len(steps))), most - n)
+        for _ in range(sweeps):
             for step in steps:
                 vector = matvec(step.df, vector)
-        x, n = Kept(vector), n + min(stride, most - n)
+        x, n = Kept(vector), n + sweeps
     for table in (*steps, gaps):
         table.drop()
     return _out(out, ["sys", "i", "v", "status", "iterations"])

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.tables import join_on
+
 
 def next_power(n: int) -> int:
     if n < 1:
@@ -25,25 +27,33 @@ def dft(signal: DataFrame, group: list[str], n: str, x: str, size: int) -> DataF
     return terms.groupBy(*group, "k").agg(F.sum(F.col("_x") * F.cos(angle)).alias("re"), (-F.sum(F.col("_x") * F.sin(angle))).alias("im"))
 
 
+#: Bits of a stage's factor.
+RADIX_BITS = 6
+
+
 def fft(signal: DataFrame, group: list[str], n: str, x: str) -> DataFrame:
-    """(group, k, re, im) of each series, padded with zeros to a power of two N of its own: a transform of two factors.
+    """(group, k, re, im) of each series, padded with zeros to a power of two N of its own, in stages of a factor R of up to 64.
 
-    With N = N1 N2, a sample's place is n1 N2 + n2 and a frequency k1 + N1 k2.  Sums over n1, a turn by
-    n2 k1 / N and sums over n2 follow each other, so a sample is multiplied N1 + N2 times, about
-    2 sqrt(N), and every sum is combined before its shuffle.  Samples that are left out count as zero.
+    With M = R M' samples left, a sample's place is n1 M' + n2 and a frequency k1 + R k2: sums over n1, combined before their shuffle, and a turn
+    by n2 k1 / M leave R series of M' samples, whose numbers k1 are the lowest digits of the frequency.  So a sample meets 64 rows a stage,
+    64 log64(N) in all.  Samples that are left out count as zero; groups may be null.
     """
-    rows = signal.select(*group, F.col(n).cast("long").alias("_n"), F.col(x).cast("double").alias("_x"))
+    place = F.col(n).cast("long")
+    rows = signal.select(*group, place.alias("_n"), F.col(x).cast("double").alias("_re"))
     bits = F.when(F.max("_n") > 0, F.length(F.bin(F.max("_n")))).otherwise(0)
-    sizes = rows.groupBy(*group).agg(bits.alias("_bits"))
+    sizes = rows.groupBy(*group).agg(bits.cast("int").alias("_bits"))
+    stages = max(1, -(-(sizes.agg(F.max("_bits")).first()[0] or 0) // RADIX_BITS))
     one = lambda c: F.pow(F.lit(2.0), c).cast("long")
-    sizes = sizes.select(*group, one(F.expr("_bits div 2").cast("int")).alias("_a"), one((F.col("_bits") - F.expr("_bits div 2")).cast("int")).alias("_b"))
-    turn = lambda product, size: -2 * math.pi * F.pmod(product, size) / size
-    fill = lambda size: F.explode(F.sequence(F.lit(0).cast("long"), F.col(size) - 1))
-    place = rows.join(sizes, group).select(*group, "_a", "_b", "_x", F.expr("_n div _b").alias("_n1"), (F.col("_n") % F.col("_b")).alias("_n2"), fill("_a").alias("_k1"))
-    angle = turn(F.col("_n1") * F.col("_k1"), F.col("_a"))
-    first = place.groupBy(*group, "_a", "_b", "_n2", "_k1").agg(F.sum(F.col("_x") * F.cos(angle)).alias("_re"), F.sum(F.col("_x") * F.sin(angle)).alias("_im"))
-    spread = first.select("*", fill("_b").alias("_k2"))
-    # Both turns at once: n2 k1 / N + n2 k2 / N2 = n2 (k1 + N1 k2) / N.
-    angle = turn(F.col("_n2") * (F.col("_k1") + F.col("_a") * F.col("_k2")), F.col("_a") * F.col("_b"))
-    re, im = F.col("_re") * F.cos(angle) - F.col("_im") * F.sin(angle), F.col("_re") * F.sin(angle) + F.col("_im") * F.cos(angle)
-    return spread.groupBy(*group, (F.col("_k1") + F.col("_a") * F.col("_k2")).alias("k")).agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    state = join_on(rows, sizes, group).select(*group, "_n", F.lit(0).cast("long").alias("_k"), F.lit(1).cast("long").alias("_stride"), "_bits", "_re", F.lit(0.0).alias("_im"))
+    for _ in range(stages):
+        now = F.least("_bits", F.lit(RADIX_BITS))
+        spread = state.select("*", one(now).alias("_r"), one(F.col("_bits") - now).alias("_m")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_r") - 1)).alias("_k1"))
+        angle = -2 * math.pi * F.pmod(F.expr("_n div _m") * F.col("_k1"), F.col("_r")) / F.col("_r")
+        re, im = F.col("_re") * F.cos(angle) - F.col("_im") * F.sin(angle), F.col("_re") * F.sin(angle) + F.col("_im") * F.cos(angle)
+        keys = [*group, "_bits", "_stride", "_k", "_r", "_m", "_k1"]
+        summed = spread.groupBy(*keys, (F.col("_n") % F.col("_m")).alias("_n2")).agg(F.sum(re).alias("_re"), F.sum(im).alias("_im"))
+        size = F.col("_r") * F.col("_m")
+        turn = -2 * math.pi * F.pmod(F.col("_n2") * F.col("_k1"), size) / size
+        turned = F.col("_re") * F.cos(turn) - F.col("_im") * F.sin(turn), F.col("_re") * F.sin(turn) + F.col("_im") * F.cos(turn)
+        state = summed.select(*group, F.col("_n2").alias("_n"), (F.col("_k") + F.col("_stride") * F.col("_k1")).alias("_k"), (F.col("_stride") * F.col("_r")).alias("_stride"), F.greatest(F.col("_bits") - RADIX_BITS, F.lit(0)).alias("_bits"), turned[0].alias("_re"), turned[1].alias("_im"))
+    return state.select(*group, F.col("_k").alias("k"), F.col("_re").alias("re"), F.col("_im").alias("im"))

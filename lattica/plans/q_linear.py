@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import blocked, linear, small, status
+from lattica.operators import banded, blocked, linear, small, status
 from lattica.plans.tables import keep, r6, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -219,9 +220,9 @@ def conjugate_gradient_series(spark, sf):
     return _series(spark, sf, lambda *s: linear.descend(*s, conjugate=True))
 
 
-@query("""SELECT g AS l_returnflag, round((sy * qq * dd + qy * sd_q * 0 + (sq * (dy * qd - qy * dd) + sd * (qy * qd - dy * qq)) - sy * qd * qd) / det, 4) + 0.0 AS c0,
+@query("""SELECT g AS l_returnflag, round((sy * qq * dd + (sq * (dy * qd - qy * dd) + sd * (qy * qd - dy * qq)) - sy * qd * qd) / det, 4) + 0.0 AS c0,
 round((n * (qy * dd - dy * qd) - sq * (sy * dd - dy * sd) + sd * (sy * qd - qy * sd)) / det, 4) + 0.0 AS c1, round((n * (qq * dy - qd * qy) - sq * (sq * dy - qd * sy) + sd * (sq * qy - qq * sy)) / det, 4) + 0.0 AS c2
-FROM (SELECT *, 1 AS sd_q, n * (qq * dd - qd * qd) - sq * (sq * dd - qd * sd) + sd * (sq * qd - qq * sd) AS det FROM (SELECT l_returnflag AS g, count(*)::DOUBLE AS n, sum(q) AS sq, sum(d) AS sd, sum(q * q) AS qq,
+FROM (SELECT *, n * (qq * dd - qd * qd) - sq * (sq * dd - qd * sd) + sd * (sq * qd - qq * sd) AS det FROM (SELECT l_returnflag AS g, count(*)::DOUBLE AS n, sum(q) AS sq, sum(d) AS sd, sum(q * q) AS qq,
 sum(q * d) AS qd, sum(d * d) AS dd, sum(y) AS sy, sum(q * y) AS qy, sum(d * y) AS dy FROM (SELECT l_returnflag, l_quantity / 50 AS q, l_discount * 10 AS d, l_extendedprice / 1000 AS y FROM lineitem) GROUP BY l_returnflag))""")
 def lsq_multi(spark, sf):
     features = [F.lit(1.0), F.col("l_quantity") / 50, F.col("l_discount") * 10]
@@ -288,3 +289,67 @@ FROM (SELECT l_suppkey, l_quantity AS q, l_extendedprice / 1000 AS p FROM lineit
 def lsq_qr_trend(spark, sf):
     found = blocked.least_squares(table(spark, sf, "lineitem"), ["l_suppkey"], [F.lit(1.0), F.col("l_quantity")], F.col("l_extendedprice") / 1000)
     return found.select("l_suppkey", r6(F.col("x")[0], 4).alias("intercept"), r6(F.col("x")[1], 4).alias("slope"), F.round("residual", 3).alias("residual"))
+
+
+# Each user's events on a grid five wide, tied to their neighbours and across: not to be told apart by two colours.  The solution is the values.
+@query("SELECT user_id AS sys, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, round(value / 100, 4) AS x, 'Converged' AS status FROM events")
+def sor_grid(spark, sf):
+    w = Window.partitionBy("user_id")
+    rows = keep(table(spark, sf, "events").select(F.col("user_id").alias("sys"), (F.row_number().over(w.orderBy("ts", "event_id")).cast("long") - 1).alias("i"), (F.col("value") / 100).alias("v"), F.count("*").over(w).alias("m")))
+    i, column = F.col("i"), F.col("i") % 5
+    steps = [(d, right) for d, right in ((1, 1), (5, 0), (4, -1), (6, 1))]
+    tie = lambda d, right, sign: F.when((i + sign * d >= 0) & (i + sign * d < F.col("m")) & (column + sign * right).between(0, 4), i + sign * d)
+    near = F.array_compact(F.array(*[tie(d, right, sign) for d, right in steps for sign in (1, -1)]))
+    entry = lambda j, a: F.struct(j.alias("j"), a.cast("double").alias("a"))
+    row = F.concat(F.array(entry(i, 1 + H * F.size(near))), F.transform(near, lambda j: entry(j, F.lit(-H))))
+    a = keep(rows.select("sys", "i", F.explode(row).alias("e")).select("sys", "i", "e.j", "e.a"))
+    b = linear.matvec(a, rows.select("sys", "i", "v"))
+    found = linear.relax(a, b, 1e-6, 200, omega=1.1, colours=linear.colouring(a))
+    return found.select("sys", "i", r6("v", 4).alias("x"), "status")
+
+
+# The systems of the series above once more, solved directly.
+@query(f"""SELECT sys, i, x FROM ({_series_sql("SELECT sys, i, y / d AS x FROM k")}) WHERE run = 'all' AND status = 'Converged'""")
+def tridiagonal_series(spark, sf):
+    w = Window.partitionBy("user_id")
+    rows = table(spark, sf, "events").where("user_id % 10 != 3").select(F.col("user_id").alias("sys"), (F.row_number().over(w.orderBy("ts", "event_id")).cast("long") - 1).alias("i"), (F.col("value") / 100).alias("r"), F.count("*").over(w).alias("m"))
+    degree = (F.col("i") > 0).cast("int") + (F.col("i") < F.col("m") - 1).cast("int")
+    found = banded.tridiagonal(rows.select("sys", "i", F.lit(-H).alias("a"), (1 + H * degree).alias("d"), F.lit(-H).alias("c"), "r"), ["sys"])
+    return found.select("sys", "i", r6("x").alias("x"))
+
+
+# Fifty customers a matrix whose eigenvalues are their balances, hidden by a reflection at the vector of ones.
+@query("SELECT c_custkey // 50 AS sys, row_number() OVER (PARTITION BY c_custkey // 50 ORDER BY c_acctbal) - 1 AS k, round(c_acctbal / 1000, 6) + 0.0 AS value FROM customer")
+def symmetric_eigenvalues(spark, sf):
+    rows = table(spark, sf, "customer").groupBy(F.expr("c_custkey div 50").alias("sys")).agg(F.array_sort(F.collect_list(F.struct("c_custkey", (F.col("c_acctbal") / 1000).alias("d")))).alias("d"))
+    d, m = F.col("d.d"), F.size("d")
+    total = F.aggregate(d, F.lit(0.0), lambda s, v: s + v)
+    a = small.let(4 * total / (m * m), lambda t: F.transform(d, lambda u, i: F.transform(d, lambda v, j: F.when(i == j, u).otherwise(0.0) - 2 * (u + v) / m + t)))
+    found = rows.select("sys", F.array_sort(small.symmetric_eigenvalues(a, 10)).alias("e"))
+    return found.select("sys", F.posexplode("e").alias("k", "value")).select("sys", F.col("k").cast("long").alias("k"), r6("value").alias("value"))
+
+
+# The Laplacian of each user's series, a path, has the eigenvalues 2 - 2 cos(pi k / m); asked for the one a third of the way up, from a place a fifth of the gap beyond it.
+# Users whose number ends in 3 have one iteration only, and those with fewer than four events none to find.
+_THIRD = "SELECT user_id AS sys, count(*) AS m FROM events GROUP BY user_id HAVING count(*) >= 4"
+
+
+@query(f"""SELECT sys, CASE WHEN sys % 10 <> 3 THEN round(2 - 2 * cos(pi() * (m // 3) / m), 6) END AS value, CASE WHEN sys % 10 <> 3 THEN 'Converged' ELSE 'MaxIterations' END AS status FROM ({_THIRD})""")
+def inverse_iteration_series(spark, sf):
+    sizes = keep(table(spark, sf, "events").groupBy(F.col("user_id").alias("sys")).agg(F.count("*").alias("n")).where("n >= 4"))
+    rows = sizes.select("sys", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    i, last = F.col("i"), F.col("n") - 1
+    entry = lambda j, a, where: F.when(where, F.struct(j.alias("j"), a.cast("double").alias("a")))
+    row = F.array_compact(F.array(entry(i, (i > 0).cast("int") + (i < last).cast("int"), F.lit(True)), entry(i - 1, F.lit(-1.0), i > 0), entry(i + 1, F.lit(-1.0), i < last)))
+    a = keep(rows.select("sys", "i", F.explode(row).alias("e")).select("sys", "i", "e.j", "e.a"))
+    value = lambda k: 2 - 2 * F.cos(F.lit(math.pi) * k / F.col("n"))
+    third = F.floor(F.col("n") / 3)
+    shifts = sizes.select("sys", "n", (0.8 * value(third) + 0.2 * value(third + 1)).alias("shift"))
+    start = rows.select("sys", "i", F.sin(1 + i * i).alias("v"))
+
+    def run(rest: bool, most: int) -> DataFrame:
+        mine = (F.col("sys") % 10 == 3) == rest
+        return blocked.inverse_iteration(a.where(mine), sizes.where(mine), shifts.where(mine), start.where(mine), 1e-8, most)
+
+    both = run(False, 40).union(run(True, 1)).where("i = 0")
+    return both.select("sys", F.when(F.col("status") == "Converged", r6("value")).alias("value"), "status")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import interpolation, ode, quadrature, roots, spectral
-from lattica.plans.tables import r6, table
+from lattica.plans.tables import keep, r6, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -75,14 +75,6 @@ def ode_implicit_euler(spark, sf):
     return _solve_decay(spark, sf, ode.implicit_euler_step(_field, lambda t, y: -F.col("rate"), eps=1e-12))
 
 
-@query("""SELECT c_custkey, k AS step, round(pow(1 + z * z, k / 2.0::DOUBLE) * cos(k * atan(z)), 6) + 0.0 AS y0, round(-pow(1 + z * z, k / 2.0::DOUBLE) * sin(k * atan(z)), 6) + 0.0 AS y1
-FROM (SELECT c_custkey, 0.1::DOUBLE AS z, unnest(range(0, 11))::INTEGER AS k FROM customer)""")
-def ode_system(spark, sf):
-    rows = table(spark, sf, "customer").select("c_custkey")
-    found = ode.solve_system(rows, ["c_custkey"], ode.euler_system(_oscillator, 2), F.array(F.lit(1.0), F.lit(0.0)), F.lit(0.1), F.lit(1.05))
-    return found.select("c_custkey", "step", r6(F.col("y")[0]).alias("y0"), r6(F.col("y")[1]).alias("y1"))
-
-
 def _oscillator(t, y):
     return [y[1], -y[0]]
 
@@ -100,6 +92,11 @@ def _turn(spark, sf, step):
     return found.select("c_custkey", "step", r6(F.col("y")[0]).alias("y0"), r6(F.col("y")[1]).alias("y1"))
 
 
+@query(_turning("1", "z"))
+def ode_system(spark, sf):
+    return _turn(spark, sf, ode.euler_system(_oscillator, 2))
+
+
 @query(_turning("1 - z * z / 2", "z"))
 def ode_system_heun(spark, sf):
     return _turn(spark, sf, ode.heun_system(_oscillator, 2))
@@ -216,75 +213,16 @@ def quad_romberg_outcomes(spark, sf):
     return found.select("p_partkey", "o.status", r6("o.result", 7).alias("integral"), "o.iterations")
 
 
-# A user's first four events, by time in days since the first one; the query lies within.
-_NODES = """SELECT user_id, n, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 86400000000.0::DOUBLE AS x, value / 100 AS y
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n <= 4"""
-_ASKED = f"SELECT user_id, max(x) * 0.4 AS q FROM ({_NODES}) GROUP BY user_id HAVING count(*) = 4"
-_LAGRANGE = f"""SELECT user_id, round(sum(y * f), 4) + 0.0 AS y FROM (SELECT a.user_id, a.n, any_value(a.y) AS y, product((k.q - b.x) / (a.x - b.x)) AS f
-FROM ({_NODES}) a JOIN ({_NODES}) b ON a.user_id = b.user_id AND a.n <> b.n JOIN ({_ASKED}) k ON k.user_id = a.user_id GROUP BY a.user_id, a.n) GROUP BY user_id"""
-
-
-def _samples(spark, sf):
-    from lattica.operators.ordered import heap_pop
-
-    events = table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "value")
-    first = heap_pop(events.withColumn("tie", F.col("event_id")), "us", "tie", 4, ["user_id"])
-    start = first.groupBy("user_id").agg(F.min("us").alias("start"))
-    return first.join(start, "user_id").select("user_id", ((F.col("us") - F.col("start")) / F.lit(86400000000.0)).alias("x"), (F.col("value") / 100).alias("y"))
-
-
-def _interpolated(spark, sf, method):
-    series = interpolation.nodes(_samples(spark, sf), ["user_id"], "x", "y").where(F.size("nodes") == 4)
-    asked = series.select("user_id", (F.get("nodes", F.lit(3))["x"] * 0.4).alias("q"))
-    found = interpolation.interpolate(series, asked, ["user_id"], "q", method)
-    return found.select("user_id", r6("y", 4).alias("y"))
-
-
-@query(_LAGRANGE)
-def interp_barycentric(spark, sf):
-    return _interpolated(spark, sf, "barycentric")
-
-
-@query(_LAGRANGE)
-def interp_neville(spark, sf):
-    return _interpolated(spark, sf, "neville")
-
-
-@query(_LAGRANGE)
-def interp_newton(spark, sf):
-    return _interpolated(spark, sf, "newton")
-
-
-@query("""SELECT p_partkey, k, round(b * k / 6, 6) AS uniform, round(b / 2 - b / 2 * cos((2 * k + 1) * pi() / 14), 6) AS chebyshev
-FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS b, unnest(range(0, 7))::INTEGER AS k FROM part)""")
-def interp_nodes(spark, sf):
-    a, b = F.col("a"), F.col("b")
-    both = F.zip_with(interpolation.uniform_nodes(a, b, 6), interpolation.chebyshev_nodes(a, b, 6), lambda u, c: F.struct(u.alias("u"), c.alias("c")))
-    rows = _parts(spark, sf).select("p_partkey", F.posexplode(both).alias("k", "z"))
-    return rows.select("p_partkey", "k", r6("z.u").alias("uniform"), r6("z.c").alias("chebyshev"))
-
-
-# Three knots, flat ends: the moments solve a 3 x 3 system in closed form.
-@query(f"""WITH s AS (SELECT user_id, max(x) FILTER (n = 1) AS x0, max(x) FILTER (n = 2) AS x1, max(x) FILTER (n = 3) AS x2, max(y) FILTER (n = 1) AS y0, max(y) FILTER (n = 2) AS y1, max(y) FILTER (n = 3) AS y2
-FROM ({_NODES}) GROUP BY user_id HAVING count(*) >= 3), h AS (SELECT *, x1 - x0 AS g, x2 - x1 AS h, (y1 - y0) / (x1 - x0) AS d0, (y2 - y1) / (x2 - x1) AS d1 FROM s),
-m AS (SELECT *, (6 * (d1 - d0) - 3 * d0 + 3 * d1) / (2 * (g + h) - g / 2 - h / 2) AS m1 FROM h), e AS (SELECT *, (6 * d0 / g - m1) / 2 AS m0, x0 + g * 0.3 AS q, 0.3::DOUBLE AS t FROM m)
-SELECT user_id, round(y0 * (1 - t) + y1 * t + g * g * (m0 * (-t / 3 + t * t / 2 - t * t * t / 6) + m1 * (-t / 6 + t * t * t / 6)), 3) + 0.0 AS y FROM e""")
-def interp_spline(spark, sf):
-    series = interpolation.nodes(_samples(spark, sf), ["user_id"], "x", "y").where(F.size("nodes") >= 3).select("user_id", F.slice("nodes", 1, 3).alias("nodes"))
-    knots = series.select("user_id", F.explode("nodes").alias("p")).select("user_id", "p.x", "p.y")
-    asked = series.select("user_id", (F.get("nodes", F.lit(0))["x"] + 0.3 * (F.get("nodes", F.lit(1))["x"] - F.get("nodes", F.lit(0))["x"])).alias("q"))
-    found = interpolation.spline(interpolation.spline_segments(knots, ["user_id"], "x", "y"), asked, ["user_id"], "q")
-    return found.select("user_id", r6("y", 3).alias("y"))
-
-
-# The four queries above are held by their SQL to a user's first events; here are the whole series, with a query in each gap between neighbours.
+# Whole series by time in days since the first event, with a query in each gap between neighbours; polynomials go through consecutive pieces of a few gaps.
 _SERIES = """SELECT user_id, n, (us - min(us) OVER (PARTITION BY user_id)) / 86400000000.0::DOUBLE AS x, value / 100 AS y
 FROM (SELECT user_id, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events)"""
-#: Gaps of a piece; neighbouring pieces share a node.
-_GAPS = 3
-_PIECES = f"""WITH s AS MATERIALIZED ({_SERIES}), k AS (SELECT user_id, n AS gap, n - n % {_GAPS} AS low, x + 0.4 * (next - x) AS q FROM (SELECT *, lead(x) OVER (PARTITION BY user_id ORDER BY n) AS next FROM s) WHERE next IS NOT NULL)
-SELECT user_id, gap, round(sum(y * f), 4) + 0.0 AS y FROM (SELECT k.user_id, k.gap, a.n, any_value(a.y) AS y, product((k.q - b.x) / (a.x - b.x)) AS f FROM k JOIN s a ON a.user_id = k.user_id AND a.n BETWEEN low AND low + {_GAPS}
-JOIN s b ON b.user_id = k.user_id AND b.n BETWEEN low AND low + {_GAPS} AND a.n <> b.n GROUP BY k.user_id, k.gap, a.n) GROUP BY user_id, gap"""
+
+
+def _pieces(gaps: int, share: float) -> str:
+    """Pieces of ``gaps`` gaps, of which neighbours share a node, asked at ``share`` of each gap."""
+    return f"""WITH s AS MATERIALIZED ({_SERIES}), k AS (SELECT user_id, n AS gap, n - n % {gaps} AS low, x + {share} * (next - x) AS q FROM (SELECT *, lead(x) OVER (PARTITION BY user_id ORDER BY n) AS next FROM s) WHERE next IS NOT NULL)
+SELECT user_id, gap, round(sum(y * f), 4) + 0.0 AS y FROM (SELECT k.user_id, k.gap, a.n, any_value(a.y) AS y, product((k.q - b.x) / (a.x - b.x)) AS f FROM k JOIN s a ON a.user_id = k.user_id AND a.n BETWEEN low AND low + {gaps}
+JOIN s b ON b.user_id = k.user_id AND b.n BETWEEN low AND low + {gaps} AND a.n <> b.n GROUP BY k.user_id, k.gap, a.n) GROUP BY user_id, gap"""
 
 
 def _series(spark, sf):
@@ -294,48 +232,89 @@ def _series(spark, sf):
     return events.select("user_id", (F.row_number().over(w).cast("long") - 1).alias("n"), x.alias("x"), (F.col("value") / 100).alias("y"))
 
 
-def _interpolated_pieces(spark, sf, method):
-    n, low = F.col("n"), F.col("n") - F.col("n") % _GAPS
-    lows = F.when((n == low) & (n > 0), F.array(low, low - _GAPS)).otherwise(F.array(low))
+def _interpolated_pieces(spark, sf, method, many, share):
+    n, low = F.col("n"), F.col("n") - F.col("n") % many
+    lows = F.when((n == low) & (n > 0), F.array(low, low - many)).otherwise(F.array(low))
     rows = _series(spark, sf).select("user_id", F.explode(lows).alias("low"), "x", "y")
     pieces = interpolation.nodes(rows, ["user_id", "low"], "x", "y").where(F.size("nodes") > 1)
     gaps = F.size("nodes") - 1
-    places = F.zip_with(F.slice("nodes", 1, gaps), F.slice("nodes", 2, gaps), lambda a, b: a["x"] + 0.4 * (b["x"] - a["x"]))
+    places = F.zip_with(F.slice("nodes", 1, gaps), F.slice("nodes", 2, gaps), lambda a, b: a["x"] + share * (b["x"] - a["x"]))
     asked = pieces.select("user_id", "low", F.posexplode(places).alias("at", "q"))
     found = interpolation.interpolate(pieces, asked, ["user_id", "low"], "q", method)
     return found.select("user_id", (F.col("low") + F.col("at")).alias("gap"), r6("y", 4).alias("y"))
 
 
-@query(_PIECES)
+@query(_pieces(2, 0.7))
+def interp_barycentric(spark, sf):
+    return _interpolated_pieces(spark, sf, "barycentric", 2, 0.7)
+
+
+@query(_pieces(2, 0.7))
+def interp_neville(spark, sf):
+    return _interpolated_pieces(spark, sf, "neville", 2, 0.7)
+
+
+@query(_pieces(2, 0.7))
+def interp_newton(spark, sf):
+    return _interpolated_pieces(spark, sf, "newton", 2, 0.7)
+
+
+@query(_pieces(3, 0.4))
 def interp_barycentric_whole(spark, sf):
-    return _interpolated_pieces(spark, sf, "barycentric")
+    return _interpolated_pieces(spark, sf, "barycentric", 3, 0.4)
 
 
-@query(_PIECES)
+@query(_pieces(3, 0.4))
 def interp_neville_whole(spark, sf):
-    return _interpolated_pieces(spark, sf, "neville")
+    return _interpolated_pieces(spark, sf, "neville", 3, 0.4)
 
 
-@query(_PIECES)
+@query(_pieces(3, 0.4))
 def interp_newton_whole(spark, sf):
-    return _interpolated_pieces(spark, sf, "newton")
+    return _interpolated_pieces(spark, sf, "newton", 3, 0.4)
+
+
+@query("""SELECT p_partkey, k, round(b * k / 6, 6) AS uniform, round(b / 2 - b / 2 * cos((2 * k + 1) * pi() / 14), 6) AS chebyshev
+FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS b, unnest(range(0, 7))::INTEGER AS k FROM part)""")
+def interp_nodes(spark, sf):
+    a, b = F.col("a"), F.col("b")
+    both = F.zip_with(interpolation.uniform_nodes(a, b, 6), interpolation.chebyshev_nodes(a, b, 6), lambda u, c: F.struct(u.alias("u"), c.alias("c")))
+    rows = _parts(spark, sf).select("p_partkey", F.posexplode(both).alias("k", "z"))
+    return rows.select("p_partkey", "k", r6("z.u").alias("uniform"), r6("z.c").alias("chebyshev"))
 
 
-# Flat ends; the tridiagonal system of the moments m is swept down and up, a node a step.
-@query(f"""WITH RECURSIVE s AS MATERIALIZED ({_SERIES}), k AS MATERIALIZED (SELECT user_id, n, x, y, max(n) OVER (PARTITION BY user_id) AS top, coalesce(x - lag(x) OVER w, 0) AS g, coalesce(lead(x) OVER w - x, 0) AS h,
+def _spline_sql(share: float) -> str:
+    """Flat ends; the tridiagonal system of the moments m is swept down and up, a node a step."""
+    return f"""WITH RECURSIVE s AS MATERIALIZED ({_SERIES}), k AS MATERIALIZED (SELECT user_id, n, x, y, max(n) OVER (PARTITION BY user_id) AS top, coalesce(x - lag(x) OVER w, 0) AS g, coalesce(lead(x) OVER w - x, 0) AS h,
 coalesce((y - lag(y) OVER w) / (x - lag(x) OVER w), 0) AS d0, coalesce((lead(y) OVER w - y) / (lead(x) OVER w - x), 0) AS d1 FROM s WINDOW w AS (PARTITION BY user_id ORDER BY n)),
 down(user_id, n, top, u, v) AS (SELECT user_id, n, top, h / (2 * (g + h)), 6 * (d1 - d0) / (2 * (g + h)) FROM k WHERE n = 0 AND top > 0
 UNION ALL SELECT k.user_id, k.n, k.top, h / (2 * (g + h) - g * u), (6 * (d1 - d0) - g * v) / (2 * (g + h) - g * u) FROM down JOIN k ON k.user_id = down.user_id AND k.n = down.n + 1),
 d AS MATERIALIZED (SELECT * FROM down), up(user_id, n, m) AS (SELECT user_id, n, v FROM d WHERE n = top UNION ALL SELECT d.user_id, d.n, d.v - d.u * m FROM up JOIN d ON d.user_id = up.user_id AND d.n = up.n - 1),
 m AS MATERIALIZED (SELECT * FROM up JOIN k USING (user_id, n))
 SELECT a.user_id, a.n AS gap, round(a.y * (1 - t) + b.y * t + a.h * a.h * (a.m * (-t / 3 + t * t / 2 - t * t * t / 6) + b.m * (-t / 6 + t * t * t / 6)), 3) + 0.0 AS y
-FROM m a JOIN m b ON a.user_id = b.user_id AND b.n = a.n + 1, (SELECT 0.3::DOUBLE AS t)""")
+FROM m a JOIN m b ON a.user_id = b.user_id AND b.n = a.n + 1, (SELECT {share}::DOUBLE AS t)"""
+
+
+def _knots(spark, sf):
+    many = F.count("*").over(Window.partitionBy("user_id")) > 1
+    return _series(spark, sf).withColumn("many", many).where("many").drop("many")
+
+
+# Queries in each gap find their piece by the as-of join.
+@query(_spline_sql(0.6))
+def interp_spline(spark, sf):
+    knots = keep(_knots(spark, sf))
+    ahead = F.lead("x").over(Window.partitionBy("user_id").orderBy("n"))
+    asked = knots.select("user_id", F.col("n").alias("gap"), (F.col("x") + 0.6 * (ahead - F.col("x"))).alias("q")).where("q IS NOT NULL")
+    found = interpolation.spline(interpolation.spline_segments(knots, ["user_id"], "x", "y"), asked, ["user_id"], "q")
+    return found.select("user_id", "gap", r6("y", 3).alias("y"))
+
+
+@query(_spline_sql(0.3))
 def interp_spline_whole(spark, sf):
-    w = Window.partitionBy("user_id")
-    knots = _series(spark, sf).withColumn("many", F.count("*").over(w) > 1).where("many").select("user_id", "x", "y")
-    segments = interpolation.spline_segments(knots, ["user_id"], "x", "y")
+    segments = interpolation.spline_segments(_knots(spark, sf), ["user_id"], "x", "y")
     place = F.col("lo") + 0.3 * (F.col("hi") - F.col("lo"))
-    return segments.select("user_id", (F.row_number().over(w.orderBy("lo")).cast("long") - 1).alias("gap"), r6(interpolation.spline_value(place), 3).alias("y"))
+    return segments.select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("lo")).cast("long") - 1).alias("gap"), r6(interpolation.spline_value(place), 3).alias("y"))
 
 
 # Each user's purchases are the knots, and the user's other events ask.
@@ -401,26 +380,28 @@ def interp_update(spark, sf):
     return rows.select("p_partkey", r6(interpolation.newton_polynomial(F.col("nodes"), 0.3 * F.col("b")), 7).alias("y"))
 
 
-_HOURS = "SELECT event_type, hour(ts) AS n, count(*)::DOUBLE AS x FROM events GROUP BY ALL"
+# The hours of each day are a series of their own.
+_HOURS = "SELECT event_type, epoch_us(ts) // 86400000000 AS day, hour(ts) AS n, count(*)::DOUBLE AS x FROM events GROUP BY ALL"
 
 
 def _hours(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type", F.hour("ts").alias("n")).agg(F.count("*").cast("double").alias("x"))
+    day = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000)).alias("day")
+    return table(spark, sf, "events").groupBy("event_type", day, F.hour("ts").alias("n")).agg(F.count("*").cast("double").alias("x"))
 
 
-@query(f"""SELECT event_type, k::INTEGER AS k, round(sum(x * cos(2 * pi() * ((n * k) % 32) / 32)), 6) + 0.0 AS re, round(-sum(x * sin(2 * pi() * ((n * k) % 32) / 32)), 6) + 0.0 AS im
-FROM ({_HOURS}), range(32) t(k) GROUP BY event_type, k""")
+@query(f"""SELECT event_type, day, k::INTEGER AS k, round(sum(x * cos(2 * pi() * ((n * k) % 32) / 32)), 6) + 0.0 AS re, round(-sum(x * sin(2 * pi() * ((n * k) % 32) / 32)), 6) + 0.0 AS im
+FROM ({_HOURS}), range(32) t(k) GROUP BY event_type, day, k""")
 def dft_hourly(spark, sf):
-    found = spectral.dft(_hours(spark, sf), ["event_type"], "n", "x", 24)
-    return found.select("event_type", "k", r6("re").alias("re"), r6("im").alias("im"))
+    found = spectral.dft(_hours(spark, sf), ["event_type", "day"], "n", "x", 24)
+    return found.select("event_type", "day", "k", r6("re").alias("re"), r6("im").alias("im"))
 
 
-@query(f"""WITH l AS (SELECT event_type, 1 << ceil(log2(max(n) + 1))::INTEGER AS m FROM ({_HOURS}) GROUP BY event_type)
-SELECT event_type, k::BIGINT AS k, round(sum(x * cos(2 * pi() * ((n * k) % m) / m)), 6) + 0.0 AS re, round(-sum(x * sin(2 * pi() * ((n * k) % m) / m)), 6) + 0.0 AS im
-FROM ({_HOURS}) JOIN l USING (event_type), range(32) t(k) WHERE k < m GROUP BY event_type, k""")
+@query(f"""WITH l AS (SELECT event_type, day, CASE WHEN max(n) = 0 THEN 1 ELSE 1 << (floor(log2(max(n)))::INTEGER + 1) END AS m FROM ({_HOURS}) GROUP BY ALL)
+SELECT event_type, day, k::BIGINT AS k, round(sum(x * cos(2 * pi() * ((n * k) % m) / m)), 6) + 0.0 AS re, round(-sum(x * sin(2 * pi() * ((n * k) % m) / m)), 6) + 0.0 AS im
+FROM ({_HOURS}) JOIN l USING (event_type, day), range(32) t(k) WHERE k < m GROUP BY event_type, day, k""")
 def fft_hourly(spark, sf):
-    found = spectral.fft(_hours(spark, sf), ["event_type"], "n", "x")
-    return found.select("event_type", "k", r6("re").alias("re"), r6("im").alias("im"))
+    found = spectral.fft(_hours(spark, sf), ["event_type", "day"], "n", "x")
+    return found.select("event_type", "day", "k", r6("re").alias("re"), r6("im").alias("im"))
 
 
 # Hourly counts over the whole span, of a length that grows with it.

@@ -97,3 +97,48 @@ def test_least_squares_of_odd_groups(spark, monkeypatch):
     x, gap, *_ = np.linalg.lstsq(np.array([[1, 1], [1, 2], [1, 4.0]]), np.array([1, 2, 5.0]), rcond=None)
     assert np.allclose(found[4][0], x) and np.isclose(found[4][1], np.sqrt(gap[0]))
     assert blocked.least_squares(table.limit(0), ["g"], [F.col("u")], F.col("y")).count() == 0
+
+
+def test_inverse_iteration(spark):
+    """The eigenvalue next to each shift, over several tiles; a shift that is an eigenvalue of a diagonal matrix fails."""
+    r = np.random.default_rng(8)
+    systems = {}
+    for s, n in enumerate((1, 5, 9)):
+        m = r.normal(size=(n, n))
+        systems[s] = (m + m.T, np.zeros(n))
+    systems[3] = (np.diag([1.0, 2.0, 3.0]), np.ones(3))
+    a, b = coordinates(spark, systems)
+    exact = {s: np.linalg.eigvalsh(m)[len(m) // 2] for s, (m, _) in systems.items()}
+    shift = {s: 2.0 if s == 3 else v + 1e-3 for s, v in exact.items()}
+    sizes = spark.createDataFrame([(s, len(m)) for s, (m, _) in systems.items()], "sys long, n long")
+    shifts = spark.createDataFrame(list((s, float(v)) for s, v in shift.items()), "sys long, shift double")
+    found = {}
+    for x in blocked.inverse_iteration(a, sizes, shifts, b, 1e-9, 30, size=4).collect():
+        found.setdefault(x["sys"], {})[x["i"]] = x
+    assert {x["status"] for x in found[3].values()} == {"Failed"} and len(found[3]) == 3
+    for s in (0, 1, 2):
+        m = systems[s][0]
+        v = np.array([found[s][i]["v"] for i in range(len(m))])
+        assert found[s][0]["status"] == "Converged" and abs(found[s][0]["value"] - exact[s]) < 1e-9 and np.allclose(m @ v, exact[s] * v, atol=1e-7) and np.isclose(v @ v, 1)
+    again = blocked.inverse_iteration(a, sizes, shifts, b, 1e-15, 1, size=4)
+    assert {x["status"] for x in again.where("sys IN (1, 2)").collect()} == {"MaxIterations"}
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 50])
+def test_symmetric_eigenvalues(spark, n):
+    r = np.random.default_rng(n)
+    m = r.normal(size=(n, n))
+    m = m + m.T
+    got = spark.createDataFrame([(m.tolist(),), (np.diag(np.arange(n) + 1.0).tolist(),)], "a array<array<double>>").select(small.symmetric_eigenvalues(F.col("a"), 10).alias("e")).collect()
+    assert np.allclose(sorted(got[0]["e"]), np.linalg.eigvalsh(m), atol=1e-10) and sorted(got[1]["e"]) == list(np.arange(n) + 1.0)
+
+
+@pytest.mark.parametrize("n", [20, 100])
+def test_small_solvers_bind_their_sides_once(spark, n):
+    """As many unknowns as fit a row comfortably, in a time that doesn't multiply with the refinements."""
+    r = np.random.default_rng(n)
+    m, x = r.normal(size=(n, n)), r.normal(size=n)
+    df = spark.createDataFrame([(m.tolist(), (m @ x).tolist())], "a array<array<double>>, b array<double>")
+    solvers = [small.solve(F.col("a"), F.col("b")), small.let(small.qr(F.col("a")), lambda f: small.qr_solve(f, F.col("b")))]
+    for got in df.select(*solvers).first():
+        assert np.allclose(got, x, atol=1e-9)

@@ -336,6 +336,39 @@ def test_transforms(spark):
         spectral.next_power(0)
 
 
+def test_long_transforms_in_stages(spark):
+    """Series of one to three stages together, one of a null group, with samples left out."""
+    series = {1: R.normal(size=1), 2: R.normal(size=40), None: R.normal(size=100), 4: R.normal(size=5000)}
+    rows = [(g, n, float(v)) for g, values in series.items() for n, v in enumerate(values) if n % 7 != 3 or n == len(values) - 1]
+    found = {}
+    for x in spectral.fft(spark.createDataFrame(rows, "g int, n int, x double").repartition(3), ["g"], "n", "x").collect():
+        found.setdefault(x["g"], {})[x["k"]] = complex(x["re"], x["im"])
+    for g, values in series.items():
+        size = spectral.next_power(len(values))
+        held = np.array([v if n % 7 != 3 or n == len(values) - 1 else 0 for n, v in enumerate(values)])
+        assert np.allclose([found[g][k] for k in range(size)], np.fft.fft(held, size), atol=1e-9)
+
+
+def test_colours_of_any_graph(spark):
+    """Odd rings, grids with diagonals, stars, complete graphs and one-sided entries: no equation holds two unknowns of a colour."""
+    graphs = {0: [(k, (k + 1) % 7) for k in range(7)], 1: [(0, k) for k in range(1, 60)], 2: [(i, j) for i in range(6) for j in range(i)], 3: [(5 * y + x, 5 * (y + dy) + x + dx) for y in range(5) for x in range(5) for dy, dx in ((0, 1), (1, 0), (1, 1), (1, -1)) if y + dy < 5 and 0 <= x + dx < 5]}
+    size = {s: max(max(e) for e in edges) + 1 for s, edges in graphs.items()}
+    cells = [(s, i, j, -1.0) for s, edges in graphs.items() for i, j in edges] + [(s, i, i, 70.0) for s, n in size.items() for i in range(n)]
+    a = spark.createDataFrame(cells, "sys int, i long, j long, a double").repartition(3)
+    colours = linear.colouring(a)
+    colour = {(r["sys"], r["i"]): r["colour"] for r in colours.collect()}
+    assert all(colour[s, i] != colour[s, j] for s, edges in graphs.items() for i, j in edges) and set(colour) == {(s, i) for s, n in size.items() for i in range(n)}
+    top = {s: max(c for (g, _), c in colour.items() if g == s) for s in graphs}
+    assert top[0] == 2 and top[1] == 1 and top[2] == 5 and 3 <= top[3] <= 8
+    assert {(r["sys"], r["i"]): r["colour"] for r in linear.colouring(a.repartition(7)).collect()} == colour
+    x = {k: float(v) for k, v in zip(sorted(colour), R.normal(size=len(colour)))}
+    b = linear.matvec(a, spark.createDataFrame([(s, i, v) for (s, i), v in x.items()], "sys int, i long, v double"))
+    for r in linear.relax(a, b, 1e-10, 60, omega=1.1, colours=colours).collect():
+        assert r["status"] == "Converged" and abs(r["v"] - x[r["sys"], r["i"]]) < 1e-9
+    with pytest.raises(ValueError, match="one colour"):
+        linear.relax(a, b, 1e-9, 9, colours=colours.withColumn("colour", F.lit(0)))
+
+
 def test_text(spark, tmp_path):
     df = spark.createDataFrame([(1, "b"), (0, "a"), (2, None)], "pos int, v string")
     text.write_values(df, f"file://{tmp_path}/one", "pos", "v")

@@ -1,5 +1,6 @@
 """Sorting, priority queues, ordered maps and graphs on small fixtures."""
 
+import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -101,8 +102,8 @@ def test_breadth_first(spark, extra, first):
 
 def test_depth_first(spark):
     edges = spark.createDataFrame([(s, d, 1, k) for k, (s, d) in enumerate(TREE)], EDGES)
-    paths = graph.depth_first_forest(edges, spark.createDataFrame([(3,)], "node long"), "seq")
-    assert [r["node"] for r in paths.orderBy("path").collect()] == [0, 2, 1, 4, 6, 5]
+    found = graph.depth_first_forest(edges, spark.createDataFrame([(3,)], "node long"), "seq")
+    assert [r["node"] for r in found.orderBy("ord").collect()] == [0, 2, 1, 4, 6, 5]
     starts = spark.createDataFrame([(1, 3)], "g int, node long")
     found = graph.depth_first(edges.withColumn("g", F.lit(1)), starts, "g", "seq")
     assert [r["node"] for r in found.orderBy("ord").collect()] == [0, 2, 1, 4, 6, 5]
@@ -110,6 +111,33 @@ def test_depth_first(spark):
     assert 3 in [r["node"] for r in graph.depth_first(cyclic, starts, "g", "seq").collect()]
 
 
+def test_post_order_of_deep_and_wide_forests(spark):
+    """A chain of 10,000 nodes, trees of random shape, a root alone, and a tree that no root reaches."""
+    r = np.random.default_rng(2)
+    edges = [(k, k + 1, 0) for k in range(10_000)]
+    edges += [(int(r.integers(20_000, 20_000 + k)), 20_000 + k, int(r.integers(0, 3))) for k in range(1, 300)] + [(40_000, 40_001, 0)]
+    table = spark.createDataFrame(edges, "src long, dst long, seq long").repartition(3)
+    found = {}
+    for x in graph.depth_first_forest(table, spark.createDataFrame([(0,), (20_000,), (30_000,)], "node long"), "seq").collect():
+        found.setdefault(x["start"], {})[x["node"]] = x["ord"]
+    kids = {}
+    for s, d, q in sorted(edges, key=lambda e: (e[2], e[1])):
+        kids.setdefault(s, []).append(d)
+    want = {}
+    for root in (0, 20_000):
+        order, stack = [], [(root, iter(kids[root]))]
+        while stack:
+            child = next(stack[-1][1], None)
+            if child is None:
+                order.append(stack.pop()[0])
+            else:
+                stack.append((child, iter(kids.get(child, []))))
+        want[root] = {n: k for k, n in enumerate(order[:-1])}
+    assert found == want
+    with pytest.raises(PySparkException, match="two parents"):
+        graph.depth_first_forest(spark.createDataFrame([(1, 2, 0), (3, 2, 0)], "src long, dst long, seq long"), spark.createDataFrame([(1,)], "node long"), "seq").collect()
+
+
 def test_breadth_first_of_the_whole_graph(spark, tmp_path):
     """A path of 12 suppliers and parts, which is deeper than eight levels, and edges of every remainder of src + dst."""
     from lattica.plans import registry
