@@ -199,6 +199,20 @@ def quad_adaptive(spark, sf):
     return both.select("p_partkey", (F.abs(F.col("integral") - (F.exp("b") - 1)) <= 1e-4).alias("close"), "status")
 
 
+# Two panels that are halved once at most, with a coarse tolerance: short intervals agree at once, others at the second depth or not at all.
+_HALVED = "(exp(l) + 2 * exp((l + r) / 2) + exp(r)) * (r - l) / 4 AS fine, (exp(l) + exp(r)) * (r - l) / 2 AS coarse"
+
+
+@query(f"""WITH a AS (SELECT p_partkey, b * k / 2 AS l, b * (k + 1) / 2 AS r FROM (SELECT p_partkey, 3 * {_B} AS b FROM part), range(2) t(k)), one AS (SELECT *, {_HALVED} FROM a),
+b AS (SELECT p_partkey, l + (r - l) * h / 2 AS l, l + (r - l) * (h + 1) / 2 AS r FROM one, range(2) t(h) WHERE abs(fine - coarse) > 0.1 / 2), two AS (SELECT *, {_HALVED} FROM b),
+done AS (SELECT p_partkey, fine, true AS ok FROM one WHERE abs(fine - coarse) <= 0.1 / 2 UNION ALL SELECT p_partkey, fine, abs(fine - coarse) <= 0.1 / 4 FROM two)
+SELECT p_partkey, round(sum(fine), 7) AS integral, count(*) AS panels, CASE WHEN bool_and(ok) THEN 'Converged' ELSE 'MaxIterations' END AS status FROM done GROUP BY p_partkey""")
+def quad_adaptive_outcomes(spark, sf):
+    intervals = _parts(spark, sf).withColumn("b", 3 * F.col("b"))
+    found = quadrature.adaptive_trapezoid(intervals, F.exp, ["p_partkey"], "a", "b", 0.1, panels=2, deepest=1)
+    return found.select("p_partkey", r6("integral", 7).alias("integral"), "panels", "status")
+
+
 @query(f"SELECT p_partkey, round(exp({_B}) - 1, 9) AS integral FROM part")
 def quad_romberg(spark, sf):
     return _parts(spark, sf).select("p_partkey", r6(quadrature.romberg(F.exp, F.col("a"), F.col("b")), 9).alias("integral"))

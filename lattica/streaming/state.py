@@ -22,6 +22,41 @@ def first_edges_stream(edges: DataFrame, seq: str) -> DataFrame:
     return edges.groupBy("src", "dst").agg(F.min_by("weight", seq).alias("weight"))
 
 
+def map_stream(writes: DataFrame, key: str, value: str, seq: str, removed: str) -> DataFrame:
+    """(key, value, removed): what the write of the largest ``seq`` of each key so far did, set its value or (where ``removed``) take it away.
+
+    Batches may come in any order; for the update mode (a row with ``removed`` deletes the key downstream) or, without such rows, the complete mode.
+    """
+    last = F.max_by(F.struct(F.col(value).alias("v"), F.coalesce(removed, F.lit(False)).alias("r")), seq)
+    found = writes.groupBy(key).agg(last.alias("_w"))
+    return found.select(key, F.when(~F.col("_w.r"), F.col("_w.v")).alias(value), F.col("_w.r").alias("removed"))
+
+
+def edges_stream(changes: DataFrame, seq: str, removed: str) -> DataFrame:
+    """(src, dst, weight): the edge between two nodes after all changes so far, in the order of ``seq``; a null weight tells that there is none.
+
+    The first insertion since the last removal keeps its weight.  The state of two nodes holds the last removal and the insertions after it, so
+    changes may come in any order; for the update mode, a row for each two nodes that have changes in a batch.
+    """
+
+    def apply(key: tuple, frames, state: GroupState):
+        cut, seqs, weights = state.get if state.exists else (None, [], [])
+        held = list(zip(seqs, weights))
+        for frame in frames:
+            for at, weight, gone in zip(frame["_s"].tolist(), frame["_w"].tolist(), frame["_r"].tolist()):
+                if gone:
+                    cut = at if cut is None else max(cut, at)
+                else:
+                    held.append((at, weight))
+        held = sorted(x for x in held if cut is None or x[0] > cut)
+        state.update((cut, [s for s, _ in held], [w for _, w in held]))
+        yield pd.DataFrame({"src": [key[0]], "dst": [key[1]], "weight": pd.Series([held[0][1] if held else None], dtype="float64")})
+
+    slim = changes.select("src", "dst", F.col(seq).cast("long").alias("_s"), F.col("weight").cast("double").alias("_w"), F.coalesce(removed, F.lit(False)).alias("_r"))
+    kinds = ", ".join(f"{c} {changes.schema[c].dataType.simpleString()}" for c in ("src", "dst"))
+    return slim.groupBy("src", "dst").applyInPandasWithState(apply, f"{kinds}, weight double", "cut long, seqs array<long>, weights array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
 def heap_stream(rows: DataFrame, group: str, priority: str, tiebreak: str, k: int) -> DataFrame:
     """(group, ord, priority, tiebreak): the ``k`` least rows of each group that got new ones, for the update mode; equal rows each count."""
     kind = rows.schema[group].dataType.simpleString()
