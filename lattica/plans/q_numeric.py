@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import interpolation, ode, quadrature, roots, spectral
+from lattica.operators import interpolants, interpolation, ode, quadrature, roots, spectral
 from lattica.plans.tables import keep, r6, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -288,6 +288,28 @@ def interp_newton_whole(spark, sf):
     return _interpolated_pieces(spark, sf, "newton", 3, 0.4)
 
 
+def _stored_pieces(spark, sf, method):
+    """Interpolants of three nodes a piece are kept; the fourth comes later and updates them."""
+    keys, n = ["user_id", "low"], F.col("n")
+    rows = keep(_series(spark, sf).withColumn("low", n - n % 3))
+    stored = keep(interpolants.build(rows, keys, "x", "y"))
+    late = rows.where("n > 0 AND n % 3 = 0").withColumn("low", F.col("low") - 3)
+    following = F.lead("x").over(Window.partitionBy("user_id").orderBy("n"))
+    asked = rows.select(*keys, n.alias("gap"), (F.col("x") + 0.4 * (following - F.col("x"))).alias("q")).where("q IS NOT NULL")
+    found = interpolants.evaluate(interpolants.extend(stored, late, keys, "x", "y"), asked, keys, "q", method)
+    return found.select("user_id", "gap", r6("y", 4).alias("y"))
+
+
+@query(_pieces(3, 0.4))
+def interp_stored_barycentric(spark, sf):
+    return _stored_pieces(spark, sf, "barycentric")
+
+
+@query(_pieces(3, 0.4))
+def interp_stored_newton(spark, sf):
+    return _stored_pieces(spark, sf, "newton")
+
+
 @query("""SELECT p_partkey, k, round(b * k / 6, 6) AS uniform, round(b / 2 - b / 2 * cos((2 * k + 1) * pi() / 14), 6) AS chebyshev
 FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS b, unnest(range(0, 7))::INTEGER AS k FROM part)""")
 def interp_nodes(spark, sf):

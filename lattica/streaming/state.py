@@ -1,4 +1,4 @@
-"""Incremental counterparts of the ordered map, the edge table and the priority queue.
+"""Incremental counterparts of the ordered map, the edge table, the priority queue and stored interpolants.
 
 The state is Spark's, kept by key and recovered from the query's checkpoint.  Map and edges are
 streaming aggregations; the queue keeps no more than ``k`` rows a group.
@@ -6,11 +6,15 @@ streaming aggregations; the queue keeps no more than ``k`` rows a group.
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lattica.operators import interpolants
+
 
 def upsert_stream(writes: DataFrame, key: str, value: str, seq: str) -> DataFrame:
     """(key, value): the last write of each key so far; for the update or complete mode."""
@@ -73,6 +77,38 @@ def heap_stream(rows: DataFrame, group: str, priority: str, tiebreak: str, k: in
     return slim.groupBy(group).applyInPandasWithState(push, f"{group} {kind}, ord long, priority double, tiebreak long", "p array<double>, t array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
+def interpolants_stream(samples: DataFrame, group: str, x: str, y: str) -> DataFrame:
+    """(group, interpolant): as ``interpolants.build`` of all samples so far gives, up to the order of its nodes; for the update mode.
+
+    A batch's nodes update the stored weights and differences, n operations a node; the samples before aren't read again.  Samples without a
+    place or a value are no nodes; a place that the group has already is an error.
+    """
+    kind = samples.schema[group].dataType.simpleString()
+
+    def take(key: tuple, frames, state: GroupState):
+        places, values, weights, last, diag = map(list, state.get) if state.exists else ([], [], [], [], [])
+        for frame in frames:
+            for at, value in sorted(zip(frame["_x"].tolist(), frame["_y"].tolist())):
+                gaps = [at - p for p in places]
+                if 0.0 in gaps:
+                    raise ValueError("an interpolant has this x already")
+                weights = [*(-w / g for w, g in zip(weights, gaps)), 1 / math.prod(gaps)]
+                row = [value]
+                for before, gap in zip(last, reversed(gaps)):
+                    row.append((row[-1] - before) / gap)
+                last = row
+                places.append(at)
+                values.append(value)
+                diag.append(row[-1])
+        found = (places, values, weights, last, diag)
+        state.update(found)
+        yield pd.DataFrame({group: [key[0]], **{p: [v] for p, v in zip(interpolants.PARTS, found)}})
+
+    slim = samples.select(group, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y")).where("_x IS NOT NULL AND _y IS NOT NULL")
+    found = slim.groupBy(group).applyInPandasWithState(take, f"{group} {kind}, {interpolants.SCHEMA}", interpolants.SCHEMA, "update", GroupStateTimeout.NoTimeout)
+    return found.select(group, F.struct(*interpolants.PARTS).alias("interpolant"))
+
+
 def windowed_integral(samples: DataFrame, time: str, group: str, value: str, window: str, late: str) -> DataFrame:
     """(window, group, integral): the trapezoids between each window's samples, over seconds, once the watermark has passed it.
 

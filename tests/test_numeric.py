@@ -7,7 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from lattica.operators import banded, interpolation, linear, ode, quadrature, roots, small, spectral, status
+from lattica.operators import banded, interpolants, interpolation, linear, ode, quadrature, roots, small, spectral, status
 from lattica.sources import text
 
 R = np.random.default_rng(5)
@@ -408,3 +408,27 @@ def test_interpolation_of_whole_series(spark, tmp_path, name):
                 piece = slice(g - g % 3, g - g % 3 + 4)
                 want = np.polyval(np.polyfit(x[piece] - x[g], y[piece], len(x[piece]) - 1), 0.4 * h[g])
             assert abs(got[user, g] - want) < 1e-3
+
+
+@pytest.mark.parametrize("method", list(interpolants.VALUES))
+def test_stored_interpolants(spark, method):
+    rng = np.random.default_rng(3)
+    first = [(g, float(x), float(rng.normal())) for g in (1, 2, None) for x in rng.permutation(8)[:3]]
+    late = [(g, float(x), float(rng.normal())) for g in (1, None, 3) for x in (9, -2, 11)] + [(1, None, 1.0), (4, 2.0, None)]
+    kind = "g int, x double, y double"
+    stored = interpolants.build(spark.createDataFrame(first, kind), ["g"], "x", "y")
+    grown = interpolants.extend(stored, spark.createDataFrame(late, kind), ["g"], "x", "y")
+    every = [r for r in first + late if None not in r[1:]]
+    asked = [(g, q) for g in (1, 2, 3, None, 4) for q in (0.3, 9.0, -1.5, None)]
+    got = {(r["g"], r["q"]): r["y"] for r in interpolants.evaluate(grown, spark.createDataFrame(asked, "g int, q double"), ["g"], "q", method).collect()}
+    assert set(got) == {a for a in asked if a[0] != 4}
+    for (g, q), y in got.items():
+        xs, ys = zip(*[(x, v) for k, x, v in every if k == g])
+        want = None if q is None else sum(v * math.prod((q - o) / (x - o) for o in xs if o != x) for x, v in zip(xs, ys))
+        assert y == (None if want is None else pytest.approx(want, abs=1e-7)), (g, q)
+    rebuilt = interpolants.build(spark.createDataFrame(every, kind), ["g"], "x", "y")
+    sizes = lambda df: {r["g"]: len(r["interpolant"]["w"]) for r in df.collect()}
+    assert sizes(rebuilt) == sizes(grown) == {1: 6, 2: 3, 3: 3, None: 6}
+    with pytest.raises(Exception, match="this x already"):
+        interpolants.extend(stored, spark.createDataFrame([first[0]], kind), ["g"], "x", "y").collect()
+    assert interpolants.build(spark.createDataFrame([], kind), ["g"], "x", "y").count() == 0

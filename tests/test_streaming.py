@@ -1,6 +1,9 @@
 """Streams that arrive in several batches end in the state of the whole."""
 
-from lattica.operators import keyed
+import pytest
+from pyspark.sql import functions as F
+
+from lattica.operators import interpolants, keyed
 from lattica.streaming import state
 
 WRITES = [[(0, 1, 5.0), (1, 2, 7.0), (2, 1, 6.0)], [(3, 1, 1.0), (4, 3, 9.0)], [(5, 2, 2.0), (6, 1, 8.0), (7, 1, 0.5)]]
@@ -87,3 +90,15 @@ def test_edges_with_removals_over_restarts(spark, tmp_path):
     got = {k: w for k, (_, w) in changed(spark, tmp_path, make).items()}
     # Of 1 the first insertion after the removal at 7; 2 is gone; 3 was never removed, so its first weight stays.
     assert got == {1: 4.0, 2: None, 3: 1.0}
+
+
+def test_interpolants_over_restarts(spark, tmp_path):
+    # Places come out of order, over three batches and restarts; nulls are no nodes.
+    got = changed(spark, tmp_path, lambda s: state.interpolants_stream(s, "key", "seq", "value"))
+    rows = [(s, k, v) for b in CHANGES for s, k, v, _ in b]
+    want = interpolants.build(spark.createDataFrame(rows, "seq long, key long, value double"), ["key"], "seq", "value")
+    values = lambda df: {r["key"]: [r["a"], r["b"]] for r in df.select("key", *[f(F.col("interpolant"), F.lit(4.5)).alias(n) for f, n in ((interpolants.barycentric_value, "a"), (interpolants.newton_value, "b"))]).collect()}
+    mine = spark.createDataFrame([(k, tuple(i)) for k, (i,) in got.items()], f"key long, interpolant struct<{interpolants.SCHEMA.replace(' ', ':', 1).replace(', ', ',').replace(' array', ':array')}>")
+    assert sorted(map(len, (i["x"] for (i,) in got.values()))) == [1, 2, 4]
+    for key, pair in values(want).items():
+        assert values(mine)[key] == pytest.approx(pair, abs=1e-9) and pair[0] == pytest.approx(pair[1], abs=1e-9)
