@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
@@ -127,6 +128,46 @@ def test_repeats(spark, width):
     assert all(r["doc"]["n_words"] == 7 for r in got)
 
 
+def test_repeats_in_several_ranges_of_a_partition(spark, monkeypatch):
+    # Three partitions of many hash ranges each, and runs of a few probes.
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 500)
+    monkeypatch.setattr(substring_dedup, "MOST_PARTITIONS", 3)
+    rows = helpers.corpus(1)
+    assert substring_dedup.deal(sum(len(t or "") for _, t in rows)).ranges > 5
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), width=4).collect()
+    want = {(i, t): x for (i, t), x in zip(rows, helpers.remove_repeats(rows, 4))}
+    assert len(got) == len(rows) and all((r["n_words"], r["n_removed"], r["kept_text"]) == want[r["doc"]["doc_id"], r["doc"]["text"]] for r in got)
+
+
+def test_bytes_of_a_probe_do_not_grow_with_the_corpus():
+    r, found = np.random.default_rng(5), {}
+    for size in (3 * 10**10, 10**12, 10**14):
+        to = substring_dedup.deal(size)
+        n = to.stretch // 6
+        hashes, where = r.integers(0, 2**64, n, np.uint64), np.arange(n, dtype=np.uint32)
+        sent = substring_dedup._rows(np.zeros((1, 2), np.int64), np.zeros(1, np.int64), [hashes], where, where % 18 == 0, to, np.uint32)
+        assert to.ranges < 2**16 and len(set(sent.column(0).to_pylist())) <= to.shares <= substring_dedup.MOST_PARTITIONS
+        # An exchanged row has about 36 bytes beside its payload.
+        found[size] = (len(pa.compress(b"".join(sent.column(3).to_pylist()), "lz4", asbytes=True)) + 36 * sent.num_rows) / n
+        # A hash range holds the probes of about PART_BYTES of text, whatever the size.
+        assert size / (to.shares * to.ranges) <= substring_dedup.PART_BYTES
+    # Places take the logarithm of the partitions, and a range's number a byte.
+    assert max(found.values()) < 9.5 and max(found.values()) < 1.4 * min(found.values()), found
+
+
+def test_runs_keep_every_probe():
+    r = np.random.default_rng(6)
+    rows, sent = [], set()
+    for batch in (-5, 7, 2**62):
+        n = int(r.integers(1, 200))
+        hashes, where = r.integers(0, 2**32, n).astype(np.uint32), np.sort(r.choice(10**6, n, replace=False)).astype(np.uint32)
+        ranges, flags = r.integers(0, 5, n).astype(np.uint64), r.random(n) < 0.3
+        rows.append((batch, substring_dedup._pack([hashes], where, ranges, flags)))
+        sent |= set(zip([batch] * n, hashes.tolist(), where.tolist(), flags.tolist(), ranges.tolist()))
+    got = [(*x, part) for part, _, _, payload in substring_dedup._runs(rows, np.uint32, 1) for x in zip(*(c.tolist() for c in substring_dedup._unpack_run(payload, np.uint32, 1)))]
+    assert len(got) == len(sent) and set(got) == sent
+
+
 def test_repeats_of_nothing(spark):
     assert substring_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = substring_dedup.remove_repeats(spark.createDataFrame([(None, "a"), (1, None)], "doc_id long, text string")).collect()
