@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lattica.operators import graph, keyed, ordered
 from lattica.plans.tables import keep, new_path, table
-from lattica.sources import text
+from lattica.sources import ordered_text, text
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -293,3 +293,20 @@ def text_zip(spark, sf):
     right = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("at"), F.col("s_name").alias("v"))
     text.write_pairs(left, right, folder, "at", "v")
     return text.read_values(spark, folder).withColumnRenamed("value", "line")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS line, concat(o_orderkey, ', ', o_orderpriority) AS value FROM orders")
+def text_ordered_lines(spark, sf):
+    folder = new_path(spark)
+    ordered_text.write_lines(table(spark, sf, "orders"), folder, [F.desc("o_totalprice"), "o_orderkey"], ["o_orderkey", "o_orderpriority"])
+    return ordered_text.read_lines(spark, folder)
+
+
+@query("""WITH c AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS line, c_name AS value FROM customer),
+s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 + (SELECT count(*) FROM customer) AS line, s_name AS value FROM supplier)
+SELECT * FROM c UNION ALL SELECT * FROM s""")
+def text_ordered_append(spark, sf):
+    folder = new_path(spark)
+    ordered_text.write_lines(table(spark, sf, "customer"), folder, ["c_custkey"], ["c_name"])
+    ordered_text.write_lines(table(spark, sf, "supplier"), folder, ["s_suppkey"], ["s_name"], mode="append")
+    return ordered_text.read_lines(spark, folder)
