@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.operators import interpolants, interpolation, ode, quadrature, roots, spectral
+from lattica.operators import interpolants, interpolation, ode, quadrature, roots, spectral, table_functions
 from lattica.plans.tables import keep, r6, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -453,3 +453,46 @@ def fft_whole_span(spark, sf):
     hours = events.join(F.broadcast(start)).groupBy("event_type", (F.col("h") - F.col("start")).alias("n")).agg(F.count("*").cast("double").alias("x"))
     found = spectral.fft(hours, ["event_type"], "n", "x")
     return found.select("event_type", "k", r6("re", 5).alias("re"), r6("im", 5).alias("im"))
+
+
+def _hours_of_events(spark, sf):
+    """Events as (user_id, event_id, hours, value), named for SQL text that calls the table functions."""
+    table_functions.register(spark, "user_id long, event_id long", "_of_events")
+    table(spark, sf, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(3.6e9)).alias("hours"), "value").createOrReplaceTempView("_hours_of_events")
+
+
+_HOURS_SQL = "SELECT user_id, event_id, epoch_us(ts) / 3.6e9::DOUBLE AS hours, value FROM events"
+
+
+@query(f"""SELECT user_id, event_id, round(coalesce(sum(area) OVER (PARTITION BY user_id ORDER BY hours, event_id), 0), 4) + 0.0 AS integral
+FROM (SELECT *, (hours - lag(hours) OVER w) * (value + lag(value) OVER w) / 2 AS area FROM ({_HOURS_SQL}) WINDOW w AS (PARTITION BY user_id ORDER BY hours, event_id))""")
+def table_function_integral(spark, sf):
+    _hours_of_events(spark, sf)
+    return spark.sql("""SELECT user_id, event_id, round(integral, 4) + 0.0D AS integral
+FROM running_integral_of_events(TABLE(SELECT * FROM _hours_of_events) PARTITION BY user_id ORDER BY (hours, event_id))""")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hours, event_id) AS k FROM ({_HOURS_SQL})),
+path AS (
+  SELECT user_id, event_id, k, hours, value, value AS euler, value AS heun, value AS implicit FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.k, e.hours, e.value, euler + (e.hours - p.hours) * 0.001::DOUBLE * (p.value - euler),
+    heun + (e.hours - p.hours) * 0.001::DOUBLE / 2 * ((p.value - heun) + (e.value - (heun + (e.hours - p.hours) * 0.001::DOUBLE * (p.value - heun)))),
+    (implicit + (e.hours - p.hours) * 0.001::DOUBLE * e.value) / (1 + (e.hours - p.hours) * 0.001::DOUBLE)
+  FROM path p JOIN e ON e.user_id = p.user_id AND e.k = p.k + 1)
+SELECT event_id, method, round(y, 5) + 0.0 AS y FROM (SELECT event_id, unnest(['euler', 'heun', 'implicit']) AS method, unnest([euler, heun, implicit]) AS y FROM path)""")
+def table_function_relaxation(spark, sf):
+    _hours_of_events(spark, sf)
+    one = """SELECT event_id, '{0}' AS method, round(y, 5) + 0.0D AS y
+FROM relaxation_of_events(TABLE(SELECT * FROM _hours_of_events) PARTITION BY user_id ORDER BY (hours, event_id), rate => 0.001D, method => '{0}')"""
+    return spark.sql(" UNION ALL ".join(one.format(m) for m in table_functions.METHODS))
+
+
+@query(f"""SELECT user_id, period, count(*) AS n, round(sum(value * cos(2 * pi() * (k % period) / period)), 6) + 0.0 AS cosine,
+round(sum(value * sin(2 * pi() * (k % period) / period)), 6) + 0.0 AS sine
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY hours, event_id) - 1 AS k FROM ({_HOURS_SQL})), (SELECT unnest([24.0::DOUBLE, 7.0::DOUBLE, 2.5::DOUBLE]) AS period)
+GROUP BY user_id, period""")
+def table_function_fourier(spark, sf):
+    _hours_of_events(spark, sf)
+    return spark.sql("""SELECT user_id, period, n, round(cosine, 6) + 0.0D AS cosine, round(sine, 6) + 0.0D AS sine
+FROM fourier_lines_of_events(TABLE(SELECT * FROM _hours_of_events) PARTITION BY user_id ORDER BY (hours, event_id), periods => array(24.0D, 7.0D, 2.5D))""")
