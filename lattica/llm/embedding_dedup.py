@@ -5,10 +5,12 @@ split into blocks, their squared distances add up over the blocks, so in at leas
 are within the block's share of ``R**2``.  Each block is range-joined under its share, and the union
 of the candidates is verified exactly, in double precision.
 
-* Vectors within ``NEAR * R`` of a centre met in the same batch are one class before anything is
-  shuffled.  Its members all link, as 2 NEAR < 1; two classes link entirely or not at all unless the centres' distance is
-  within the radii of ``R``, and only then are members compared.  So a large group of near copies costs a
-  few centres per task, and its pairs are counted, never written.
+* Vectors met in the same batch within ``NEAR * R`` of a first one are one class before anything is shuffled; its members all link, as 2 NEAR < 1.
+  Where many more are within ``R`` of it, those around their mean are a class instead, whose middle is the mean: a class of near vectors (``loose``, if
+  wider than ``R / 2``) doesn't fall to one class a vector, however its links lie.
+* Two classes link entirely or not at all unless the middles' distance is within the radii of ``R``; only then, and inside a loose class,
+  are members compared, in a task that holds two classes, each of a batch at most.  It gives each member's count of links, and an edge to the least member it
+  is linked to by links that the task sees; so pairs of members are counted, never written.
 * The range join deals each block's vectors to cells around pivots.  A vector goes to the tile
   of its cell and another one if it lies near enough to the plane between them; tiles are bounded,
   as large cells are split.  A block has LEAST_CELLS cells until they hold CELL_ROWS centres each, so
@@ -30,7 +32,8 @@ from lattica.llm.common import Kept, col, sliced
 from lattica.llm.components import connected_components
 from lattica.llm.words import mix64
 
-NEAR = 0.44
+#: Radii of classes, as parts of R, and vectors that are worth a loose one.
+NEAR, LOOSE, LEAST_LOOSE = 0.44, 0.8, 16
 BLOCK_DIMENSIONS = 16
 #: Centres a cell holds at most, about, which bounds a tile's memory; cells a block has, and centres that don't need several.
 CELL_ROWS, LEAST_CELLS, MOST_CELLS, ONE_CELL = 65_536, 8, 4096, 1024
@@ -62,29 +65,41 @@ def _unit(values) -> np.ndarray | None:
     return x / np.sqrt(x @ x)
 
 
-def group_near(units: np.ndarray, delta: float) -> tuple[np.ndarray, np.ndarray]:
-    """(centre's row, distance to it) of each row: the first of the rows not yet taken takes all within ``delta``."""
+def _distances(x: np.ndarray, middle: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - middle) ** 2).sum(1))
+
+
+def group_near(units: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """(naming row of each row's class, distance to the class's middle, the middles by naming row); the first of the rows not yet taken names a class."""
     n = len(units)
-    centre, distance = np.arange(n), np.zeros(n)
+    name, distance, middles = np.arange(n), np.zeros(n), {}
     turned = units @ rotation(units.shape[1])[:, :4]
     cell = np.unique(np.floor(turned / 0.25).astype(np.int64), axis=0, return_inverse=True)[1].ravel()
     order = np.argsort(cell, kind="stable")
     cuts = np.flatnonzero(np.r_[True, cell[order][1:] != cell[order][:-1], True])
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        rest = order[a:b]
-        while len(rest) > 1:
-            gap = np.sqrt(((units[rest] - units[rest[0]]) ** 2).sum(1))
-            near = gap <= delta
-            near[0] = True
-            centre[rest[near]], distance[rest[near]] = rest[0], gap[near]
-            rest = rest[~near]
-    return centre, distance
-
-
-_VECTOR = "key long, id long, d int, centre long, distance double, unit binary"
-
-
-def _classes(delta: float):
+    free = np.ones(n, bool)
+    for c in np.argsort(cuts[:-1] - cuts[1:], kind="stable"):  # large cells first: they hold the middles of what lies around them
+        rest = order[cuts[c] : cuts[c + 1]]
+        while len(rest := rest[free[rest]]):
+            first = int(rest[0])
+            middle, rows, gap = units[first], rest, _distances(units[rest], units[first])
+            gap[0] = 0.0
+            radius, near, linked = NEAR * reach, (gap <= NEAR * reach).sum(), gap <= reach
+            if linked.sum() >= max(LEAST_LOOSE, 2 * near):
+                mean, every = units[rest[linked]].mean(0), np.flatnonzero(free)
+                around = _distances(units[every], mean)
+                if around[np.searchsorted(every, first)] <= LOOSE * reach and (around <= LOOSE * reach).sum() > near:
+                    middle, rows, gap, radius = mean, every, around, LOOSE * reach
+            taken = rows[gap <= radius]
+            name[taken], distance[taken], middles[first], free[taken] = first, gap[gap <= radius], middle, False
+    return name, distance, middles
+
+
+#: A vector with its class; the one that names a class carries its middle.
+_VECTOR = "key long, id long, d int, centre long, distance double, unit binary, middle binary"
+
+
+def _classes(reach: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -92,11 +107,15 @@ def _classes(delta: float):
             for d in sorted({len(u) for u in units if u is not None}):
                 rows = np.array([i for i, u in enumerate(units) if u is not None and len(u) == d])
                 stacked = np.stack([units[i] for i in rows])
-                centre, distance = group_near(stacked, delta)
+                centre, distance, middles = group_near(stacked, reach)
+                middle = [middles[i].tobytes() if i in middles else None for i in range(len(rows))]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows]), pa.array(ids[rows]), pa.array([d] * len(rows), pa.int32()), pa.array(keys[rows[centre]]), pa.array(distance), pa.array([u.tobytes() for u in stacked], pa.binary())],
-                    ["key", "id", "d", "centre", "distance", "unit"],
-                )
+                    [
+                        pa.array(keys[rows]), pa.array(ids[rows]), pa.array([d] * len(rows), pa.int32()), pa.array(keys[rows[centre]]), pa.array(distance),
+                        pa.array([u.tobytes() for u in stacked], pa.binary()), pa.array(middle, pa.binary()),
+                    ],
+                    ["key", "id", "d", "centre", "distance", "unit", "middle"],
+                )
 
     return run
 
@@ -236,21 +255,40 @@ def _judge(cosine: float):
     return run
 
 
+def _roots(parent: np.ndarray, of: np.ndarray) -> np.ndarray:
+    while True:
+        up = parent[of]
+        if (up == of).all():
+            return of
+        of = up
+
+
 def _compare(cosine: float):
-    """Members of two classes: each one's links to the other class."""
+    """Members of two classes, or (side 0 only) of one: each one's links, its node, and the least node that it is linked to by these links."""
 
     def run(table: pa.Table) -> pa.Table:
-        side, keys = table.column("side").to_numpy(), table.column("key").to_numpy()
+        side, keys, nodes = (table.column(c).to_numpy() for c in ("side", "key", "node"))
         units = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(keys), -1)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        counts = np.zeros(len(keys), np.int64)
+        alone = not side.any()
+        left = np.flatnonzero(side == 0)
+        right = left if alone else np.flatnonzero(side == 1)
+        counts, parent = np.zeros(len(keys), np.int64), np.arange(len(keys))
         for some in _slices(len(left), len(right)):
             linked = units[left[some]] @ units[right].T >= cosine
+            if alone:
+                linked[np.arange(len(linked)), np.arange(some.start, some.start + len(linked))] = False
+            else:
+                counts[right] += linked.sum(0)
             counts[left[some]] += linked.sum(1)
-            counts[right] += linked.sum(0)
+            for row, i in zip(linked, left[some]):
+                if row.any():
+                    roots = _roots(parent, np.r_[i, right[row]])
+                    parent[roots] = parent[i] = roots.min()
+        least = nodes.copy()
+        roots = _roots(parent, parent)
+        np.minimum.at(least, roots, nodes)
         has = counts > 0
-        n = int(has.sum())
-        return pa.table({"a": pa.array([table.column("a")[0].as_py()] * n, pa.int64()), "b": pa.array([table.column("b")[0].as_py()] * n, pa.int64()), "key": keys[has], "n": counts[has]})
+        return pa.table({"key": keys[has], "n": counts[has], "node": nodes[has], "least": least[roots][has]})
 
     return run
 
@@ -260,16 +298,22 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_column: str = "v
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing, and
     vectors of different lengths don't link.  Rows that repeat id and vector count as one vector, and
-    each is returned; a null id links with nothing and has a null component.  Other columns are ignored.
+    each is returned; a null id links with nothing and has a null component.  Ids are whole numbers (others have to be cast before).  Other columns are ignored.
     """
     reach = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(col(id_column).cast("long").alias("id"), col(vector_column).alias("v")).withColumn("key", F.xxhash64("id", "v"))
-    known = Kept(rows.where("id IS NOT NULL AND v IS NOT NULL").select("key", "id", "v").mapInArrow(_classes(NEAR * reach), _VECTOR), "vectors").df
-    # A repeated row may have found two centres; the lesser one counts.
-    members = Kept(known.groupBy("key", "id", "d").agg(F.min(F.struct("centre", "distance")).alias("at")).select("key", "id", F.col("at.centre").alias("centre"), F.col("at.distance").alias("distance")), "members").df
-    units = known.select("key", "d", "unit").dropDuplicates(["key"])
-    sizes = members.groupBy("centre").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.min("id").alias("least"))
-    classes = Kept(sizes.join(units.withColumnRenamed("key", "centre"), "centre").select("centre", "d", "unit", "n", "radius", "least"), "centres").df
+    named = vectors.select(col(id_column).cast("long").alias("id"), col(vector_column).alias("v")).withColumn("row", F.monotonically_increasing_id())
+    kept = Kept(named.withColumn("hash", F.when(F.col("id").isNotNull() & F.col("v").isNotNull(), F.xxhash64("v"))), "rows").df
+    # A vector is named by its first row: names can't collide, and the hash tells vectors of one id apart only.
+    again = Kept(kept.where("hash IS NOT NULL").groupBy("id", "hash").agg(F.min("row").alias("key"), F.count("*").alias("times")).where("times > 1").drop("times"), "again").df
+    rows = kept.join(again, ["id", "hash"], "left").withColumn("key", F.coalesce("key", "row"))
+    known = Kept(rows.where("hash IS NOT NULL AND key = row").select("key", "id", "v").mapInArrow(_classes(reach), _VECTOR), "vectors").df
+    sizes = known.groupBy("centre").agg(F.count("*").alias("n"), F.max("distance").alias("radius"), F.min("id").alias("least"))
+    middles = known.where("middle IS NOT NULL").select(F.col("key").alias("centre"), "d", F.col("middle").alias("unit"))
+    classes = Kept(sizes.join(middles, "centre").withColumn("loose", 2 * F.col("radius") > F.lit(reach - 1e-9)), "centres").df
+    # What a member is in the graph of components: its class, if all of it links, else itself.
+    node = F.when(F.col("loose"), F.col("id")).otherwise(F.col("least")).alias("node")
+    of = classes.select("centre", "least", "loose")
+    members = Kept(known.select("key", "id", "centre").join(of, "centre").select("key", "centre", "loose", node), "members").df
 
     widest = float(classes.agg(F.max("radius")).first()[0] or 0.0)
     pivots = Pivots()  # lengths of few vectors need none
@@ -285,21 +329,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_column: str = "v
     left, right = (classes.select(F.col("centre").alias(k), F.col("unit").alias(f"unit_{k}"), F.col("radius").alias(f"radius_{k}")) for k in "ab")
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "unit_a", "unit_b", (F.col("radius_a") + F.col("radius_b")).alias("r"))
     judged = Kept(both.mapInArrow(sliced(_judge(cosine)), "a long, b long, kind int").where("kind > 0"), "judged").df
-    doubtful = judged.where("kind = 2")
-    full = members.join(units.drop("d"), "key").select("centre", "key", "unit")
-    sides = [doubtful.join(full.withColumnRenamed("centre", k), k).select("a", "b", F.lit(side).alias("side"), "key", "unit") for side, k in enumerate("ab")]
-    some = Kept(sides[0].union(sides[1]).groupBy("a", "b").applyInArrow(_compare(cosine), "a long, b long, key long, n long"), "some").df
+    loose = classes.where("loose").select(F.col("centre").alias("a"), F.col("centre").alias("b"))
+    doubtful = judged.where("kind = 2").select("a", "b")
+    full = known.select("key", "id", "centre", "unit").join(of, "centre").select("centre", "key", "unit", node)
+    sides = [links.join(full.withColumnRenamed("centre", k), k).select("a", "b", F.lit(side).alias("side"), "key", "unit", "node") for side, k, links in ((0, "a", doubtful.union(loose)), (1, "b", doubtful))]
+    some = Kept(sides[0].union(sides[1]).groupBy("a", "b").applyInArrow(_compare(cosine), "key long, n long, node long, least long"), "some").df
 
     whole = judged.where("kind = 1").select("a", "b")
     ends = whole.union(whole.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    between = ends.join(classes.select(F.col("centre").alias("b"), "n"), "b").groupBy(F.col("a").alias("centre")).agg(F.sum("n").alias("beyond"))
+    between = ends.join(classes.select(F.col("centre").alias("b"), "n", F.col("least").alias("other")), "b")
+    between = Kept(between.groupBy(F.col("a").alias("centre")).agg(F.sum("n").alias("beyond"), F.min("other").alias("other")), "between").df
     extra = some.groupBy("key").agg(F.sum("n").alias("extra"))
-    linked = whole.union(some.select("a", "b").distinct())
     least = [classes.select(F.col("centre").alias(k), F.col("least").alias(f"least_{k}")) for k in "ab"]
-    found = connected_components(linked.join(least[0], "a").join(least[1], "b").select("least_a", "least_b"), "least_a", "least_b")
-    of_class = classes.select("centre", "n", "least").join(between, "centre", "left").join(found.withColumnRenamed("node", "least"), "least", "left")
-    of_class = of_class.select("centre", (F.col("n") - 1 + F.coalesce("beyond", F.lit(0))).alias("links"), F.coalesce("component", "least").alias("component"))
-    of_vector = members.select("key", "id", "centre").join(of_class, "centre").join(extra, "key", "left")
-    of_vector = of_vector.select("key", "id", (F.col("links") + F.coalesce("extra", F.lit(0))).alias("n_links"), F.col("component").alias("component_id"))
-    out = rows.select("key", "id").join(of_vector, ["key", "id"], "left")
+    edges = whole.join(least[0], "a").join(least[1], "b").select(F.col("least_a").alias("node"), F.col("least_b").alias("least"))
+    # All members of a loose class that links entirely with another are linked through it.
+    edges = edges.union(members.where("loose").join(between, "centre").select("node", "other")).union(some.select("node", "least").distinct())
+    found = connected_components(edges, "node", "least")
+    of_class = classes.select("centre", F.when(F.col("loose"), 0).otherwise(F.col("n") - 1).alias("inside")).join(between.drop("other"), "centre", "left")
+    of_vector = members.select("key", "centre", "node").join(of_class, "centre").join(extra, "key", "left").join(found, "node", "left")
+    links = F.col("inside") + F.coalesce("beyond", F.lit(0)) + F.coalesce("extra", F.lit(0))
+    of_vector = of_vector.select("key", links.alias("n_links"), F.coalesce("component", "node").alias("component_id"))
+    out = rows.select("key", "id").join(of_vector, "key", "left")
     return out.select(F.col("id").alias(id_column), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"))

@@ -195,6 +195,29 @@ def test_embeddings(spark, monkeypatch, d, cell_rows):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("cosine, most", [(0.965, 20), (0.92, 40), (0.9, 150)])
+def test_embeddings_of_a_wide_group(spark, cosine, most):
+    """A group whose vectors nearly all link, at cosines that no class of mutual links holds, falls to few classes, with exact links; at 0.9, where half of the pairs link, some 6 % of the vectors stay outside."""
+    r = np.random.default_rng(7)
+    middle, noise = np.eye(64)[0], r.normal(size=(2000, 64)) / 8
+    x = np.concatenate([np.sqrt(cosine) * middle + np.sqrt(1 - cosine) * noise, r.normal(size=(60, 64))])
+    units = x / np.linalg.norm(x, axis=1)[:, None]
+    names, distances, middles = embedding_dedup.group_near(units, np.sqrt(0.2))
+    assert len(set(names[:2000])) <= most and set(names) == set(middles)
+    assert all(abs(np.linalg.norm(units[i] - middles[names[i]]) - distances[i]) < 1e-12 for i in range(len(x)))
+    ids = r.permutation(len(x)).tolist()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>").repartition(4)
+    got = embedding_dedup.near_duplicates(df).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == brute_links(ids, x, 0.9)
+
+
+def test_embeddings_rows_that_share_an_id(spark):
+    """Repeated rows are one vector and all returned; vectors that share an id are compared each on its own."""
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [0.01, 1.0]), (2, [0.01, 1.0]), (3, [1.0, 0.01])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 1, 1)] * 3 + [(2, 1, 1)] * 2 + [(3, 1, 1)]
+
+
 def test_embeddings_edge_cases(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.01]), (3, [0.0, 0.0]), (4, None), (None, [1.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, None]), (8, []), (9, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
