@@ -88,6 +88,32 @@ def test_packing_fills(spark):
     assert packing.pack(spark.createDataFrame([(None, None)], "doc_id long, text string"), public_tokenizers.path("word_bpe_49k.json")).first()["length"] == 1
 
 
+REPEATED = [(3, "one two"), (3, "one two"), (3, "another text"), (1, None), (1, ""), (None, "x y"), (None, "x y"), (2, "long " * 3000)]
+
+
+def test_packing_of_repeated_rows(spark):
+    """Rows that repeat an id or a text are each packed, as many times as they come."""
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string").repartition(2)
+    got = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).toPandas()
+    want = [(i if i is not None else -1, len(ids_of("word_bpe_49k.json", t, 1))) for i, t in REPEATED]
+    first = got[got.start == 0]
+    assert sorted(zip(first.doc_id.fillna(-1).astype(int), first.doc_tokens)) == sorted(want)
+    assert got.length.sum() == sum(n for _, n in want)
+    for _, s in got.sort_values("offset").groupby("sequence_id"):
+        assert s.length.sum() <= 2048 and (s.offset == s.length.cumsum() - s.length).all()
+
+
+def test_token_files_of_repeated_rows(spark, monkeypatch):
+    """Null ids come first, and rows that share an id follow each other, none lost."""
+    monkeypatch.setattr(token_files, "FILE_IDS", 500)
+    docs = spark.createDataFrame(REPEATED, "doc_id long, text string").repartition(3)
+    found = token_files.read_tokens(token_files.write_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))).orderBy("start").collect()
+    key = lambda i: -1 if i is None else i
+    assert [key(r["id"]) for r in found] == sorted(key(i) for i, _ in REPEATED)
+    assert sorted((key(r["id"]), bytes(r["ids"])) for r in found) == sorted((key(i), ids_of("byte_bpe_50k.json", t, 2).tobytes()) for i, t in REPEATED)
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
+
+
 def test_token_files(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 3000)
     rows = dict(helpers.corpus())
