@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lattica.operators.ordered import sort_rows
 from lattica.plans.tables import Bucketed, Kept, keep
 
 
@@ -134,15 +135,27 @@ def depth_first_forest(edges: DataFrame, roots: DataFrame, seq: str) -> DataFram
     return found.select("start", F.shiftright("id", 1).alias("node"), (F.col("_all") - F.col("w")).alias("ord"))
 
 
-def depth_first(edges: DataFrame, starts: DataFrame, group: str, seq: str) -> DataFrame:
-    """(group, node, ord): post-order from each group's start in a general graph.
+#: Edges of a graph that one task walks at most; greater graphs are searched by all tasks together.
+TASK_EDGES = 1000
 
-    For many small graphs: lexicographic depth-first search is sequential, so each group's graph is one task's work and has to fit its memory; the
-    parallelism lies in the groups.  A start is given only if it lies on a cycle.
+
+def depth_first(edges: DataFrame, starts: DataFrame, group: str, seq: str, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(group, node, ord): post-order from each group's start in a general graph, children in the order of ``seq`` and then of ``dst``.
+
+    A start is given only if it lies on a cycle.  Graphs of at most ``task_edges`` edges are walked in a task each; no task holds a greater one.
     """
+    # Of repeated edges only the first can be taken.
+    first = edges.groupBy(group, "src", "dst").agg(F.min(seq).alias("_seq"))
+    sizes = first.groupBy(group).agg((F.count("*") > task_edges).alias("_great"))
+    rows = Kept(first.join(sizes, group).join(starts.select(group, F.col("node").alias("_start")), group)).df
+    walked = _walked(rows.where("NOT _great"), group)
+    great = rows.where("_great")
+    return walked if great.isEmpty() else walked.union(_improved(great, group))
 
+
+def _walked(rows: DataFrame, group: str) -> DataFrame:
     def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        following = {s: list(x) for s, x in pdf.sort_values("_seq").groupby("src")["dst"]}
+        following = {s: list(x) for s, x in pdf.sort_values(["_seq", "dst"]).groupby("src")["dst"]}
         start = int(pdf["_start"].iloc[0])
         seen, order, stack = set(), [], [(start, iter(following.get(start, [])))]
         while stack:
@@ -158,6 +171,69 @@ def depth_first(edges: DataFrame, starts: DataFrame, group: str, seq: str) -> Da
                     order.append(node)
         return pd.DataFrame({group: key[0], "node": order, "ord": range(len(order))})
 
-    kind = edges.schema[group].dataType.simpleString()
-    rows = edges.join(starts.select(group, F.col("node").alias("_start")), group).select(group, "src", "dst", F.col(seq).alias("_seq"), "_start")
-    return rows.groupBy(group).applyInPandas(walk, f"{group} {kind}, node long, ord long")
+    kind = rows.schema[group].dataType.simpleString()
+    return rows.select(group, "src", "dst", "_seq", "_start").groupBy(group).applyInPandas(walk, f"{group} {kind}, node long, ord long")
+
+
+def _improved(rows: DataFrame, group: str) -> DataFrame:
+    """The search as the limit of trees: every node has one edge by which it is entered, at first any of them.
+
+    The tour of such a tree passes each edge of the nodes that the root reaches, in the order of a search; an edge that isn't the tree's is passed by.
+    In a round, every node changes to the edge into it that the tour passes first.  When none changes, no edge leads to a node that would have been
+    entered later, so the tour is the search.  Joins on nodes and edges are merges, since these tables are so well compressed that Spark would broadcast them
+    beyond the driver's memory.  A new parent always comes before its child in the tour, so trees stay trees, and each round settles
+    the search's next node at least, besides all that already agree; how many rounds it takes depends on the graph.
+    """
+    own = rows.where("src != dst").select(group, F.lit(False).alias("_root"), "src", "dst", "_seq")
+    # The root is a copy of the start, to which no edge leads.
+    root = rows.where("src = _start").select(group, F.lit(True).alias("_root"), "src", "dst", "_seq")
+    placed = sort_rows(own.union(root), group, "src", "_root", F.asc_nulls_last("_seq"), "dst", ordinal="n")
+    out = placed.groupBy(group, "src", "_root").agg(F.min("n").alias("_head"), F.max("n").alias("_last"))
+    heads = out.where("NOT _root").select(group, F.col("src").alias("dst"), F.col("_head").alias("down"), "_last")
+    # A node is named by the least of the edges that lead to it.
+    nodes = Kept(placed.groupBy(group, "dst").agg(F.min("n").alias("node")).join(heads.hint("merge"), [group, "dst"], "left"))
+    owners = nodes.df.select(group, F.col("dst").alias("src"), F.lit(False).alias("_root"), F.col("node").alias("up"), "_last")
+    owners = owners.union(out.where("_root").select(group, "src", "_root", F.lit(None).cast("long"), "_last"))
+    links = placed.join(nodes.df.drop("_last").hint("merge"), [group, "dst"]).join(owners.hint("merge"), [group, "src", "_root"])
+    links = Kept(links.select(group, F.col("dst").alias("value"), "n", "node", "up", "down", (F.col("n") < F.col("_last")).alias("more"), "_seq"))
+    nodes.drop()
+    guess = F.struct(F.col("up").isNotNull(), F.col("_seq").isNull(), "_seq", "n")
+    tree = Kept(links.df.groupBy("node").agg(F.min_by("n", guess).alias("by")))
+    while True:
+        into = links.df.select("n", "node", "up", "down", "more").join(tree.df.hint("merge"), "node")
+        into = into.join(tree.df.select(F.col("node").alias("up"), F.col("by").alias("_up")).hint("merge"), "up", "left")
+        # Element 2 n is edge n; if it is the tree's, 2 n + 1 leaves its node again.  After the last element comes null.
+        on = F.when(F.col("more"), 2 * F.col("n") + 2).otherwise(2 * F.col("_up") + 1)
+        edge = F.struct((2 * F.col("n")).alias("id"), F.when(F.col("n") == F.col("by"), F.coalesce(2 * F.col("down"), 2 * F.col("n") + 1)).otherwise(on).alias("next"))
+        leave = F.struct((2 * F.col("n") + 1).alias("id"), on.alias("next"))
+        both = into.select(F.explode(F.when(F.col("n") == F.col("by"), F.array(edge, leave)).otherwise(F.array(edge))).alias("e")).select("e.*")
+        ranked = _ranked(both)
+        passed = links.df.join(ranked.df.where("next IS NULL AND id % 2 = 0").select(F.shiftright("id", 1).alias("n"), "w").hint("merge"), "n")
+        best = passed.groupBy("node").agg(F.max_by("n", "w").alias("best"))
+        then = Kept(tree.df.join(best.hint("merge"), "node", "left").select("node", F.coalesce("best", "by").alias("by"), (F.col("best") != F.col("by")).alias("_new")))
+        tree.drop()
+        tree = then
+        if tree.df.where("_new").isEmpty():
+            break
+        ranked.drop()
+        tree.df = tree.df.drop("_new")
+    left = ranked.df.where("next IS NULL AND id % 2 = 1").select(F.shiftright("id", 1).alias("n"), "x")
+    found = links.df.select(group, "value", "n").join(left.hint("merge"), "n")
+    total = found.groupBy(group).agg(F.max("x").alias("_all"))
+    return found.join(total, group).select(group, F.col("value").alias("node"), (F.col("_all") - F.col("x")).alias("ord"))
+
+
+def _ranked(lists: DataFrame) -> Kept:
+    """``lists`` (id, next) with the elements ``w`` and the odd ones ``x`` from each to its list's end, where ``next`` is null; those that lead to no end keep a ``next``.
+
+    Pointer jumping: after k joins the elements at most 2^k before an end have come there, so when no more come than before, none will.
+    """
+    now, ended = Kept(lists.select("id", "next", F.lit(1).cast("long").alias("w"), F.col("id").bitwiseAND(F.lit(1)).cast("long").alias("x"))), -1
+    while (count := now.df.where("next IS NULL").count()) != ended:
+        ended = count
+        ahead = now.df.select(F.col("id").alias("next"), F.col("next").alias("_far"), F.col("w").alias("_w"), F.col("x").alias("_x"))
+        more = lambda c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
+        then = Kept(now.df.join(ahead.hint("merge"), "next", "left").select("id", F.col("_far").alias("next"), more("w"), more("x")))
+        now.drop()
+        now = then
+    return now

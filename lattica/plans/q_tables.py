@@ -262,18 +262,19 @@ def graph_dfs_chain(spark, sf):
     return graph.depth_first_forest(along.union(leaves), keys.agg(F.min("k").alias("node")), "seq")
 
 
-# A general graph for every hundred customers: they point at the next one of their nation in it, and at the first one.
-@query("""WITH c AS (SELECT c_custkey // 100 AS g, c_nationkey, c_custkey, row_number() OVER w AS n, count(*) OVER (PARTITION BY c_custkey // 100, c_nationkey) AS m
-FROM customer WINDOW w AS (PARTITION BY c_custkey // 100, c_nationkey ORDER BY c_custkey))
+# A general graph a region: customers point at the next one of their nation and at the nation's first one.
+@query("""WITH c AS (SELECT n_regionkey AS g, c_nationkey, c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey) AS m
+FROM customer JOIN nation ON c_nationkey = n_nationkey)
 SELECT g, c_custkey AS node, row_number() OVER (PARTITION BY g ORDER BY c_nationkey, n DESC) - 1 AS ord FROM c""")
 def graph_dfs_general(spark, sf):
-    customers = table(spark, sf, "customer").select(F.expr("c_custkey div 100").alias("g"), "c_nationkey", "c_custkey")
-    w = Window.partitionBy("g", "c_nationkey").orderBy("c_custkey")
-    rows = customers.select("g", "c_nationkey", "c_custkey", F.lead("c_custkey").over(w).alias("next"), F.first("c_custkey").over(w).alias("first"))
-    along = rows.where("next IS NOT NULL").select("g", F.col("c_custkey").alias("src"), F.col("next").alias("dst"), F.lit(0).cast("long").alias("seq"))
-    back = rows.select("g", F.col("c_custkey").alias("src"), F.col("first").alias("dst"), F.lit(1).cast("long").alias("seq"))
-    heads = rows.groupBy("g", "c_nationkey").agg(F.min("c_custkey").alias("dst")).select("g", F.lit(-1).cast("long").alias("src"), "dst", F.col("c_nationkey").cast("long").alias("seq"))
-    starts = rows.select("g").distinct().withColumn("node", F.lit(-1).cast("long"))
+    customers = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    placed = ordered.sort_rows(customers.select(F.col("n_regionkey").alias("g"), "c_nationkey", "c_custkey"), "c_nationkey", "c_custkey", ordinal="n")
+    ahead = placed.select((F.col("n") - 1).alias("n"), F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("dst"))
+    along = placed.join(ahead.hint("merge"), "n").where("c_nationkey = nation").select("g", F.col("c_custkey").alias("src"), "dst", F.lit(0).cast("long").alias("seq"))
+    firsts = placed.groupBy("g", "c_nationkey").agg(F.min("c_custkey").alias("dst"))
+    back = placed.join(F.broadcast(firsts), ["g", "c_nationkey"]).select("g", F.col("c_custkey").alias("src"), "dst", F.lit(1).cast("long").alias("seq"))
+    heads = firsts.select("g", F.lit(-1).cast("long").alias("src"), "dst", F.col("c_nationkey").cast("long").alias("seq"))
+    starts = firsts.select("g").distinct().withColumn("node", F.lit(-1).cast("long"))
     return graph.depth_first(along.union(back).union(heads), starts, "g", "seq")
 
 

@@ -6,6 +6,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from lattica.operators import graph, keyed, ordered
+from lattica.plans import q_tables
 
 
 def rows(df, *order):
@@ -111,6 +112,41 @@ def test_depth_first(spark):
     assert 3 in [r["node"] for r in graph.depth_first(cyclic, starts, "g", "seq").collect()]
 
 
+def test_depth_first_of_great_graphs_is_shared_by_tasks(spark):
+    """Cycles, self-loops, repeated edges, dead ends, nodes out of reach, starts on cycles and one without edges; a chain with edges back."""
+    r = np.random.default_rng(5)
+    edges = [(g, int(r.integers(0, n)), int(r.integers(0, n)), int(r.integers(0, 4))) for g, n, m in ((1, 12, 40), (2, 25, 40), (3, 8, 60)) for _ in range(m)]
+    edges += [(4, k, k + 1, 1) for k in range(100)] + [(4, k, 0, 0) for k in range(100)] + [(4, k + 1, k, 2) for k in range(100)] + [(5, 1, 2, 0), (6, 1, 2, 0), (6, 2, 1, 0)]
+    starts = {1: 0, 2: 3, 3: 7, 4: 0, 5: 9, 6: 1}
+    want = set()
+    for g, start in starts.items():
+        following, seen, order = {}, set(), []
+        for _, s, d, _ in sorted((e for e in edges if e[0] == g), key=lambda e: (e[3], e[2])):
+            following.setdefault(s, []).append(d)
+        stack = [(start, iter(following.get(start, [])))]
+        while stack:
+            child = next((c for c in stack[-1][1] if c not in seen), None)
+            if child is None:
+                order.append(stack.pop()[0])
+            else:
+                seen.add(child)
+                stack.append((child, iter(following.get(child, []))))
+        want |= {(g, n, k) for k, n in enumerate(order[:-1])}
+    table = spark.createDataFrame(edges, "g int, src long, dst long, seq long").repartition(3)
+    roots = spark.createDataFrame(list(starts.items()), "g int, node long")
+    for most in (20, 10_000):  # the first leaves graphs 5 and 6 to a task each
+        found = graph.depth_first(table, roots, "g", "seq", task_edges=most).select("g", "node", "ord").collect()
+        assert len(found) == len(want) and {tuple(x) for x in found} == want
+
+
+def test_general_search_has_a_graph_for_each_region(spark):
+    """Each graph grows with the table: the customers of a whole region, not a bounded stretch of keys."""
+    found = q_tables.graph_dfs_general(spark, "/root/testdata/sf0.01")
+    customers, nations = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("customer", "nation"))
+    want = customers.join(nations, customers.c_nationkey == nations.n_nationkey).groupBy(F.col("n_regionkey").alias("g")).count()
+    assert {tuple(x) for x in found.groupBy("g").count().collect()} == {tuple(x) for x in want.collect()}
+
+
 def test_post_order_of_deep_and_wide_forests(spark):
     """A chain of 10,000 nodes, trees of random shape, a root alone, and a tree that no root reaches."""
     r = np.random.default_rng(2)
