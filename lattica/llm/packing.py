@@ -148,5 +148,5 @@ def pack(docs: DataFrame, tokenizer: str, words: bool = True, end: int = 1, limi
     silent = col(silent_column).cast("long") if silent_column else F.lit(None).cast("long")
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(col(id_column).alias("id"), col(text_column).cast("string").alias("text"), silent.alias("silent"))
-    done = rows.mapInArrow(sliced(_pack(tokenizer, words, end, limits, special)), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    done = rows.mapInArrow(sliced(_pack(tokenizer, words, end, limits, special), encodes=True), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return done.withColumnRenamed("id", id_column)

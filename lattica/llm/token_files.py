@@ -185,7 +185,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, words: bool = False, end: int
     # Rows that repeat an id may lie in several ranges, in the order of a hash of their texts.
     keys = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     ordered = rows.repartitionByRange(tasks_for(rows, "text"), *keys).sortWithinPartitions(*keys, "text")
-    made = Kept(ordered.mapInArrow(sliced(_write(tokenizer, words, end, folder, special)), "part long, number long, path string, documents long, ids long"), "token-manifest").df
+    made = Kept(ordered.mapInArrow(sliced(_write(tokenizer, words, end, folder, special), encodes=True), "part long, number long, path string, documents long, ids long"), "token-manifest").df
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return made.select("path", "documents", "ids", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
 

@@ -3,11 +3,15 @@
 import sys
 from pathlib import Path
 
+import public_tokenizers
 import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers
 
+from lattica.llm import tokens
+from lattica.llm.common import sliced
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 TABLES = "/root/testdata/sf0.01"
 
@@ -78,3 +82,11 @@ def test_near_duplicates_tell_rows_of_one_id_apart(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], helpers.DOCS).repartition(3)
     got = sorted(((r["doc_id"] or 0, r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, TABLES).collect()))
     assert got == sorted([(1, words(1)), (5, words(2)), (7, words(3)), (9, words(4)), (0, words(5)), (0, words(5))])
+
+
+def test_workers_keep_encoders_for_tasks_that_encode_only():
+    """What packing has learned doesn't stay in a worker beside the next run's other stages."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokens.encoder(path, True)
+    assert list(sliced(iter, encodes=True)(iter([]))) == [] and tokens.encoder.cache_info().currsize > 0
+    assert list(sliced(iter)(iter([]))) == [] and tokens.encoder.cache_info().currsize == 0
