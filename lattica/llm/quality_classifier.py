@@ -212,10 +212,10 @@ def train(docs: DataFrame, labels: DataFrame, training: Training = Training(), i
     return model.fit([t for t, _ in texts], np.array([y for _, y in texts]), training) if texts else model
 
 
-def _score(model: ByteConv):
+def _score(model: ByteConv, text: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = model.scores(batch.column(1).cast(pa.binary()).to_pylist())
+            found = model.scores(batch.column(0).field(text).cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["doc", "score"])
 
     return run
@@ -226,5 +226,7 @@ def score(docs: DataFrame, model: ByteConv, text_column: str = "text") -> DataFr
 
     Null and empty texts score 0.  Rows with equal texts score alike, whatever their ids, null ones included.
     """
-    rows = docs.select(whole_row(docs).alias("doc"), col(text_column).alias("text"))
-    return rows.mapInArrow(sliced(_score(model)), StructType([rows.schema["doc"], StructField("score", DoubleType())]))
+    # Rows hold each text once, since a task has a batch of them on the JVM's side and one on Python's.
+    rows, names = docs.select(whole_row(docs).alias("doc")), docs.columns
+    at = names.index(text_column) if text_column in names else [c.lower() for c in names].index(text_column.lower())
+    return rows.mapInArrow(sliced(_score(model, at)), StructType([rows.schema["doc"], StructField("score", DoubleType())]))

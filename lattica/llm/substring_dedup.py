@@ -268,15 +268,26 @@ def _by_document(table: pa.Table) -> pa.Table:
     return pa.table({"key": pa.array([k[0] for k in keys], pa.int64()), "key2": pa.array([k[1] for k in keys], pa.int64()), "places": pa.array(places, pa.binary())})
 
 
-def _found(sent: DataFrame, to: Deal, kind: type, halves: int, blocks_only: bool, what: str) -> DataFrame:
-    """(key, key2, places): the answers to all probes, per document; kept as a table.
+def _in_turn(first, second):
+    """Both steps in one Python worker; as two of Spark's steps in one task they hold a worker each."""
+    return lambda batches: second(first(batches))
+
+
+def _answers(sent: DataFrame, to: Deal, kind: type, halves: int, blocks_only: bool) -> DataFrame:
+    """(batch, kind, payload): the answers to all probes.
 
-    Every hash range is a group of bounded size; a partition sorts its runs of probes by range (a sort
-    that spills) and answers one range after the other.
+    Every hash range is a group of bounded size; a partition of several sorts its runs of probes by range
+    (a sort that spills) and answers one range after the other.
     """
-    dealt = sent.repartitionById(to.shares, F.col("part").cast("int")).mapInArrow(_by_range(kind, halves), _ROW)
-    answers = dealt.sortWithinPartitions("part").mapInArrow(_answer(kind, halves, blocks_only), _ANSWER)
-    each = answers.groupBy("batch").applyInArrow(_by_document, "key long, key2 long, places binary")
+    dealt, by_range, answer = sent.repartitionById(to.shares, F.col("part").cast("int")), _by_range(kind, halves), _answer(kind, halves, blocks_only)
+    if to.ranges == 1:
+        return dealt.mapInArrow(_in_turn(by_range, answer), _ANSWER)
+    return dealt.mapInArrow(by_range, _ROW).sortWithinPartitions("part").mapInArrow(answer, _ANSWER)
+
+
+def _found(sent: DataFrame, to: Deal, kind: type, halves: int, blocks_only: bool, what: str) -> DataFrame:
+    """(key, key2, places): the answers to all probes, per document; kept as a table."""
+    each = _answers(sent, to, kind, halves, blocks_only).groupBy("batch").applyInArrow(_by_document, "key long, key2 long, places binary")
     # Rows of one key have one text, hence equal places if they lie in one stretch, and else equal up to what a stretch knows of itself.
     return Kept(each.groupBy(*_KEY).agg(F.array_join(F.collect_set(F.hex("places")), "").alias("hex")).select(*_KEY, F.unhex("hex").alias("places")), what).df
 

@@ -139,6 +139,23 @@ def test_repeats_in_several_ranges_of_a_partition(spark, monkeypatch):
     assert len(got) == len(rows) and all((r["n_words"], r["n_removed"], r["kept_text"]) == want[r["doc"]["doc_id"], r["doc"]["text"]] for r in got)
 
 
+def test_partitions_of_one_range_are_answered_by_one_worker(spark):
+    """Each Python step of a task holds a worker of its own, whose memory stays with the executor."""
+    r, found = np.random.default_rng(8), {}
+    sides = [(r.integers(0, 300, 200).astype(np.uint64) << np.uint64(33), r.random(200) < 0.2) for _ in range(4)]
+    for ranges, steps in ((1, 1), (3, 2)):
+        to, rows = substring_dedup.Deal(2, ranges, 1 << 20), []
+        for k, (hashes, flags) in enumerate(sides):
+            sent = substring_dedup._rows(np.full((1, 2), k), np.zeros(1, np.int64), [hashes], np.arange(200), flags, to, np.uint32)
+            rows += [tuple(x.values()) for x in sent.to_pylist()]
+        answers = substring_dedup._answers(spark.createDataFrame(rows, substring_dedup._ROW), to, np.uint32, 1, True)
+        assert answers._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == steps
+        got = [(x["batch"], x["kind"], np.frombuffer(x["payload"], np.uint32).tolist() if x["kind"] == 2 else bytes(x["payload"])) for x in answers.collect()]
+        maps = sorted((b, p) for b, kind, p in got if kind == 1)
+        found[ranges] = maps, sorted({(b, place) for b, kind, p in got if kind == 2 for place in p})
+    assert found[1] == found[3] and len(found[1][0]) == 4 and found[1][1]
+
+
 def test_bytes_of_a_probe_do_not_grow_with_the_corpus():
     r, found = np.random.default_rng(5), {}
     for size in (3 * 10**10, 10**12, 10**14):

@@ -37,6 +37,16 @@ def test_gradients():
             assert abs((high - low) / 2e-5 - found[k].reshape(-1)[i]) < 1e-6
 
 
+def test_scoring_sends_each_text_once(spark):
+    """A task's batch lies on the JVM's side and on Python's, so a second copy of its texts counts twice."""
+    docs = spark.createDataFrame([(1, "a b c", "en"), (2, None, "de")], "doc_id long, `Te xt` string, lang string")
+    model = quality_classifier.ByteConv(2)
+    got = quality_classifier.score(docs, model, text_column="te xt")
+    assert re.search(r"MapInArrow [^(]*\(doc#\d+\)", got._jdf.queryExecution().executedPlan().toString())
+    want = model.scores([b"a b c", None])
+    assert np.allclose([r["score"] for r in sorted(got.collect(), key=lambda r: r["doc"]["doc_id"])], want)
+
+
 def test_scores_do_not_depend_on_neighbours():
     model = quality_classifier.ByteConv(2)
     texts = [b"a", None, b"", b"x y " * 700, bytes(range(256)) * 3]
