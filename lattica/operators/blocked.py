@@ -21,11 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lattica.operators import whole
 from lattica.plans.tables import Kept
 
 #: Rows and columns of a tile, and proposals in one match of a tournament.
 TILE, FAN = 256, 16
+#: Unknowns of a system that one task factors whole, without tiles.
+WHOLE = 5 * TILE
 TINY = 1e-16
 
 _TILE = "sys long, t long, j long, tile binary, free binary"
@@ -431,7 +435,29 @@ def inverse_iteration(a: DataFrame, sizes: DataFrame, shifts: DataFrame, start:
 
     ``sizes`` is (sys, n), ``shifts`` (sys, shift) and ``start`` (sys, i, v); a start of zero is replaced by 0.1 everywhere.  It ends when three times the relative
     error is at most ``eps``; systems that are done leave the iteration, and a singular a - shift fails.
+
+    Systems of at most WHOLE unknowns, or whose factors' bands have at most ``whole.HELD`` entries, are iterated whole by a task, many together; greater ones by tiles.
     """
+    long = lambda c, name=None: F.col(c).cast("long").alias(name or c)
+    a = a.where("a != 0").select(long("sys"), long("i"), long("j"), F.col("a").cast("double").alias("a"))
+    sizes = sizes.select(long("sys"), long("n"))
+    bands = a.groupBy("sys").agg(F.max(F.col("i") - F.col("j")).alias("below"), F.max(F.col("j") - F.col("i")).alias("above"), F.count("*").alias("cells"))
+    entries = F.col("n") * (2 * F.greatest("below", F.lit(0)) + F.greatest("above", F.lit(0)) + 1)
+    sizes = Kept(sizes.join(bands, "sys", "left").select("sys", "n", F.coalesce("cells", F.lit(0)).alias("cells"), ((F.col("n") <= WHOLE) | (F.coalesce(entries, "n") <= whole.HELD)).alias("fits"))).df
+    count, all_fit = sizes.agg(F.sum(F.col("cells") + F.col("n")), F.bool_and("fits")).first()
+    row = lambda kind, i, j, v: ["sys", F.lit(kind).alias("kind"), i, j, v]
+    none = F.lit(0).cast("long").alias("j")
+    pick = lambda df, fits: df if all_fit else df.join(sizes.where(F.col("fits") == fits).select("sys"), "sys", "left_semi")
+    start, shifts = start.select(long("sys"), long("i"), F.col("v").cast("double").alias("v")), shifts.select(long("sys"), F.col("shift").cast("double").alias("shift"))
+    rows = pick(a, True).select(row(whole.CELL, "i", "j", "a")).union(pick(start, True).select(row(whole.SIDE, "i", none, F.col("v").alias("a"))))
+    rows = rows.union(sizes.where("fits AND n > 0").join(shifts, "sys", "left").select(row(whole.SIZE, F.col("n").alias("i"), none, F.coalesce("shift", F.lit(0.0)).alias("a"))))
+    found = Kept(whole.dealt(rows, count or 0, whole.inverse_iterated(eps, most), "sys long, i long, v double, value double, error double, status string, iterations int")).df
+    if all_fit is not False:
+        return found
+    return found.union(_inverse_iteration_by_tiles(pick(a, False), sizes.where("NOT fits").select("sys", "n"), shifts, pick(start, False), eps, most, size))
+
+
+def _inverse_iteration_by_tiles(a: DataFrame, sizes: DataFrame, shifts: DataFrame, start: DataFrame, eps: float, most: int, size: int) -> DataFrame:
     a, sizes = Kept(a.select("sys", "i", "j", "a")).df, Kept(sizes.select("sys", F.col("n").cast("long").alias("n"))).df
     every = sizes.select("sys", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
     diagonal = every.join(shifts, "sys").select("sys", "i", F.col("i").alias("j"), (-F.col("shift")).alias("a"))
