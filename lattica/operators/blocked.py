@@ -405,10 +405,31 @@ def solve(a: DataFrame, b: DataFrame, eps: float = 1e-12, most: int = 3, size: i
 
     The unknowns are 0 to the largest index of either table; entries that aren't there are zero.  Refinement ends once a correction's norm is at most ``eps`` times
     the solution's, or after ``most`` (MaxIterations).  A singular matrix fails; its values are null.
+
+    A row of ``a`` may hold many entries of a matrix's row, if j and a are arrays (``rows_of``), which moves a third of the bytes.  Systems of at most WHOLE unknowns are solved
+    whole by a task, without tiles; ``a`` is read twice, and isn't shuffled if it is dealt by ``sys`` already.
     """
-    a, b = Kept(a.select("sys", "i", "j", "a")), Kept(b.select("sys", "i", "v"))
+    listed = isinstance(a.schema["j"].dataType, T.ArrayType)
+    a, b = a.select(F.col("sys").cast("long").alias("sys"), F.col("i").cast("long").alias("i"), "j", "a"), b.select(F.col("sys").cast("long").alias("sys"), F.col("i").cast("long").alias("i"), F.col("v").cast("double").alias("v"))
+    if not listed:
+        a = a.where("a != 0")
     top = lambda df, c: df.groupBy("sys").agg((F.max(c) + 1).alias("n"))
-    sizes = Kept(top(a.df, F.greatest("i", "j")).union(top(b.df, F.col("i"))).groupBy("sys").agg(F.max("n").alias("n"))).df
+    sizes = Kept(top(a, F.greatest("i", F.array_max("j") if listed else F.col("j"))).union(top(b, F.col("i"))).groupBy("sys").agg(F.max("n").alias("n"))).df
+    large = sizes.where(F.col("n") > WHOLE)
+    none_large = large.isEmpty()
+    pick = lambda df, how: df if none_large else df.join(large.select("sys"), "sys", how)
+    sides = [pick(df, "left_anti").where("sys IS NOT NULL").groupBy("sys") for df in (a, b)]
+    found = Kept(sides[0].cogroup(sides[1]).applyInArrow(whole.solved(eps, most), "sys long, i long, v double, status string")).df
+    if none_large:
+        return found
+    rest = pick(a, "left_semi")
+    if listed:
+        rest = rest.select("sys", "i", F.explode(F.arrays_zip("j", "a")).alias("e")).select("sys", "i", "e.j", "e.a").where("a != 0")
+    return found.union(_solve_by_tiles(rest, pick(b, "left_semi"), large, eps, most, size))
+
+
+def _solve_by_tiles(a: DataFrame, b: DataFrame, sizes: DataFrame, eps: float, most: int, size: int) -> DataFrame:
+    a, b = Kept(a.select("sys", "i", "j", "a")), Kept(b.select("sys", "i", "v"))
     factors = lu(a.df, sizes, size)
     x = Kept(factors.solve(b.df))
     done: list[DataFrame] = []
@@ -556,6 +577,19 @@ def least_squares(rows: DataFrame, group: list[str], features: list[Column], lab
 GROUPS_HELD = 20_000
 
 
+def rows_of(rows: DataFrame, a: Callable[[Column], Column]) -> DataFrame:
+    """(sys, i, v, j, a, x) of ``rows`` (sys, i, v): the square matrix of all pairs within a system, a row in a row.
+
+    ``j`` are the system's numbers in their order, ``x`` their values, and ``a`` is made of each j, sys and i.  A system's numbers are gathered, its rows are made where they are,
+    so only ``rows`` are shuffled; a task has about a million entries, or one system's.
+    """
+    m = rows.groupBy("sys").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+    tasks = max(2 * rows.sparkSession.sparkContext.defaultParallelism, -(-int(m) // 1_000_000))
+    lists = rows.repartition(tasks, "sys").groupBy("sys").agg(F.array_sort(F.collect_list(F.struct(F.col("i").alias("i"), F.col("v").alias("v")))).alias("e"))
+    each = lists.select("sys", F.col("e.i").alias("j"), F.col("e.v").alias("x"), F.explode("e").alias("e")).select("sys", "e.i", "e.v", "j", "x")
+    return each.select("sys", "i", "v", "j", F.transform("j", a).alias("a"), "x")
+
+
 def coordinates_of(rows: DataFrame, a: Column) -> DataFrame:
     """(sys, i, j, a) of ``rows`` (sys, i), the square matrix of all pairs within a system; ``a`` may use i and j."""
     columns = rows.select("sys", F.col("i").alias("j"))

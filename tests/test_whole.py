@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import test_blocked
 from lattica.operators import blocked, whole
@@ -42,7 +43,7 @@ def test_inverse_iteration_by_bands_and_by_tiles_of_the_same_systems(spark, monk
     assert by() == whole_ones and len(whole_ones) == 76
 
 
-@pytest.mark.parametrize("test", ["test_inverse_iteration"])
+@pytest.mark.parametrize("test", ["test_solve_by_tiles_of_all_sizes", "test_refinement_reaches_the_last_digits", "test_inverse_iteration"])
 def test_tiles(spark, monkeypatch, test):
     """The tests of the same operators once more, all systems by tiles."""
     monkeypatch.setattr(blocked, "WHOLE", 0)
@@ -51,6 +52,24 @@ def test_tiles(spark, monkeypatch, test):
     f(spark, monkeypatch) if "monkeypatch" in f.__code__.co_varnames[: f.__code__.co_argcount] else f(spark)
 
 
+def test_solve_of_systems_that_fit_makes_no_tiles(spark, monkeypatch):
+    monkeypatch.setattr(blocked, "tiles", refuse)
+    test_blocked.test_solve_by_tiles_of_all_sizes(spark, monkeypatch)
+
+
+def test_solve_takes_rows_of_entries(spark, monkeypatch):
+    """The rows' form of a matrix, whole and by tiles at once; the product with x gives x back."""
+    monkeypatch.setattr(blocked, "WHOLE", 20)
+    rows = spark.createDataFrame([(s, i, float(s + i % 5)) for s, n in enumerate((3, 20, 27)) for i in range(n)], "sys long, i long, v double")
+    entry = lambda j: F.pmod(F.xxhash64("sys", "i", j), F.lit(2001)) / 1000 - 1
+    a = blocked.rows_of(rows, entry)
+    b = a.select("sys", "i", F.aggregate(F.zip_with("a", "x", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v).alias("v"))
+    found = {(r["sys"], r["i"]): r for r in blocked.solve(a, b, size=8).collect()}
+    assert len(found) == 50 and all(r["status"] == "Converged" and abs(r["v"] - (s + i % 5)) < 1e-9 for (s, i), r in found.items())
+    plan = a.groupBy("sys").cogroup(b.groupBy("sys")).applyInArrow(whole.solved(1e-12, 3), "sys long, i long, v double, status string")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Exchange") <= 3  # the entries aren't shuffled: the lists are
+
+
 @pytest.mark.parametrize("n", [1, 2, 47, 130])
 def test_dense_factors(n):
     r = np.random.default_rng(n)
