@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -39,13 +40,18 @@ def runge_kutta_step(f: Field) -> Step:
 
 
 def implicit_euler_step(f: Field, df: Field, eps: float = 1e-8, most: int = 100) -> Step:
-    """x - y - dt f(t + dt, x) = 0 by Newton's method from y; NaN where it doesn't converge."""
+    """x - y - dt f(t + dt, x) = 0 by Newton's method from y; NaN where it doesn't converge.
+
+    A fold can't end early, so the moves are folds in a fold: once x is found, a block of moves costs one look.
+    """
+    block = max(1, math.isqrt(most))
 
     def step(t, y, dt):
         gap = lambda x: x - y - dt * f(t + dt, x)
         move = lambda x, _: F.when(F.abs(gap(x)) <= eps, x).otherwise(x - F.try_divide(gap(x), 1 - dt * df(t + dt, x)))
-        found = F.aggregate(F.sequence(F.lit(1), F.lit(most)), y, move)
-        return F.when(F.abs(gap(found)) <= eps, found).otherwise(F.lit(float("nan")))
+        moves = lambda x, k: F.when(F.abs(gap(x)) <= eps, x).otherwise(F.aggregate(F.sequence(k, F.least(k + (block - 1), F.lit(most))), x, move))
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(most), F.lit(block)), y, moves)
+        return small.let(found, lambda x: F.when(F.abs(gap(x)) <= eps, x).otherwise(F.lit(float("nan"))))
 
     return step
 
@@ -57,8 +63,7 @@ def trajectory(step: Step, y0: Column, dt: Column, t_end: Column) -> Column:
     start = F.struct(y0.cast("double").alias("y"), F.array(y0.cast("double")).alias("all"))
 
     def fold(s: Column, k: Column) -> Column:
-        new = step(k.cast("double") * dt, s["y"], dt)
-        return F.struct(new.alias("y"), F.concat(s["all"], F.array(new)).alias("all"))
+        return small.let(step(k.cast("double") * dt, s["y"], dt), lambda y: F.struct(y.alias("y"), F.concat(s["all"], F.array(y)).alias("all")))
 
     return F.aggregate(numbers, start, fold)["all"]
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.operators import interpolants, interpolation, ode, quadrature, roots, spectral, table_functions
-from lattica.plans.tables import keep, r6, table
+from lattica.plans.tables import evenly, keep, r6, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -45,9 +45,9 @@ def _decay(factor: str) -> str:
 FROM (SELECT c_custkey, (0.1 + (c_custkey % 10) / 5.0)::DOUBLE * 0.25::DOUBLE AS z, unnest(range(0, 13))::INTEGER AS k FROM customer)"""
 
 
-def _solve_decay(spark, sf, step):
+def _solve_decay(spark, sf, step, deal=lambda rows: rows):
     rows = table(spark, sf, "customer").select("c_custkey", (F.lit(0.1) + (F.col("c_custkey") % 10) / F.lit(5.0)).alias("rate"))
-    found = ode.solve(rows, ["c_custkey"], step, F.lit(1.0), F.lit(0.25), F.lit(3.0))
+    found = ode.solve(deal(rows), ["c_custkey"], step, F.lit(1.0), F.lit(0.25), F.lit(3.0))
     return found.select("c_custkey", "step", "t", r6("y", 9).alias("y"))
 
 
@@ -72,7 +72,7 @@ def ode_runge_kutta(spark, sf):
 
 @query(_decay("1 / (1 + z)"))
 def ode_implicit_euler(spark, sf):
-    return _solve_decay(spark, sf, ode.implicit_euler_step(_field, lambda t, y: -F.col("rate"), eps=1e-12))
+    return _solve_decay(spark, sf, ode.implicit_euler_step(_field, lambda t, y: -F.col("rate"), eps=1e-12), evenly)
 
 
 def _oscillator(t, y):

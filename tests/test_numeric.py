@@ -1,6 +1,7 @@
 """Linear algebra, roots, ODEs, quadrature, interpolation and transforms on small fixtures."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -163,6 +164,26 @@ def test_ode(spark):
     assert ode.solve(df, ["id"], ode.euler_step(decay), F.col("y0"), F.lit(1.0), F.lit(0.5)).count() == 1
 
 
+def test_implicit_euler_ends_once_a_state_is_found(spark):
+    """A million moves allowed, a few needed: what is allowed but not needed costs little; it was all folded over before."""
+    df = spark.createDataFrame([(1, 1.0)], "id int, y0 double")
+    run = lambda most: ode.solve(df, ["id"], ode.implicit_euler_step(lambda t, y: -y * y, lambda t, y: -2 * y, 1e-12, most), F.col("y0"), F.lit(0.5), F.lit(30.0)).orderBy("step").collect()
+    few, began = run(50), time.monotonic()
+    assert run(1_000_000) == few and len(few) == 61 and time.monotonic() - began < 8
+
+
+@pytest.mark.parametrize("most", range(1, 9))
+def test_implicit_euler_takes_as_many_moves_as_allowed(spark, most):
+    """One step of y' = -y ** 3 from far away, against the same moves in Python: found at the same number of moves, else NaN."""
+    x = 9.0
+    gap = lambda x: x - 9.0 + 2.0 * x**3
+    for _ in range(most):
+        x = x if abs(gap(x)) <= 1e-6 else x - gap(x) / (1 + 6.0 * x * x)
+    df = spark.createDataFrame([(1,)], "id int")
+    got = ode.solve(df, ["id"], ode.implicit_euler_step(lambda t, y: -y * y * y, lambda t, y: -3 * y * y, 1e-6, most), F.lit(9.0), F.lit(2.0), F.lit(2.0)).orderBy("step").collect()
+    assert len(got) == (2 if abs(gap(x)) <= 1e-6 else 1) and (len(got) == 1 or math.isclose(got[1]["y"], x, rel_tol=1e-12))
+
+
 @pytest.mark.parametrize("method", ["euler", "heun", "runge_kutta", "implicit_euler"])
 def test_ode_systems(spark, method):
     field = lambda t, y: [y[1], (1 - y[0] * y[0]) * y[1] - y[0]]
