@@ -4,7 +4,8 @@
 is one equi-join on the column index and one aggregation by row, combined before the shuffle.  A
 matrix is bucketed by (sys, j) once, so only vectors move (or are broadcast, if Spark finds them
 small); a few steps make one plan, whose vector is written to the shared folder.  Systems that are
-done leave the iteration.  Small dense systems are solved in their row by ``small``.
+done leave the iteration.  Small dense systems are solved in their row by ``small``; relaxation and
+colouring send sparse systems of at most WHOLE_CELLS cells to tasks that iterate them whole (``whole``).
 """
 
 from __future__ import annotations
@@ -14,10 +15,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.operators import whole
 from lattica.plans.tables import Bucketed, Kept, keep
 
 #: Steps in one plan; statuses are looked at, and iterations counted, in these strides.  A sweep of more than two colours is several steps.
 STRIDE = 6
+#: Cells and right-hand sides of a system that one task may hold.
+WHOLE_CELLS = 1_000_000
 #: The index of a coordinate that is always one, which carries the right-hand side.
 _ONE = -1
 
@@ -56,9 +60,40 @@ def colouring(a: DataFrame) -> DataFrame:
 
     Rounds of Jones and Plassmann: an unknown whose number's hash is above those of all its uncoloured neighbours takes the least colour that
     none of its coloured neighbours has.  The hash decides, so the colours don't depend on the partitioning; the rounds grow with the
-    logarithm of the unknowns, and an unknown's neighbours are aggregated, never gathered (but for their distinct colours).
+    logarithm of the unknowns.  Systems of at most WHOLE_CELLS cells go through the rounds in a task; in greater ones a round is a join and
+    an aggregation, and an unknown's neighbours are aggregated, never gathered (but for their distinct colours).
     """
-    entries = a.where("a != 0").select("sys", "i", "j")
+    a = a.where("a != 0")
+    large, few, count = _sizes(a.select("sys"))
+    found = []
+    if few:
+        cells = _without(a, large).select("sys", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.xxhash64("sys", "i").alias("h"), F.xxhash64("sys", "j").alias("g"))
+        found.append(keep(whole.dealt(cells, count, whole.coloured, f"sys {_kind(a)}, i long, colour int")))
+    if large is not None or not few:
+        found.append(_colouring_by_tables(a if large is None else a.join(large, "sys", "left_semi")))
+    return _out(found, ["sys", "i", "colour"])
+
+
+def _kind(a: DataFrame) -> str:
+    return a.schema["sys"].dataType.simpleString()
+
+
+def _sizes(rows: DataFrame) -> tuple[DataFrame | None, bool, int]:
+    """(systems of more than WHOLE_CELLS of ``rows`` (sys), None without any; whether there are others; how many rows these have)."""
+    sizes = Kept(rows.groupBy("sys").agg(F.count("*").alias("n")), "sizes")
+    is_large = F.col("n") > WHOLE_CELLS
+    most, others, count = sizes.df.agg(F.count(F.when(is_large, 1)), F.count(F.when(~is_large, 1)), F.sum(F.when(~is_large, F.col("n")))).first()
+    large = keep(sizes.df.where(is_large).select("sys"), "large") if most else None
+    sizes.drop()
+    return large, others > 0, count or 0
+
+
+def _without(rows: DataFrame, large: DataFrame | None) -> DataFrame:
+    return rows if large is None else rows.join(large, "sys", "left_anti")
+
+
+def _colouring_by_tables(a: DataFrame) -> DataFrame:
+    entries = a.select("sys", "i", "j")
     edges = entries.where("i != j").union(entries.where("i != j").select("sys", F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
     edges = Kept(edges, "graph")
     nodes = entries.select("sys", "i").union(entries.select("sys", "j")).distinct()
@@ -84,15 +119,39 @@ def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0,
     A sweep of over-relaxation takes the unknowns by colour: i modulo ``colours``, or what a table (sys, i, colour) such as ``colouring``'s says.  No equation may
     hold two unknowns of a colour, so each colour is one parallel step that sees the new values of
     those before.  ``omega`` 1 is Gauss and Seidel's method.  It ends when the residual's norm is at most ``eps``; a
-    zero on the diagonal fails.  Iterations are counted in strides.
+    zero on the diagonal fails.  Iterations are counted in strides.  Systems of at most WHOLE_CELLS cells and right-hand sides are iterated
+    whole in a task, each matrix shuffled once; greater ones by a join and an aggregation a step.
     """
     if not 0 < omega < 2:
         raise ValueError("omega has to lie between 0 and 2")
     a, number = a.where("a != 0"), colours
+    if isinstance(colours, DataFrame):
+        number = (colours.agg(F.max("colour")).first()[0] or 0) + 1
+    sweeps = max(1, 2 * stride // max(2, number))
+    large, few, count = _sizes(a.select("sys").union(b.select("sys")))
+    out = []
+    if few:
+        long = lambda c: F.col(c).cast("long").alias(c)
+        row = lambda kind, i, j, v: ["sys", F.lit(kind).alias("kind"), i, j, v]
+        none = F.lit(0).cast("long").alias("j")
+        rows = _without(a, large).select(row(whole.CELL, long("i"), long("j"), F.col("a").cast("double").alias("a")))
+        rows = rows.union(_without(b, large).select(row(whole.SIDE, long("i"), none, F.col("v").cast("double").alias("a"))))
+        if isinstance(colours, DataFrame):
+            rows = rows.union(_without(colours, large).select(row(whole.COLOUR, long("i"), F.col("colour").cast("long").alias("j"), F.lit(0.0).alias("a"))))
+        run = whole.relaxed(eps, most, omega, None if isinstance(colours, DataFrame) else colours, number, sweeps)
+        out.append(keep(whole.dealt(rows, count, run, f"sys {_kind(b)}, i long, v double, status string, iterations int")))
+        if not out[0].where("status = 'Clash'").isEmpty():
+            raise ValueError("an equation holds two unknowns of one colour")
+    if large is not None or not few:
+        mine = lambda rows: rows if large is None else rows.join(large, "sys", "left_semi")
+        out.append(_relax_by_tables(mine(a), mine(b), eps, most, omega, mine(colours) if isinstance(colours, DataFrame) else colours, number, sweeps))
+    return _out(out, ["sys", "i", "v", "status", "iterations"])
+
+
+def _relax_by_tables(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float, colours: int | DataFrame, number: int, sweeps: int) -> DataFrame:
     if isinstance(colours, DataFrame):
         two = [colours.select("sys", F.col("i").alias(k), F.col("colour").alias(f"_{k}")) for k in "ij"]
         clash = a.where("i != j").join(two[0], ["sys", "i"]).join(two[1], ["sys", "j"]).where("_i = _j")
-        number = (colours.agg(F.max("colour")).first()[0] or 0) + 1
         b = b.join(colours.select("sys", "i", "colour"), ["sys", "i"], "left").withColumn("colour", F.coalesce("colour", F.lit(0)))
     else:
         clash = a.where(f"i != j AND i % {colours} = j % {colours}") if colours else a.limit(0)
@@ -102,7 +161,7 @@ def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0,
     cells = a.count()
     b = Kept(b.join(a.where("i = j").select("sys", "i", F.col("a").alias("d")), ["sys", "i"], "left"))
     failed = Kept(b.df.groupBy("sys").agg(F.bool_or(F.col("d").isNull()).alias("zero")).where("zero"))
-    out = [b.df.join(failed.df, "sys", "left_semi").select("sys", "i", F.lit(None).cast("double").alias("v"), F.lit("Failed").alias("status"), F.lit(None).cast("int").alias("iterations"))]
+    out = [keep(b.df.join(failed.df, "sys", "left_semi").select("sys", "i", F.lit(None).cast("double").alias("v"), F.lit("Failed").alias("status"), F.lit(None).cast("int").alias("iterations")))]
     fine = Kept(b.df.join(failed.df, "sys", "left_anti"))
     ones = fine.df.select("sys", F.lit(_ONE).cast("long").alias("i"), F.lit(_ONE).cast("long").alias("j"), F.lit(1.0).alias("a")).distinct()
     size = fine.df.select("sys", "i", "d", "colour")
@@ -118,18 +177,22 @@ def relax(a: DataFrame, b: DataFrame, eps: float, most: int, omega: float = 1.0,
     n = 0
     while True:
         norms = matvec(gaps.df, x.df).groupBy("sys").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-        told = keep(norms.select("sys", _told(F.col("norm"), eps, n >= most).alias("status")))
-        out.append(_finished(x.df.where(f"i != {_ONE}"), told, n))
-        going = told.where("status IS NULL")
-        if going.isEmpty():
+        told = Kept(norms.select("sys", _told(F.col("norm"), eps, n >= most).alias("status")))
+        ended, systems = told.df.agg(F.count("status"), F.count("*")).first()
+        if ended:  # written out, so a vector can go once the next one is there
+            out.append(keep(_finished(x.df.where(f"i != {_ONE}"), told.df, n)))
+        if ended == systems:
             break
-        vector = x.df.join(going, "sys", "left_semi")
-        sweeps = min(max(1, 2 * stride // max(2, len(steps))), most - n)
-        for _ in range(sweeps):
+        vector = x.df.join(told.df.where("status IS NULL"), "sys", "left_semi")
+        here = min(sweeps, most - n)
+        for _ in range(here):
             for step in steps:
                 vector = matvec(step.df, vector)
-        x, n = Kept(vector), n + sweeps
-    for table in (*steps, gaps):
+        then = Kept(vector)
+        x.drop()
+        told.drop()
+        x, n = then, n + here
+    for table in (*steps, gaps, b, failed, fine, x, told):
         table.drop()
     return _out(out, ["sys", "i", "v", "status", "iterations"])
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import test_blocked
-from lattica.operators import blocked, whole
+from lattica.operators import blocked, linear, whole
 
 
 def refuse(*_):
@@ -126,3 +126,45 @@ def test_stretches_hold_whole_systems(spark, monkeypatch, stretch):
         assert sorted((r["sys"], r["n"]) for r in found) == sorted((f"s{s}", 1 + s * s % 23) for s in range(1, 40))
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def path_cells(spark, lengths, empty):
+    """(a, b) of (1 + L / 4) x = y on paths, those of ``empty`` without a cell; the last row of each of its systems has no value."""
+    cells = [(f"s{s}", i, j, 1.0 + 0.25 * ((i > 0) + (i < n - 1)) if i == j else -0.25) for s, n in enumerate(lengths) if s not in empty for i in range(n) for j in (i - 1, i, i + 1) if 0 <= j < n]
+    sides = [(f"s{s}", i, None if i == n - 1 else float(np.sin(s + 3 * i))) for s, n in enumerate(lengths) for i in range(n)]
+    return spark.createDataFrame(cells, "sys string, i long, j long, a double").repartition(5), spark.createDataFrame(sides, "sys string, i long, v double")
+
+
+RELAXED = [lambda *s: linear.jacobi(*s), lambda *s: linear.relax(*s, omega=1.1, colours=2), lambda a, b, *s: linear.relax(a, b, *s, omega=1.1, colours=linear.colouring(a))]
+
+
+@pytest.mark.parametrize("method", RELAXED)
+@pytest.mark.parametrize("most", [1, 8, 90])
+def test_relaxation_whole_and_by_tables(spark, monkeypatch, method, most):
+    """The same rows, statuses and iterations, whether a task takes a system whole, or tables do, or some go either way."""
+    a, b = path_cells(spark, [30, 1, 12, 30, 7], {3})
+    found = []
+    for cells in (1_000_000, 60, 0):
+        monkeypatch.setattr(linear, "WHOLE_CELLS", cells)
+        found.append({(r["sys"], r["i"]): (r["v"] if r["v"] is None else round(r["v"], 9), r["status"], r["iterations"]) for r in method(a, b, 1e-9, most).collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 80
+    assert {v[1] for k, v in found[0].items() if k[0] == "s3"} == {"Failed"} and (most < 90 or found[0]["s0", 3][1] == "Converged")
+
+
+def test_colouring_whole_and_by_tables(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    cells = [(s, int(i), int(j), 1.0) for s in range(6) for i, j in r.integers(0, 9 + 4 * s, (40, 2))]
+    a = spark.createDataFrame(cells, "sys int, i long, j long, a double").repartition(3)
+    found = []
+    for most in (1_000_000, 39, 0):
+        monkeypatch.setattr(linear, "WHOLE_CELLS", most)
+        found.append({(x["sys"], x["i"]): x["colour"] for x in linear.colouring(a).collect()})
+    assert found[0] == found[1] == found[2] and all(found[0][s, i] != found[0][s, j] for s, i, j, _ in cells if i != j)
+
+
+def test_small_sparse_systems_are_shuffled_once(spark, monkeypatch):
+    """Relaxation and colouring of systems that fit a task take no matrix product of tables, which was a join and an aggregation a step."""
+    a, b = path_cells(spark, [30] * 50, set())
+    monkeypatch.setattr(linear, "matvec", refuse)
+    monkeypatch.setattr(linear, "Bucketed", refuse)
+    assert {r["status"] for r in linear.relax(a, b, 1e-9, 90, 1.1, linear.colouring(a)).collect()} == {"Converged"}
