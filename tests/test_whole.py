@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import test_blocked
 from lattica.operators import blocked, linear, whole
+from lattica.plans import tables
 
 
 def refuse(*_):
@@ -168,3 +169,16 @@ def test_small_sparse_systems_are_shuffled_once(spark, monkeypatch):
     monkeypatch.setattr(linear, "matvec", refuse)
     monkeypatch.setattr(linear, "Bucketed", refuse)
     assert {r["status"] for r in linear.relax(a, b, 1e-9, 90, 1.1, linear.colouring(a)).collect()} == {"Converged"}
+
+
+@pytest.mark.parametrize("cells", [1_000_000, 0])
+def test_relaxation_leaves_its_result_only(spark, monkeypatch, cells):
+    """Every stride's vectors stayed on disk before; what stays is a table of the results for each stride at which systems ended, at most."""
+    monkeypatch.setattr(linear, "WHOLE_CELLS", cells)
+    held, made = set(), tables.Kept.__init__
+    drop = tables.Kept.drop
+    monkeypatch.setattr(tables.Kept, "__init__", lambda self, *x: (made(self, *x), held.add(self.path))[0])
+    monkeypatch.setattr(tables.Kept, "drop", lambda self: (drop(self), held.discard(self.path))[0])
+    a, b = path_cells(spark, [30, 30], set())
+    found = linear.relax(a, b, 1e-9, 90, stride=2)  # some twelve strides, at the last of which both end
+    assert found.agg(F.max("iterations")).first()[0] > 16 and len(held) <= 3
