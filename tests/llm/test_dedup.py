@@ -241,3 +241,25 @@ def test_embeddings_edge_cases(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df).collect()}
     assert got == {1: (1, 1), 2: (1, 1), None: (0, None), **{k: (0, k) for k in (3, 4, 5, 6, 7, 8, 9)}}
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_jaccard_frees_what_later_steps_do_not_read(spark, monkeypatch):
+    """The leaders' sets and the lists are gone before the sets of the last search are written; all of them stayed to the end before."""
+    live, beside = set(), []
+
+    class Seen(ngram_jaccard.Kept):
+        def __init__(self, df, what="kept"):
+            if what == "sets":
+                beside.append(sorted(w for w, _ in live))
+            super().__init__(df, what)
+            live.add((what, self.path))
+
+        def drop(self):
+            super().drop()
+            live.discard(next(x for x in live if x[1] == self.path))
+
+    monkeypatch.setattr(ngram_jaccard, "Kept", Seen)
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k % 7) * 100 + i}" for i in range(60)) + f" x{k}") for k in range(40)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(docs).collect()}
+    assert found == {k: k % 7 for k in range(40)}
+    assert len(beside) == 1 and not {"led-sets", "led", "lists", "met", "ends", "copies", "members"} & set(beside[0]) and {"early", "pairs", "tiles"} <= set(beside[0])
